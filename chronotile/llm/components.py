@@ -1,0 +1,36 @@
+"""Connected components of an edge table by alternating large-star and small-star steps (DataFrame operations)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from chronotile.llm.common import attach, saved
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """(u, v) rows with m, the least of u and all its v. A u with very many edges is safe: see ``attach``."""
+    least = saved(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("degree")))
+    return attach(edges, least, "u", "degree", edges.count())
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(u, v) links to (node, component), component being the least node that links lead to; a row for each linked node.
+
+    Links may repeat, run either way, or join a node to itself. Rounds grow with the logarithm of the longest chain.
+    """
+    now = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct())
+    state = _state(now)
+    while state[0]:
+        both = saved(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = saved(_with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small = _with_least(large)
+        now = saved(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u > v").distinct())
+        before, state = state, _state(now)
+        if state == before:
+            break
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotile.llm import bpe, chat, exact_dedup, mixing
+from chronotile.llm import bpe, chat, exact_dedup, jaccard_join, language_id, mixing, toxicity
 from chronotile.llm.common import table
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -27,9 +35,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_byte_bpe, op5_chat_formatting, op7_mixing, op9_exact_dedup)}
+    return {f.__name__: f for f in (op2_language_id, op3_ngram_jaccard_join, op4_byte_bpe, op5_chat_formatting, op7_mixing, op9_exact_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": chat.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {"op3_ngram_jaccard_join": jaccard_join.SQL, "op5_chat_formatting": chat.SQL, "op9_exact_dedup": exact_dedup.SQL}
