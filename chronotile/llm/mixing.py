@@ -56,9 +56,8 @@ def _met(acc: Column, x: Column) -> Column:
 
     def settled(p: Column) -> Column:
         c_done, x_done = _whole(p["c"]), _whole(p["x"])
-        carried = F.when(c_done & x_done, F.lit(None)).when(c_done, _with_p(x, p["x"])).otherwise(_with_p(c, p["c"]))
         out = F.concat(acc["out"], F.when(c_done, F.array(_with_p(c, F.round(p["c"])))).otherwise(_none(c)), F.when(x_done, F.array(_with_p(x, F.round(p["x"])))).otherwise(_none(x)))
-        return F.struct(carried.alias("c"), out.alias("out"))
+        return F.struct((~(c_done & x_done)).alias("live"), F.when(c_done, _with_p(x, p["x"])).otherwise(_with_p(c, p["c"])).alias("c"), out.alias("out"))
 
     return let(F.struct(up.alias("up"), down.alias("down")), moved)
 
@@ -76,12 +75,13 @@ def _none(item: Column) -> Column:
 
 
 def _folded(items: DataFrame) -> DataFrame:
-    """(key, block, item) rows to one row per block: the residual ``c`` (or null) and the decided ``out``."""
+    """(key, block, item) rows to one row per block: the residual ``c``, if there is one (``live``), and the decided ``out``."""
     blocks = items.groupBy("key", "block").agg(F.sort_array(F.collect_list("item")).alias("items"))
     first = F.col("items")[0]
-    zero = F.struct(F.when(F.lit(True), _with_p(first, first["p"])).alias("c"), _none(first).alias("out"))
-    met = F.aggregate(F.slice("items", 2, BLOCK * BLOCK * BLOCK), zero, lambda acc, x: F.when(acc["c"].isNull(), F.struct(F.when(F.lit(True), _with_p(x, x["p"])).alias("c"), acc["out"].alias("out"))).otherwise(_met(acc, x)))
-    return blocks.select("key", "block", met.alias("f")).select("key", "block", "f.c", "f.out")
+    start = F.struct(F.lit(True).alias("live"), _with_p(first, first["p"]).alias("c"), _none(first).alias("out"))
+    taken_up = lambda acc, x: F.struct(F.lit(True).alias("live"), _with_p(x, x["p"]).alias("c"), acc["out"].alias("out"))
+    folded = F.aggregate(F.slice("items", 2, F.size("items")), start, lambda acc, x: F.when(acc["live"], _met(acc, x)).otherwise(taken_up(acc, x)))
+    return blocks.select("key", "block", folded.alias("f")).select("key", "block", "f.live", "f.c", "f.out")
 
 
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
@@ -110,7 +110,7 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     while True:
         folded = saved(_folded(open_.withColumn("item", F.struct(*[(noise(level) if f == "u" else F.col(f"item.{f}")).alias(f) for f in _FIELDS]))))
         decided.append(folded.select("key", F.explode("out").alias("item")))
-        left = folded.filter("c is not null")
+        left = folded.filter("live")
         if blocks == 1:
             break
         blocks, level = -(-blocks // BLOCK), level + 1
