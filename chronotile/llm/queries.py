@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotile.llm import bpe, chat, exact_dedup, jaccard_join, language_id, mixing, toxicity
+import corpus_pipeline
+from chronotile.llm import block_search, bpe, chat, exact_dedup, html_text, jaccard_join, language_id, mixing, pii, toxicity
 from chronotile.llm.common import table
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(table(spark, sf_dir, "documents"))
 
@@ -27,10 +32,18 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render_chats(table(spark, sf_dir, "conversations")).select("conv_id", "n_turns", "n_chars", F.sha2("rendered", 256).alias("rendered_sha256"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages")).select("page_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -40,8 +53,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_ngram_jaccard_join, op4_byte_bpe, op5_chat_formatting, op7_mixing, op9_exact_dedup, op10_toxicity)}
+    every = (op1_nearest_neighbours, op2_language_id, op3_ngram_jaccard_join, op4_byte_bpe, op5_chat_formatting, op6_html_extraction, op7_mixing, op8_pii, op9_exact_dedup, op10_toxicity)
+    return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": jaccard_join.SQL, "op5_chat_formatting": chat.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {"op1_nearest_neighbours": block_search.SQL, "op3_ngram_jaccard_join": jaccard_join.SQL, "op5_chat_formatting": chat.SQL, "op9_exact_dedup": exact_dedup.SQL}
