@@ -7,7 +7,8 @@
 4. In a bucket a signature tree is built: each node holds the OR of its members' token bitmaps, their range of sizes and
    the most tokens that share a bit. Two nodes are traversed together and left as soon as their greatest
    possible overlap, or their sizes, or a link that is already known, rules out a new link. Leaves are compared exactly.
-5. Links join classes into components. Buckets that lie in one component by then are not opened.
+5. Links join classes into components. The largest buckets come first; those that lie within one of them, or in one
+   component by then, are not opened.
 """
 
 from __future__ import annotations
@@ -110,42 +111,61 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": batch["doc_id"], "mark": one, "n": [len(x) for x in sets], "tokens": [x.view(np.int64) for x in sets]})
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """A token bitmap of at least two bits a token, in 64-bit words; folding its halves together gives that of half the width."""
+    words = 1 << max(0, int(np.ceil(np.log2(max(1, 2 * len(tokens)) / 64))))
+    bits = np.zeros(words * 64, np.uint8)
+    bits[(mixed(tokens.view(np.uint64)) % np.uint64(words * 64)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
+def _ones(bits: np.ndarray) -> int:
+    return int(np.bitwise_count(bits).sum())
+
+
 class SignatureTree:
-    """Members sorted by size and signature, FANOUT to a node. Nodes are (first, last, bitmap, low, high, slack, children)."""
-
-    def __init__(self, tokens: list[np.ndarray], sizes: np.ndarray):
-        longest = max(map(len, tokens))
-        self.words = max(1, min(256, 1 << int(np.ceil(np.log2(max(1, longest * 4 / 64))))))
-        bits = np.zeros((len(tokens), self.words * 64), bool)
-        for k, x in enumerate(tokens):
-            bits[k, (mixed(x.view(np.uint64)) % np.uint64(self.words * 64)).astype(np.int64)] = True
-        maps = np.packbits(bits, axis=1).view(np.uint64)
-        slack = np.array([len(x) for x in tokens]) - bits.sum(1)
-        level = [(k, k + 1, maps[k], int(sizes[k]), int(sizes[k]), int(slack[k]), ()) for k in range(len(tokens))]
+    """Members in order of size, FANOUT to a node.
+
+    A node is (first, last, bitmap, low, high, slack, children): the OR of its members' bitmaps at the width of the narrowest, the
+    range of their sizes, and the most tokens of a member beyond the bits that they set at this width.
+    """
+
+    def __init__(self, bitmaps: list[np.ndarray], counts: list[int], sizes: np.ndarray):
+        level = [(k, k + 1, m, int(sizes[k]), int(sizes[k]), counts[k] - _ones(m), ()) for k, m in enumerate(bitmaps)]
         while len(level) > 1:
-            groups = [level[k : k + FANOUT] for k in range(0, len(level), FANOUT)]
-            level = [(g[0][0], g[-1][1], np.bitwise_or.reduce([x[2] for x in g]), min(x[3] for x in g), max(x[4] for x in g), max(x[5] for x in g), tuple(g)) for g in groups]
+            groups, level = [level[k : k + FANOUT] for k in range(0, len(level), FANOUT)], []
+            for g in groups:
+                words = min(len(x[2]) for x in g)
+                union = np.bitwise_or.reduce([_folded(x[2], words) for x in g])
+                first, last = g[0][0], g[-1][1]
+                slack = max(counts[k] - _ones(_folded(bitmaps[k], words)) for k in range(first, last))
+                level.append((first, last, union, min(x[3] for x in g), max(x[4] for x in g), slack, tuple(g)))
         self.root = level[0]
 
 
 def _apart(a: tuple, b: tuple) -> bool:
-    """Whether no member of a can link to one of b."""
+    """Whether no member of a can link to one of b: by sizes, or by the most tokens that can be in both."""
     if 100 * a[4] < PERCENT * b[3] or 100 * b[4] < PERCENT * a[3]:
         return True
-    most = int(np.bitwise_count(a[2] & b[2]).sum()) + min(a[5], b[5])
+    words = min(len(a[2]), len(b[2]))
+    slack = min(x[5] for x in (a, b) if len(x[2]) == words)
+    most = _ones(_folded(a[2], words) & _folded(b[2], words)) + slack
     return (100 + PERCENT) * most < PERCENT * (a[3] + b[3])
 
 
-def tree_links(marks: np.ndarray, comps: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that join all linked members of one bucket, by a dual traversal of its signature tree.
+def _traverse(root: tuple, comps: list[int], test) -> list[tuple[int, int]]:
+    """Pairs of members for which ``test`` (called only where the tree leaves a chance) holds; pairs joined already are not tested.
 
-    A pair whose members are joined already, by ``comps`` or links found before, is not compared.
+    A pair is joined by equal ``comps`` or pairs found before, unless ``test`` is None: then every pair with a chance is returned.
     """
-    order = np.lexsort((marks, comps, sizes))
-    tokens = [np.sort(tokens[k]) for k in order]
-    sizes, marks = sizes[order], marks[order]
     first: dict[int, int] = {}
-    parent = [first.setdefault(int(c), k) for k, c in enumerate(comps[order])]
+    parent = [first.setdefault(c, k) for k, c in enumerate(comps)]
 
     def find(k: int) -> int:
         while parent[k] != k:
@@ -153,12 +173,10 @@ def tree_links(marks: np.ndarray, comps: np.ndarray, sizes: np.ndarray, tokens:
         return k
 
     def joined(a: tuple, b: tuple) -> bool:
-        root = find(a[0])
-        return all(find(k) == root for k in range(a[0] + 1, a[1])) and all(find(k) == root for k in range(b[0], b[1]))
+        root_ = find(a[0])
+        return all(find(k) == root_ for k in range(a[0] + 1, a[1])) and all(find(k) == root_ for k in range(b[0], b[1]))
 
-    out = []
-    root = SignatureTree(tokens, sizes).root
-    stack = [(root, root)]
+    out, stack = [], [(root, root)]
     while stack:
         a, b = stack.pop()
         if joined(a, b) or a is not b and _apart(a, b):
@@ -167,23 +185,65 @@ def tree_links(marks: np.ndarray, comps: np.ndarray, sizes: np.ndarray, tokens:
             stack += [(a[6][k], a[6][m]) for k in range(len(a[6])) for m in range(k, len(a[6]))][::-1]
         elif a[6] or b[6]:
             stack += [(x, y) for x in a[6] or (a,) for y in b[6] or (b,)]
-        else:
-            x, y = a[0], b[0]
-            low, high = (tokens[x], tokens[y]) if len(tokens[x]) < len(tokens[y]) else (tokens[y], tokens[x])
-            at = np.searchsorted(high, low)
-            at[at == len(high)] = 0
-            both = int((high[at] == low).sum()) if len(high) else 0
-            if 100 * both >= PERCENT * (int(sizes[x]) + int(sizes[y]) - both):
-                out.append((int(marks[x]), int(marks[y])))
-                parent[find(x)] = find(y)
+        elif test is None:
+            out.append((a[0], b[0]))
+        elif test(a[0], b[0]):
+            out.append((a[0], b[0]))
+            parent[find(a[0])] = find(b[0])
     return out
 
 
+def shared_tokens(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted arrays of distinct values."""
+    low, high = (a, b) if len(a) < len(b) else (b, a)
+    if not len(low):
+        return 0
+    at = np.minimum(np.searchsorted(high, low), len(high) - 1)
+    return int((high[at] == low).sum())
+
+
+def similar(both: int, n: int, m: int) -> bool:
+    return 100 * both >= PERCENT * (n + m - both)
+
+
+def tree_links(marks: np.ndarray, comps: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join all linked members of one bucket, found by a dual traversal of its signature tree and exact comparison of leaves."""
+    order = np.lexsort((marks, comps, sizes))
+    tokens, sizes, marks = [np.sort(tokens[k]) for k in order], sizes[order], marks[order]
+    root = SignatureTree([bitmap(x) for x in tokens], [len(x) for x in tokens], sizes).root
+    found = _traverse(root, comps[order].tolist(), lambda x, y: similar(shared_tokens(tokens[x], tokens[y]), int(sizes[x]), int(sizes[y])))
+    return [(int(marks[x]), int(marks[y])) for x, y in found]
+
+
+def tree_pairs(marks: np.ndarray, comps: np.ndarray, sizes: np.ndarray, counts: list[int], bitmaps: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of members of different components that the signature tree of a bucket leaves a chance."""
+    order = np.lexsort((marks, comps, sizes))
+    root = SignatureTree([bitmaps[k] for k in order], [counts[k] for k in order], sizes[order]).root
+    return [(int(marks[order[x]]), int(marks[order[y]])) for x, y in _traverse(root, comps[order].tolist(), None)]
+
+
 def _bucket_links(rows: pd.DataFrame) -> pd.DataFrame:
     links = tree_links(rows["mark"].to_numpy(), rows["comp"].to_numpy(), rows["n"].to_numpy(), [np.asarray(x, np.int64) for x in rows["tokens"]]) if rows["comp"].nunique() > 1 else []
     return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
 
+def _bucket_pairs(rows: pd.DataFrame) -> pd.DataFrame:
+    pairs = tree_pairs(rows["mark"].to_numpy(), rows["comp"].to_numpy(), rows["n"].to_numpy(), rows["held"].tolist(), [np.frombuffer(x, np.uint64) for x in rows["bitmap"]]) if rows["comp"].nunique() > 1 else []
+    return pd.DataFrame([(max(x), min(x)) for x in pairs], columns=["u", "v"], dtype="int64")
+
+
+def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        tokens = [np.asarray(x, np.int64) for x in batch["tokens"]]
+        yield pd.DataFrame({"mark": batch["mark"], "n": batch["n"], "held": [len(x) for x in tokens], "bitmap": [bitmap(x).tobytes() for x in tokens]})
+
+
+def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        keep = [similar(shared_tokens(np.sort(a), np.sort(b)), n, m) for a, b, n, m in zip(batch["tokens"], batch["other"], batch["n"].tolist(), batch["m"].tolist(), strict=True)]
+        yield batch.loc[keep, ["u", "v"]]
+
+
 def _survivors(docs: DataFrame, meta: DataFrame) -> DataFrame:
     """(doc_id, mark) of one document of each class that may have partners."""
     dealt = docs.filter("doc_id is not null").select("text").mapInPandas(_dealt(buckets := shuffle_partitions(docs.sparkSession)), "bucket int, marks binary, counts binary, tokens binary, credit_marks binary, credits binary")
@@ -206,25 +266,63 @@ def _candidates(docs: DataFrame, survivors: DataFrame) -> DataFrame:
     return saved(listed.select("mark", "n", F.col("t.token").alias("tokens"), F.slice(F.col("t.token"), 1, (F.size("t") - least + 1).cast("int")).alias("head")))
 
 
-def _round_links(candidates: DataFrame, comps: DataFrame, final: bool) -> DataFrame:
-    """Links found in the buckets that still hold several components: each class's first such bucket, or in the end all."""
-    rows = saved(candidates.join(comps, "mark").select("mark", "comp", F.posexplode("head").alias("at", "token")))
+def _bucket_rows(candidates: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(token, mark, comp) rows of all buckets, and the buckets that hold several components, one of each set of members."""
+    rows = saved(candidates.select("mark", F.explode("head").alias("token")).join(comps, "mark"))
     stats = rows.groupBy("token").agg(F.count(F.lit(1)).alias("d"), F.expr("bit_xor(xxhash64(mark))").alias("members"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("mark").alias("p1"), F.max("mark").alias("p2"))
-    # Buckets of the same members are one bucket.
-    open_ = saved(stats.filter("c1 < c2").groupBy("members", "d", "p1", "p2").agg(F.min("token").alias("token")).withColumn("parts", F.ceil(F.col("d") / TREE_MEMBERS)).select("token", "parts", "p1", "p2"))
-    members = rows.join(open_, "token")
-    if not final:
-        chosen = saved(members.groupBy("mark").agg(F.min_by("token", "at").alias("token")).select("token").distinct())
-        members = members.join(chosen, "token", "left_semi")
+    return rows, saved(stats.filter("c1 < c2").groupBy("members", "d", "p1", "p2").agg(F.min("token").alias("token")).withColumn("parts", F.ceil(F.col("d") / TREE_MEMBERS)))
+
+
+def _first_links(members: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Links in the buckets of ``members`` (mark, comp, token, parts, p1, p2). A bucket in several parts is searched part by part, each
+    with two members that stand for the whole bucket."""
     part = F.pmod(F.xxhash64("mark"), "parts")
     every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-    if final:  # every pair of parts meets
-        where = F.when(F.col("parts") <= 2, F.array(F.lit("0"))).otherwise(F.transform(every, lambda k: F.concat_ws("-", F.least(k, part), F.greatest(k, part))))
-    else:  # each part, with two members that stand for the whole bucket
-        where = F.when(F.col("mark").isin(F.col("p1"), F.col("p2")), F.transform(every, lambda k: k.cast("string"))).otherwise(F.array(part.cast("string")))
+    where = F.when(F.col("mark").isin(F.col("p1"), F.col("p2")), every).otherwise(F.array(part))
     placed = members.select("mark", "comp", "token", F.explode(where).alias("part"))
     full = placed.join(candidates.select("mark", "n", "tokens"), "mark")
-    return saved(full.groupBy("token", "part").applyInPandas(lambda k, x: _bucket_links(x), "u long, v long"))
+    return saved(full.groupBy("token", "part").applyInPandas(lambda _, x: _bucket_links(x), "u long, v long"))
+
+
+def _other_links(members: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Links between components in the buckets of ``members``: trees of bitmaps alone leave few pairs, which are compared exactly. Every
+    two parts of a bucket in several parts meet."""
+    part = F.pmod(F.xxhash64("mark"), "parts")
+    every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    where = F.when(F.col("parts") <= 2, F.array(F.lit("0"))).otherwise(F.transform(every, lambda k: F.concat_ws("-", F.least(k, part), F.greatest(k, part))))
+    signed = candidates.mapInPandas(_signed, "mark long, n long, held long, bitmap binary")
+    full = members.select("mark", "comp", "token", F.explode(where).alias("part")).join(signed, "mark")
+    pairs = full.groupBy("token", "part").applyInPandas(lambda _, x: _bucket_pairs(x), "u long, v long").distinct()
+    sets = candidates.select("mark", "n", "tokens")
+    sides = pairs.join(sets.withColumnRenamed("mark", "u"), "u").join(sets.select(F.col("mark").alias("v"), F.col("n").alias("m"), F.col("tokens").alias("other")), "v")
+    return saved(sides.mapInPandas(_compared, "u long, v long"))
+
+
+def _all_links(candidates: DataFrame) -> DataFrame:
+    """(mark, component) of all linked classes.
+
+    First each class meets others in the largest of its buckets. A bucket that lies within one that is done, or in one component by then, is
+    done as well; the others follow.
+    """
+    comps = candidates.select("mark", F.col("mark").alias("comp"))
+    rows, open_ = _bucket_rows(candidates, comps)
+    members = rows.join(open_, "token")
+    chosen = saved(members.groupBy("mark").agg(F.max(F.struct("d", "token")).alias("c")).select("c.token").distinct())
+    links = _first_links(members.join(chosen, "token", "left_semi"), candidates)
+    linked = saved(components(links))
+    if links.isEmpty() and open_.filter("parts > 1").isEmpty() and chosen.count() == open_.count():
+        return linked
+    comps = candidates.select("mark").join(linked.select(F.col("node").alias("mark"), "component"), "mark", "left").select("mark", F.coalesce("component", "mark").alias("comp"))
+    done = rows.join(chosen, "token", "left_semi").join(open_.filter("parts = 1").select("token"), "token", "left_semi").select("mark", F.col("token").alias("whole"))
+    rows, open_ = _bucket_rows(candidates, comps)
+    within = rows.join(open_, "token").select("token", "mark", "d").join(done, "mark").groupBy("token", "whole").agg(F.count(F.lit(1)).alias("shared"), F.first("d").alias("d")).filter("shared = d").select("token").distinct()
+    left = saved(open_.join(within, "token", "left_anti"))
+    if left.isEmpty():
+        return linked
+    more = _other_links(rows.join(left, "token"), candidates)
+    if more.isEmpty():
+        return linked
+    return saved(components(more.unionByName(linked.select(F.col("node").alias("u"), F.col("component").alias("v")))))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -237,20 +335,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     meta = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_digests, "doc_id long, n_shingles long, mark long, check long"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     candidates = _candidates(docs, _survivors(docs, meta))
-    comps = candidates.select("mark", F.col("mark").alias("comp"))
-    links = None
-    for final in (False, True):
-        found = _round_links(candidates, comps, final)
-        links = found if links is None else links.unionByName(found)
-        linked = saved(components(links))
-        comps = candidates.select("mark").join(linked.select(F.col("node").alias("mark"), "component"), "mark", "left").select("mark", F.coalesce("component", "mark").alias("comp"))
+    linked = _all_links(candidates)
     classes = meta.filter("n_shingles > 0 and doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     named = classes.join(linked.select(F.col("node").alias("mark"), "component"), "mark", "left").filter("copies > 1 or component is not null")
     named = saved(named)
     least = named.filter("component is not null").groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size"))
     joined = attached(named.filter("component is not null"), saved(least), "component", "size", max(HEAVY_SHARE, named.count())).select("mark", "component_id", "copies")
     right = saved(joined.unionByName(named.filter("component is null").select("mark", F.col("least").alias("component_id"), "copies")))
-    return attached(meta, right, "mark", "copies", max(1, meta.count())).select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return attached(meta, right, "mark", "copies", max(1, meta.count())).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
