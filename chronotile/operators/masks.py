@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronotile.functions.lineage import cut
 from chronotile.operators.pixels import KEY, along, around, clip
 
 
@@ -74,8 +75,8 @@ def component_stats(labels: DataFrame) -> DataFrame:
 
 def hysteresis(scores: DataFrame) -> DataFrame:
     """Pixels of (pair_id, y, x, score, low, high) in components of score >= low that hold a seed of score >= high."""
-    low = scores.filter(F.col("score") >= F.least("low", "high")).select(*KEY, (F.col("score") >= F.col("high")).alias("seed"))
-    labels = components(low).join(low, list(KEY))
+    low = cut(scores.filter(F.col("score") >= F.least("low", "high")).select(*KEY, (F.col("score") >= F.col("high")).alias("seed")))
+    labels = cut(components(low).join(low, list(KEY)))
     seeded = labels.filter("seed").select("pair_id", "label").distinct()
     return labels.join(seeded, ["pair_id", "label"], "left_semi").select(*KEY)
 
@@ -109,7 +110,7 @@ def without_border(df: DataFrame, margin: int, column: str = "on") -> DataFrame:
 def filled(df: DataFrame, column: str = "on") -> DataFrame:
     """Holes set on: components of off pixels that do not touch the frame."""
     size = df.groupBy("pair_id").agg(F.max("y").alias("_y"), F.max("x").alias("_x"))
-    labels = components(df.filter(F.col(column) == 0))
+    labels = cut(components(df.filter(F.col(column) == 0)))
     outer = labels.join(size, "pair_id").filter((F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == F.col("_y")) | (F.col("x") == F.col("_x"))).select("pair_id", "label").distinct()
     holes = labels.join(outer, ["pair_id", "label"], "left_anti").select(*KEY, F.lit(1).alias("_hole"))
     return df.join(holes, list(KEY), "left").select(*KEY, F.coalesce("_hole", column).alias(column))
@@ -117,7 +118,7 @@ def filled(df: DataFrame, column: str = "on") -> DataFrame:
 
 def large_components(df: DataFrame, least: int, column: str = "on") -> DataFrame:
     """Only components of at least ``least`` pixels that are not small and drawn out."""
-    labels = components(df.filter(F.col(column) == 1))
+    labels = cut(components(df.filter(F.col(column) == 1)))
     s = component_stats(labels)
     long_, short = F.greatest("w", "h"), F.least("w", "h")
     round_ = F.pow(2.0 * (F.col("w") + F.col("h")), F.lit(2)) / (F.greatest(F.col("w") * F.col("h"), F.lit(1)) + 1e-8)
@@ -128,10 +129,9 @@ def large_components(df: DataFrame, least: int, column: str = "on") -> DataFrame
 
 def clean(df: DataFrame, border: int = 12, least: int = 120) -> DataFrame:
     """M8: border off, median, opening, closing, holes filled, thin bridges broken, small components dropped (square 3 x 3 elements)."""
-    m = median3(without_border(df, border) if border else df.select(*KEY, "on"))
-    m = dilate(erode(m))
-    m = erode(dilate(m))
-    m = dilate(erode(filled(m)))
+    m = median3(without_border(cut(df.select(*KEY, "on")), border) if border else df)
+    m = cut(erode(dilate(dilate(erode(m)))))
+    m = cut(dilate(erode(filled(m))))
     return large_components(m, least)
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronotile.functions.lineage import cut
 from chronotile.operators.pixels import KEY, around, blur, clip, gaussian, gray, hsv, lab, shrink, upscale
 
 TINY = 1e-8
@@ -123,7 +124,7 @@ def edge_change(df: DataFrame) -> DataFrame:
     c = coloured(df)
     found = []
     for k in ("1", "2"):
-        e = thin_edges(c.select(*KEY, F.col(f"gray{k}").alias("g")), "g")
+        e = cut(thin_edges(c.select(*KEY, F.col(f"gray{k}").alias("g")), "g"))
         kept = hysteresis(e.select(*KEY, F.col("strength").alias("score"), F.greatest("low", "high").alias("high"), F.least("low", "high").alias("low")).withColumn("score", F.when(F.col("score") > 0, F.col("score"))))
         found.append(dilate(e.select(*KEY).join(kept.withColumn("on", F.lit(1)), list(KEY), "left").na.fill(0, ["on"]), "on").withColumnRenamed("on", f"e{k}"))
     return found[0].join(found[1], list(KEY)).select(*KEY, F.abs(F.col("e1") - F.col("e2")).cast("double").alias("edge"))
@@ -178,14 +179,16 @@ CHANNELS = ["colour", "dssim", "texture", "edge", "cva"]
 
 def classical_score(df: DataFrame, registered: bool = True) -> DataFrame:
     """``score``, 0..1: five channels weighted by C12, times C3 and C4, over the 99.5 % quantile, to the power 0.85, blurred."""
+    df = cut(df)
     channels = colour_change(df)
     for more in (structural_change(df), texture_change(df), edge_change(df), change_vectors(df)):
         channels = channels.join(more, list(KEY))
-    scaled = over_maximum(channels, ["colour", "dssim", "texture"])
+    scaled = over_maximum(cut(channels), ["colour", "dssim", "texture"])
     if not registered:
         scaled = scaled.withColumns({"dssim": F.col("dssim") * 0.45, "edge": F.col("edge") * 0.45})
     fused = weighted_channels(scaled, signal_weights(scaled, CHANNELS), CHANNELS)
     fused = fused.join(vegetation_masks(df), list(KEY)).join(shadow_factors(df), list(KEY)).select(*KEY, (F.col("fused") * vegetation_factor(F.col("veg1"), F.col("veg2")) * F.col("shadow")).alias("score"))
+    fused = cut(fused)
     top = fused.groupBy("pair_id").agg(F.percentile("score", F.lit(0.995)).alias("q"), F.max("score").alias("m"))
     level = F.when(F.col("q") > TINY, F.col("q")).otherwise(F.col("m") + TINY) + TINY
     powered = fused.join(top, "pair_id").select(*KEY, F.pow(clip(F.col("score") / level, 0.0, 1.0), F.lit(0.85)).alias("score"))

@@ -30,7 +30,7 @@ def gray_pairs(embeddings: DataFrame) -> DataFrame:
 
 
 #: Region classes in scoring order.
-CLASSES = ("Water", "Vegetation", "New Construction/Building", "Demolition/Clearing", "Road/Pavement", "Temporary Structure", "Bare Land/Soil", "Unclassified")
+CLASSES = ("Water Body Change", "Vegetation Change", "New Construction/Building", "Demolition/Clearing", "Road/Pavement Change", "Temporary Structure", "Bare Land/Soil Change", "Unclassified")
 
 
 def regions(lineitem: DataFrame, part: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ REGIONS_SQL = """
 regions AS (
   SELECT l_orderkey AS run_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_shipdate) AS INT) AS region_id,
     CAST(trunc(l_extendedprice) AS BIGINT) AS area, CAST(l_partkey % 400 AS INT) AS x, CAST(l_suppkey % 400 AS INT) AS y, CAST(trunc(l_quantity + 10) AS INT) AS w, p_size AS h,
-    ['Water', 'Vegetation', 'New Construction/Building', 'Demolition/Clearing', 'Road/Pavement', 'Temporary Structure', 'Bare Land/Soil', 'Unclassified'][l_partkey % 8 + 1] AS object_type,
+    ['Water Body Change', 'Vegetation Change', 'New Construction/Building', 'Demolition/Clearing', 'Road/Pavement Change', 'Temporary Structure', 'Bare Land/Soil Change', 'Unclassified'][l_partkey % 8 + 1] AS object_type,
     round(l_discount * 10 + 0.0, 4) AS confidence,
     CASE WHEN l_returnflag = 'R' THEN 'false_positive' WHEN l_returnflag = 'N' THEN 'pending' WHEN l_linestatus = 'O' THEN 'submitted' ELSE 'confirmed' END AS review_status
   FROM lineitem JOIN part ON p_partkey = l_partkey)

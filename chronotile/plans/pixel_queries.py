@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chronotile.functions.lineage import cut
 from chronotile.operators import masks as M
 from chronotile.operators import pixels as P
 from chronotile.operators import signals as S
@@ -241,8 +242,8 @@ def _(t):
     return S.weighted_channels(both, S.signal_weights(both, ["cva", "exg"]), ["cva", "exg"]).select(*P.KEY, F.round("fused", 6).alias("fused"))
 
 
-OTSU = """h AS (SELECT pair_id, v, count(*) AS c FROM dv GROUP BY 1, 2), hc AS (SELECT pair_id, v, sum(c) OVER w AS n, sum(c * v) OVER w AS s, sum(c) OVER (PARTITION BY pair_id) AS an, sum(c * v) OVER (PARTITION BY pair_id) AS at FROM h WINDOW w AS (PARTITION BY pair_id ORDER BY v)),
-sp AS (SELECT pair_id, v, round(CASE WHEN n < an THEN pow((s * an - at * n)::DOUBLE, 2) / (n * (an - n))::DOUBLE ELSE 0 END, 3) AS spread FROM hc),
+OTSU = """h AS (SELECT pair_id, v, count(*) AS c FROM dv GROUP BY 1, 2), hc AS (SELECT pair_id, v, sum(c) OVER w AS n, sum(c * v) OVER w AS s, sum(c) OVER (PARTITION BY pair_id) AS an, sum(c * v) OVER (PARTITION BY pair_id) AS alls FROM h WINDOW w AS (PARTITION BY pair_id ORDER BY v)),
+sp AS (SELECT pair_id, v, round(CASE WHEN n < an THEN pow((s * an - alls * n)::DOUBLE, 2) / (n * (an - n))::DOUBLE ELSE 0 END, 3) AS spread FROM hc),
 ot AS (SELECT pair_id, CASE WHEN max(spread) > 0 THEN arg_min(v, (-spread, v)) ELSE 0 END AS otsu FROM sp GROUP BY 1)"""
 
 
@@ -260,6 +261,7 @@ def _(t):
     soft = P.blur(S.coloured(p).select(*P.KEY, *[F.col(f"lab{c[1]}")[c[0]].cast("double").alias(c) for c in planes]), planes, P.gaussian(5))
     d = lambda c, s: F.pow((F.col(f"{c}1") - F.col(f"{c}2")) / s, F.lit(2))
     delta = S.over_maximum(soft.select(*P.KEY, F.sqrt(d("l", 100.0) + d("a", 128.0) + d("b", 128.0)).alias("d")), ["d"]).select(*P.KEY, P.to_byte(F.col("d") * 255).alias("v"))
+    delta = cut(delta)
     mask = delta.join(M.robust_thresholds(delta, "v", 30), "pair_id").select(*P.KEY, F.when(F.col("v") > F.col("threshold"), 1).otherwise(0).alias("on"))
     return M.run_statistics(M.clean(mask, border=0, least=2))
 
