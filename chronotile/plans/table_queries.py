@@ -197,13 +197,13 @@ def _(t):
 _GEO = f"WITH {REGIONS_SQL}, s AS (SELECT *, run_id % 100 AS s_suppkey FROM regions), g AS (SELECT *, {_B} FROM s)"
 
 
-@query("g07_enriched_regions", f"""{_GEO} SELECT run_id, region_id, round(round(north - (y + h / 2.0) / 768 * (north - south), 6), 5) AS lat, round(round(west + (x + w / 2.0) / 1024 * (east - west), 6), 5) AS lng,
+@query("g07_enriched_regions", f"""{_GEO} SELECT run_id, region_id, round(north - (y + h / 2.0) / 768 * (north - south), 6) AS lat, round(west + (x + w / 2.0) / 1024 * (east - west), 6) AS lng,
   round(round(w * (abs(east - west) / 1024) * (111320.0::DOUBLE * cos(radians((north + south) / 2))) * (h * (abs(north - south) / 768) * 111320.0::DOUBLE), 1), 0) AS area_sq_m FROM g""")
 def _(t):
     """G6-G9."""
     r = _regions(t).withColumn("s_suppkey", F.col("run_id") % 100).withColumn("b", _bounds())
     place = X.lat_lng(F.col("x") + F.col("w") / 2.0, F.col("y") + F.col("h") / 2.0, F.lit(1024), F.lit(768), F.col("b"))
-    return r.select("run_id", "region_id", F.round(place["lat"], 5).alias("lat"), F.round(place["lng"], 5).alias("lng"), F.round(X.box_square_metres(F.col("w"), F.col("h"), F.lit(1024), F.lit(768), F.col("b")), 0).alias("area_sq_m"))
+    return r.select("run_id", "region_id", place["lat"].alias("lat"), place["lng"].alias("lng"), F.round(X.box_square_metres(F.col("w"), F.col("h"), F.lit(1024), F.lit(768), F.col("b")), 0).alias("area_sq_m"))
 
 
 @query("s02_world_file", "SELECT p_partkey, CAST(0.5 * p_size AS DOUBLE) AS a, CAST(100 - 0.25 * p_size AS DOUBLE) AS west, CAST(50 + 0.125 * p_size AS DOUBLE) AS north FROM part")

@@ -1,0 +1,132 @@
+"""Raster headers and pixels of PNG and uncompressed TIFF files, as DataFrames from ``binaryFile``."""
+
+from __future__ import annotations
+
+import struct
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronotile.functions.scalars import is_image
+
+_TIFF_TYPES = {1: "B", 3: "H", 4: "I", 12: "d", 2: "s"}
+
+
+def _tiff(data: bytes) -> dict:
+    order = "<" if data[:2] == b"II" else ">"
+    (at,) = struct.unpack_from(order + "I", data, 4)
+    (n,) = struct.unpack_from(order + "H", data, at)
+    tags = {}
+    for k in range(n):
+        tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
+        code = _TIFF_TYPES.get(kind)
+        if code is None or code == "s":
+            continue
+        size = struct.calcsize(order + f"{count}{code}")
+        place = at + 10 + 12 * k if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * k)[0]
+        tags[tag] = struct.unpack_from(order + f"{count}{code}", data, place)
+    return tags
+
+
+def header(data: bytes) -> tuple[str | None, int | None, int | None, int | None, list[float] | None]:
+    """Format, width, height, bands and, from GeoTIFF tags, the transform a, b, c, d, e, f; nulls for anything unreadable."""
+    try:
+        if data[:8] == b"\x89PNG\r\n\x1a\n":
+            w, h, _, colour = struct.unpack_from(">IIBB", data, 16)
+            return "PNG", w, h, {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour], None
+        if data[:4] in (b"II*\0", b"MM\0*"):
+            t = _tiff(data)
+            scale, tie = t.get(33550), t.get(33922)
+            place = [scale[0], 0.0, tie[3] - tie[0] * scale[0], 0.0, -scale[1], tie[4] + tie[1] * scale[1]] if scale and tie else None
+            return "TIFF", t[256][0], t[257][0], t.get(277, (1,))[0], place
+    except (struct.error, KeyError, IndexError):
+        pass
+    return None, None, None, None, None
+
+
+def pixels(data: bytes) -> np.ndarray:
+    """Bytes (h, w, 3) of an 8-bit PNG (no interlace) or uncompressed 8-bit TIFF in strips; one band is repeated, more than three are cut."""
+    kind, w, h, bands, _ = header(data)
+    if kind == "TIFF":
+        t = _tiff(data)
+        if t.get(259, (1,))[0] != 1 or t.get(258, (8,))[0] != 8:
+            raise ValueError("only uncompressed 8-bit TIFF")
+        raw = b"".join(data[a : a + n] for a, n in zip(t[273], t[279], strict=True))
+        out = np.frombuffer(raw, np.uint8, h * w * bands).reshape(h, w, bands)
+    elif kind == "PNG":
+        at, parts = 8, []
+        while at < len(data):
+            (n,) = struct.unpack_from(">I", data, at)
+            if data[at + 4 : at + 8] == b"IDAT":
+                parts.append(data[at + 8 : at + 8 + n])
+            at += 12 + n
+        lines = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(h, w * bands + 1)
+        rows, above = [], np.zeros(w * bands, np.int64)
+        for line in lines:
+            rows.append(above := _unfiltered(line[0], line[1:].astype(np.int64), above, bands))
+        out = np.array(rows, np.uint8).reshape(h, w, bands)
+    else:
+        raise ValueError("neither PNG nor TIFF")
+    return np.repeat(out[:, :, :1], 3, 2) if bands < 3 else out[:, :, :3]
+
+
+def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    if kind == 0:
+        return line
+    if kind == 2:
+        return (line + above) % 256
+    out = line.copy()
+    for k in range(len(out)):
+        a, b, c = (out[k - step] if k >= step else 0), above[k], (above[k - step] if k >= step else 0)
+        if kind == 4:
+            p = a + b - c
+            guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+        else:
+            guess = a if kind == 1 else (a + b) // 2
+        out[k] = (out[k] + guess) % 256
+    return out
+
+
+def files(spark: SparkSession, path: str, most_bytes: int | None = None) -> DataFrame:
+    """Image files below a folder; hidden and cache folders are left out, and empty or too large files."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    df = df.filter(is_image(F.col("path")) & ~F.col("path").rlike(r"/(\.[^/]*|cache|thumbs)/") & (F.col("length") > 0))
+    return df if most_bytes is None else df.filter(F.col("length") <= most_bytes)
+
+
+def inspected(images: DataFrame) -> DataFrame:
+    """Path, size and header of each file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = [header(x) for x in rows["content"]]
+            yield pd.DataFrame({"path": rows["path"], "size": rows["length"], **{n: pd.Series([f[k] for f in found], dtype="Int64" if n in ("width", "height", "bands") else object) for k, n in enumerate(("format", "width", "height", "bands", "transform"))}})
+
+    return images.select("path", "length", "content").mapInPandas(run, "path string, size long, format string, width int, height int, bands int, transform array<double>")
+
+
+def pixel_rows(images: DataFrame) -> DataFrame:
+    """A row (path, y, rgb) per image line, so that no row holds a whole picture. Files that cannot be read give none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for path, data in zip(rows["path"], rows["content"], strict=True):
+                try:
+                    image = pixels(data)
+                except (ValueError, zlib.error, struct.error, KeyError):
+                    continue
+                yield pd.DataFrame({"path": path, "y": np.arange(len(image), dtype=np.int32), "rgb": [x.tobytes() for x in image]})
+
+    return images.select("path", "content").mapInPandas(run, "path string, y int, rgb binary")
+
+
+def stretched(lines: DataFrame, column: str = "v") -> DataFrame:
+    """S3: values of each band spread over 0..255 between their 2 % and 98 % quantiles, exactly computed."""
+    cut = lines.groupBy("path", "band").agg(F.percentile(column, F.array(F.lit(0.02), F.lit(0.98))).alias("q"))
+    low, high = F.col("q")[0], F.col("q")[1]
+    scaled = F.when(high > low, F.greatest(F.lit(0.0), F.least(F.lit(255.0), (F.col(column) - low) / (high - low) * 255))).otherwise(0.0)
+    return lines.join(cut, ["path", "band"]).withColumn(column, scaled).drop("q")
