@@ -153,3 +153,15 @@ def tight_box(pixels_on: DataFrame) -> DataFrame:
     return s
 
 
+
+
+def shadows(gray: DataFrame, boxes: DataFrame, grow: float = 0.6) -> DataFrame:
+    """New shadow around each box (pair_id, region_id, x, y, w, h): pixels of the box grown on all sides, without the box itself, that darkened by
+    more than 25 and 1.5 deviations; their number and extents."""
+    dx, dy = F.floor(F.col("w") * grow / 2).cast("int"), F.floor(F.col("h") * grow / 2).cast("int")
+    near = gray.join(boxes.withColumnsRenamed({"x": "bx", "y": "by"}), "pair_id").filter((F.col("x") >= F.col("bx") - dx) & (F.col("x") < F.col("bx") + F.col("w") + dx) & (F.col("y") >= F.col("by") - dy) & (F.col("y") < F.col("by") + F.col("h") + dy))
+    dark = near.select("pair_id", "region_id", "x", "y", "bx", "by", "w", "h", (F.col("g1") - F.col("g2")).alias("d"))
+    level = dark.groupBy("pair_id", "region_id").agg(F.greatest(F.lit(25.0), 1.5 * F.stddev_pop("d")).alias("level"))
+    outside = ~(F.col("x").between(F.col("bx"), F.col("bx") + F.col("w") - 1) & F.col("y").between(F.col("by"), F.col("by") + F.col("h") - 1))
+    found = dark.join(level, ["pair_id", "region_id"]).filter(outside & (F.col("d") > F.col("level")))
+    return found.groupBy("pair_id", "region_id").agg(F.count(F.lit(1)).alias("shadow_px"), (F.max("x") - F.min("x")).alias("spread_x"), (F.max("y") - F.min("y")).alias("spread_y"))

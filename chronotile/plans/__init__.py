@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronotile.plans import pixel_queries, table_queries, tile_queries  # noqa: F401
+from chronotile.plans import method_queries, pixel_queries, table_queries, tile_queries  # noqa: F401
 from chronotile.plans.registry import QUERIES, SQL
 
 
