@@ -37,7 +37,7 @@ def test_toxicity_of_held_out_documents(spark):
 
 def test_toxicity_edges(spark, make_docs):
     words = [f"plain{k}" for k in range(30)]
-    rows = [(k, " ".join(words[(k * j) % 30] for j in range(1, 20)) + (" Zorgle, you" if k % 3 == 0 else "")) for k in range(300)]
+    rows = [(k, " ".join(words[(k * j) % 30] for j in range(1, 20)) + (" Zorgle, you" if k % 3 == 0 else " hello, you")) for k in range(300)]
     docs = make_docs(*rows, (1000, None), (1001, ""), (1001, ""), (None, "a zorgle"), (1002, "é! " * 30000 + "ZORGLE"))
     labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(300)] + [(5, 1, 7), (None, 1, 1), (6, 1, None)], "doc_id long, quality int, toxic int")
     out = toxicity.score_documents(docs, labels).collect()
