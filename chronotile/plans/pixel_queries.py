@@ -76,10 +76,10 @@ def _(t):
 @query(
     "p03_sharpness",
     f"""WITH {COLOUR}, lap AS (SELECT a.pair_id, a.y, a.x, sum(k.w * b.gray1) AS v FROM col a, (VALUES (-1, 0, 1), (1, 0, 1), (0, -1, 1), (0, 1, 1), (0, 0, -4)) k(dy, dx, w), col b
-    WHERE b.pair_id = a.pair_id AND b.y = {_mirror('(a.y + k.dy)', 8)} AND b.x = {_mirror('(a.x + k.dx)', 8)} GROUP BY 1, 2, 3) SELECT pair_id, round(var_pop(v), 4) AS sharpness FROM lap GROUP BY 1""",
+    WHERE b.pair_id = a.pair_id AND b.y = {_mirror('(a.y + k.dy)', 8)} AND b.x = {_mirror('(a.x + k.dx)', 8)} GROUP BY 1, 2, 3) SELECT pair_id, round(sqrt(var_pop(v)), 4) AS sharpness FROM lap GROUP BY 1""",
 )
 def _(t):
-    return P.sharpness(S.coloured(pixels(t("embeddings"))), "gray1").select("pair_id", F.round("sharpness", 4).alias("sharpness"))
+    return P.sharpness(S.coloured(pixels(t("embeddings"))), "gray1").select("pair_id", F.round(F.sqrt("sharpness"), 4).alias("sharpness"))
 
 
 @query("p04_resize_area", f"WITH {COLOUR} SELECT pair_id, y // 2 AS y, x // 2 AS x, round(avg(gray1), 6) AS v FROM col GROUP BY ALL")
