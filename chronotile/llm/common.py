@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key is heavy when it holds at least one row in HEAVY_SHARE of all rows, so there are at most HEAVY_SHARE heavy keys.
-HEAVY_SHARE = 1000
+#: Keys that ``attach`` treats as heavy: so many with the most rows. No other key can hold more than one row in so many.
+HEAVY_KEYS = 1000
 #: Most ids that a checked broadcast may hold (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 #: White space as the word contracts define it.
@@ -32,17 +32,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def attach(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+def attach(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
     """Left join of ``left`` with one ``right`` row per key, safe for keys that hold a large share of ``left``.
 
-    ``right[weight]`` is the number of ``left`` rows of the key and ``total`` the number of all ``left`` rows. Keys with
-    at least ``total / HEAVY_SHARE`` rows number at most HEAVY_SHARE, so they are broadcast; no other key can fill a task.
-    Both inputs are read twice: pass materialised ones. Keys must not be null.
+    ``right[weight]`` is the number of ``left`` rows of the key. The HEAVY_KEYS keys with the most rows are broadcast, a fixed number
+    at every size; each other key holds less than one row in HEAVY_KEYS, so it cannot fill a task. Both inputs are read
+    more than once: pass materialised ones. Keys must not be null.
     """
-    is_heavy = F.col(weight) * HEAVY_SHARE >= F.lit(total)
-    heavy, light = right.filter(is_heavy).drop(weight), right.filter(~is_heavy).drop(weight)
+    heavy = saved(right.orderBy(F.col(weight).desc(), key).limit(HEAVY_KEYS)).drop(weight)
+    keys = F.broadcast(heavy.select(key))
     hot = left.join(F.broadcast(heavy), key)
-    rest = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, "left")
+    rest = left.join(keys, key, "left_anti").join(right.drop(weight).join(keys, key, "left_anti"), key, "left")
     return hot.unionByName(rest.select(hot.columns))
 
 

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from chronotile.llm.common import attach, saved
 
 
-def _with_least(edges: DataFrame, total: int) -> DataFrame:
-    """(u, v) rows with m, the least of u and all its v. A u with very many of the ``total`` edges is safe: see ``attach``."""
+def _with_least(edges: DataFrame) -> DataFrame:
+    """(u, v) rows with m, the least of u and all its v. A u with very many edges is safe: see ``attach``."""
     least = saved(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("degree")))
-    return attach(edges, least, "u", "degree", total)
+    return attach(edges, least, "u", "degree")
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -27,8 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = saved(_with_least(both, 2 * state[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        small = _with_least(large, 2 * state[0])
+        large = saved(_with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small = _with_least(large)
         now = saved(small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u > v").distinct())
         before, state = state, _state(now)
         if state == before:

@@ -54,7 +54,7 @@ def exact_groups(docs: DataFrame, fingerprint=F.xxhash64) -> DataFrame:
         .filter("group_size > 1")
         .withColumn("_n", F.col("group_size"))
     )
-    return attach(recipes, groups, "recipe", "_n", recipes.count()).select(
+    return attach(recipes, groups, "recipe", "_n").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).alias("group_size"),

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronotile.llm.common import HEAVY_SHARE, join_ids, saved, shuffle_partitions
+from chronotile.llm.common import join_ids, saved, shuffle_partitions
 from chronotile.llm.common import attach as attached
 from chronotile.llm.components import components
 from chronotile.llm.shingles import mixed, shingle_sets
@@ -260,7 +260,7 @@ def _candidates(docs: DataFrame, survivors: DataFrame) -> DataFrame:
     sets = saved(sets.join(survivors, ["doc_id", "mark"], "left_semi").dropDuplicates(["mark"]).select("mark", "n", "tokens"))
     held = sets.select("mark", "n", F.explode("tokens").alias("token"))
     counts = saved(held.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").withColumn("weight", F.col("df")))
-    rows = attached(held, counts, "token", "weight", max(HEAVY_SHARE, held.count())).filter("df is not null")
+    rows = attached(held, counts, "token", "weight").filter("df is not null")
     least = F.floor((PERCENT * F.col("n") + 99) / 100)
     listed = rows.groupBy("mark", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t")).filter(F.size("t") >= least)
     return saved(listed.select("mark", "n", F.col("t.token").alias("tokens"), F.slice(F.col("t.token"), 1, (F.size("t") - least + 1).cast("int")).alias("head")))
@@ -340,9 +340,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     named = classes.join(linked.select(F.col("node").alias("mark"), "component"), "mark", "left").filter("copies > 1 or component is not null")
     named = saved(named)
     least = named.filter("component is not null").groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size"))
-    joined = attached(named.filter("component is not null"), saved(least), "component", "size", max(HEAVY_SHARE, named.count())).select("mark", "component_id", "copies")
+    joined = attached(named.filter("component is not null"), saved(least), "component", "size").select("mark", "component_id", "copies")
     right = saved(joined.unionByName(named.filter("component is null").select("mark", F.col("least").alias("component_id"), "copies")))
-    return attached(meta, right, "mark", "copies", max(1, meta.count())).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return attached(meta, right, "mark", "copies").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

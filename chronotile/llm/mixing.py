@@ -95,7 +95,7 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     sizes = saved(docs.select("doc_id", "source", size.alias("size")).withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))))
     total = sizes.count()
-    joined = attach(sizes.drop("source"), saved(source_targets(sizes)), "key", "n_docs", total)
+    joined = attach(sizes.drop("source"), saved(source_targets(sizes)), "key", "n_docs")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.when(_whole(rate), F.round(rate)).otherwise(F.floor(rate))
     noise = lambda level: F.xxhash64(F.lit(seed), F.lit(level), "item.doc_id", "item.size").bitwiseAND(2**53 - 1) / float(2**53)
