@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronotile.llm.common import attach, saved
+from chronotile.llm.common import attach, saved, shuffle_partitions
 
+#: Links that one partition of a table between the steps may hold; small tables would else be spread over very many small files.
+LINKS_PER_PARTITION = 50_000
 
-def _with_least(edges: DataFrame) -> DataFrame:
+
+def _kept(edges: DataFrame, links: int) -> DataFrame:
+    """The edges, materialised in partitions for about so many links."""
+    return saved(edges.coalesce(max(1, min(shuffle_partitions(edges.sparkSession), -(-links // LINKS_PER_PARTITION)))))
+
+
+def _with_least(edges: DataFrame, links: int) -> DataFrame:
     """(u, v) rows with m, the least of u and all its v. A u with very many edges is safe: see ``attach``."""
-    least = saved(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("degree")))
+    least = _kept(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("degree")), links)
     return attach(edges, least, "u", "degree")
 
 
@@ -23,13 +31,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Links may repeat, run either way, or join a node to itself. Rounds grow with the logarithm of the longest chain.
     """
-    now = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct())
+    now = _kept(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), edges.count())
     state = _state(now)
     while state[0]:
+        links = 2 * state[0]
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = saved(_with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        small = _with_least(large)
-        now = saved(small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u > v").distinct())
+        large = _kept(_with_least(both, links).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), links)
+        small = _with_least(large, links)
+        now = _kept(small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u > v").distinct(), links)
         before, state = state, _state(now)
         if state == before:
             break
