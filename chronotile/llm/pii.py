@@ -1,17 +1,17 @@
 """Personal data: patterns for e-mail, IP, card and phone, and terms that reveal them (DataFrame operations only).
 
-Patterns give the base spans. Then the words beside each found value are weighed by information theory: with the probabilities
+Patterns give the base spans. Then the words of whole documents are weighed by information theory: with the probabilities
 estimated from document counts over the whole corpus, a word discloses a value when their pointwise mutual information reaches
-DISCLOSED of the value's own information content, that is, when most documents that have the word have the value beside it.
-Such words are spans too and are generalised when a text is sanitised.
+DISCLOSED of the value's own information content, that is, when most documents that have the word have the value too.
+All occurrences of such words, in every document, are spans too and are generalised when a text is sanitised.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotile.llm.common import attach, let, saved
+from chronotile.llm.common import attach, join_ids, let, saved
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive forms of the contract's patterns, with the same matches: no back-tracking and no recursion on long runs.
@@ -21,9 +21,11 @@ PATTERNS = {
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Characters beside a value that its context takes in; shortest word; documents that must show a pair; share of the information.
-CONTEXT, SHORTEST, SUPPORT, DISCLOSED = 60, 4, 3, 0.9
-WORDS = rf"(?<=[^\p{{L}}])\p{{L}}{{{SHORTEST},}}+(?=[^\p{{L}}])"
+#: Documents that must show a pair; share of the information.
+SUPPORT, DISCLOSED = 3, 0.9
+WORDS = r"\p{L}++"
+#: Most disclosing terms that a checked broadcast may hold; beyond it they are joined by ``attach``.
+BROADCAST_TERMS = 200_000
 
 
 def _digits(value: Column) -> Column:
@@ -76,47 +78,77 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[F.when(hint[k], of(k)).otherwise(none) for k in KINDS])
 
 
-def _beside(text: Column, span: Column) -> Column:
-    """Whole words within CONTEXT characters on either side of a span: array<struct<start, end, value>>."""
-    first = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    left = F.concat(F.when(first == 0, F.lit(" ")).otherwise(F.lit("")), F.substring(text, first + 1, span["start"] - first), F.lit(" "))
-    right = F.concat(F.lit(" "), F.substring(text, span["end"] + 1, F.lit(CONTEXT)), F.when(span["end"] + CONTEXT >= F.length(text), F.lit(" ")).otherwise(F.lit("")))
-    moved = lambda words, by: F.transform(words, lambda w: F.struct((w["start"] + by).alias("start"), (w["end"] + by).alias("end"), F.lower(w["value"]).alias("value")))
-    always = lambda _: F.lit(True)
-    return F.concat(moved(_placed(left, WORDS, always), first - F.when(first == 0, 1).otherwise(0)), moved(_placed(right, WORDS, always), span["end"] - 1))
-
-
-def _disclosing(docs: DataFrame, near: DataFrame, total: int) -> DataFrame:
-    """(pair, weight) of the word-value pairs whose word discloses the value; weight counts their rows in ``near``."""
-    held = near.select("_row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
-    both = near.groupBy("pair", "entity", "term").agg(F.count_distinct("_row").alias("both"), F.count(F.lit(1)).alias("weight")).filter(F.col("both") >= SUPPORT)
-    both = saved(both.withColumn("_n", F.lit(1)))
-    terms = saved(both.select("term").distinct())
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{{SHORTEST},}}+"), F.lit(0)))).alias("term"))
-    of_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("df_term")).join(terms, "term", "left_semi")
-    known = both.join(of_term, "term").join(held, "entity")
+def _words_only(text: Column) -> Column:
+    """The text with blanks in place of e-mail addresses, whose letters are no words; offsets stay. No other kind has letters."""
+    pieces = F.arrays_zip(F.split(text, PATTERNS["email"], -1).alias("gap"), F.regexp_extract_all(text, F.lit(PATTERNS["email"]), F.lit(0)).alias("value"))
+    blank = F.array_join(F.transform(pieces, lambda x: F.concat(x["gap"], F.repeat(F.lit(" "), F.coalesce(F.length(x["value"]), F.lit(0))))), "")
+    return F.when(F.contains(text, F.lit("@")), blank).otherwise(text)
+
+
+def _words(text: Column) -> Column:
+    """The distinct words of a whole text, in lower case."""
+    found = F.array_distinct(F.regexp_extract_all(_words_only(text), F.lit(WORDS), F.lit(0)))
+    return F.array_distinct(F.transform(found, F.lower))
+
+
+def _disclosing(found: DataFrame, total: int) -> DataFrame:
+    """(term, df_term) of the words that disclose a value, from the documents of ``found`` (_row, text, base) that have both.
+
+    Before terms meet values, those are left out that cannot reach the limit: pairs seen together in fewer than SUPPORT documents,
+    and, as a pair is seen together at most df_entity times, terms with df_term above total ** (1 - DISCLOSED) * df_entity ** DISCLOSED.
+    """
+    some = found.filter(F.size("base") > 0)
+    entity = lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))
+    held = saved(some.select("_row", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity")))
+    entities = saved(held.groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity")).filter((F.col("df_entity") >= SUPPORT) & (F.col("df_entity") < total)).withColumn("_n", F.col("df_entity")))
+    carried = saved(attach(held, entities, "entity", "_n").filter(F.col("df_entity").isNotNull()))
+    most = lambda df: F.lit(float(max(total, 1)) ** (1 - DISCLOSED) * (1 + 1e-9)) * F.pow(df, F.lit(DISCLOSED))
+    top = carried.agg(F.max("df_entity")).first()[0] or 0
+    words = saved(some.select("_row", F.explode(_words(F.col("text"))).alias("term")))
+    here = words.groupBy("term").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= SUPPORT)
+    everywhere = found.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
+    terms = saved(everywhere.filter(F.col("df_term").between(F.lit(SUPPORT), most(F.lit(float(top))))).join(here, "term"))
+    both = attach(words, terms, "term", "_n").filter(F.col("df_term").isNotNull()).join(carried, "_row").filter(F.col("df_term") <= most(F.col("df_entity")))
+    known = both.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("both"), F.first("df_term").alias("df_term"), F.first("df_entity").alias("df_entity")).filter(F.col("both") >= SUPPORT)
     information = F.log2(F.lit(float(max(total, 1))) / F.col("df_entity"))
     mutual = F.log2(F.lit(float(max(total, 1))) * F.col("both") / (F.col("df_term") * F.col("df_entity")))
-    return saved(known.filter((information > 0) & (mutual >= DISCLOSED * information)).select("pair", "weight", F.lit(True).alias("discloses")))
+    return saved(known.filter(mutual >= DISCLOSED * information).groupBy("term").agg(F.max("df_term").alias("df_term")))
+
+
+def _marked(found: DataFrame, terms: DataFrame) -> DataFrame:
+    """(_row, terms): every occurrence of a disclosing term in every whole text."""
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    words = found.select("_row", F.explode(_words(F.col("text"))).alias("term"))
+    if few:
+        hits = saved(words.join(F.broadcast(terms.select("term")), "term", "left_semi"))
+    else:
+        hits = saved(attach(saved(words), terms.select("term", "df_term", F.lit(True).alias("discloses")), "term", "df_term").filter("discloses").select("_row", "term"))
+    rows = saved(hits.select("_row").distinct())
+    text = _words_only(F.col("text"))
+    pieces = F.arrays_zip(F.transform(F.split(text, WORDS, -1), F.length).alias("gap"), F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)).alias("value"))
+    placed = join_ids(found.select("_row", "text"), rows, "_row", "left_semi").select("_row", F.posexplode(pieces).alias("at", "w")).filter(F.col("w.value").isNotNull())
+    so_far = Window.partitionBy("_row").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = placed.select("_row", F.lower("w.value").alias("term"), F.length("w.value").alias("size"), F.sum(F.col("w.gap") + F.length("w.value")).over(so_far).cast("int").alias("end"))
+    spans = ends.join(hits, ["_row", "term"], "left_semi")
+    return spans.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), (F.col("end") - F.col("size")).alias("start"), "end", F.col("term").alias("value")))).alias("terms"))
+
+
+def _found(docs: DataFrame, *kept: Column) -> DataFrame:
+    """``kept`` columns, base and terms of each row of ``docs``."""
+    text = F.coalesce("text", F.lit(""))
+    found = saved(docs.select(*kept, F.monotonically_increasing_id().alias("_row"), text.alias("text"), base_spans(text).alias("base")))
+    terms = _marked(found, _disclosing(found, found.count()))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
+    return found.drop("text").join(terms, "_row", "left").withColumn("terms", F.coalesce("terms", none)).drop("_row")
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, base and terms, arrays of struct<kind, start, end, value>.
 
-    A null text is empty. Terms are words beside a base span that disclose it, so documents without a base span
-    have none. Repeated rows count as documents of their own; extra columns are ignored.
+    A null text is empty. Terms are all occurrences, in every document, of words that disclose a value that the corpus holds.
+    Repeated rows count as documents of their own; extra columns are ignored.
     """
-    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    spans = plain.select("doc_id", F.monotonically_increasing_id().alias("_row"), "text", base_spans(F.col("text")).alias("base"))
-    beside = F.flatten(F.transform("base", lambda s: F.transform(_beside(F.col("text"), s), lambda w: F.struct(F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), w["value"].alias("term"), w["start"].alias("start"), w["end"].alias("end")))))
-    found = saved(spans.select("doc_id", "_row", "base", F.when(F.size("base") > 0, beside).alias("beside")))
-    total = found.count()
-    near = saved(found.select("_row", F.explode("beside").alias("w")).select("_row", "w.*").withColumn("pair", F.concat_ws("\u0001", "term", "entity")))
-    pairs = _disclosing(plain, near, total)
-    hits = attach(near, pairs, "pair", "weight").filter("discloses")
-    terms = hits.groupBy("_row").agg(F.sort_array(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value")))).alias("terms"))
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
-    return found.join(terms, "_row", "left").select("doc_id", "base", F.coalesce("terms", none).alias("terms"))
+    return _found(docs, F.col("doc_id"))
 
 
 def span_text(spans: Column) -> Column:
@@ -135,12 +167,13 @@ def span_digests(docs: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` with base spans replaced by [KIND] and disclosing terms generalised to [TERM]; doc_id must be unique here.
+    """``docs`` with base spans replaced by [KIND] and disclosing terms generalised to [TERM].
 
     Of spans that overlap, the one that starts first, or else the base span, is replaced.
     """
-    spans = find_spans(docs).select("doc_id", F.sort_array(F.transform(F.concat("base", "terms"), lambda s: F.struct(s["start"].alias("start"), (s["kind"] == "term").alias("late"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("_spans"))
-    text = F.coalesce("text", F.lit(""))
+    order = F.sort_array(F.transform(F.concat("base", "terms"), lambda s: F.struct(s["start"].alias("start"), (s["kind"] == "term").alias("late"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    rows = _found(docs, F.struct(*docs.columns).alias("doc")).select("doc", order.alias("_spans"))
+    text = F.coalesce("doc.text", F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -148,4 +181,5 @@ def sanitise(docs: DataFrame) -> DataFrame:
         return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), more.alias("out"))).otherwise(acc)
 
     clean = let(F.aggregate("_spans", start, step), lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return docs.join(spans.filter(F.size("_spans") > 0), "doc_id", "left").withColumn("text", F.when(F.col("_spans").isNotNull(), clean).otherwise(F.col("text"))).select(docs.columns)
+    clean = F.when(F.size("_spans") > 0, clean).otherwise(F.col("doc.text"))
+    return rows.select(*[(clean if c == "text" else F.col("doc")[c]).alias(c) for c in docs.columns])

@@ -75,3 +75,19 @@ def test_digests(spark):
 
 def test_empty(make_docs):
     assert pii.span_digests(make_docs().limit(0)).count() == 0
+
+
+def test_terms_of_whole_documents(make_docs):
+    filler = [(100 + k, f"common words of a harbour number{k}") for k in range(60)]
+    far = "common words " * 40
+    rows = [(k, f"Bo Zebulonia {far} mail zeb@x.org and common Zebulonia é Bo") for k in range(4)]
+    docs = make_docs(*rows, *filler, (None, "Ask zebulonia or Bo, 🙂 zebulonia"), (None, "common words"))
+    for r in pii.find_spans(docs).collect():
+        text = dict(rows).get(r.doc_id, "")
+        if text:
+            want = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]+", text) if m[0].lower() in ("bo", "zebulonia")]
+            assert [(t.start, t.end, t.value) for t in r.terms if t.value in ("bo", "zebulonia")] == want
+            assert not {t.value for t in r.terms} & {"common", "words", "zeb", "org"}
+    clean = [r.text for r in pii.sanitise(docs).collect()]
+    assert len(clean) == 66 and "Ask [TERM] or [TERM], 🙂 [TERM]" in clean
+    assert all("Bo" not in x and "ebulonia" not in x for x in clean)
