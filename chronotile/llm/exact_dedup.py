@@ -30,10 +30,16 @@ def exact_groups(docs: DataFrame, fingerprint=F.xxhash64) -> DataFrame:
     Of rows repeated with the same doc_id and text exactly one stays; a null doc_id ranks below every other, and a group
     of null doc_ids only has a null keep_id. Other columns are ignored; an empty table gives an empty result.
     """
-    base = docs.select("doc_id", "text")
+    return _grouped(docs, fingerprint)
+
+
+def _grouped(docs: DataFrame, fingerprint=F.xxhash64, *carried: str) -> DataFrame:
+    """``exact_groups`` with the columns ``carried`` of each row as they are."""
+    base = docs.select("doc_id", "text", *carried)
     recipes = saved(
         base.select(
             "doc_id",
+            *carried,
             F.transform(_chunks(F.col("text")), lambda c: fingerprint(c)).alias("recipe"),
             F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256).alias("text_sha256"),
             F.monotonically_increasing_id().alias("_row"),
@@ -60,6 +66,7 @@ def exact_groups(docs: DataFrame, fingerprint=F.xxhash64) -> DataFrame:
         F.coalesce("group_size", F.lit(1)).alias("group_size"),
         F.coalesce(F.col("_code") == F.col("_best"), F.lit(True)).alias("kept"),
         "text_sha256",
+        *carried,
     )
 
 
@@ -78,11 +85,12 @@ def _spelled_out(base: DataFrame, recipes: DataFrame, shared: DataFrame, fingerp
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``exact_groups`` drops; doc_id must be unique here."""
+    """``docs`` without the rows that ``exact_groups`` drops; rows are told apart by a number of their own, so doc_id may repeat or be null."""
     from chronotile.llm.common import join_ids
 
-    dropped = saved(exact_groups(docs).filter(~F.col("kept")).select("doc_id"))
-    return join_ids(docs, dropped, "doc_id", "left_anti")
+    rows = saved(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("at")))
+    dropped = saved(_grouped(rows.select("doc.doc_id", "doc.text", "at"), F.xxhash64, "at").filter(~F.col("kept")).select("at"))
+    return join_ids(rows, dropped, "at", "left_anti").select("doc.*")
 
 
 #: DuckDB: the contract of op9.

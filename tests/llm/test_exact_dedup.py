@@ -48,3 +48,9 @@ def test_drop_copies_keeps_columns(make_docs):
     kept = exact_dedup.drop_copies(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in brute(ROWS) if r[3])
+
+
+def test_drop_copies_of_repeated_rows_and_null_ids(make_docs):
+    docs = make_docs((5, "x"), (5, "X"), (3, "x"), (7, "y"), (7, "y"), (7, "z"), (None, "x"), (None, "n"), (None, "n"), (None, "y"))
+    kept = exact_dedup.drop_copies(docs).collect()
+    assert sorted((str(r.doc_id), r.text.lower()) for r in kept) == [("5", "x"), ("7", "y"), ("7", "z"), ("None", "n")]
