@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,10 +35,17 @@ IMPLIED = {
     "tfoot": ({"thead", "tbody", "tfoot"}, {"table"}),
     "body": ({"head"}, set()),
 }
-#: Elements open at a time; deeper ones become siblings, as in browsers.
-DEPTH = 300
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-UNSEEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s/=][^\s/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|(\S+)))?""")
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+
+
+def _hidden(attributes: str) -> bool:
+    """Whether a tag has the attribute hidden, or a style that hides; values of other attributes do not count."""
+    for name, *values in ATTRIBUTE.findall(attributes):
+        if name.lower() == "hidden" or name.lower() == "style" and UNSEEN.search(html.unescape("".join(values))):
+            return True
+    return False
 
 
 def parse(page: str) -> list:
@@ -72,7 +80,7 @@ def parse(page: str) -> list:
             close({"p"}, {"table", "td", "th", "li", "div", "body"})
         if tag in IMPLIED:
             close(*IMPLIED[tag])
-        node = [tag, tag not in HIDDEN and not (attributes and UNSEEN.search(attributes)), []]
+        node = [tag, tag not in HIDDEN and not (attributes and _hidden(attributes)), []]
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             if tag == "textarea" and node[1]:
@@ -82,8 +90,10 @@ def parse(page: str) -> list:
             continue
         else:
             stack[-1][2].append(node)
-            if tag not in VOID and not attributes.endswith("/") and len(stack) < DEPTH:
+            if tag not in VOID and not attributes.endswith("/"):
                 stack.append(node)
+                if 4 * len(stack) + 1000 > sys.getrecursionlimit():
+                    sys.setrecursionlimit(8 * len(stack) + 1000)  # the renderer recurses, three calls at most for an element
     return root
 
 
@@ -130,6 +140,7 @@ def _table(node: list) -> list[str]:
             if x.strip():
                 before.append(" ".join(x.split()))
         elif x[1] and x[0] == "tr":
+            before += [" ".join(c.split()) for c in x[2] if isinstance(c, str) and c.strip()]
             rows.append([" ".join(y for y in render_lines(c) if y) for c in x[2] if not isinstance(c, str) and c[1]])
         elif x[1] and x[0] in ("thead", "tbody", "tfoot"):
             todo += reversed(x[2])

@@ -34,3 +34,11 @@ def test_table_of_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     rows = html_text.extract_text(pages).collect()
     assert len(rows) == pages.count() and all("<" not in r.text and "track(" not in r.text for r in rows)
+
+
+def test_visible_text_is_not_lost():
+    assert visible_text('<p title="the hidden cost">text</p><div class="menu hidden wide">more</div>') == "text\n\nmore"
+    assert visible_text("<p class=a hidden>b</p><p style=\"color: red; display : none\">c</p><p style='backface-visibility: hidden'>d</p>") == "d"
+    assert visible_text("<table><tr>Total<td>5</td></tr></table>") == "Total\n5"
+    deep = "<div>" * 2000
+    assert visible_text(deep + "<table><tr><td>a<td>b</table><p hidden>no</p>c") == "a  b\n\nc"
