@@ -18,7 +18,7 @@ WEIGHTS = (5, 2, 1)
 BUDGET, CAP = 1.5, 2
 BLOCK = 128
 _NEAR = 1e-9
-_FIELDS = ("order", "doc_id", "size", "base", "p", "u", "source_size", "target")
+_FIELDS = ("order", "doc_id", "size", "base", "p", "u", "source_size", "target", "row")
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -92,8 +92,13 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     numbers are hashes of seed, level and doc_id, so reruns agree. A null text has no words, a null source is a source of its own, an empty document
     takes nothing, rows with a repeated or null doc_id are rounded as documents of their own.
     """
+    return _mixed(docs.select("doc_id", "text", "source", F.lit(0).cast("long").alias("row")), seed).drop("row")
+
+
+def _mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """``mix`` of rows (doc_id, text, source, row) with ``row`` as it is."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    sizes = saved(docs.select("doc_id", "source", size.alias("size")).withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))))
+    sizes = saved(docs.select("doc_id", "row", "source", size.alias("size")).withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))))
     total = sizes.count()
     joined = attach(sizes.drop("source"), saved(source_targets(sizes)), "key", "n_docs")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -102,7 +107,7 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     blocks = max(1, -(-total // BLOCK))
     prepared = joined.withColumn("base", whole.cast("long")).withColumn("p", F.when(_whole(rate) | (F.col("size") == 0), F.lit(0.0)).otherwise(rate - whole))
     items = saved(
-        prepared.select("key", "source", F.pmod(F.xxhash64(F.lit(seed), "key", "doc_id", "size"), F.lit(blocks)).alias("block"), F.struct((-F.col("size")).alias("order"), "doc_id", "size", "base", "p", F.lit(0.0).alias("u"), "source_size", "target").alias("item"))
+        prepared.select("key", "source", F.pmod(F.xxhash64(F.lit(seed), "key", "doc_id", "size"), F.lit(blocks)).alias("block"), F.struct((-F.col("size")).alias("order"), "doc_id", "size", "base", "p", F.lit(0.0).alias("u"), "source_size", "target", "row").alias("item"))
     )
     decided = [items.filter("item.p = 0").select("key", "item")]
     open_ = items.filter("item.p > 0").select("key", "block", "item")
@@ -119,10 +124,11 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     out = decided[0]
     for more in decided[1:]:
         out = out.unionByName(more)
-    return out.select("item.*", F.when(F.length("key") > 0, F.substring("key", 2, 2**31 - 1)).alias("source")).select("doc_id", "source", "size", "source_size", "target", (F.col("base") + F.col("p").cast("long")).alias("copies"), ((F.col("base") + F.col("p").cast("long")) * F.col("size")).alias("taken"))
+    return out.select("item.*", F.when(F.length("key") > 0, F.substring("key", 2, 2**31 - 1)).alias("source")).select("doc_id", "source", "size", "source_size", "target", (F.col("base") + F.col("p").cast("long")).alias("copies"), ((F.col("base") + F.col("p").cast("long")) * F.col("size")).alias("taken"), "row")
 
 
 def mixed_docs(docs: DataFrame) -> DataFrame:
-    """The mixed table: each row of ``docs`` as often as ``mix`` takes it; doc_id must be unique here."""
-    copies = mix(docs).select("doc_id", "copies").filter("copies > 0")
-    return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    """The mixed table: each row of ``docs`` as often as ``mix`` takes it; rows are told apart by a number of their own, so doc_id may repeat or be null."""
+    rows = saved(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")))
+    copies = _mixed(rows.select("doc.doc_id", "doc.text", "doc.source", "row")).select("row", "copies").filter("copies > 0")
+    return rows.join(copies, "row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

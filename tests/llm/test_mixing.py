@@ -73,3 +73,14 @@ def test_mixed_docs_and_empty(make_docs):
     assert mixed.count() == sum(copies.values())
     assert mixing.mix(make_docs().limit(0)).count() == 0
     assert {r.taken for r in mixing.mix(make_docs((1, ""), (2, None))).collect()} == {0}
+
+
+def test_mixed_docs_of_repeated_and_null_ids(make_docs):
+    texts = [(None if k % 3 == 0 else k % 4, "w " * (1 + k % 5), f"s{k % 3}") for k in range(90)]
+    docs = make_docs(*texts)
+    taken, want = {}, {}
+    for r in mixing.mixed_docs(docs).collect():
+        taken[r.source] = taken.get(r.source, 0) + len(r.text.split())
+    for r in mixing.mix(docs).collect():
+        want[r.source] = want.get(r.source, 0) + r.taken
+    assert taken == want
