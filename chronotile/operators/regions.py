@@ -139,11 +139,14 @@ def largest(regions: DataFrame, n: int = 60) -> DataFrame:
 
 
 def region_pipeline(regions: DataFrame, image_area: int, least_area: int | None = None, registered: bool = True) -> DataFrame:
-    """R29 from classified regions on: area floor, fill, near-full frames, low confidence, overlaps, the 60 largest, numbers, severity and report type."""
+    """R29 from classified regions on: area floor, fill, sparse near-full frames, small regions of low confidence, overlaps, the 60 largest, numbers, severity and report type."""
     floor = least_area if least_area is not None else min(1000, max(250, int(image_area * 0.0001)))
     floor = floor if registered else int(floor * 1.4)
     box = F.col("w") * F.col("h")
-    kept = regions.filter((F.col("area") >= floor) & (box < 0.95 * image_area) & ((F.col("confidence") >= 0.28) | (F.col("object_type") == "Unclassified")))
+    fill = F.col("area") / box
+    sparse = (fill < 0.15) | ((box > (0.75 if registered else 0.92) * image_area) & (fill < 0.35))
+    unsure = (F.col("confidence") < 0.24) & (F.col("area") < 3 * floor)
+    kept = regions.filter((F.col("area") >= floor) & ~sparse & ~unsure)
     return largest(suppress_overlaps(kept)).select("run_id", F.col("place").alias("id"), "area", "x", "y", "w", "h", "object_type", "confidence", severity(F.col("object_type"), F.col("area"), F.col("confidence"), F.lit(image_area)).alias("severity"), change_type(F.col("object_type")).alias("change_type"))
 
 

@@ -181,3 +181,16 @@ def test_streams_agree_with_batches(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, events.read_latest(spark, out).collect())) == sorted(map(tuple, review.latest(log).collect()))
+
+
+def test_region_pipeline_keeps_what_the_reference_keeps(spark):
+    from chronotile.operators import regions as G
+
+    rows = [(area, x, conf, kind) for area in (900, 1000, 2999, 3000, 8000) for x in (50, 80, 200) for conf in (0.1, 0.23, 0.24, 0.3) for kind in ("Building", "Unclassified")]
+    rows = [(k, 0, 0, 0, x, x, area, conf, kind) for k, (area, x, conf, kind) in enumerate(rows)]
+    rows += [(1000, 0, 0, 0, 1000, 1000, 990000, 0.9, "Building"), (1001, 0, 0, 0, 1000, 800, 270000, 0.9, "Building"), (1002, 0, 0, 0, 1000, 800, 290000, 0.9, "Building")]
+    df = spark.createDataFrame([(r[0], *r) for r in rows], "run_id long, region_id int, a int, x int, y int, w int, h int, area long, confidence double, object_type string").drop("a")
+    for registered in (True, False):
+        floor, cover = (1000, 0.75) if registered else (1400, 0.92)
+        want = {r[0] for r in rows if r[6] >= floor and r[6] / (r[4] * r[5]) >= 0.15 and not (r[4] * r[5] > cover * 1000000 and r[6] / (r[4] * r[5]) < 0.35) and not (r[7] < 0.24 and r[6] < 3 * floor)}
+        assert {r.run_id for r in G.region_pipeline(df, 1000000, 1000, registered).collect()} == want
