@@ -1,9 +1,12 @@
 """Toxicity: a linear-chain conditional random field tags toxic tokens; its marginals make document scores and offsets.
 
-Labels mark documents, so the token labels come from them first: in documents labelled toxic, the words, and beginnings of words, whose presence goes
-with the label by a likelihood-ratio test mark toxic tokens, all others are not. The field has two states, weights for the word, its
-beginnings and its neighbours, and transitions; it is trained on those tokens by forward-backward gradients. A
-logistic model over the greatest marginal and the expected number of toxic tokens scores the document.
+Labels mark documents, so the token labels come from them first: in documents labelled toxic, the words, and beginnings of words,
+whose presence goes with the label by a likelihood-ratio test mark toxic tokens, all others are not. The field has two states,
+weights for the word, its beginnings and its neighbours, and transitions; it is trained on those tokens by forward-backward gradients.
+A logistic model over the greatest marginal and the expected number of toxic tokens scores the document.
+
+The fit takes a bounded sample of labelled rows. Executors hash their words and count the features; the driver gets no text, only
+the vocabulary and, for each token of the sample, small numbers in it.
 """
 
 from __future__ import annotations
@@ -13,14 +16,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotile.llm.common import in_fold, join_ids, saved
+from chronotile.llm.common import in_fold, saved
 from chronotile.llm.shingles import passes, word_hashes
 
-#: Most labelled documents of either label that the fit takes; the smallest hashes of doc_id are chosen.
-SAMPLE = 1500
+#: Most labelled documents of either label that the fit takes, the longest of them in characters, and most characters of them all. Those
+#: with the smallest hashes of doc_id are chosen, each as a whole.
+SAMPLE, SAMPLE_LONGEST, SAMPLE_CHARS = 1500, 200_000, 4_000_000
 VOCABULARY, PREFIXES = 8000, (3, 4, 5, 6, 7)
 #: At least so many passes over the sample and so many steps of so many segments of so many tokens.
 EPOCHS, STEPS, STEP_SEGMENTS, SEGMENT, RATE, L2 = 5, 200, 256, 128, 0.5, 1e-5
@@ -117,57 +122,91 @@ def _summary(p: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.ones(n), np.log(top / (1 - top)), np.log1p(total)], 1)
 
 
-def _toxic_features(parts: list[np.ndarray], text: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent and all telling feature hashes, ascending, and which of them tell: their presence goes with the label.
+def _feature_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """feature, held and has: of some documents those that have it, and the toxic ones among them."""
+    for batch in batches:
+        texts, toxic = batch["text"].tolist(), batch["toxic"].to_numpy(np.int64)
+        for first, last in passes(texts):
+            doc, words, _, _, *heads = word_hashes_of(texts[first:last])
+            feature, doc = np.concatenate([words, *heads]), np.tile(doc, 1 + len(heads))
+            order = np.lexsort((doc, feature))
+            feature, doc = feature[order], doc[order]
+            new = (feature > 0) & np.append(True, (feature[1:] != feature[:-1]) | (doc[1:] != doc[:-1]))[: len(doc)]
+            found, at = np.unique(feature[new].view(np.int64), return_inverse=True)
+            has = np.bincount(at, weights=toxic[first:last][doc[new]], minlength=len(found)).astype(np.int64)
+            yield pd.DataFrame({"feature": found, "held": np.bincount(at, minlength=len(found)), "has": has})
+
+
+def vocabulary(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent and all telling features of (text, toxic) rows, ascending, and which of them tell.
 
-    A feature tells if documents that have it are nearly all toxic and a likelihood-ratio test, at a level that allows for the number of features, agrees.
+    A feature tells if documents that have it are nearly all toxic and a likelihood-ratio test, at a level that allows for the number
+    of features, agrees. At most VOCABULARY features reach the driver.
     """
-    keys = np.unique(np.concatenate(parts))
-    keys = keys[keys > 0]
-    cells = np.unique(np.concatenate([np.searchsorted(keys, x[x > 0]) * len(toxic) + text[x > 0] for x in parts]))
-    held = np.bincount(cells // len(toxic), minlength=len(keys)).astype(float)
-    has = np.bincount(cells // len(toxic), weights=toxic[cells % len(toxic)], minlength=len(keys))
-    yes, every = float(toxic.sum()), float(len(toxic))
+    every, yes = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    counted = sample.select("text", "toxic").mapInPandas(_feature_counts, "feature long, held long, has long")
+    counted = saved(counted.groupBy("feature").agg(F.sum("held").alias("held"), F.sum("has").alias("has")))
+    number = counted.count()
+    if not number or not 0 < yes < every:
+        return np.empty(0, np.uint64), np.empty(0, bool)
 
     def term(x, y):
-        return np.where(x > 0, x * np.log(np.maximum(x, 1e-12) / np.maximum(y, 1e-12)), 0.0)
-
-    expect = held * yes / every
-    ratio = 2 * (term(has, expect) + term(held - has, held - expect) + term(yes - has, yes - expect) + term(every - yes - held + has, every - yes - held + expect))
-    tells = (has >= 0.95 * held) & (ratio > 2 * np.log(len(keys)) + 6)
-    keep = np.sort(np.argsort(-(held + tells * 10 * every), kind="stable")[:VOCABULARY])
-    return keys[keep], tells[keep]
-
-
-def fit(texts: list[str], toxic: np.ndarray) -> Field:
-    """Train on whole texts and their labels, 0 or 1."""
-    nothing = Field(np.empty(0, np.uint64), np.zeros((3, 1)))
-    found = [(a, word_hashes_of(texts[a:b])) for a, b in passes(texts)]
-    if not found or not toxic.any() or toxic.all():
-        return nothing
-    text = np.concatenate([x[0] + a for a, x in found])
-    parts = [np.concatenate([x[k] for _, x in found]) for k in (1, *range(4, 4 + len(PREFIXES)))]
-    keys, tells = _toxic_features(parts, text, toxic)
-    if not tells.any():
-        return nothing
-    model = Field(keys, np.zeros((3, len(keys) + 1)))
-    ids = [model.ids(x) for x in parts]
+        return F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
+
+    held, has = F.col("held").cast("double"), F.col("has").cast("double")
+    parts = [(has, held * yes / every), (held - has, held - held * yes / every)]
+    parts += [(yes - has, yes - held * yes / every), (every - yes - held + has, every - yes - held + held * yes / every)]
+    ratio = 2 * sum(term(x, y) for x, y in parts)
+    tells = (has >= 0.95 * held) & (ratio > 2 * float(np.log(number)) + 6)
+    best = counted.withColumn("tells", tells).orderBy((held + F.col("tells").cast("int") * 10 * every).desc(), "feature").limit(VOCABULARY)
+    rows = best.select("feature", "tells").toPandas()
+    keys = rows["feature"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], rows["tells"].to_numpy(bool)[order]
+
+
+def _encoded(model: Field):
+    """(toxic, ids): for each text the vocabulary numbers of its words and their beginnings, row by row, as 16-bit numbers."""
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            text, words, _, _, *heads = word_hashes_of(batch["text"].tolist())
+            ids = np.array([model.ids(x) for x in (words, *heads)], "<u2")
+            cut = np.searchsorted(text, np.arange(len(batch) + 1))
+            rows = [ids[:, a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "ids": rows})
+
+    return encode
+
+
+def fit(model: Field, tells: np.ndarray, docs: list[np.ndarray], toxic: np.ndarray) -> Field:
+    """Train ``model`` in place on documents, each a (1 + prefixes, tokens) matrix of vocabulary numbers, and their labels, 0 or 1."""
+    ids = np.concatenate(docs, 1)
+    length = np.array([x.shape[1] for x in docs])
+    first, width = np.cumsum(length) - length, len(model.keys) + 1
     marked = np.append(tells, False)
-    y = (np.logical_or.reduce([marked[x] for x in ids]) & (toxic[text] == 1)).astype(float)
-    place = np.arange(len(text)) - np.searchsorted(text, text)
-    cuts = np.flatnonzero(place % SEGMENT == 0)
-    size = np.diff(np.append(cuts, len(text)))
+    y = np.repeat(toxic == 1, length)
+    hit = np.zeros(ids.shape[1], bool)
+    for x in ids:
+        hit |= marked[x]
+    y &= hit
+    cuts = np.concatenate([np.arange(a, a + n, SEGMENT) for a, n in zip(first.tolist(), length.tolist(), strict=True)])
+    size = np.minimum(SEGMENT, np.repeat(first + length, -(-length // SEGMENT)) - cuts)
     g_emit, g_bias, g_move = np.full_like(model.emit, 1e-8), 1e-8, np.full((2, 2), 1e-8)
     random, steps = np.random.default_rng(7), max(1, len(cuts) // STEP_SEGMENTS)
+
+    def count(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return np.bincount(x, w, width)
+
     for _ in range(max(EPOCHS, -(-STEPS // steps))):
         for some in np.array_split(random.permutation(len(cuts)), steps):
             n = size[some]
-            at = np.repeat(cuts[some] - np.cumsum(np.append(0, n[:-1])), n) + np.arange(n.sum())
-            own, segment = [x[at] for x in ids], np.repeat(np.arange(len(some)), n)
+            at = np.repeat(cuts[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            own, segment = list(ids[:, at].astype(np.int64)), np.repeat(np.arange(len(some)), n)
             p, expected = marginals(model.potentials(own, segment), n, model.move, pairs=True)
             error, same = y[at] - p, segment[1:] == segment[:-1]
-            count = lambda x, w: np.bincount(x, w, len(keys) + 1)
-            step = np.stack([sum(count(x, error) for x in own), count(own[0][:-1][same], error[1:][same]), count(own[0][1:][same], error[:-1][same])]) / len(some)
+            step = [sum(count(x, error) for x in own)]
+            step = np.stack([*step, count(own[0][:-1][same], error[1:][same]), count(own[0][1:][same], error[:-1][same])]) / len(some)
             step[:, -1] = 0
             step -= L2 * model.emit
             g_emit += step**2
@@ -180,8 +219,12 @@ def fit(texts: list[str], toxic: np.ndarray) -> Field:
             d = (seen - expected) / len(some) - L2 * model.move
             g_move += d * d
             model.move += RATE * d / np.sqrt(g_move)
-    p, _ = marginals(model.potentials(ids, text), np.bincount(text, minlength=len(texts)), model.move)
-    x, w = _summary(p, text, len(texts)), np.zeros(3)
+    summaries = []
+    for k in range(0, len(docs), 100):
+        text, n = np.repeat(np.arange(len(docs[k : k + 100])), length[k : k + 100]), length[k : k + 100]
+        own = list(np.concatenate(docs[k : k + 100], 1).astype(np.int64))
+        summaries.append(_summary(marginals(model.potentials(own, text), n, model.move)[0], text, len(n)))
+    x, w = np.concatenate(summaries), np.zeros(3)
     for _ in range(30):  # Newton steps of a ridge logistic regression
         s = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w = w + np.linalg.solve((x * (s * (1 - s))[:, None]).T @ x + 0.05 * np.eye(3), x.T @ (toxic - s) - 0.05 * w)
@@ -200,10 +243,31 @@ _SEPARATORS = {k: " " for k in range(128) if not chr(k).isalnum()}
 def train(docs: DataFrame, labels: DataFrame) -> Field:
     """A field learned from documents of the learning fold that ``labels`` (doc_id, toxic) marks."""
     usable = labels.filter(in_fold(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = [usable.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for k in (0, 1)]
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    sample = sample.drop_duplicates("text")
-    return fit(sample["text"].tolist(), sample["toxic"].to_numpy(np.int64))
+    order = (F.xxhash64("doc_id"), "doc_id")
+    chosen = [usable.filter(F.col("toxic") == k).orderBy(*order).limit(SAMPLE) for k in (0, 1)]
+    chosen = F.broadcast(chosen[0].unionByName(chosen[1]))
+    short = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_LONGEST))
+    sample = short.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"))
+    sample = sample.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min_by("toxic", "doc_id").cast("long").alias("toxic"))
+    so_far = Window.partitionBy("toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sample = saved(sample.withColumn("chars", F.sum(F.length("text")).over(so_far)).filter(F.col("chars") <= SAMPLE_CHARS).drop("chars"))
+    keys, tells = vocabulary(sample)
+    if not tells.any():
+        return Field(np.empty(0, np.uint64), np.zeros((3, 1)))
+    model = Field(keys, np.zeros((3, len(keys) + 1)))
+    encoded = sample.mapInPandas(_encoded(model), "doc_id long, toxic long, ids binary").toPandas().sort_values("doc_id")
+    matrices = [np.frombuffer(x, "<u2").reshape(1 + len(PREFIXES), -1) for x in encoded["ids"]]
+    return fit(model, tells, matrices, encoded["toxic"].to_numpy(np.int64))
+
+
+def _scores(model: Field, texts: list[str | None]) -> Iterator[tuple]:
+    """For runs of whole texts: first and last index, scores, and of each token its text, first byte, end byte and marginal."""
+    for first, last in passes(texts):
+        text, hashes, start, end, *heads = word_hashes_of(texts[first:last])
+        lengths = np.bincount(text, minlength=last - first)
+        p, _ = marginals(model.potentials([model.ids(x) for x in (hashes, *heads)], text), lengths, model.move)
+        z = _summary(p, text, last - first) @ model.document
+        yield first, last, 1 / (1 + np.exp(-np.clip(z, -30, 30))), text, start, end, p
 
 
 def score(docs: DataFrame, model: Field) -> DataFrame:
@@ -213,33 +277,44 @@ def score(docs: DataFrame, model: Field) -> DataFrame:
         for batch in batches:
             texts = batch["text"].tolist()
             scores, spans = [], []
-            for first, last in passes(texts):
-                text, hashes, start, end, *heads = word_hashes_of(texts[first:last])
-                lengths = np.bincount(text, minlength=last - first)
-                p, _ = marginals(model.potentials([model.ids(x) for x in (hashes, *heads)], text), lengths, model.move)
-                z = _summary(p, text, last - first) @ model.document
-                scores += (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
+            for first, last, own, text, start, end, p in _scores(model, texts):
+                scores += own.tolist()
                 found: list[list[dict]] = [[] for _ in range(last - first)]
-                for k in np.flatnonzero(p >= SPAN).tolist():
-                    raw = texts[first + text[k]].encode()
-                    a = len(raw[: start[k]].decode())
-                    found[text[k]].append({"start": a, "end": a + len(raw[start[k] : end[k]].decode()), "p": float(p[k])})
+                hits = np.flatnonzero(p >= SPAN)
+                for k in np.unique(text[hits]).tolist():
+                    at = hits[np.searchsorted(text[hits], k) : np.searchsorted(text[hits], k, "right")]
+                    chars = np.append(0, np.cumsum((np.frombuffer(texts[first + k].encode(), np.uint8) & 0xC0) != 0x80))
+                    places = zip(chars[start[at]].tolist(), chars[end[at]].tolist(), p[at].tolist(), strict=True)
+                    found[k] = [{"start": a, "end": b, "p": x} for a, b, x in places]
                 spans += found
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": scores, "spans": spans})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(scored, "doc_id long, score double, spans array<struct<start:int,end:int,p:double>>")
+    shape = "doc_id long, score double, spans array<struct<start:int,end:int,p:double>>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(scored, shape)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, spans for every row of ``docs`` (doc_id, text).
 
-    Rows are scored alone, so repeated rows and null doc_ids are rows like others; null and empty texts have no token and a low score. Labels that
-    are not 0 or 1 and repeats are ignored (1 wins); without labels of both kinds every score is near 0. Extra columns are ignored.
+    Rows are scored alone, so repeated rows and null doc_ids are rows like others; null and empty texts have no token and a low score. Labels
+    that are not 0 or 1 and repeats are ignored (1 wins); without labels of both kinds every score is near 0. A very long text is scored
+    whole, in one task. Extra columns are ignored; an empty table gives an empty result.
     """
-    return score(docs, train(docs, labels)).select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out")
+    predicted = (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    return score(docs, train(docs, labels)).select("doc_id", held_out, "score", predicted, "spans")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that are predicted toxic; doc_id must be unique here."""
-    rejected = saved(score_documents(docs, labels).filter("predicted = 1").select("doc_id"))
-    return join_ids(docs, rejected, "doc_id", "left_anti")
+    """``docs`` without the rows whose text is predicted toxic.
+
+    Each row is decided by its own text, so rows with a repeated or null doc_id stay or go one by one; all columns come through as they are.
+    """
+    model = train(docs, labels)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [x[2] for x in _scores(model, batch.column("text").to_pylist())]
+            yield batch.filter(pa.array(np.concatenate(scores) < THRESHOLD)) if scores else batch
+
+    return docs.mapInArrow(kept, docs.schema)

@@ -1,5 +1,7 @@
+import itertools
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from chronotile.llm import language_id, toxicity
@@ -50,3 +52,35 @@ def test_toxicity_edges(spark, make_docs):
     assert by[1000].score < 0.3 and by[1001].score < 0.3 and by[None].predicted == 1
     assert {r.predicted for r in toxicity.score_documents(docs, labels.limit(0)).collect()} == {0}
     assert toxicity.score_documents(make_docs().limit(0), labels).count() == 0
+
+
+def test_toxic_rows_go_one_by_one(spark, make_docs):
+    rows = [(k, f"plain words number{k} here" + (" zorgle" if k % 3 == 0 else "")) for k in range(200)]
+    docs = make_docs(*rows, (0, "plain words with an id that was used"), (None, "a zorgle"), (None, "a word"), (7, None), (7, ""))
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(1, 200)], "doc_id long, toxic int")
+    kept = toxicity.without_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    texts = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect())
+    clean = [(k, t) for k, t in rows if k % 3] + [(0, "plain words with an id that was used"), (None, "a word"), (7, ""), (7, "")]
+    assert texts == sorted((d is None, d or 0, t) for d, t in clean)
+
+
+def test_marginals_match_all_paths():
+    rng = np.random.default_rng(3)
+    move = rng.normal(size=(2, 2))
+    lengths = np.array([1, 5, 0, 3])
+    e = rng.normal(size=9)
+    got, pairs = toxicity.marginals(e, lengths, move, pairs=True)
+    want, seen, at = [], np.zeros((2, 2)), 0
+    for n in lengths.tolist():
+        weights = {}
+        for path in itertools.product((0, 1), repeat=n):
+            steps = sum(move[a, b] for a, b in itertools.pairwise(path))
+            weights[path] = np.exp(sum(e[at + k] for k in range(n) if path[k]) + steps)
+        total = sum(weights.values())
+        want += [sum(w for path, w in weights.items() if path[k]) / total for k in range(n)]
+        for path, w in weights.items():
+            for a, b in itertools.pairwise(path):
+                seen[a, b] += w / total
+        at += n
+    assert np.allclose(got, want) and np.allclose(pairs, seen)
