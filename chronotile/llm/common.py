@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Keys that ``attach`` treats as heavy: so many with the most rows. No other key can hold more than one row in so many.
-HEAVY_KEYS = 1000
+from chronotile.functions.lineage import cut
+
 #: Most ids that a checked broadcast may hold (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 #: White space as the word contracts define it.
@@ -20,35 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the cluster's shared checkpoint folder; a folder of our own only where none is set (tests)."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronotile-"))
-    return df.checkpoint(eager=True)
+    """``df`` computed once into the cluster's shared checkpoint folder."""
+    return cut(df)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def attach(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
-    """Left join of ``left`` with one ``right`` row per key, safe for keys that hold a large share of ``left``.
+def attach(left: DataFrame, right: DataFrame, *keys: str, how: str = "left") -> DataFrame:
+    """Join of ``left`` with one ``right`` row per key, for keys that may hold a large share of ``left``.
 
-    ``right[weight]`` is the number of ``left`` rows of the key. The HEAVY_KEYS keys with the most rows are broadcast, a fixed number
-    at every size; each other key holds less than one row in HEAVY_KEYS, so it cannot fill a task. Both inputs are read
-    more than once: pass materialised ones. Keys must not be null.
+    A sort-merge join, so nothing is broadcast at any size. Adaptive execution splits the partitions of ``left`` that a heavy key
+    makes large and gives each part the one ``right`` row. It can do so when ``right`` is materialised. Null keys match nothing.
     """
-    heavy = saved(right.orderBy(F.col(weight).desc(), key).limit(HEAVY_KEYS)).drop(weight)
-    keys = F.broadcast(heavy.select(key))
-    hot = left.join(F.broadcast(heavy), key)
-    rest = left.join(keys, key, "left_anti").join(right.drop(weight).join(keys, key, "left_anti"), key, "left")
-    return hot.unionByName(rest.select(hot.columns))
+    return left.join(right.hint("merge"), list(keys), how)
 
 
-def join_ids(left: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
-    """Semi or anti join with a materialised id table: broadcast when its checked size allows it, else shuffled."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+def join_ids(left: DataFrame, ids: DataFrame, key: str, how: str, most: int = BROADCAST_IDS) -> DataFrame:
+    """Join with a materialised table of one row per key: broadcast when it has at most ``most`` rows, which is checked, else shuffled."""
+    few = ids.limit(most + 1).count() <= most
     return left.join(F.broadcast(ids) if few else ids.hint("merge"), key, how)
 
 

@@ -18,8 +18,8 @@ def _kept(edges: DataFrame, links: int) -> DataFrame:
 
 def _with_least(edges: DataFrame, links: int) -> DataFrame:
     """(u, v) rows with m, the least of u and all its v. A u with very many edges is safe: see ``attach``."""
-    least = _kept(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("degree")), links)
-    return attach(edges, least, "u", "degree")
+    least = _kept(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), links)
+    return attach(edges, least, "u", how="inner")
 
 
 def _state(edges: DataFrame) -> tuple:

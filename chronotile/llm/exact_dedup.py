@@ -58,9 +58,8 @@ def _grouped(docs: DataFrame, fingerprint=F.xxhash64, *carried: str) -> DataFram
         recipes.groupBy("recipe")
         .agg(F.max("doc_id").alias("keep_id"), F.max("_code").alias("_best"), F.count(F.lit(1)).alias("group_size"))
         .filter("group_size > 1")
-        .withColumn("_n", F.col("group_size"))
     )
-    return attach(recipes, groups, "recipe", "_n").select(
+    return attach(recipes, groups, "recipe").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).alias("group_size"),

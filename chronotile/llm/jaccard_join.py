@@ -7,8 +7,8 @@
 4. In a bucket a signature tree is built: each node holds the OR of its members' token bitmaps, their range of sizes and
    the most tokens that share a bit. Two nodes are traversed together and left as soon as their greatest
    possible overlap, or their sizes, or a link that is already known, rules out a new link. Leaves are compared exactly.
-5. Links join classes into components. The largest buckets come first; those that lie within one of them, or in one
-   component by then, are not opened.
+5. Links join classes into components. Each class meets others in its largest bucket first; a bucket whose members all met in one
+   of those, or are in one component by then, is not opened again.
 """
 
 from __future__ import annotations
@@ -20,14 +20,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronotile.llm.common import join_ids, saved, shuffle_partitions
-from chronotile.llm.common import attach as attached
+from chronotile.llm.common import attach, join_ids, saved, shuffle_partitions
 from chronotile.llm.components import components
 from chronotile.llm.shingles import mixed, shingle_sets
 
 WIDTH, PERCENT = 5, 80
 #: Members of a bucket that one tree takes; a larger bucket is split, and its parts are compared in pairs.
 TREE_MEMBERS, FANOUT = 512, 8
+#: Tokens of all prefixes that one hash bucket takes on average.
+BUCKET_TOKENS = 1_000_000
+#: What two classes are told apart by: 128 bits of digest and the number of shingles.
+CLASS = ("mark", "check", "n_shingles")
 
 
 def least_overlap(n):
@@ -107,8 +110,9 @@ def _credited(rows: pd.DataFrame) -> pd.DataFrame:
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         sets = shingle_sets(batch["text"].tolist(), WIDTH)
-        one, _ = _marks(sets)
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "mark": one, "n": [len(x) for x in sets], "tokens": [x.view(np.int64) for x in sets]})
+        one, two = _marks(sets)
+        columns = {"doc_id": batch["doc_id"], "mark": one, "check": two, "n_shingles": [len(x) for x in sets]}
+        yield pd.DataFrame(columns | {"tokens": [x.view(np.int64) for x in sets]})
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -222,101 +226,144 @@ def tree_pairs(marks: np.ndarray, comps: np.ndarray, sizes: np.ndarray, counts:
     return [(int(marks[order[x]]), int(marks[order[y]])) for x, y in _traverse(root, comps[order].tolist(), None)]
 
 
+def stars(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links with the same components as ``pairs`` and one step to the least member, which saves rounds later."""
+    least: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while least.setdefault(k, k) != k:
+            least[k] = k = least[least[k]]
+        return k
+
+    for x, y in pairs:
+        a, b = find(x), find(y)
+        least[max(a, b)] = min(a, b)
+    return [(k, find(k)) for k in list(least) if find(k) != k]
+
+
 def _bucket_links(rows: pd.DataFrame) -> pd.DataFrame:
-    links = tree_links(rows["mark"].to_numpy(), rows["comp"].to_numpy(), rows["n"].to_numpy(), [np.asarray(x, np.int64) for x in rows["tokens"]]) if rows["comp"].nunique() > 1 else []
+    links = []
+    if rows["comp"].nunique() > 1:
+        tokens = [np.asarray(x, np.int64) for x in rows["tokens"]]
+        links = stars(tree_links(rows["node"].to_numpy(), rows["comp"].to_numpy(), rows["n"].to_numpy(), tokens))
     return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
 
 def _bucket_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    pairs = tree_pairs(rows["mark"].to_numpy(), rows["comp"].to_numpy(), rows["n"].to_numpy(), rows["held"].tolist(), [np.frombuffer(x, np.uint64) for x in rows["bitmap"]]) if rows["comp"].nunique() > 1 else []
+    pairs = []
+    if rows["comp"].nunique() > 1:
+        bitmaps = [np.frombuffer(x, np.uint64) for x in rows["bitmap"]]
+        pairs = tree_pairs(rows["node"].to_numpy(), rows["comp"].to_numpy(), rows["n"].to_numpy(), rows["held"].tolist(), bitmaps)
     return pd.DataFrame([(max(x), min(x)) for x in pairs], columns=["u", "v"], dtype="int64")
 
 
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         tokens = [np.asarray(x, np.int64) for x in batch["tokens"]]
-        yield pd.DataFrame({"mark": batch["mark"], "n": batch["n"], "held": [len(x) for x in tokens], "bitmap": [bitmap(x).tobytes() for x in tokens]})
+        columns = {"node": batch["node"], "n": batch["n"], "held": [len(x) for x in tokens]}
+        yield pd.DataFrame(columns | {"bitmap": [bitmap(x).tobytes() for x in tokens]})
 
 
 def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        keep = [similar(shared_tokens(np.sort(a), np.sort(b)), n, m) for a, b, n, m in zip(batch["tokens"], batch["other"], batch["n"].tolist(), batch["m"].tolist(), strict=True)]
-        yield batch.loc[keep, ["u", "v"]]
+        sides = zip(batch["tokens"], batch["other"], batch["n"].tolist(), batch["m"].tolist(), strict=True)
+        yield batch.loc[[similar(shared_tokens(np.sort(a), np.sort(b)), n, m) for a, b, n, m in sides], ["u", "v"]]
 
 
-def _survivors(docs: DataFrame, meta: DataFrame) -> DataFrame:
-    """(doc_id, mark) of one document of each class that may have partners."""
-    dealt = docs.filter("doc_id is not null").select("text").mapInPandas(_dealt(buckets := shuffle_partitions(docs.sparkSession)), "bucket int, marks binary, counts binary, tokens binary, credit_marks binary, credits binary")
-    credits = dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_credited, "mark long, credit long").groupBy("mark").agg(F.sum("credit").alias("credit"))
-    classes = meta.filter("n_shingles > 0 and doc_id is not null").groupBy("mark", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("doc_id"))
-    need = 1 + F.floor(F.floor((PERCENT * F.col("n") + 99) / 100) / 10)
-    return saved(classes.join(credits, "mark").filter(F.col("credit") >= need).select("doc_id", "mark"))
+def _survivors(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id of one document, mark, check, n_shingles and node, a number, of each class that may have partners."""
+    spark = docs.sparkSession
+    tokens = classes.agg(F.sum(F.col("n_shingles") * 3 / 10 + 1)).first()[0] or 0
+    buckets = max(2 * shuffle_partitions(spark), int(tokens // BUCKET_TOKENS))
+    shape = "bucket int, marks binary, counts binary, tokens binary, credit_marks binary, credits binary"
+    dealt = docs.filter("doc_id is not null").select("text").mapInPandas(_dealt(buckets), shape)
+    credits = dealt.groupBy("bucket").applyInPandas(_credited, "mark long, credit long").groupBy("mark").agg(F.sum("credit").alias("credit"))
+    need = 1 + F.floor(F.floor((PERCENT * F.col("n_shingles") + 99) / 100) / 10)
+    found = classes.join(credits, "mark").filter(F.col("credit") >= need)
+    return saved(found.select("doc_id", *CLASS, F.monotonically_increasing_id().alias("node")))
 
 
 def _candidates(docs: DataFrame, survivors: DataFrame) -> DataFrame:
-    """mark, n, tokens (those that other classes share, rarest first), head (the first of which a partner must share one)."""
+    """node, n, tokens (those that other classes share, rarest first), head (the first of which a partner must share one)."""
     texts = join_ids(docs.select("doc_id", "text"), survivors.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = texts.mapInPandas(_sets, "doc_id long, mark long, n long, tokens array<long>")
-    sets = saved(sets.join(survivors, ["doc_id", "mark"], "left_semi").dropDuplicates(["mark"]).select("mark", "n", "tokens"))
-    held = sets.select("mark", "n", F.explode("tokens").alias("token"))
-    counts = saved(held.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").withColumn("weight", F.col("df")))
-    rows = attached(held, counts, "token", "weight").filter("df is not null")
+    sets = texts.mapInPandas(_sets, "doc_id long, mark long, check long, n_shingles long, tokens array<long>")
+    sets = sets.join(survivors, ["doc_id", *CLASS]).dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("n"), "tokens")
+    sets = saved(sets)
+    held = sets.select("node", "n", F.explode("tokens").alias("token"))
+    counts = saved(held.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
+    rows = attach(held, counts, "token", how="inner")
     least = F.floor((PERCENT * F.col("n") + 99) / 100)
-    listed = rows.groupBy("mark", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t")).filter(F.size("t") >= least)
-    return saved(listed.select("mark", "n", F.col("t.token").alias("tokens"), F.slice(F.col("t.token"), 1, (F.size("t") - least + 1).cast("int")).alias("head")))
+    listed = rows.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t")).filter(F.size("t") >= least)
+    head = F.slice(F.col("t.token"), 1, (F.size("t") - least + 1).cast("int"))
+    return saved(listed.select("node", "n", F.col("t.token").alias("tokens"), head.alias("head")))
 
 
-def _bucket_rows(candidates: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(token, mark, comp) rows of all buckets, and the buckets that hold several components, one of each set of members."""
-    rows = saved(candidates.select("mark", F.explode("head").alias("token")).join(comps, "mark"))
-    stats = rows.groupBy("token").agg(F.count(F.lit(1)).alias("d"), F.expr("bit_xor(xxhash64(mark))").alias("members"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("mark").alias("p1"), F.max("mark").alias("p2"))
-    return rows, saved(stats.filter("c1 < c2").groupBy("members", "d", "p1", "p2").agg(F.min("token").alias("token")).withColumn("parts", F.ceil(F.col("d") / TREE_MEMBERS)))
+def _open_buckets(rows: DataFrame) -> DataFrame:
+    """The buckets of (token, node, comp, home) rows that hold several components, one of those with the same members.
+
+    token, d (members), parts, p1 and p2 (two members), and home, the bucket in which all members have met, if there is one.
+    """
+    stats = rows.groupBy("token").agg(
+        F.count(F.lit(1)).alias("d"),
+        F.expr("bit_xor(xxhash64(node))").alias("members"),
+        F.min("comp").alias("c1"),
+        F.max("comp").alias("c2"),
+        F.min("node").alias("p1"),
+        F.max("node").alias("p2"),
+        F.when((F.count("home") == F.count(F.lit(1))) & (F.min("home") == F.max("home")), F.min("home")).alias("home"),
+    )
+    same = stats.filter("c1 < c2").groupBy("members", "d", "p1", "p2").agg(F.min("token").alias("token"), F.first("home").alias("home"))
+    return saved(same.withColumn("parts", F.ceil(F.col("d") / TREE_MEMBERS)))
 
 
 def _first_links(members: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Links in the buckets of ``members`` (mark, comp, token, parts, p1, p2). A bucket in several parts is searched part by part, each
-    with two members that stand for the whole bucket."""
-    part = F.pmod(F.xxhash64("mark"), "parts")
+    """Links in the buckets of ``members`` (node, comp, token, parts, p1, p2).
+
+    A bucket in several parts is searched part by part, each with two members that stand for the whole bucket.
+    """
+    part = F.pmod(F.xxhash64("node"), "parts")
     every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-    where = F.when(F.col("mark").isin(F.col("p1"), F.col("p2")), every).otherwise(F.array(part))
-    placed = members.select("mark", "comp", "token", F.explode(where).alias("part"))
-    full = placed.join(candidates.select("mark", "n", "tokens"), "mark")
+    where = F.when(F.col("node").isin(F.col("p1"), F.col("p2")), every).otherwise(F.array(part))
+    placed = members.select("node", "comp", "token", F.explode(where).alias("part"))
+    full = placed.join(candidates.select("node", "n", "tokens"), "node")
     return saved(full.groupBy("token", "part").applyInPandas(lambda _, x: _bucket_links(x), "u long, v long"))
 
 
 def _other_links(members: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Links between components in the buckets of ``members``: trees of bitmaps alone leave few pairs, which are compared exactly. Every
-    two parts of a bucket in several parts meet."""
-    part = F.pmod(F.xxhash64("mark"), "parts")
+    """Links between components in the buckets of ``members``: trees of bitmaps alone leave few pairs, which are compared exactly.
+
+    Every two parts of a bucket in several parts meet.
+    """
+    part = F.pmod(F.xxhash64("node"), "parts")
     every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-    where = F.when(F.col("parts") <= 2, F.array(F.lit("0"))).otherwise(F.transform(every, lambda k: F.concat_ws("-", F.least(k, part), F.greatest(k, part))))
-    signed = candidates.mapInPandas(_signed, "mark long, n long, held long, bitmap binary")
-    full = members.select("mark", "comp", "token", F.explode(where).alias("part")).join(signed, "mark")
+    met = F.transform(every, lambda k: F.concat_ws("-", F.least(k, part), F.greatest(k, part)))
+    where = F.when(F.col("parts") <= 2, F.array(F.lit("0"))).otherwise(met)
+    signed = candidates.mapInPandas(_signed, "node long, n long, held long, bitmap binary")
+    full = members.select("node", "comp", "token", F.explode(where).alias("part")).join(signed, "node")
     pairs = full.groupBy("token", "part").applyInPandas(lambda _, x: _bucket_pairs(x), "u long, v long").distinct()
-    sets = candidates.select("mark", "n", "tokens")
-    sides = pairs.join(sets.withColumnRenamed("mark", "u"), "u").join(sets.select(F.col("mark").alias("v"), F.col("n").alias("m"), F.col("tokens").alias("other")), "v")
-    return saved(sides.mapInPandas(_compared, "u long, v long"))
+    left = candidates.select(F.col("node").alias("u"), "n", "tokens")
+    right = candidates.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("tokens").alias("other"))
+    return saved(pairs.join(left, "u").join(right, "v").mapInPandas(_compared, "u long, v long"))
 
 
 def _all_links(candidates: DataFrame) -> DataFrame:
-    """(mark, component) of all linked classes.
+    """(node, component) of all linked classes.
 
-    First each class meets others in the largest of its buckets. A bucket that lies within one that is done, or in one component by then, is
-    done as well; the others follow.
+    First each class meets others in the largest of its buckets, its home. A bucket whose members all have one home, a home itself, and a
+    bucket in one component by then are done; the others follow.
     """
-    comps = candidates.select("mark", F.col("mark").alias("comp"))
-    rows, open_ = _bucket_rows(candidates, comps)
-    members = rows.join(open_, "token")
-    chosen = saved(members.groupBy("mark").agg(F.max(F.struct("d", "token")).alias("c")).select("c.token").distinct())
-    links = _first_links(members.join(chosen, "token", "left_semi"), candidates)
-    linked = saved(components(links))
-    if links.isEmpty() and open_.filter("parts > 1").isEmpty() and chosen.count() == open_.count():
-        return linked
-    comps = candidates.select("mark").join(linked.select(F.col("node").alias("mark"), "component"), "mark", "left").select("mark", F.coalesce("component", "mark").alias("comp"))
-    done = rows.join(chosen, "token", "left_semi").join(open_.filter("parts = 1").select("token"), "token", "left_semi").select("mark", F.col("token").alias("whole"))
-    rows, open_ = _bucket_rows(candidates, comps)
-    within = rows.join(open_, "token").select("token", "mark", "d").join(done, "mark").groupBy("token", "whole").agg(F.count(F.lit(1)).alias("shared"), F.first("d").alias("d")).filter("shared = d").select("token").distinct()
-    left = saved(open_.join(within, "token", "left_anti"))
+    heads = saved(candidates.select("node", F.explode("head").alias("token")))
+    open_ = _open_buckets(heads.withColumn("comp", F.col("node")).withColumn("home", F.lit(None).cast("long"))).drop("home")
+    largest = heads.join(open_, "token").groupBy("node").agg(F.max(F.struct("d", "token", "parts")).alias("c"))
+    homes = saved(largest.select("node", F.col("c.token").alias("home"), F.col("c.parts").alias("parts")))
+    first = open_.join(homes.select(F.col("home").alias("token")).distinct(), "token", "left_semi")
+    linked = saved(components(_first_links(heads.join(first, "token").withColumn("comp", F.col("node")), candidates)))
+
+    whole = homes.filter("parts = 1").drop("parts")
+    state = candidates.select("node").join(linked, "node", "left").join(whole, "node", "left")
+    rows = heads.join(state.select("node", F.coalesce("component", "node").alias("comp"), "home"), "node")
+    left = _open_buckets(rows).filter("home is null")
+    left = saved(left.join(whole.select(F.col("home").alias("token")).distinct(), "token", "left_anti").select("token", "parts"))
     if left.isEmpty():
         return linked
     more = _other_links(rows.join(left, "token"), candidates)
@@ -330,19 +377,26 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     Two documents link when their sets' Jaccard similarity is at least PERCENT / 100. component_id is the smallest doc_id that
     links lead to. A text without words has no shingles and links to nothing, not even its like; a null doc_id links
-    to nothing and has a null component. Rows that repeat a doc_id are rows of their own. Extra columns are ignored.
+    to nothing and has a null component. Rows that repeat a doc_id are rows of their own. Extra columns are ignored; an empty table
+    gives an empty result; a very long text is one class like others, its set is held in one task.
     """
-    meta = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_digests, "doc_id long, n_shingles long, mark long, check long"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    candidates = _candidates(docs, _survivors(docs, meta))
-    linked = _all_links(candidates)
-    classes = meta.filter("n_shingles > 0 and doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    named = classes.join(linked.select(F.col("node").alias("mark"), "component"), "mark", "left").filter("copies > 1 or component is not null")
-    named = saved(named)
-    least = named.filter("component is not null").groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size"))
-    joined = attached(named.filter("component is not null"), saved(least), "component", "size").select("mark", "component_id", "copies")
-    right = saved(joined.unionByName(named.filter("component is null").select("mark", F.col("least").alias("component_id"), "copies")))
-    return attached(meta, right, "mark", "copies").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    meta = saved(docs.mapInPandas(_digests, "doc_id long, n_shingles long, mark long, check long"))
+    return _named(docs, meta).select("doc_id", "n_shingles", "component_id")
+
+
+def _named(docs: DataFrame, meta: DataFrame) -> DataFrame:
+    """``meta``, the digests of ``docs`` and any further columns, with component_id."""
+    usable = meta.filter("n_shingles > 0 and doc_id is not null")
+    classes = saved(usable.groupBy(*CLASS).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")))
+    survivors = _survivors(docs, classes)
+    linked = survivors.join(_all_links(_candidates(docs, survivors)), "node").select("doc_id", *CLASS, "component")
+    least = saved(linked.groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    linked = attach(linked, least, "component", how="inner").select(*CLASS, "component_id")
+    named = classes.join(linked, list(CLASS), "left").filter("copies > 1 or component_id is not null")
+    named = saved(named.select(*CLASS, F.coalesce("component_id", "doc_id").alias("component_id")))
+    own = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
+    return attach(meta, named, *CLASS).withColumn("component_id", own)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

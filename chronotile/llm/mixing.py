@@ -12,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotile.llm.common import WORD, attach, let, saved
+from chronotile.llm.common import WORD, join_ids, let, saved
 
 WEIGHTS = (5, 2, 1)
 BUDGET, CAP = 1.5, 2
 BLOCK = 128
+#: Most sources whose targets a checked broadcast may hold; beyond it their join shuffles.
+BROADCAST_SOURCES = 100_000
 _NEAR = 1e-9
 _FIELDS = ("order", "doc_id", "size", "base", "p", "u", "source_size", "target", "row")
 
@@ -100,7 +102,7 @@ def _mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     sizes = saved(docs.select("doc_id", "row", "source", size.alias("size")).withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))))
     total = sizes.count()
-    joined = attach(sizes.drop("source"), saved(source_targets(sizes)), "key", "n_docs")
+    joined = join_ids(sizes.drop("source"), saved(source_targets(sizes).drop("n_docs")), "key", "left", BROADCAST_SOURCES)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.when(_whole(rate), F.round(rate)).otherwise(F.floor(rate))
     noise = lambda level: F.xxhash64(F.lit(seed), F.lit(level), "item.doc_id", "item.size").bitwiseAND(2**53 - 1) / float(2**53)
