@@ -8,7 +8,7 @@ All occurrences of such words, in every document, are spans too and are generali
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronotile.llm.common import attach, join_ids, let, saved
@@ -24,8 +24,15 @@ PATTERNS = {
 #: Documents that must show a pair; share of the information.
 SUPPORT, DISCLOSED = 3, 0.9
 WORDS = r"\p{L}++"
-#: Most disclosing terms that a checked broadcast may hold; beyond it they are joined by ``attach``.
+#: Most terms that a checked broadcast may hold; beyond it the join shuffles.
 BROADCAST_TERMS = 200_000
+#: Most texts whose term spans a checked broadcast may hold.
+BROADCAST_MARKED = 20_000
+SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
+
+
+def _no_spans() -> Column:
+    return F.array().cast(SPANS)
 
 
 def _digits(value: Column) -> Column:
@@ -51,31 +58,57 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _placed(text: Column, pattern: str, valid, **fields: str) -> Column:
-    """Matches of ``pattern`` that are valid, as array<struct<start, end, value>>; the gaps between matches give the offsets."""
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
-    found = F.array().cast("array<struct<start:int,end:int,value:string>>")
+def _placed(text: Column, pattern: str) -> Column:
+    """Matches of ``pattern`` as array<struct<start, end, value>>, in order; the gaps between matches give the offsets.
+
+    Lengths are added up in blocks of about the square root of the number of matches, first within blocks and then over blocks, because an
+    array that grows in a fold is copied at each step.
+    """
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("value")), lambda x: x["value"].isNotNull())
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+
+    def placed(x: Column) -> Column:
+        return let(F.ceil(F.sqrt(F.size(x))).cast("int"), lambda width: let(in_blocks(x, width), from_blocks))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["value"]), F.lit(0))
-        hit = F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))
-        return F.struct(end.alias("at"), F.when(x["value"].isNotNull() & valid(x["value"]), F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
+    def in_blocks(x: Column, width: Column) -> Column:
+        every = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / width).cast("int"))
+        return F.transform(every, lambda k: F.slice(x, k * width + 1, width))
 
-    folded = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), found.alias("out")), step)["out"]
-    return F.when(F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))) > 0, folded).otherwise(found)
+    def from_blocks(blocks: Column) -> Column:
+        long = lambda block: F.aggregate(block, F.lit(0), lambda n, m: n + m["gap"] + F.length(m["value"]))
+        grown = lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))
+        starts = F.slice(F.aggregate(F.transform(blocks, long), F.array(F.lit(0)), grown), 1, F.size(blocks))
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("block"), starts.alias("at")), inner))
+
+    def inner(b: Column) -> Column:
+        def step(acc: Column, m: Column) -> Column:
+            start = acc["at"] + m["gap"]
+            end = start + F.length(m["value"])
+            hit = F.array(F.struct(start.alias("start"), end.alias("end"), m["value"].alias("value")))
+            return F.struct(end.alias("at"), F.concat(acc["out"], hit).alias("out"))
+
+        return F.aggregate(b["block"], F.struct(b["at"].alias("at"), none.alias("out")), step)["out"]
+
+    return let(pairs, lambda x: F.when(F.size(x) > 0, placed(x)).otherwise(none))
 
 
 def base_spans(text: Column) -> Column:
     """array<struct<kind, start, end, value>> of all base kinds, by kind as listed and start; offsets count characters."""
-    hint = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9]{2}|[0-9][\x20-][0-9]"), "phone": text.rlike(r"\+[0-9]")}
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
+    hint = {
+        "email": F.contains(text, F.lit("@")),
+        "ip": text.rlike(r"[0-9]\.[0-9]"),
+        "card": text.rlike(r"[0-9]{2}|[0-9][\x20-][0-9]"),
+        "phone": text.rlike(r"\+[0-9]"),
+    }
 
     def of(kind: str) -> Column:
-        placed = _placed(text, PATTERNS[kind], lambda value: _valid(kind, value))
-        return F.transform(placed, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+        placed = F.filter(_placed(text, PATTERNS[kind]), lambda s: _valid(kind, s["value"]))
+        named = lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
+        return F.transform(placed, named)
 
-    return F.concat(*[F.when(hint[k], of(k)).otherwise(none) for k in KINDS])
+    return F.concat(*[F.when(hint[k], of(k)).otherwise(_no_spans()) for k in KINDS])
 
 
 def _words_only(text: Column) -> Column:
@@ -91,64 +124,74 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.transform(found, F.lower))
 
 
-def _disclosing(found: DataFrame, total: int) -> DataFrame:
-    """(term, df_term) of the words that disclose a value, from the documents of ``found`` (_row, text, base) that have both.
+def _key(text: Column) -> Column:
+    """What rows with equal texts, and so with equal spans, are joined by."""
+    return F.unhex(F.md5(text))
+
 
-    Before terms meet values, those are left out that cannot reach the limit: pairs seen together in fewer than SUPPORT documents,
-    and, as a pair is seen together at most df_entity times, terms with df_term above total ** (1 - DISCLOSED) * df_entity ** DISCLOSED.
+def _disclosing(found: DataFrame, texts: DataFrame, total: int) -> DataFrame:
+    """term: the words that disclose a value, from documents (``found``: key, base; ``texts``: key, text, some) that have both.
+
+    Rows with equal texts are counted, but weighed once with their number. Before terms meet values, those are left out that cannot
+    reach the limit: pairs seen together in fewer than SUPPORT documents, and, as a pair is seen together at most df_entity times,
+    terms with df_term above total ** (1 - DISCLOSED) * df_entity ** DISCLOSED.
     """
-    some = found.filter(F.size("base") > 0)
     entity = lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))
-    held = saved(some.select("_row", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity")))
-    entities = saved(held.groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity")).filter((F.col("df_entity") >= SUPPORT) & (F.col("df_entity") < total)).withColumn("_n", F.col("df_entity")))
-    carried = saved(attach(held, entities, "entity", "_n").filter(F.col("df_entity").isNotNull()))
+    held = found.filter(F.size("base") > 0).select("key", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"))
+    held = saved(held.groupBy("key", "entity").agg(F.count(F.lit(1)).alias("copies")))
+    entities = held.groupBy("entity").agg(F.sum("copies").alias("df_entity"))
+    entities = saved(entities.filter((F.col("df_entity") >= SUPPORT) & (F.col("df_entity") < total)))
+    carried = saved(attach(held, entities, "entity", how="inner"))
     most = lambda df: F.lit(float(max(total, 1)) ** (1 - DISCLOSED) * (1 + 1e-9)) * F.pow(df, F.lit(DISCLOSED))
     top = carried.agg(F.max("df_entity")).first()[0] or 0
-    words = saved(some.select("_row", F.explode(_words(F.col("text"))).alias("term")))
-    here = words.groupBy("term").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= SUPPORT)
-    everywhere = found.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
-    terms = saved(everywhere.filter(F.col("df_term").between(F.lit(SUPPORT), most(F.lit(float(top))))).join(here, "term"))
-    both = attach(words, terms, "term", "_n").filter(F.col("df_term").isNotNull()).join(carried, "_row").filter(F.col("df_term") <= most(F.col("df_entity")))
-    known = both.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("both"), F.first("df_term").alias("df_term"), F.first("df_entity").alias("df_entity")).filter(F.col("both") >= SUPPORT)
+
+    words = texts.select("key", "some", F.explode(_words(F.col("text"))).alias("term"))
+    terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("df_term"), F.count_if("some").alias("here"))
+    terms = saved(terms.filter((F.col("here") >= SUPPORT) & F.col("df_term").between(F.lit(SUPPORT), most(F.lit(float(top))))).drop("here"))
+    own = join_ids(words.filter("some").select("key", "term"), terms, "term", "inner", BROADCAST_TERMS).distinct()
+    both = own.join(carried, "key").filter(F.col("df_term") <= most(F.col("df_entity")))
+    known = both.groupBy("term", "entity", "df_term", "df_entity").agg(F.sum("copies").alias("both")).filter(F.col("both") >= SUPPORT)
     information = F.log2(F.lit(float(max(total, 1))) / F.col("df_entity"))
     mutual = F.log2(F.lit(float(max(total, 1))) * F.col("both") / (F.col("df_term") * F.col("df_entity")))
-    return saved(known.filter(mutual >= DISCLOSED * information).groupBy("term").agg(F.max("df_term").alias("df_term")))
-
-
-def _marked(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """(_row, terms): every occurrence of a disclosing term in every whole text."""
-    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    words = found.select("_row", F.explode(_words(F.col("text"))).alias("term"))
-    if few:
-        hits = saved(words.join(F.broadcast(terms.select("term")), "term", "left_semi"))
-    else:
-        hits = saved(attach(saved(words), terms.select("term", "df_term", F.lit(True).alias("discloses")), "term", "df_term").filter("discloses").select("_row", "term"))
-    rows = saved(hits.select("_row").distinct())
-    text = _words_only(F.col("text"))
-    pieces = F.arrays_zip(F.transform(F.split(text, WORDS, -1), F.length).alias("gap"), F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)).alias("value"))
-    placed = join_ids(found.select("_row", "text"), rows, "_row", "left_semi").select("_row", F.posexplode(pieces).alias("at", "w")).filter(F.col("w.value").isNotNull())
-    so_far = Window.partitionBy("_row").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = placed.select("_row", F.lower("w.value").alias("term"), F.length("w.value").alias("size"), F.sum(F.col("w.gap") + F.length("w.value")).over(so_far).cast("int").alias("end"))
-    spans = ends.join(hits, ["_row", "term"], "left_semi")
-    return spans.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), (F.col("end") - F.col("size")).alias("start"), "end", F.col("term").alias("value")))).alias("terms"))
-
-
-def _found(docs: DataFrame, *kept: Column) -> DataFrame:
-    """``kept`` columns, base and terms of each row of ``docs``."""
+    return saved(known.filter(mutual >= DISCLOSED * information).select("term").distinct())
+
+
+def _marked(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(key, terms): every occurrence of a disclosing term in every whole text, once for rows with equal texts."""
+    words = texts.select("key", F.explode(_words(F.col("text"))).alias("term"))
+    hits = saved(join_ids(words, terms, "term", "left_semi", BROADCAST_TERMS).distinct())
+    own = join_ids(texts.select("key", "text"), saved(hits.select("key").distinct()), "key", "left_semi")
+    placed = own.select("key", F.explode(_placed(_words_only(F.col("text")), WORDS)).alias("w"))
+    placed = placed.select("key", F.lower("w.value").alias("term"), "w.start", "w.end")
+    spans = join_ids(placed, terms, "term", "left_semi", BROADCAST_TERMS)
+    span = F.struct(F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value"))
+    return saved(spans.groupBy("key").agg(F.sort_array(F.collect_set(span)).alias("terms")))
+
+
+def _with_terms(rows: DataFrame, docs: DataFrame, base: DataFrame) -> DataFrame:
+    """``rows`` (key, base) of ``docs`` with terms; ``base`` is the materialised (key, base). No text is written or shuffled for the terms."""
+    text = F.coalesce("text", F.lit(""))
+    some = F.exists(base_spans(text), lambda _: F.lit(True))
+    texts = docs.select(_key(text).alias("key"), text.alias("text"), some.alias("some"))
+    terms = _marked(texts, _disclosing(base, texts, base.count()))
+    return join_ids(rows, terms, "key", "left", BROADCAST_MARKED).withColumn("terms", F.coalesce("terms", _no_spans())).drop("key")
+
+
+def _keyed(docs: DataFrame, *kept: Column) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    found = saved(docs.select(*kept, F.monotonically_increasing_id().alias("_row"), text.alias("text"), base_spans(text).alias("base")))
-    terms = _marked(found, _disclosing(found, found.count()))
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
-    return found.drop("text").join(terms, "_row", "left").withColumn("terms", F.coalesce("terms", none)).drop("_row")
+    return docs.select(*kept, _key(text).alias("key"), base_spans(text).alias("base"))
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, base and terms, arrays of struct<kind, start, end, value>.
 
-    A null text is empty. Terms are all occurrences, in every document, of words that disclose a value that the corpus holds.
-    Repeated rows count as documents of their own; extra columns are ignored.
+    A null text is empty. Terms are all occurrences, in every document, of words that disclose a value that the corpus holds. A word in
+    several cases is one term, its spans stay apart; no two spans of a kind overlap. Repeated rows count as documents of their own.
+    A very long text is one row like others: its spans take time that grows with the 1.5th power of their number. Extra columns
+    are ignored; an empty table gives an empty result.
     """
-    return _found(docs, F.col("doc_id"))
+    base = saved(_keyed(docs, F.col("doc_id")))
+    return _with_terms(base, docs, base)
 
 
 def span_text(spans: Column) -> Column:
@@ -162,8 +205,8 @@ def span_digests(docs: DataFrame) -> DataFrame:
     def number(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = [number(k) for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.concat("base", "terms")).alias("spans"))
+    digest = F.sha2(span_text(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", *map(number, KINDS), digest, span_text(F.concat("base", "terms")).alias("spans"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -171,8 +214,9 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     Of spans that overlap, the one that starts first, or else the base span, is replaced.
     """
-    order = F.sort_array(F.transform(F.concat("base", "terms"), lambda s: F.struct(s["start"].alias("start"), (s["kind"] == "term").alias("late"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    rows = _found(docs, F.struct(*docs.columns).alias("doc")).select("doc", order.alias("_spans"))
+    placed = lambda s: F.struct(s["start"].alias("start"), (s["kind"] == "term").alias("late"), s["end"].alias("end"), s["kind"].alias("kind"))
+    rows = _with_terms(_keyed(docs, F.struct(*docs.columns).alias("doc")), docs, saved(_keyed(docs)))
+    rows = rows.select("doc", F.sort_array(F.transform(F.concat("base", "terms"), placed)).alias("spans"))
     text = F.coalesce("doc.text", F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -180,6 +224,6 @@ def sanitise(docs: DataFrame) -> DataFrame:
         more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
         return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), more.alias("out"))).otherwise(acc)
 
-    clean = let(F.aggregate("_spans", start, step), lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    clean = F.when(F.size("_spans") > 0, clean).otherwise(F.col("doc.text"))
+    clean = let(F.aggregate("spans", start, step), lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    clean = F.when(F.size("spans") > 0, clean).otherwise(F.col("doc.text"))
     return rows.select(*[(clean if c == "text" else F.col("doc")[c]).alias(c) for c in docs.columns])
