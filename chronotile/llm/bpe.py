@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = (4, 8, 12, 16, 24, 32, 64, 128, 256)
 #: Characters of text that one matrix pass takes in, and pieces that a worker remembers between passes.
-PASS_CHARS, REMEMBERED = 2_000_000, 250_000
+PASS_CHARS, REMEMBERED = 1_000_000, 150_000
 _NONE = np.int32(2**31 - 1)
 
 

@@ -17,18 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronotile.llm.common import attach, join_ids, saved, shuffle_partitions
 from chronotile.llm.components import components
-from chronotile.llm.shingles import mixed, shingle_sets
+from chronotile.llm.shingles import mixed, passes, shingle_sets
 
 WIDTH, PERCENT = 5, 80
 #: Members of a bucket that one tree takes; a larger bucket is split, and its parts are compared in pairs.
 TREE_MEMBERS, FANOUT = 512, 8
-#: Tokens of all prefixes that one hash bucket takes on average.
-BUCKET_TOKENS = 1_000_000
+#: Tokens of all prefixes that one hash bucket takes on average; characters of text that a worker hashes at a time.
+BUCKET_TOKENS, PIECE_CHARS = 500_000, 4_000_000
 #: What two classes are told apart by: 128 bits of digest and the number of shingles.
 CLASS = ("mark", "check", "n_shingles")
 
@@ -45,8 +46,15 @@ def _marks(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return one.view(np.int64), two.view(np.int64)
 
 
-def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole rows of the batches in pieces of about PIECE_CHARS characters, so that a worker's sets and sorts stay small."""
     for batch in batches:
+        for first, last in passes(batch["text"].tolist(), PIECE_CHARS):
+            yield batch.iloc[first:last]
+
+
+def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in _pieces(batches):
         sets = shingle_sets(batch["text"].tolist(), WIDTH)
         one, two = _marks(sets)
         yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [len(x) for x in sets], "mark": one, "check": two})
@@ -60,7 +68,7 @@ def _dealt(buckets: int):
     """Rows (bucket, marks, counts, tokens, credit_marks, credits): the smallest hashes of all classes of a batch, dealt by hash."""
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _pieces(batches):
             sets = shingle_sets(batch["text"].tolist(), WIDTH)
             marks, _ = _marks(sets)
             firsts = {int(m): k for k, m in enumerate(marks) if len(sets[k])}
@@ -108,7 +116,7 @@ def _credited(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+    for batch in _pieces(batches):
         sets = shingle_sets(batch["text"].tolist(), WIDTH)
         one, two = _marks(sets)
         columns = {"doc_id": batch["doc_id"], "mark": one, "check": two, "n_shingles": [len(x) for x in sets]}
@@ -257,17 +265,14 @@ def _bucket_pairs(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(max(x), min(x)) for x in pairs], columns=["u", "v"], dtype="int64")
 
 
-def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        tokens = [np.asarray(x, np.int64) for x in batch["tokens"]]
-        columns = {"node": batch["node"], "n": batch["n"], "held": [len(x) for x in tokens]}
-        yield pd.DataFrame(columns | {"bitmap": [bitmap(x).tobytes() for x in tokens]})
-
-
-def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, n, held (tokens) and bitmap; the tokens are read where Arrow has put them."""
     for batch in batches:
-        sides = zip(batch["tokens"], batch["other"], batch["n"].tolist(), batch["m"].tolist(), strict=True)
-        yield batch.loc[[similar(shared_tokens(np.sort(a), np.sort(b)), n, m) for a, b, n, m in sides], ["u", "v"]]
+        lists = batch.column("tokens")
+        values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        bitmaps = [bitmap(values[a:b]).tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        columns = [batch.column("node"), batch.column("n"), pa.array(np.diff(ends), pa.int64()), pa.array(bitmaps, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "n", "held", "bitmap"])
 
 
 def _survivors(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -338,12 +343,13 @@ def _other_links(members: DataFrame, candidates: DataFrame) -> DataFrame:
     every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
     met = F.transform(every, lambda k: F.concat_ws("-", F.least(k, part), F.greatest(k, part)))
     where = F.when(F.col("parts") <= 2, F.array(F.lit("0"))).otherwise(met)
-    signed = candidates.mapInPandas(_signed, "node long, n long, held long, bitmap binary")
+    signed = candidates.select("node", "n", "tokens").mapInArrow(_signed, "node long, n long, held long, bitmap binary")
     full = members.select("node", "comp", "token", F.explode(where).alias("part")).join(signed, "node")
     pairs = full.groupBy("token", "part").applyInPandas(lambda _, x: _bucket_pairs(x), "u long, v long").distinct()
     left = candidates.select(F.col("node").alias("u"), "n", "tokens")
     right = candidates.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("tokens").alias("other"))
-    return saved(pairs.join(left, "u").join(right, "v").mapInPandas(_compared, "u long, v long"))
+    both = F.size(F.array_intersect("tokens", "other"))
+    return saved(pairs.join(left, "u").join(right, "v").filter(100 * both >= PERCENT * (F.col("n") + F.col("m") - both)).select("u", "v"))
 
 
 def _all_links(candidates: DataFrame) -> DataFrame:
@@ -352,7 +358,7 @@ def _all_links(candidates: DataFrame) -> DataFrame:
     First each class meets others in the largest of its buckets, its home. A bucket whose members all have one home, a home itself, and a
     bucket in one component by then are done; the others follow.
     """
-    heads = saved(candidates.select("node", F.explode("head").alias("token")))
+    heads = candidates.select("node", F.explode("head").alias("token"))
     open_ = _open_buckets(heads.withColumn("comp", F.col("node")).withColumn("home", F.lit(None).cast("long"))).drop("home")
     largest = heads.join(open_, "token").groupBy("node").agg(F.max(F.struct("d", "token", "parts")).alias("c"))
     homes = saved(largest.select("node", F.col("c.token").alias("home"), F.col("c.parts").alias("parts")))
@@ -361,7 +367,8 @@ def _all_links(candidates: DataFrame) -> DataFrame:
 
     whole = homes.filter("parts = 1").drop("parts")
     state = candidates.select("node").join(linked, "node", "left").join(whole, "node", "left")
-    rows = heads.join(state.select("node", F.coalesce("component", "node").alias("comp"), "home"), "node")
+    state = candidates.select("node", "head").join(state.select("node", F.coalesce("component", "node").alias("comp"), "home"), "node")
+    rows = state.select("node", "comp", "home", F.explode("head").alias("token"))
     left = _open_buckets(rows).filter("home is null")
     left = saved(left.join(whole.select(F.col("home").alias("token")).distinct(), "token", "left_anti").select("token", "parts"))
     if left.isEmpty():

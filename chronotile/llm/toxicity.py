@@ -30,7 +30,7 @@ VOCABULARY, PREFIXES = 8000, (3, 4, 5, 6, 7)
 #: At least so many passes over the sample and so many steps of so many segments of so many tokens.
 EPOCHS, STEPS, STEP_SEGMENTS, SEGMENT, RATE, L2 = 5, 200, 256, 128, 0.5, 1e-5
 THRESHOLD, SPAN = 0.7, 0.5
-_CELLS, _FILTER_BITS = 1_000_000, 18
+_CELLS, _FILTER_BITS = 250_000, 18
 
 
 @dataclass
