@@ -1,8 +1,9 @@
 """Layout-aware text of HTML pages.
 
-A small tree builder closes elements that HTML lets authors leave open; visibility rules drop what a browser would not show; the renderer
-emits all other text with blocks on lines of their own, blank lines around paragraphs, list markers with indentation, and
-table cells padded to columns.
+A scanner reads a page forwards once. A small tree builder closes elements that HTML lets authors leave open and opens rows that they
+leave out; visibility rules drop what a browser would not show; the renderer emits all other text with blocks on lines of their own,
+blank lines around paragraphs, list markers with indentation, and table cells padded to columns. Time grows with the length of the
+page, whatever its markup: open elements are found by name, not by a walk, and no part of a page is scanned again.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 import sys
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,10 +20,14 @@ from pyspark.sql import functions as F
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title iframe object svg math datalist audio video canvas select".split())
+HIDDEN = frozenset("head script style template noscript title iframe object svg math datalist audio video canvas".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr form fieldset".split())
-BLOCK = SPACED | frozenset("html body div section article main header footer nav aside li dt dd tr caption thead tbody tfoot td th address details summary figcaption legend".split())
+BLOCK = SPACED | frozenset(
+    "html body div section article main header footer nav aside li dt dd tr caption thead tbody tfoot td th address details summary "
+    "figcaption legend dialog select option optgroup".split()
+)
+ROWS = frozenset("table thead tbody tfoot".split())
 #: A start tag closes the nearest open element of the first set, unless one of the second set is nearer.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol"}),
@@ -33,77 +39,165 @@ IMPLIED = {
     "thead": ({"thead", "tbody", "tfoot"}, {"table"}),
     "tbody": ({"thead", "tbody", "tfoot"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot"}, {"table"}),
+    "option": ({"option"}, {"select"}),
     "body": ({"head"}, set()),
 }
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"""([^\s/=][^\s/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|(\S+)))?""")
+TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+BETWEEN = re.compile(r"[\s/]*")
+NAME = re.compile(r"[^\s/>][^\s/>=]*")
+EQUALS = re.compile(r"\s*=\s*")
+BARE = re.compile(r"[^\s>]*")
 UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+#: Widest indentation of list items; deeper ones keep it. Most columns of a cell, as in the standard.
+INDENT, SPAN = 80, 1000
 
 
-def _hidden(attributes: str) -> bool:
-    """Whether a tag has the attribute hidden, or a style that hides; values of other attributes do not count."""
-    for name, *values in ATTRIBUTE.findall(attributes):
-        if name.lower() == "hidden" or name.lower() == "style" and UNSEEN.search(html.unescape("".join(values))):
-            return True
-    return False
+class _Scanner:
+    """Tags and texts of a page from left to right."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.nowhere: dict[str, int] = {}
+        self.plain = False
+
+    def find(self, what: str, at: int) -> int:
+        """``page.find``; that something does not come any more is found out only once."""
+        if at >= self.nowhere.get(what, len(self.page) + 1):
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.nowhere[what] = at
+        return found
+
+    def attributes(self, at: int) -> tuple[int, dict[str, str], bool] | None:
+        """The end of the tag, its attributes, and whether it closes itself; None if it never ends."""
+        page, out = self.page, {}
+        while (at := BETWEEN.match(page, at).end()) < len(page):
+            if page[at] == ">":
+                return at + 1, out, page[at - 1] == "/"
+            name = NAME.match(page, at)
+            at, value = name.end(), ""
+            if equals := EQUALS.match(page, at):
+                at = equals.end()
+                quote = page[at : at + 1]
+                end = self.find(quote, at + 1) if quote in ('"', "'") and quote and not self.plain else -1
+                if end >= 0:
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    bare = BARE.match(page, at)
+                    value, at = bare[0], bare.end()
+            out.setdefault(name[0].lower(), value)
+        return None
+
+    def tokens(self) -> Iterator[tuple]:
+        """("text", text), ("open", tag, attributes, closed at once, end) and ("close", tag). A caller may send where to go on from."""
+        page, at = self.page, 0
+        while at < len(page):
+            start = self.find("<", at)
+            if start != at:
+                stop = start if start >= 0 else len(page)
+                yield "text", page[at:stop]
+                at = stop
+                continue
+            if page.startswith("<!--", at):
+                end = self.find("-->", at + 4)
+                at = end + 3 if end >= 0 else len(page)
+                continue
+            end = self.find(">", at)
+            if page[at + 1 : at + 2] in ("!", "?") and end >= 0:
+                at = end + 1
+                continue
+            tag = TAG.match(page, at) if end >= 0 else None
+            read = self.attributes(tag.end()) if tag else None
+            if tag and read is None:
+                # All ends of tags from here on lie in quoted values: from now on quotes are letters.
+                self.plain = True
+                read = self.attributes(tag.end())
+            if tag is None or read is None:
+                yield "text", "<"
+                at += 1
+            elif page[at + 1] == "/":
+                at = read[0]
+                yield "close", tag[1].lower()
+            else:
+                at = read[0]
+                more = yield "open", tag[1].lower(), read[1], read[2], at
+                if more is not None:
+                    at = more
+                    yield "text", ""
+
+
+def _shown(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether a browser shows the element; values of attributes other than style do not count."""
+    if tag in HIDDEN or "hidden" in attributes or tag == "dialog" and "open" not in attributes:
+        return False
+    return not UNSEEN.search(html.unescape(attributes.get("style", "")))
 
 
 def parse(page: str) -> list:
-    """The root node; a node is [tag, visible, children], a child is a node or a text."""
-    root: list = ["html", True, []]
-    stack, at = [root], 0
+    """The root node; a node is [tag, visible, children, columns], a child is a node or a text."""
+    root: list = ["html", True, [], 1]
+    stack, places = [root], defaultdict(list)
+
+    def push(node: list) -> None:
+        stack[-1][2].append(node)
+        places[node[0]].append(len(stack))
+        stack.append(node)
 
     def close(names: set[str], limits: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                del stack[k:]
-                return
-            if stack[k][0] in limits:
-                return
-
-    while found := TOKEN.match(page, at):
-        at = found.end()
-        slash, tag, attributes = found.groups()
-        if tag is None:
-            text = found[0]
-            if text[:2] not in ("<!", "<?"):
-                stack[-1][2].append(html.unescape(text))
+        nearest = max((places[n][-1] for n in names if places[n]), default=0)
+        if nearest and nearest > max((places[n][-1] for n in limits if places[n]), default=0):
+            while len(stack) > nearest:
+                places[stack.pop()[0]].pop()
+
+    scanner = _Scanner(page)
+    tokens = scanner.tokens()
+    for token in tokens:
+        if token[0] == "text":
+            if token[1]:
+                stack[-1][2].append(html.unescape(token[1]))
             continue
-        tag = tag.lower()
-        if slash:
+        tag = token[1]
+        if token[0] == "close":
             if tag == "br":
-                stack[-1][2].append(["br", True, []])
+                stack[-1][2].append(["br", True, [], 1])
             elif tag not in VOID:
-                close({tag}, {"td", "th", "table"} - {tag} if tag not in ("table", "tr", "thead", "tbody", "tfoot", "body", "html") else set())
+                outer = tag in ROWS or tag in ("tr", "body", "html")
+                close({tag}, set() if outer else {"td", "th", "table"} - {tag})
             continue
-        if tag in BLOCK:
+        _, _, attributes, at_once, end = token
+        if tag in BLOCK and tag not in ("option", "optgroup", "select"):
             close({"p"}, {"table", "td", "th", "li", "div", "body"})
         if tag in IMPLIED:
             close(*IMPLIED[tag])
-        node = [tag, tag not in HIDDEN and not (attributes and _hidden(attributes)), []]
+        span = attributes.get("colspan", "1")
+        node = [tag, _shown(tag, attributes), [], min(SPAN, max(1, int(span))) if span.isascii() and span.isdigit() and len(span) < 6 else 1]
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, end)
             if tag == "textarea" and node[1]:
-                stack[-1][2].append(html.unescape(page[at : end.start() if end else len(page)]))
-            at = end.end() if end else len(page)
-        elif tag == "html":
-            continue
-        else:
-            stack[-1][2].append(node)
-            if tag not in VOID and not attributes.endswith("/"):
-                stack.append(node)
+                stack[-1][2].append(html.unescape(page[end : stop.start() if stop else len(page)]))
+            tokens.send(stop.start() if stop else len(page))
+        elif tag != "html":
+            if tag in ("td", "th") and stack[-1][0] in ROWS:
+                push(["tr", True, [], 1])
+            if tag in VOID or at_once:
+                stack[-1][2].append(node)
+            else:
+                push(node)
                 if 4 * len(stack) + 1000 > sys.getrecursionlimit():
                     sys.setrecursionlimit(8 * len(stack) + 1000)  # the renderer recurses, three calls at most for an element
     return root
 
 
 class _Lines:
-    """Lines so far; text is collapsed on the way in, and at most one blank line separates blocks."""
+    """Lines so far; text is collapsed on the way in, and at most one blank line separates blocks, none within list items."""
 
     def __init__(self) -> None:
         self.done: list[str] = []
         self.now: list[str] = []
         self.gap = False
+        self.first = self.rest = ""
+        self.items = 0
 
     def text(self, text: str, keep: bool) -> None:
         if keep:
@@ -119,15 +213,30 @@ class _Lines:
         line = "".join(self.now)
         line = line.rstrip() if keep else re.sub(" {2,}", " ", line).strip(" ")
         self.now = []
-        if line or keep:
+        if line or keep and not self.items:
             if self.gap and self.done:
                 self.done.append("")
             self.gap = False
-            self.done.append(line)
+            self.done.append(self.first + line)
+            self.first = self.rest
 
     def space(self) -> None:
         self.end()
-        self.gap = True
+        self.gap = not self.items
+
+    def item(self, mark: str) -> tuple[str, str]:
+        """Begin a list item; what is returned ends it."""
+        self.end()
+        before = self.first, self.rest
+        self.first += mark
+        self.rest = (self.rest + " " * len(mark))[:INDENT]
+        self.items += 1
+        return before
+
+    def item_end(self, before: tuple[str, str], lines: int) -> None:
+        self.end()
+        self.items -= 1
+        self.first, self.rest = before if len(self.done) == lines else (before[1], before[1])
 
 
 def _table(node: list) -> list[str]:
@@ -141,14 +250,26 @@ def _table(node: list) -> list[str]:
                 before.append(" ".join(x.split()))
         elif x[1] and x[0] == "tr":
             before += [" ".join(c.split()) for c in x[2] if isinstance(c, str) and c.strip()]
-            rows.append([" ".join(y for y in render_lines(c) if y) for c in x[2] if not isinstance(c, str) and c[1]])
-        elif x[1] and x[0] in ("thead", "tbody", "tfoot"):
+            rows.append([(" ".join([y for y in render_lines(c) if y]), c[3]) for c in x[2] if not isinstance(c, str) and c[1]])
+        elif x[1] and x[0] in ROWS - {"table"}:
             todo += reversed(x[2])
         elif x[1]:
             before += [y for y in render_lines(x) if y]
-    rows = [r for r in rows if any(r)]
-    width = [max(len(r[k]) if k < len(r) else 0 for r in rows) for k in range(max(map(len, rows), default=0))]
-    return before + ["  ".join(c.ljust(width[k]) for k, c in enumerate(r)).rstrip() for r in rows]
+    rows = [r for r in rows if any(text for text, _ in r)]
+    width: dict[int, int] = {}
+    for r in rows:
+        column = 0
+        for text, span in r:
+            width[column] = max(width.get(column, 0), len(text) if span == 1 else 0)
+            column += span
+    lines = []
+    for r in rows:
+        column, cells = 0, []
+        for text, span in r:
+            cells.append(text.ljust(sum(width.get(k, 0) for k in range(column, column + span)) + 2 * (span - 1)))
+            column += span
+        lines.append("  ".join(cells).rstrip())
+    return before + lines
 
 
 def render_lines(node: list) -> list[str]:
@@ -172,12 +293,9 @@ def _render(node: list, out: _Lines, keep: bool) -> None:
             out.end(True)
         elif tag == "li":
             number += 1
-            out.end()
-            mark = f"{number}. " if node[0] == "ol" else "- "
-            lines = [y for y in render_lines(x) if y]
-            for k, line in enumerate(lines):
-                out.now = [" " * len(mark) + line if k else mark + line]
-                out.end(True)
+            before, lines = out.item(f"{number}. " if node[0] == "ol" else "- "), len(out.done)
+            _render(x, out, False)
+            out.item_end(before, lines)
         elif tag == "table":
             out.space()
             for line in _table(x):
@@ -198,7 +316,12 @@ def visible_text(page: str | None) -> str:
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
-    """page_id and text of every row of ``pages`` (page_id, html). Rows are rendered alone, so repeated rows, null ids and extra columns change nothing."""
+    """page_id and text of every row of ``pages`` (page_id, html).
+
+    Rows are rendered alone, so repeated rows, null ids and extra columns change nothing; a null page has an empty text, an empty table an
+    empty result, and a very long page is rendered whole, in time that grows with its length. Style sheets are not read: elements are
+    hidden by their own attributes and names only.
+    """
 
     def extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -1,3 +1,6 @@
+import time
+from html.parser import HTMLParser
+
 from chronotile.llm import html_text
 from chronotile.llm.html_text import visible_text
 
@@ -36,6 +39,70 @@ def test_table_of_pages(spark):
     assert len(rows) == pages.count() and all("<" not in r.text and "track(" not in r.text for r in rows)
 
 
+class Words(HTMLParser):
+    """Visible words of a page in order, by Python's own parser and no layout."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.words = [], []
+
+    def handle_starttag(self, tag, attrs):
+        at = dict(attrs)
+        shown = tag not in html_text.HIDDEN and "hidden" not in at and not html_text.UNSEEN.search(at.get("style") or "")
+        if tag in ("p", "li", "td", "th", "tr") and any(t == tag for t, _ in self.open[-1:]):
+            self.open.pop()
+        if tag not in html_text.VOID:
+            self.open.append((tag, shown))
+        if tag in html_text.BLOCK or tag == "br":
+            self.words.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in [t for t, _ in self.open]:
+            while self.open.pop()[0] != tag:
+                pass
+        if tag in html_text.BLOCK:
+            self.words.append(" ")
+
+    def handle_data(self, data):
+        if all(shown for _, shown in self.open):
+            self.words.append(data)
+
+
+def test_words_match_a_plain_parser(spark):
+    marks = {"-"} | {f"{k}." for k in range(200)}
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        plain = Words()
+        plain.feed(r.html or "")
+        plain.close()
+        want = [w for w in "".join(plain.words).split() if w not in marks]
+        assert [w for w in visible_text(r.html).split() if w not in marks] == want, r.page_id
+
+
+def test_broken_pages_take_time_in_proportion():
+    start = time.time()
+    for page in ("<a ", '<a href="', "<a x='>\"", '<a ">"', '<a x=">" ', "<!", "<!--", "</", "<b>", "<hr><i>", "<td>", "<li><b></td>", "<ul><li>"):
+        visible_text(page * (100_000 // len(page)))
+        visible_text(page * (100_000 // len(page)) + ">")
+    assert time.time() - start < 40
+
+
+def test_rules_of_visibility():
+    assert visible_text("<p style=display:none>a</p><dialog>b</dialog><dialog open>c</dialog>d") == "c\nd"
+    assert visible_text("<select><option>one<option selected>two</select>") == "one\ntwo"
+    assert visible_text("<p title=it's>text</p><a href='x>y'>z</a> it's <b class=\"w>v\">more</b>") == "text\n\nz it's more"
+    assert visible_text("a<p title=\"never closed>b</p>c") == "a\n\nb\n\nc"
+
+
+def test_rows_that_are_left_out():
+    assert visible_text("<table><td>a<td>b<tr><td>long<td>d</table>") == "a     b\nlong  d"
+    assert visible_text("<table><tr><td colspan=2>both columns<tr><td>a<td>b</table>") == "both columns\na  b"
+
+
+def test_deep_lists():
+    assert visible_text("<ul><li><ul><li>x</ul><li><p>y<p>z</ul>w") == "- - x\n- y\n  z\n\nw"
+    assert visible_text("<ul><li>a" * 3000).count("a") == 3000
+
+
 def test_visible_text_is_not_lost():
     assert visible_text('<p title="the hidden cost">text</p><div class="menu hidden wide">more</div>') == "text\n\nmore"
     assert visible_text("<p class=a hidden>b</p><p style=\"color: red; display : none\">c</p><p style='backface-visibility: hidden'>d</p>") == "d"
