@@ -1,7 +1,7 @@
 """Nearest neighbours by a block matrix join.
 
-Queries and rows are dealt into blocks, and every query block meets every row block once. In a task, int8 codes of a tile are multiplied
-(exactly, in float32) and scaled to estimates of the cosine; the residuals of the codes bound each estimate's error.
+Queries and rows are dealt into large blocks, in their own type, and every query block meets every row block once. In a task, int8 codes
+of a tile are multiplied exactly and scaled to estimates of the cosine; the residuals of the codes bound each estimate's error.
 Only pairs whose upper bound reaches the best lower bounds are computed again from the original vectors in double precision,
 and heaps keep each query's best. No candidate is lost: the result is exact.
 """
@@ -17,11 +17,17 @@ from pyspark.sql import functions as F
 
 from chronotile.llm.common import saved
 
-K, QUERY_BLOCK, ROW_BLOCK, TILE, PAIRS = 5, 1024, 8192, 2048, 100_000
+K, PAIRS = 5, 100_000
+#: Numbers of a query block and of a row block (a row block has at least LEAST_ROWS rows while tasks are idle); queries and rows of a tile.
+QUERY_BLOCK, ROW_BLOCK, LEAST_ROWS, QUERY_TILE, TILE = 500_000, 2_000_000, 2048, 1024, 2048
+#: Components up to which sums of products of codes are whole numbers in float32.
+FLOAT_COMPONENTS = 1000
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array([np.asarray(x, np.float64) for x in column], np.float64).reshape(len(column), -1)
+    """Vectors as doubles, each times the power of two that brings its greatest component near 1, which is exact and leaves cosines as they are."""
+    vectors = np.array([np.asarray(x, np.float64) for x in column], np.float64).reshape(len(column), -1)
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1))[1][:, None])
 
 
 class Codes:
@@ -62,12 +68,20 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
     """Each query's k best (cosine, -id) of the rows with another id, best first."""
     keep = _distinct(ids, vectors)
     ids, vectors = ids[keep], vectors[keep]
+    out = []
+    for at in range(0, len(query_ids), QUERY_TILE):
+        out += _search_tiles(query_ids[at : at + QUERY_TILE], queries[at : at + QUERY_TILE], ids, vectors, k)
+    return out
+
+
+def _search_tiles(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
+    exact = np.float32 if vectors.shape[1] <= FLOAT_COMPONENTS else np.float64
     q, heaps = Codes(queries), [[] for _ in query_ids]
     reached = np.full(len(query_ids), -np.inf)
     for at in range(0, len(ids), TILE):
         own, rows = ids[at : at + TILE], vectors[at : at + TILE]
         c = Codes(rows)
-        estimate = (q.codes.astype(np.float32) @ c.codes.astype(np.float32).T) * q.scale[:, None] * c.scale
+        estimate = (q.codes.astype(exact) @ c.codes.astype(exact).T) * q.scale[:, None] * c.scale
         bound = (1 + q.missed[:, None]) * c.missed + q.missed[:, None] + 1e-9
         lower, upper = estimate - bound, estimate + bound
         itself = query_ids[:, None] == own
@@ -97,17 +111,20 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = K) -> DataFrame:
 
     Ties go to the smaller vec_id. Vectors that are null, zero, or hold null or non-finite components, and rows without a vec_id, take no part;
     only vectors of one length are compared. Rows repeated whole count once; a query id with several vectors asks with the least of them.
-    Fewer rows than k give all of them.
+    Fewer rows than k give all of them; an empty table gives none; extra columns are ignored.
     """
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & _usable(F.col("embedding")))
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & _usable(F.col("embedding")))
     queries = saved(rows.filter(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
-    query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    row_blocks = max(1, -(-rows.count() // ROW_BLOCK))
-    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
+    number, longest = rows.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    longest = max(1, longest or 1)
+    tasks = min(embeddings.sparkSession.sparkContext.defaultParallelism, -(-number // LEAST_ROWS))
+    query_blocks = max(1, -(-queries.count() * longest // QUERY_BLOCK))
+    row_blocks = max(1, tasks, -(-number * longest // ROW_BLOCK))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     length = F.size("embedding").alias("length")
-    asked = queries.select(length, dealt(query_blocks).alias("qb"), every(row_blocks).alias("rb"), "vec_id", "embedding")
-    there = rows.select(length, every(query_blocks).alias("qb"), dealt(row_blocks).alias("rb"), "vec_id", "embedding")
+    asked = queries.select(length, F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).alias("qb"), every(row_blocks).alias("rb"), "vec_id", "embedding")
+    place = F.pmod(F.monotonically_increasing_id(), F.lit(row_blocks)).alias("rb")  # any place will do; rows that repeat an id spread too
+    there = rows.select(length, every(query_blocks).alias("qb"), place, "vec_id", "embedding")
 
     def tile(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):

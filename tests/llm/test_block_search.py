@@ -27,8 +27,9 @@ def got(df):
 
 
 def test_matches_brute_force_with_ties_and_odd_vectors(spark, monkeypatch):
-    monkeypatch.setattr(block_search, "ROW_BLOCK", 100)
-    monkeypatch.setattr(block_search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(block_search, "ROW_BLOCK", 800)
+    monkeypatch.setattr(block_search, "QUERY_BLOCK", 24)
+    monkeypatch.setattr(block_search, "QUERY_TILE", 2)
     monkeypatch.setattr(block_search, "TILE", 30)
     rng = random.Random(3)
     rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(400)]
@@ -48,3 +49,23 @@ def test_driver_table_against_brute_force(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
     assert got(block_search.nearest(df, F.col("vec_id") % 50 == 0)) == brute(rows)
+
+
+def test_very_large_and_small_components(spark):
+    rng = random.Random(9)
+    base = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(40)]
+    rows = [(i, [x * 10.0 ** rng.choice((-200, 0, 200)) for x in v]) for i, v in enumerate(base)]
+    far = [(i, [x * s for x in v]) for (i, v), s in zip(enumerate(base), [1e250, 1e-250] * 20, strict=True)]
+    shape = "vec_id long, embedding array<double>"
+    near = {(q, n): i for q, n, i, _ in got(block_search.nearest(spark.createDataFrame(list(enumerate(base)), shape), F.col("vec_id") % 5 == 0))}
+    assert {(q, n): i for q, n, i, _ in got(block_search.nearest(spark.createDataFrame(far, shape), F.col("vec_id") % 5 == 0))} == near
+    assert all(math.isfinite(s) for *_, s in got(block_search.nearest(spark.createDataFrame(rows, shape), F.col("vec_id") % 5 == 0)))
+
+
+def test_many_components_stay_exact():
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(60, 4000))
+    found = block_search.search_block(np.arange(5), vectors[:5], np.arange(60), vectors, 3)
+    cos = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).T
+    np.fill_diagonal(cos, -2)
+    assert [[-i for _, i in f] for f in found] == np.argsort(-cos[:5], axis=1)[:, :3].tolist()
