@@ -21,8 +21,9 @@ from chronotile.llm.shingles import passes
 
 BITS, LONGEST = 14, 3
 FEATURES = 1 << BITS
-#: Most documents of one language, and of all, that the fit takes; the smallest hashes of doc_id are chosen.
-SAMPLE_PER_LANGUAGE, SAMPLE = 1000, 8000
+#: Most documents of one language, and of all, that the fit takes, and the longest of them in characters; the smallest hashes of doc_id are
+#: chosen, each document as a whole. Parts of a language that are ranked on their own before they meet.
+SAMPLE_PER_LANGUAGE, SAMPLE, SAMPLE_LONGEST, PARTS = 1000, 8000, 200_000, 64
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 1.0, 1.0, 0.05, 0.5
 _LETTER = np.array([chr(k).isalpha() for k in range(0x10000)])
 
@@ -82,12 +83,12 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def fit(texts: list[str], languages: list[str], idf: np.ndarray) -> Model:
-    """Train on (text, language) pairs; every fifth of them is kept for the temperature."""
+def fit(found: list[tuple[np.ndarray, np.ndarray]], languages: list[str], idf: np.ndarray) -> Model:
+    """Train on the n-grams (features, counts) of documents and their languages; every fifth of them is kept for the temperature."""
     names = sorted(set(languages))
     model = Model(names, idf, np.zeros((FEATURES, len(names))), np.zeros(len(names)))
     label = np.array([names.index(x) for x in languages])
-    grams = [(k, *g) for k, g in enumerate(ngrams(texts)) if len(g[0])]
+    grams = [(k, *g) for k, g in enumerate(found) if len(g[0])]
     shuffled = [grams[k] for k in np.random.default_rng(7).permutation(len(grams))]
     held, train = (shuffled[::5], [x for k, x in enumerate(shuffled) if k % 5]) if len(shuffled) >= 50 else (shuffled, shuffled)
     z, n = np.zeros((FEATURES + 1, len(names))), np.zeros((FEATURES + 1, len(names)))
@@ -124,18 +125,34 @@ def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"feature": np.append(-1, np.flatnonzero(df)), "df": np.append(n, df[df > 0])})
 
 
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        grams = list(ngrams(batch["text"].tolist()))
+        packed = {"features": [x.astype("<i4").tobytes() for x, _ in grams], "counts": [n.astype("<i4").tobytes() for _, n in grams]}
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"]} | packed)
+
+
 def train(docs: DataFrame) -> Model:
-    """A model learned from text and lang of the documents in the learning fold; without any, one that knows no language."""
+    """A model learned from text and lang of the documents in the learning fold; without any, one that knows no language.
+
+    Executors count the n-grams; the driver gets no text, only the counts of at most SAMPLE documents.
+    """
     learn = docs.filter(in_fold(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counts = learn.select("text").mapInPandas(_frequencies, "feature int, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect()
     df = np.zeros(FEATURES + 1)
     for row in counts:
         df[row.feature] = row.df
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = learn.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE_PER_LANGUAGE).orderBy("rank", "lang").limit(SAMPLE).select("doc_id").distinct()
-    sample = learn.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    return fit(sample["text"].tolist(), sample["lang"].tolist(), idf)
+    order = (F.xxhash64("doc_id"), "doc_id")
+    first = Window.partitionBy("lang", "part").orderBy(*order)
+    ids = learn.filter(F.length("text") <= SAMPLE_LONGEST).select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part"))
+    ids = ids.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= SAMPLE_PER_LANGUAGE).drop("rank", "part")
+    ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= SAMPLE_PER_LANGUAGE)
+    ids = ids.orderBy("rank", "lang").limit(SAMPLE).select("doc_id").distinct()
+    sample = learn.filter(F.length("text") <= SAMPLE_LONGEST).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    sample = sample.mapInPandas(_counted, "doc_id long, lang string, features binary, counts binary").toPandas().sort_values("doc_id")
+    found = [(np.frombuffer(x, "<i4"), np.frombuffer(n, "<i4")) for x, n in zip(sample["features"], sample["counts"], strict=True)]
+    return fit(found, sample["lang"].tolist(), idf)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -153,6 +170,8 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of ``docs`` (doc_id, text, lang).
 
     Rows are predicted alone, so repeated rows and null doc_ids are rows like others (a null doc_id is never learned from nor held out);
-    extra columns are ignored; without learnable rows everything is ``und``.
+    a very long text is predicted whole, in one task; extra columns are ignored; without learnable rows everything is ``und``; an empty
+    table gives an empty result. Of languages with equal probabilities the first by name is given.
     """
-    return identify(docs, train(docs)).select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out")
+    return identify(docs, train(docs)).select("doc_id", held_out, "lang_pred", "score")

@@ -1,4 +1,5 @@
 import itertools
+import math
 import zlib
 
 import numpy as np
@@ -29,6 +30,40 @@ def test_language_never_reads_held_out_labels(make_docs):
     assert language_id.identify_languages(make_docs().limit(0)).count() == 0
 
 
+def test_training_follows_the_plain_leader():
+    """Weights against follow-the-regularised-leader written out with dictionaries, one weight at a time."""
+    texts = ["the cat sat", "der Hund lief", "a dog ran", "die Katze saß", "the end", "das Ende"] * 4
+    langs = ["en", "de", "en", "de", "en", "de"] * 4
+    grams = list(language_id.ngrams(texts))
+    idf = 1 + np.arange(language_id.FEATURES) % 5 / 10
+    model = language_id.fit(grams, langs, idf)
+    z, n = {}, {}
+
+    def weight(j, c):
+        zj, nj = z.get((j, c), 0.0), n.get((j, c), 0.0)
+        if abs(zj) <= language_id.L1:
+            return 0.0
+        return -(zj - math.copysign(language_id.L1, zj)) / ((language_id.BETA + math.sqrt(nj)) / language_id.ALPHA + language_id.L2)
+
+    for _ in range(language_id.EPOCHS):
+        for k in np.random.default_rng(7).permutation(len(grams)).tolist():
+            found, counts = grams[k]
+            x = {j: (1 + math.log(m)) * idf[j] for j, m in zip(found.tolist(), counts.tolist(), strict=True)}
+            size = math.sqrt(sum(v * v for v in x.values()))
+            x = {j: v / size for j, v in x.items()} | {language_id.FEATURES: 1.0}
+            score = [sum(v * weight(j, c) for j, v in x.items()) for c in (0, 1)]
+            top = sum(math.exp(s) for s in score)
+            for c in (0, 1):
+                error = math.exp(score[c]) / top - (("de", "en")[c] == langs[k])
+                for j, v in x.items():
+                    g, old = v * error, n.get((j, c), 0.0)
+                    w = weight(j, c)
+                    z[j, c] = z.get((j, c), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / language_id.ALPHA * w
+                    n[j, c] = old + g * g
+    want = np.array([[weight(j, c) for c in (0, 1)] for j in range(language_id.FEATURES + 1)])
+    assert np.allclose(np.vstack([model.weights, model.bias]), want) and (model.weights == 0).mean() > 0.5
+
+
 def test_toxicity_of_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
     rows = toxicity.score_documents(docs, labels).join(labels, "doc_id").filter("held_out").select("doc_id", "toxic", "predicted", "score").collect()
