@@ -86,13 +86,30 @@ def _folded(items: DataFrame) -> DataFrame:
     return blocks.select("key", "block", folded.alias("f")).select("key", "block", "f.live", "f.c", "f.out")
 
 
+def _even(items: DataFrame, blocks: int) -> tuple[DataFrame, int]:
+    """Items with blocks of a bounded size, and the number of blocks.
+
+    Hashes of different ids make even blocks. Rows that share id and size, such as those without an id, share a hash, and a block that
+    they swell is split by the rows' number in the input.
+    """
+    large = items.groupBy("key", "block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 4 * BLOCK)
+    large = saved(large.select("key", "block", F.ceil(F.col("n") / BLOCK).alias("parts")))
+    most = large.agg(F.max("parts")).first()[0]
+    if most is None:
+        return items.drop("number"), blocks
+    part = F.coalesce(1 + F.pmod("number", "parts"), F.lit(0))
+    split = items.join(large.hint("merge"), ["key", "block"], "left")
+    return split.withColumn("block", F.col("block") + blocks * part).drop("number", "parts"), blocks * (1 + most)
+
+
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, copies, taken.
 
     copies is 0, 1 or 2 and taken is copies times size. A source's taken words differ from its target by at most half of
     one of its documents, the last residual, which is rounded to the nearer side; every other step keeps all expectations. Random
-    numbers are hashes of seed, level and doc_id, so reruns agree. A null text has no words, a null source is a source of its own, an empty document
-    takes nothing, rows with a repeated or null doc_id are rounded as documents of their own.
+    numbers are hashes of seed, level and doc_id, so reruns agree. A null text has no words, a null source is a source of its own, an empty
+    document takes nothing, rows with a repeated or null doc_id are rounded as documents of their own. A very long text is a document
+    like others; extra columns are ignored; an empty table gives an empty result.
     """
     return _mixed(docs.select("doc_id", "text", "source", F.lit(0).cast("long").alias("row")), seed).drop("row")
 
@@ -108,9 +125,10 @@ def _mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
     noise = lambda level: F.xxhash64(F.lit(seed), F.lit(level), "item.doc_id", "item.size").bitwiseAND(2**53 - 1) / float(2**53)
     blocks = max(1, -(-total // BLOCK))
     prepared = joined.withColumn("base", whole.cast("long")).withColumn("p", F.when(_whole(rate) | (F.col("size") == 0), F.lit(0.0)).otherwise(rate - whole))
-    items = saved(
-        prepared.select("key", "source", F.pmod(F.xxhash64(F.lit(seed), "key", "doc_id", "size"), F.lit(blocks)).alias("block"), F.struct((-F.col("size")).alias("order"), "doc_id", "size", "base", "p", F.lit(0.0).alias("u"), "source_size", "target", "row").alias("item"))
-    )
+    block = F.pmod(F.xxhash64(F.lit(seed), "key", "doc_id", "size"), F.lit(blocks)).alias("block")
+    item = F.struct((-F.col("size")).alias("order"), "doc_id", "size", "base", "p", F.lit(0.0).alias("u"), "source_size", "target", "row")
+    items = saved(prepared.select("key", block, F.monotonically_increasing_id().alias("number"), item.alias("item")))
+    items, blocks = _even(items, blocks)
     decided = [items.filter("item.p = 0").select("key", "item")]
     open_ = items.filter("item.p > 0").select("key", "block", "item")
     level = 0

@@ -84,3 +84,12 @@ def test_mixed_docs_of_repeated_and_null_ids(make_docs):
     for r in mixing.mix(docs).collect():
         want[r.source] = want.get(r.source, 0) + r.taken
     assert taken == want
+
+
+def test_hot_rows_without_an_id_are_split(make_docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 8)
+    texts = [(None, "w w w", "s0") for _ in range(400)] + [(k, "w " * (k % 6), f"s{k % 3}") for k in range(60)] + [(900, "long " * 20000, "s1")]
+    docs = make_docs(*texts)
+    check(mixing.mix(docs).collect(), texts)
+    clash = docs.withColumns({c: mixing.F.lit("x") for c in ("copies", "_copy", "row", "doc", "at", "taken")})
+    assert mixing.mixed_docs(clash).columns == clash.columns
