@@ -3,7 +3,7 @@
 A text is cut where its own content says so, so equal texts are cut alike. Each document becomes the ordered list of
 its chunks' 64-bit fingerprints. Every chunk's bytes are moved once, into a dictionary that shows which fingerprints
 stand for exactly one chunk: those are verified identifiers. Two documents are equal when their identifier lists are.
-A fingerprint that two different chunks share is replaced by the chunk itself, so the comparison stays exact.
+If two different chunks share a fingerprint, all identifiers of the run are lengthened by a 256-bit digest of the chunk.
 """
 
 from __future__ import annotations
@@ -11,11 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronotile.llm.common import ascii_lower, attach, saved
+from chronotile.llm.common import ascii_lower, attach, join_ids, saved
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
-#: A chunk ends after a vowel, a blank and one of these letters, at the first such place from MIN_CHUNK on.
-CHUNKS = rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK - 1}}}?(?<=[aeiou] [a-h])|.{{1,{MAX_CHUNK}}}"
+#: In other scripts than Latin a chunk ends after one of these characters: every 16th code point of the scripts with small alphabets, and
+#: beyond them the first 16 of each row of 256.
+_SMALL = "".join(rf"\x{{{code:x}}}" for code in range(0x400, 0x2000, 16))
+_OTHERS = _SMALL + "".join(rf"\x{{{row:x}00}}-\x{{{row:x}0f}}" for row in range(0x20, 0x100) if not 0xD8 <= row < 0xE0)
+#: A chunk ends after a vowel, a blank and one of these letters, or after one of _OTHERS, at the first such place from MIN_CHUNK on.
+CHUNKS = rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK - 1}}}?(?:(?<=[aeiou] [a-h])|(?<=[[^\x00-\x{{3ff}}]&&[{_OTHERS}]]))|.{{1,{MAX_CHUNK}}}"
 _LOWEST = "-9223372036854775809"
 
 
@@ -36,30 +40,23 @@ def exact_groups(docs: DataFrame, fingerprint=F.xxhash64) -> DataFrame:
 def _grouped(docs: DataFrame, fingerprint=F.xxhash64, *carried: str) -> DataFrame:
     """``exact_groups`` with the columns ``carried`` of each row as they are."""
     base = docs.select("doc_id", "text", *carried)
-    recipes = saved(
-        base.select(
-            "doc_id",
-            *carried,
-            F.transform(_chunks(F.col("text")), lambda c: fingerprint(c)).alias("recipe"),
-            F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256).alias("text_sha256"),
-            F.monotonically_increasing_id().alias("_row"),
-        )
-    )
     dictionary = base.select(F.explode(_chunks(F.col("text"))).alias("chunk")).select(fingerprint(F.col("chunk")).alias("mark"), "chunk").distinct()
-    shared = saved(dictionary.groupBy("mark").count().filter("count > 1").select("mark"))
-    if shared.isEmpty():
-        recipes = recipes.withColumn("recipe", F.transform("recipe", lambda x: F.hex(x)))
-    else:
-        recipes = saved(_spelled_out(base, recipes, shared, fingerprint))
+    shared = dictionary.groupBy("mark").count().filter("count > 1").limit(1).count()
 
-    code = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(_LOWEST).cast("decimal(20,0)")) * F.lit("1" + "0" * 18).cast("decimal(19,0)")
-    recipes = recipes.withColumn("_code", (code.cast("decimal(38,0)") + F.col("_row") % F.lit(10**18)).cast("decimal(38,0)"))
-    groups = saved(
-        recipes.groupBy("recipe")
-        .agg(F.max("doc_id").alias("keep_id"), F.max("_code").alias("_best"), F.count(F.lit(1)).alias("group_size"))
-        .filter("group_size > 1")
+    def identifier(chunk: Column) -> Column:
+        return F.concat_ws(":", F.hex(fingerprint(chunk)), F.sha2(chunk, 256)) if shared else F.hex(fingerprint(chunk))
+
+    recipes = base.select(
+        "doc_id",
+        *carried,
+        F.transform(_chunks(F.col("text")), identifier).alias("recipe"),
+        F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256).alias("text_sha256"),
+        F.monotonically_increasing_id().alias("_row"),
     )
-    return attach(recipes, groups, "recipe").select(
+    code = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(_LOWEST).cast("decimal(20,0)")) * F.lit("1" + "0" * 18).cast("decimal(19,0)")
+    recipes = saved(recipes.withColumn("_code", (code.cast("decimal(38,0)") + F.col("_row") % F.lit(10**18)).cast("decimal(38,0)")).drop("_row"))
+    groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.max("_code").alias("_best"), F.count(F.lit(1)).alias("group_size"))
+    return attach(recipes, saved(groups.filter("group_size > 1")), "recipe").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).alias("group_size"),
@@ -69,24 +66,8 @@ def _grouped(docs: DataFrame, fingerprint=F.xxhash64, *carried: str) -> DataFram
     )
 
 
-def _spelled_out(base: DataFrame, recipes: DataFrame, shared: DataFrame, fingerprint) -> DataFrame:
-    """Recipes in which a fingerprint of several chunks gives way to the chunk's own text."""
-    numbered = base.select(F.monotonically_increasing_id().alias("_row"), "text")
-    chunks = numbered.select("_row", F.posexplode(_chunks(F.col("text"))).alias("at", "chunk")).select("_row", "at", "chunk", fingerprint(F.col("chunk")).alias("mark"))
-    lists = (
-        chunks.join(shared.withColumn("clash", F.lit(True)), "mark", "left")
-        .withColumn("id", F.when(F.col("clash"), F.concat(F.lit("="), "chunk")).otherwise(F.hex("mark")))
-        .groupBy("_row")
-        .agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("ids"))
-        .select("_row", F.col("ids.id").alias("recipe"))
-    )
-    return recipes.drop("recipe").join(lists, "_row", "left").withColumn("recipe", F.coalesce("recipe", F.array().cast("array<string>")))
-
-
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``exact_groups`` drops; rows are told apart by a number of their own, so doc_id may repeat or be null."""
-    from chronotile.llm.common import join_ids
-
     rows = saved(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("at")))
     dropped = saved(_grouped(rows.select("doc.doc_id", "doc.text", "at"), F.xxhash64, "at").filter(~F.col("kept")).select("at"))
     return join_ids(rows, dropped, "at", "left_anti").select("doc.*")

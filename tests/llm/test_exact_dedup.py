@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -39,6 +40,16 @@ def test_repeated_rows_and_null_ids(make_docs):
     assert sorted((len(v), sum(r.kept for r in v), {r.keep_id for r in v} == {1}) for v in by.values()) == [(2, 1, False), (3, 1, True)]
 
 
+def test_chunks_follow_the_content_in_any_script(spark):
+    rng = random.Random(4)
+    for first, last in ((0x61, 0x7B), (0x4E00, 0x9FA5), (0x430, 0x450), (0xAC00, 0xD7A3)):
+        words = ["".join(chr(rng.randrange(first, last)) for _ in range(rng.randrange(2, 8))) for _ in range(900)]
+        text = (" " if first < 0x4E00 else "").join(words * 8)
+        rows = spark.createDataFrame([(text,), ("zz" + text,)], "text string").select(exact_dedup._chunks(F.col("text")).alias("c")).collect()
+        a, b = (r.c for r in rows)
+        assert "".join(a) == text and len(set(a) & set(b)) >= 0.5 * len(set(a))
+
+
 def test_empty_table(make_docs):
     assert exact_dedup.exact_groups(make_docs().limit(0)).count() == 0
 
