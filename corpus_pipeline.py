@@ -1,12 +1,17 @@
-"""The corpus pipeline: documents to encoded training text, each stage written as Parquet and read again by the next."""
+"""The corpus pipeline: documents to encoded training text, each stage written as Parquet and read again by the next.
+
+Stages decide row by row, so rows with repeated or null doc_ids are documents of their own; null texts count as empty; very long texts are
+taken whole; an empty table gives an empty result; columns beyond those of ``documents`` come through to the last stage, whatever
+their names.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chronotile.functions.lineage import shared_folder
 from chronotile.llm import bpe, exact_dedup, jaccard_join, mixing, toxicity
 from chronotile.llm.common import table
 
@@ -17,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the largest doc_id."""
+    """Of equal texts, the row with the largest doc_id; one of those that repeat it."""
     return exact_dedup.drop_copies(docs)
 
 
@@ -48,13 +53,22 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; intermediate tables go to the shared checkpoint folder, or where none is set to one of our own."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronotile-")
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``. The first four run at this call; their tables go to the shared checkpoint folder, where only the last
+    of them stays, which the result reads."""
+    folder = shared_folder(spark)
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(path := f"{folder}/pipeline-{uuid.uuid4().hex}-{k}")
             docs = spark.read.parquet(path)
+            if before is not None:
+                _drop(spark, before)
+            before = path
     return docs
