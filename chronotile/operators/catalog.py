@@ -11,18 +11,25 @@ from pyspark.sql import functions as F
 from chronotile.functions.lineage import cut
 
 
-def closure(nodes: DataFrame, deepest: int = 64) -> DataFrame:
-    """(ancestor, node, distance) of all active nodes, themselves included. One join for each level of the tree."""
+def closure(nodes: DataFrame) -> DataFrame:
+    """(ancestor, node, distance) of all active nodes, themselves included, at any depth. One join for each level of the tree.
+
+    Parents that form a cycle are no tree and raise a ValueError.
+    """
     active = nodes.filter("is_active")
-    edges = active.select(F.col("id").alias("node"), "parent_id")
+    edges = active.select(F.col("id").alias("child"), "parent_id")
     step = active.select(F.col("id").alias("ancestor"), F.col("id").alias("node"), F.lit(0).alias("distance"))
-    out = step
-    for level in range(1, deepest):
-        step = cut(step.join(edges.withColumnRenamed("node", "child"), F.col("node") == F.col("parent_id")).select("ancestor", F.col("child").alias("node"), F.lit(level).alias("distance")))
-        if step.isEmpty():
-            break
+    out, level = step, 0
+    while True:
+        level += 1
+        below = step.join(edges, F.col("node") == F.col("parent_id"))
+        step = cut(below.select("ancestor", F.col("child").alias("node"), F.lit(level).alias("distance")))
+        rows, cycles = step.agg(F.count(F.lit(1)), F.count_if(F.col("ancestor") == F.col("node"))).first()
+        if cycles:
+            raise ValueError("the parents of some nodes form a cycle")
+        if not rows:
+            return out
         out = out.unionByName(step)
-    return out
 
 
 def rolled_up(nodes: DataFrame, images: DataFrame) -> DataFrame:

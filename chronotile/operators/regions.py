@@ -138,16 +138,31 @@ def largest(regions: DataFrame, n: int = 60) -> DataFrame:
     return regions.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
 
 
-def region_pipeline(regions: DataFrame, image_area: int, least_area: int | None = None, registered: bool = True) -> DataFrame:
-    """R29 from classified regions on: area floor, fill, sparse near-full frames, small regions of low confidence, overlaps, the 60 largest, numbers, severity and report type."""
-    floor = least_area if least_area is not None else min(1000, max(250, int(image_area * 0.0001)))
+def plausible(regions: DataFrame, image_area: int, least_area: int | None = None, registered: bool = True) -> DataFrame:
+    """Regions that pass the floor of area, the filters of sparse and of nearly full frames, and that of small unsure ones.
+
+    A region of a passing object (a null object_type) stays as general change if it is large and well filled.
+    """
+    floor = least_area if least_area is not None else int(min(1000, max(250, image_area * 0.00009)))
     floor = floor if registered else int(floor * 1.4)
     box = F.col("w") * F.col("h")
     fill = F.col("area") / box
     sparse = (fill < 0.15) | ((box > (0.75 if registered else 0.92) * image_area) & (fill < 0.35))
-    unsure = (F.col("confidence") < 0.24) & (F.col("area") < 3 * floor)
-    kept = regions.filter((F.col("area") >= floor) & ~sparse & ~unsure)
-    return largest(suppress_overlaps(kept)).select("run_id", F.col("place").alias("id"), "area", "x", "y", "w", "h", "object_type", "confidence", severity(F.col("object_type"), F.col("area"), F.col("confidence"), F.lit(image_area)).alias("severity"), change_type(F.col("object_type")).alias("change_type"))
+    unnamed = F.col("object_type").isNull()
+    general = (F.col("area") >= max(2 * floor, 900)) & (fill >= 0.20)
+    named = regions.filter((F.col("area") >= floor) & ~sparse & (~unnamed | general)).withColumns({
+        "confidence": F.when(unnamed, F.greatest(F.lit(0.2), F.least(F.lit(0.5), fill))).otherwise(F.col("confidence")),
+        "object_type": F.coalesce("object_type", F.lit("Unclassified Ground Change")),
+    })
+    return named.filter((F.col("confidence") >= 0.24) | (F.col("area") >= 3 * floor))
+
+
+def region_pipeline(regions: DataFrame, image_area: int, least_area: int | None = None, registered: bool = True) -> DataFrame:
+    """R29 from classified regions on: the filters, overlaps, the 60 largest, numbers, severity and report type."""
+    kept = largest(suppress_overlaps(plausible(regions, image_area, least_area, registered)))
+    level = severity(F.col("object_type"), F.col("area"), F.col("confidence"), F.lit(image_area))
+    named = change_type(F.col("object_type")).alias("change_type")
+    return kept.select("run_id", F.col("place").alias("id"), "area", "x", "y", "w", "h", "object_type", "confidence", level.alias("severity"), named)
 
 
 def tight_box(pixels_on: DataFrame) -> DataFrame:
@@ -157,14 +172,37 @@ def tight_box(pixels_on: DataFrame) -> DataFrame:
 
 
 
+def _crosses(df: DataFrame) -> DataFrame:
+    """Each position with its four neighbours, as rows x, y; other columns stay."""
+    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))])
+    return df.withColumn("_s", F.explode(steps)).withColumns({"x": F.col("x") + F.col("_s.dx"), "y": F.col("y") + F.col("_s.dy")}).drop("_s")
+
 
-def shadows(gray: DataFrame, boxes: DataFrame, grow: float = 0.6) -> DataFrame:
-    """New shadow around each box (pair_id, region_id, x, y, w, h): pixels of the box grown on all sides, without the box itself, that darkened by
-    more than 25 and 1.5 deviations; their number and extents."""
-    dx, dy = F.floor(F.col("w") * grow / 2).cast("int"), F.floor(F.col("h") * grow / 2).cast("int")
-    near = gray.join(boxes.withColumnsRenamed({"x": "bx", "y": "by"}), "pair_id").filter((F.col("x") >= F.col("bx") - dx) & (F.col("x") < F.col("bx") + F.col("w") + dx) & (F.col("y") >= F.col("by") - dy) & (F.col("y") < F.col("by") + F.col("h") + dy))
-    dark = near.select("pair_id", "region_id", "x", "y", "bx", "by", "w", "h", (F.col("g1") - F.col("g2")).alias("d"))
-    level = dark.groupBy("pair_id", "region_id").agg(F.greatest(F.lit(25.0), 1.5 * F.stddev_pop("d")).alias("level"))
-    outside = ~(F.col("x").between(F.col("bx"), F.col("bx") + F.col("w") - 1) & F.col("y").between(F.col("by"), F.col("by") + F.col("h") - 1))
-    found = dark.join(level, ["pair_id", "region_id"]).filter(outside & (F.col("d") > F.col("level")))
-    return found.groupBy("pair_id", "region_id").agg(F.count(F.lit(1)).alias("shadow_px"), (F.max("x") - F.min("x")).alias("spread_x"), (F.max("y") - F.min("y")).alias("spread_y"))
+def shadows(gray: DataFrame, boxes: DataFrame, grow: float = 0.6, cell: int = 64) -> DataFrame:
+    """New shadow around each box (pair_id, region_id, x, y, w, h), from pixels (pair_id, y, x, g1, g2).
+
+    The box grows by a share of its sides on every side, within the frame. Pixels of it, without the box itself, that darkened by more than
+    25 and 1.5 deviations are opened with a cross of 3 x 3; their number and extents remain. Pixels meet boxes on grid cells.
+    """
+    dx, dy = F.floor(F.col("w") * grow).cast("int"), F.floor(F.col("h") * grow).cast("int")
+    frame = gray.groupBy("pair_id").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
+    own = boxes.withColumnsRenamed({"x": "bx", "y": "by"}).join(frame, "pair_id").select(
+        "pair_id", "region_id", "bx", "by", (F.col("bx") + F.col("w") - 1).alias("ex"), (F.col("by") + F.col("h") - 1).alias("ey"),
+        F.greatest(F.lit(0), F.col("bx") - dx).alias("x0"), F.least("mx", F.col("bx") + F.col("w") + dx - 1).alias("x1"),
+        F.greatest(F.lit(0), F.col("by") - dy).alias("y0"), F.least("my", F.col("by") + F.col("h") + dy - 1).alias("y1"),
+    )
+    reach = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
+    cells = own.filter("x0 <= x1 and y0 <= y1").withColumn("cx", F.explode(reach("x0", "x1"))).withColumn("cy", F.explode(reach("y0", "y1")))
+    placed = gray.select("pair_id", "x", "y", (F.col("g1") - F.col("g2")).alias("d"), F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
+    near = placed.join(cells, ["pair_id", "cx", "cy"]).filter(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
+    key = ["pair_id", "region_id"]
+    level = near.groupBy(*key).agg(F.greatest(F.lit(25.0), 1.5 * F.stddev_pop("d")).alias("level"))
+    inside = F.col("x").between(F.col("bx"), F.col("ex")) & F.col("y").between(F.col("by"), F.col("ey"))
+    on = near.join(level, key).filter(~inside & (F.col("d") > F.col("level"))).select(*key, "x", "y", "x0", "x1", "y0", "y1")
+    spot = [*key, "x0", "x1", "y0", "y1", "x", "y"]
+    around_it = 1 + sum((c.cast("int") for c in (F.col("x") > F.col("x0"), F.col("x") < F.col("x1"), F.col("y") > F.col("y0"), F.col("y") < F.col("y1"))), F.lit(0))
+    eroded = _crosses(on).groupBy(*spot).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == around_it).drop("n")
+    within = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
+    opened = _crosses(eroded).filter(within).select(*key, "x", "y").distinct()
+    extents = [F.count(F.lit(1)).alias("shadow_px"), (F.max("x") - F.min("x")).alias("spread_x"), (F.max("y") - F.min("y")).alias("spread_y")]
+    return opened.groupBy(*key).agg(*extents)

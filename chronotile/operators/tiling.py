@@ -41,11 +41,43 @@ def tiles_of(pixels: DataFrame, grid: DataFrame, size: int) -> DataFrame:
 
 
 def blended(scored: DataFrame, size: int, edge: int) -> DataFrame:
-    """(pair_id, y, x, y0, x0, score) of overlapping tiles to one score per pixel, weighted by ramps; the sum of weights counts at least 1e-6."""
+    """(pair_id, y, x, y0, x0, score) of overlapping tiles to one score per pixel, weighted by ramps; the sum of weights counts at least 1e-6."""
     w = ramp(F.col("y") - F.col("y0"), size, edge) * ramp(F.col("x") - F.col("x0"), size, edge)
     return scored.withColumn("_w", w).groupBy("pair_id", "y", "x").agg((F.sum(F.col("score") * F.col("_w")) / F.greatest(F.sum("_w"), F.lit(1e-6))).alias("score"))
 
 
+def _shrunk(at: Column, size: Column, less: Column) -> Column:
+    """Where pixel ``at`` of a side of ``size`` comes to lie on ``less`` pixels: array of struct<k, share>, its parts of each by length."""
+    first, last = at * less / size, (at + 1) * less / size
+    every = F.sequence(F.floor(first + 1e-9), F.greatest(F.floor(first + 1e-9), F.ceil(last - 1e-9) - 1))
+    return F.transform(every, lambda k: F.struct(k.cast("int").alias("k"), (F.least(last, k + 1) - F.greatest(first, k)).alias("share")))
+
+
+def _hanning(k: Column, n: Column) -> Column:
+    return F.when(n > 2, 0.5 - 0.5 * F.cos(2 * F.pi() * (k + 1) / (n + 1))).otherwise(1.0)
+
+
+def on_canvas(scored: DataFrame, canvas_h: int, canvas_w: int) -> DataFrame:
+    """Scores of the windows of large images, brought together on a canvas that is no larger than the image.
+
+    ``scored`` has a row (pair_id, height, width, y0, x0, h, w, y, x, score) for each pixel of each window. A window shrinks by area
+    to its share of the canvas; windows are blended there with Hanning weights of at least 0.001, so the frame counts too. One shuffle for
+    shrinking and one for blending, on canvas pixels; no window or image is held as a whole.
+    """
+    sy, sx = canvas_h / F.col("height"), canvas_w / F.col("width")
+    dy0, dx0 = F.bround(F.col("y0") * sy).cast("int"), F.bround(F.col("x0") * sx).cast("int")
+    dh, dw = F.greatest(F.lit(1), F.bround(F.col("h") * sy)).cast("int"), F.greatest(F.lit(1), F.bround(F.col("w") * sx)).cast("int")
+    sized = scored.withColumns({"dy0": dy0, "dx0": dx0, "dh": F.least(dh, canvas_h - dy0), "dw": F.least(dw, canvas_w - dx0)}).filter("dh > 0 and dw > 0")
+    parts = sized.withColumn("cy", F.explode(_shrunk(F.col("y") - F.col("y0"), F.col("h"), F.col("dh"))))
+    parts = parts.withColumn("cx", F.explode(_shrunk(F.col("x") - F.col("x0"), F.col("w"), F.col("dw"))))
+    window = ["pair_id", "y0", "x0", "dy0", "dx0", "dh", "dw"]
+    share = F.col("cy.share") * F.col("cx.share")
+    small = parts.groupBy(*window, F.col("cy.k").alias("ky"), F.col("cx.k").alias("kx")).agg((F.sum(F.col("score") * share) / F.sum(share)).alias("score"))
+    weight = F.greatest(_hanning(F.col("ky"), F.col("dh")) * _hanning(F.col("kx"), F.col("dw")), F.lit(1e-3))
+    rows = small.select("pair_id", (F.col("dy0") + F.col("ky")).alias("y"), (F.col("dx0") + F.col("kx")).alias("x"), "score", weight.alias("weight"))
+    return rows.groupBy("pair_id", "y", "x").agg((F.sum(F.col("score") * F.col("weight")) / F.sum("weight")).alias("score"))
+
+
 #: A scorer takes two byte arrays (n, h, w, 3), before and after, and gives probabilities (n, h, w).
 Scorer = Callable[[np.ndarray, np.ndarray], np.ndarray]
 

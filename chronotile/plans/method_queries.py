@@ -32,11 +32,19 @@ def _(t):
     return M.run_statistics(D.detect(p, "Hybrid AI", scores))
 
 
-@query("r22_shadows", f"""WITH {GRAY_SQL}, b AS (SELECT pair_id, unnest([1, 2]) AS region_id FROM (SELECT DISTINCT pair_id FROM gp)), bx AS (SELECT pair_id, region_id, region_id AS x, region_id + 1 AS y, 4 AS w, 4 AS h FROM b),
-n AS (SELECT bx.*, gp.x AS px, gp.y AS py, g1 - g2 AS d FROM gp JOIN bx USING (pair_id) WHERE gp.x >= bx.x - 1 AND gp.x < bx.x + 5 AND gp.y >= bx.y - 1 AND gp.y < bx.y + 5), l AS (SELECT pair_id, region_id, greatest(25.0, 1.5 * stddev_pop(d)) AS level FROM n GROUP BY 1, 2)
-SELECT pair_id, region_id, count(*) AS shadow_px, max(px) - min(px) AS spread_x, max(py) - min(py) AS spread_y FROM n JOIN l USING (pair_id, region_id) WHERE d > level AND NOT (px BETWEEN x AND x + 3 AND py BETWEEN y AND y + 3) GROUP BY 1, 2""")
+@query("r22_shadows", f"""WITH {GRAY_SQL}, b AS (SELECT pair_id, unnest([1, 2]) AS region_id FROM (SELECT DISTINCT pair_id FROM gp)),
+bx AS (SELECT pair_id, region_id, region_id AS x, region_id + 1 AS y, 4 AS w, 4 AS h FROM b),
+n AS (SELECT bx.*, gp.x AS px, gp.y AS py, g1 - g2 AS d FROM gp JOIN bx USING (pair_id)
+  WHERE gp.x >= bx.x - 2 AND gp.x < bx.x + 6 AND gp.y >= bx.y - 2 AND gp.y < bx.y + 6),
+l AS (SELECT pair_id, region_id, greatest(25.0, 1.5 * stddev_pop(d)) AS level FROM n GROUP BY 1, 2),
+m AS (SELECT n.*, d > level AND NOT (px BETWEEN x AND x + 3 AND py BETWEEN y AND y + 3) AS hit FROM n JOIN l USING (pair_id, region_id)),
+e AS (SELECT a.pair_id, a.region_id, a.px, a.py, bool_and(b.hit) AS hit FROM m a JOIN m b USING (pair_id, region_id)
+  WHERE abs(a.px - b.px) + abs(a.py - b.py) <= 1 GROUP BY 1, 2, 3, 4),
+o AS (SELECT DISTINCT a.pair_id, a.region_id, a.px, a.py FROM e a JOIN e b USING (pair_id, region_id)
+  WHERE b.hit AND abs(a.px - b.px) + abs(a.py - b.py) <= 1)
+SELECT pair_id, region_id, count(*) AS shadow_px, max(px) - min(px) AS spread_x, max(py) - min(py) AS spread_y FROM o GROUP BY 1, 2""")
 def _(t):
-    """R22, R25."""
+    """R22."""
     g = gray_pairs(t("embeddings"))
     boxes = g.select("pair_id").distinct().select("pair_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("region_id")).select("pair_id", "region_id", F.col("region_id").alias("x"), (F.col("region_id") + 1).alias("y"), F.lit(4).alias("w"), F.lit(4).alias("h"))
     return G.shadows(g, boxes)

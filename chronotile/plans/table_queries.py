@@ -42,10 +42,10 @@ def _(t):
     return t("part").select("p_partkey", X.change_type(F.col("p_name")).alias("t1"), X.change_type(F.col("p_type")).alias("t2"))
 
 
-@query("x02_slug", r"""WITH s AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(translate(trim(substr(text, 1, 60), ' '), 'ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy'), '[^\x00-\x7F]', '', 'g'), '[^A-Za-z0-9_\s-]', '', 'g'), '[\s_-]+', '_', 'g'), '_') AS s FROM documents)
+@query("x02_slug", r"""WITH s AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(translate(trim(text, ' '), 'ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy'), '[^\x00-\x7F]', '', 'g'), '[^A-Za-z0-9_\s-]', '', 'g'), '[\s_-]+', '_', 'g'), '_') AS s FROM documents)
 SELECT doc_id, substr(CASE WHEN s = '' THEN 'node' WHEN lower(s) IN ('images', 'thumbs', 'cache', 'legacy') THEN lower(s) || '_1' ELSE lower(s) END, 1, 64) AS slug FROM s""")
 def _(t):
-    return t("documents").select("doc_id", X.slug(F.substring("text", 1, 60)).alias("slug"))
+    return t("documents").select("doc_id", X.slug(F.col("text")).alias("slug"))
 
 
 @query("x03_unique_slug", "SELECT c_custkey, CASE WHEN n = 1 THEN b ELSE substr(b || '-' || n, 1, 64) END AS slug FROM (SELECT c_custkey, lower(c_mktsegment) AS b, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS n FROM customer)")
@@ -54,9 +54,9 @@ def _(t):
     return t("customer").select("c_custkey", X.numbered(F.lower("c_mktsegment"), n).alias("slug"))
 
 
-@query("x04_report_name", "SELECT doc_id, 'report_' || doc_id || '_' || substr(replace(regexp_replace(substr(text, 1, 90), '[^A-Za-z0-9 _-]', '_', 'g'), ' ', '_'), 1, 60) AS name FROM documents")
+@query("x04_report_name", "SELECT doc_id, 'report_' || doc_id || '_' || substr(replace(regexp_replace(text, '[^A-Za-z0-9 _-]', '_', 'g'), ' ', '_'), 1, 60) AS name FROM documents")
 def _(t):
-    return t("documents").select("doc_id", X.report_name(F.substring("text", 1, 90), F.col("doc_id")).alias("name"))
+    return t("documents").select("doc_id", X.report_name(F.col("text"), F.col("doc_id")).alias("name"))
 
 
 @query("x05_library_path", r"SELECT page_id, CASE WHEN list_contains(string_split(p, '/'), '..') THEN NULL ELSE p END AS path FROM (SELECT page_id, regexp_replace(replace(trim('/' || replace(url, '/', '\') || CASE WHEN page_id % 7 = 0 THEN '/../x' ELSE '' END), '\', '/'), '^/+', '') AS p FROM pages)")
@@ -247,11 +247,13 @@ def _(t):
     return G.region_pipeline(_regions(t), 10000000, 1000)
 
 
-@query("r29_filters", f"WITH {REGIONS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY area DESC, region_id) AS place FROM regions WHERE area >= 1000 AND (confidence >= 0.28 OR object_type = 'Unclassified')) SELECT run_id, region_id, CAST(place AS INT) AS place FROM k WHERE place <= 3")
+@query("r29_filters", f"""WITH {REGIONS_SQL},
+k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY area DESC, region_id) AS place FROM regions
+  WHERE area >= 1000 AND area / (w * h) >= 0.15 AND NOT (w * h > 0.75 * 1000 AND area / (w * h) < 0.35) AND (confidence >= 0.24 OR area >= 3000))
+SELECT run_id, region_id, CAST(place AS INT) AS place FROM k WHERE place <= 3""")
 def _(t):
-    """SO2, L2, W1: the area and confidence filters, stable order, top regions and numbers."""
-    kept = _regions(t).filter((F.col("area") >= 1000) & ((F.col("confidence") >= 0.28) | (F.col("object_type") == "Unclassified")))
-    return G.largest(kept, 3).select("run_id", "region_id", "place")
+    """R29, SO2, L2, W1: the filters of area, fill and confidence, stable order, top regions and numbers."""
+    return G.largest(G.plausible(_regions(t), 1000, 1000), 3).select("run_id", "region_id", "place")
 
 
 def _features(t):
@@ -376,10 +378,10 @@ def _(t):
 
 
 def _commands(t):
-    return t("supplier").filter("s_suppkey < 60").select((F.col("s_suppkey") + 1000).alias("id"), F.when(F.col("s_suppkey") % 7 > 0, (F.col("s_suppkey") % 9).cast("long")).alias("parent_id"), F.concat(F.lit("Area "), (F.col("s_suppkey") % 4).cast("string")).alias("name"))
+    return t("supplier").select((F.col("s_suppkey") + 1_000_000_000).alias("id"), F.when(F.col("s_suppkey") % 7 > 0, (F.col("s_suppkey") % 9).cast("long")).alias("parent_id"), F.concat(F.lit("Area "), (F.col("s_suppkey") % 4).cast("string")).alias("name"))
 
 
-@query("mu01_create_node", f"""WITH {NODES}, c AS (SELECT s_suppkey + 1000 AS id, CASE WHEN s_suppkey % 7 > 0 THEN s_suppkey % 9 END AS parent_id, 'Area ' || (s_suppkey % 4) AS name FROM supplier WHERE s_suppkey < 60),
+@query("mu01_create_node", f"""WITH {NODES}, c AS (SELECT s_suppkey + 1000000000 AS id, CASE WHEN s_suppkey % 7 > 0 THEN s_suppkey % 9 END AS parent_id, 'Area ' || (s_suppkey % 4) AS name FROM supplier),
 f AS (SELECT *, row_number() OVER (PARTITION BY parent_id, lower(name) ORDER BY id) AS k FROM c)
 SELECT * FROM nodes UNION ALL SELECT f.id, f.parent_id, f.name, coalesce(p.level + 1, 0), concat_ws('/', p.path, f.name), true FROM f LEFT JOIN nodes p ON p.id = f.parent_id AND p.is_active WHERE k = 1 AND (f.parent_id IS NULL OR p.id IS NOT NULL)""")
 def _(t):

@@ -27,18 +27,35 @@ def _(t):
     return T.unpacked(T.scored_tiles(T.packed(pixels(t("embeddings"))), T.averaged(T.difference_scorer, "full"))).select("pair_id", "y", "x", F.round("score", 6).alias("score"))
 
 
-_TILES = "(VALUES (0, 0), (0, 4), (4, 0), (4, 4)) t(y0, x0)"
-_RAMP = "CASE WHEN least({0}, 3 - ({0})) < 2 THEN least({0}, 3 - ({0})) / 2.0::DOUBLE ELSE 1.0 END"
+_RAMP = "CASE WHEN least({0}, 5 - ({0})) < 2 THEN least({0}, 5 - ({0})) / 2.0::DOUBLE ELSE 1.0 END"
 
 
-@query("m15_blended_tiles", f"""WITH {GRAY_SQL}, s AS (SELECT pair_id, y, x, g1 / 255.0::DOUBLE AS v, {_RAMP.format('y - y0')} * {_RAMP.format('x - x0')} AS w FROM gp, {_TILES} WHERE y BETWEEN y0 AND y0 + 3 AND x BETWEEN x0 AND x0 + 3)
+def _windows(t, size: int, step: int):
+    """Gray pixels of the overlapping windows of each pair, with the window and the size of the image."""
+    g = gray_pairs(t("embeddings"))
+    images = g.groupBy("pair_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
+    grid = images.withColumn("y0", F.explode(T.starts(F.col("height"), size, step))).withColumn("x0", F.explode(T.starts(F.col("width"), size, step)))
+    tiles = T.tiles_of(g, grid.withColumns({"h": F.lit(size), "w": F.lit(size)}), size)
+    return tiles.join(images, "pair_id").select("pair_id", "height", "width", "y", "x", "y0", "x0", F.col("th").alias("h"), F.col("tw").alias("w"), (F.col("g1") / 255.0).alias("score"))
+
+
+@query("m15_blended_tiles", f"""WITH {GRAY_SQL}, t AS (SELECT unnest([0, 2]) AS y0), u AS (SELECT unnest([0, 2]) AS x0),
+s AS (SELECT pair_id, y, x, g1 / 255.0::DOUBLE AS v, {_RAMP.format('y - y0')} * {_RAMP.format('x - x0')} AS w FROM gp, t, u
+  WHERE y BETWEEN y0 AND y0 + 5 AND x BETWEEN x0 AND x0 + 5)
 SELECT pair_id, y, x, round(sum(v * w) / greatest(sum(w), 1e-6), 6) AS score FROM s GROUP BY 1, 2, 3""")
 def _(t):
-    """M15, M18."""
-    g = gray_pairs(t("embeddings"))
-    grid = g.select("pair_id").distinct().select("pair_id", F.explode(F.array(F.lit(0), F.lit(4))).alias("y0")).select("pair_id", "y0", F.explode(F.array(F.lit(0), F.lit(4))).alias("x0"), F.lit(4).alias("h"), F.lit(4).alias("w"))
-    scored = T.tiles_of(g, grid, 4).select("pair_id", "y", "x", "y0", "x0", (F.col("g1") / 255.0).alias("score"))
-    return T.blended(scored, 4, 2).select("pair_id", "y", "x", F.round("score", 6).alias("score"))
+    """Windows of 6 every 4 pixels, the last moved in, so that they overlap."""
+    return T.blended(_windows(t, 6, 4), 6, 2).select("pair_id", "y", "x", F.round("score", 6).alias("score"))
+
+
+@query("m18_windowed_scores", f"""WITH {GRAY_SQL}, t AS (SELECT unnest([0, 2]) AS y0), u AS (SELECT unnest([0, 2]) AS x0),
+s AS (SELECT pair_id, y0, x0, (y - y0) // 2 AS ky, (x - x0) // 2 AS kx, avg(g1 / 255.0::DOUBLE) AS v FROM gp, t, u
+  WHERE y BETWEEN y0 AND y0 + 5 AND x BETWEEN x0 AND x0 + 5 GROUP BY ALL),
+w AS (SELECT *, greatest((0.5 - 0.5 * cos(2 * pi() * (ky + 1) / 4)) * (0.5 - 0.5 * cos(2 * pi() * (kx + 1) / 4)), 0.001) AS w FROM s)
+SELECT pair_id, CAST(y0 // 2 + ky AS INT) AS y, CAST(x0 // 2 + kx AS INT) AS x, round(sum(v * w) / sum(w), 6) AS score FROM w GROUP BY 1, 2, 3""")
+def _(t):
+    """Windows of 6 every 4 pixels, shrunk to half on a canvas of 4 x 4."""
+    return T.on_canvas(_windows(t, 6, 4), 4, 4).select("pair_id", "y", "x", F.round("score", 6).alias("score"))
 
 
 @query("m17_over_scales", f"WITH {GRAY_SQL} SELECT pair_id, y, x, greatest(g1, g2) AS score, CASE WHEN greatest(g1, g2) >= 150 THEN 1 ELSE 0 END AS \"on\" FROM gp")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronotile.operators import masks, pixels, regions, registration, review, rules, signals, tiling
+from chronotile.operators import catalog, masks, pixels, regions, registration, review, rules, signals, tiling
 from chronotile.sources import rasters
 from chronotile.streaming import events
 
@@ -159,9 +159,174 @@ def test_rasters(spark, tmp_path):
     assert {k: (v.format, v.width, v.height, v.bands) for k, v in info.items()} == {"a.png": ("PNG", 5, 4, 3), "b.TIF": ("TIFF", 5, 4, 3), "c.tif": (None, None, None, None)}
     assert info["b.TIF"].transform == [0.5, 0.0, 70.0, 0.0, -0.25, 28.0]
     lines = rasters.pixel_rows(files).collect()
+    assert [(r.path.rsplit("/", 1)[1], r.y, r.rgb) for r in lines if r.error] == [("c.tif", None, None)]
+    lines = [r for r in lines if not r.error]
     assert len(lines) == 8 and all(bytes(r.rgb) == image[r.y].tobytes() for r in lines)
 
 
+def _lzw(raw):
+    """Codes of 9 to 12 bits as TIFF writes them."""
+    bits, table, width, word = "", {}, 9, b""
+
+    def clear():
+        nonlocal table, width, bits
+        bits += format(256, f"0{width}b")
+        table, width = {bytes([k]): k for k in range(256)}, 9
+
+    clear()
+    for k in raw:
+        more = word + bytes([k])
+        if more in table:
+            word = more
+            continue
+        bits += format(table[word], f"0{width}b")
+        table[more] = len(table) + 2
+        width = 9 if len(table) + 2 < 512 else 10 if len(table) + 2 < 1024 else 11 if len(table) + 2 < 2048 else 12
+        word = bytes([k])
+        if len(table) + 2 >= 4094:
+            bits += format(table[word], f"0{width}b")
+            word = b""
+            clear()
+    if word:
+        bits += format(table[word], f"0{width}b")
+        width = 9 if len(table) + 3 < 512 else 10 if len(table) + 3 < 1024 else 11 if len(table) + 3 < 2048 else 12
+    bits += format(257, f"0{width}b")
+    bits += "0" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8)
+
+
+def _packed_tiff(image, side, pack, how, predictor=1):
+    """A TIFF of compressed square tiles, or of strips of ``side`` lines if that is negative."""
+    h, w, n = image.shape
+    chunk_h, chunk_w = abs(side), side if side > 0 else w
+    chunks = []
+    for y in range(0, h, chunk_h):
+        for x in range(0, w, chunk_w):
+            part = image[y : y + chunk_h, x : x + chunk_w]
+            if side > 0:
+                part = np.pad(part, ((0, chunk_h - part.shape[0]), (0, chunk_w - part.shape[1]), (0, 0)))
+            if predictor == 2:
+                part = np.concatenate([part[:, :1], np.diff(part, axis=1)], 1)
+            chunks.append(pack(np.ascontiguousarray(part).tobytes()))
+    places, at = [], 8
+    for c in chunks:
+        places.append(at)
+        at += len(c)
+    kind = {"u": 1, "i": 2, "f": 3}[image.dtype.kind]
+    where, sizes = (324, 325) if side > 0 else (273, 279)
+    tags = {256: w, 257: h, 258: image.dtype.itemsize * 8, 259: how, 277: n, 317: predictor, 339: kind, where: places, sizes: [len(c) for c in chunks]}
+    tags |= {322: chunk_w, 323: chunk_h} if side > 0 else {278: chunk_h}
+    first, more, body = at + 2 + 12 * len(tags) + 4, b"", b""
+    for tag, v in sorted(tags.items()):
+        v = v if isinstance(v, list) else [v]
+        value = struct.pack(f"<{len(v)}I", *v)
+        body += struct.pack("<HHI", tag, 4, len(v)) + (value if len(v) == 1 else struct.pack("<I", first + len(more)))
+        more += value if len(v) > 1 else b""
+    return b"II*\0" + struct.pack("<I", at) + b"".join(chunks) + struct.pack("<H", len(tags)) + body + struct.pack("<I", 0) + more
+
+
+def _bits_of_runs(raw):
+    return b"".join(bytes([len(raw[k : k + 100]) - 1]) + raw[k : k + 100] for k in range(0, len(raw), 100)) + b"\x80"
+
+
+@pytest.mark.parametrize("side", [16, -7])
+@pytest.mark.parametrize(("how", "pack"), [(1, bytes), (8, zlib.compress), (5, _lzw), (32773, _bits_of_runs)])
+@pytest.mark.parametrize(("kind", "predictor"), [("u1", 1), ("u1", 2), ("u2", 2), ("f4", 1)])
+def test_tiff_windows(side, how, pack, kind, predictor):
+    rng = np.random.default_rng(3)
+    image = (np.cumsum(rng.integers(0, 3, (45, 70, 3)), 1) % 200).astype(kind)
+    reader = rasters.Reader(_packed_tiff(image, side, pack, how, predictor))
+    assert (reader.window(0, 0, 45, 70) == image).all()
+    assert (reader.window(13, 30, 20, 37) == image[13:33, 30:67]).all()
+    assert (rasters.pixels(_packed_tiff(image, side, pack, how, predictor)) == image.astype(np.uint8)).all()
+
+
+def test_scaled_reads_match_whole_image_interpolation():
+    image = np.random.default_rng(5).integers(0, 255, (40, 60, 3)).astype(np.uint8)
+    reader = rasters.Reader(_packed_tiff(image, 16, zlib.compress, 8))
+    whole = np.empty((25, 90, 3))
+    for y in range(25):
+        for x in range(90):
+            sy, sx = min(max((y + 0.5) * 40 / 25 - 0.5, 0), 39), min(max((x + 0.5) * 60 / 90 - 0.5, 0), 59)
+            a, c = int(sy), int(sx)
+            b, d = min(a + 1, 39), min(c + 1, 59)
+            u, v = sy - a, sx - c
+            whole[y, x] = (image[a, c] * (1 - u) + image[b, c] * u) * (1 - v) + (image[a, d] * (1 - u) + image[b, d] * u) * v
+    assert np.allclose(reader.scaled(25, 90, 0, 0, 25, 90), whole)
+    assert np.allclose(reader.scaled(25, 90, 7, 33, 11, 40), whole[7:18, 33:73])
+    assert rasters.pixels(_packed_tiff(image, 16, zlib.compress, 8), 30).shape == (20, 30, 3)
+
+
+def test_window_pairs_reach_the_canvas(spark):
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 255, (100, 150, 3)).astype(np.uint8), rng.integers(0, 255, (50, 75, 3)).astype(np.uint8)
+    rows = [(1, _packed_tiff(a, 16, zlib.compress, 8), _packed_tiff(b, -9, _lzw, 5)), (2, b"junk", b"junk")]
+    pairs = spark.createDataFrame([(p, bytearray(x), bytearray(y)) for p, x, y in rows], "pair_id long, before binary, after binary")
+    tiles = rasters.window_pairs(pairs, 64, 0.25)
+    got = tiles.collect()
+    assert [r.pair_id for r in got if r.error] == [2] and len(got) == 7
+    for r in (r for r in got if not r.error):
+        assert (np.frombuffer(r.before, np.uint8).reshape(r.h, r.w, 3) == a[r.y0 : r.y0 + r.h, r.x0 : r.x0 + r.w]).all()
+    good = tiles.filter("error is null")
+    scored = tiling.scored_tiles(good).join(good.select("pair_id", "y0", "x0", "height", "width"), ["pair_id", "y0", "x0"])
+    flat = scored.select("*", F.posexplode("scores").alias("k", "score"))
+    flat = flat.withColumns({"y": F.col("y0") + F.floor(F.col("k") / F.col("w")), "x": F.col("x0") + F.col("k") % F.col("w")})
+    out = {(r.y, r.x): r.score for r in tiling.on_canvas(flat, 40, 45).collect()}
+
+    def shrunk(v, n):
+        m = np.zeros((n, len(v)))
+        for k in range(len(v)):
+            for d in range(n):
+                m[d, k] = max(0, min((k + 1) * n / len(v), d + 1) - max(k * n / len(v), d))
+        return m / m.sum(1, keepdims=True)
+
+    total, weights = np.zeros((40, 45)), np.zeros((40, 45))
+    for r in scored.collect():
+        y, x = round(r.y0 * 0.4), round(r.x0 * 0.3)
+        h, w = min(max(1, round(r.h * 0.4)), 40 - y), min(max(1, round(r.w * 0.3)), 45 - x)
+        small = shrunk(range(r.h), h) @ np.array(r.scores).reshape(r.h, r.w) @ shrunk(range(r.w), w).T
+        weight = np.maximum(np.outer(np.hanning(h + 2)[1:-1], np.hanning(w + 2)[1:-1]), 1e-3)
+        total[y : y + h, x : x + w] += small * weight
+        weights[y : y + h, x : x + w] += weight
+    assert len(out) == (weights > 0).sum() and all(v == pytest.approx(total[k] / weights[k]) for k, v in out.items())
+
+
+def test_tree_of_any_depth(spark):
+    nodes = [(k, k - 1 if k else None, f"n{k}", k, "", True) for k in range(70)]
+    shape = "id long, parent_id long, name string, level int, path string, is_active boolean"
+    tree = catalog.closure(spark.createDataFrame(nodes, shape).coalesce(1))
+    assert tree.count() == 70 * 71 // 2
+    with pytest.raises(ValueError, match="cycle"):
+        catalog.closure(spark.createDataFrame([(1, 2, "a", 0, "", True), (2, 1, "b", 0, "", True)], shape).coalesce(1))
+
+
+def test_shadows_match_brute_force(spark):
+    rng = np.random.default_rng(6)
+    before, after = rng.integers(90, 110, (40, 50)), rng.integers(80, 110, (40, 50))
+    after[4:20, 18:26] -= 60
+    after[30:33, 3:6] -= 60
+    boxes = [(0, 1, 8, 5, 10, 12), (0, 2, 0, 25, 6, 6), (0, 3, 44, 34, 9, 9)]
+    gray = spark.createDataFrame([(0, y, x, int(before[y, x]), int(after[y, x])) for y in range(40) for x in range(50)], "pair_id long, y int, x int, g1 int, g2 int")
+    got = {r.region_id: (r.shadow_px, r.spread_x, r.spread_y) for r in regions.shadows(gray, spark.createDataFrame(boxes, "pair_id long, region_id long, x int, y int, w int, h int"), cell=16).collect()}
+    want = {}
+    for _, k, x, y, w, h in boxes:
+        dx, dy = int(w * 0.6), int(h * 0.6)
+        x0, x1, y0, y1 = max(0, x - dx), min(50, x + w + dx), max(0, y - dy), min(40, y + h + dy)
+        d = (before - after)[y0:y1, x0:x1].astype(float)
+        on = d > max(25, 1.5 * d.std())
+        on[max(0, y - y0) : y - y0 + h, max(0, x - x0) : x - x0 + w] = False
+
+        def crossed(m, f, edge):
+            p = np.pad(m, 1, constant_values=edge)
+            return f.reduce([p[1:-1, 1:-1], p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]])
+
+        opened = crossed(crossed(on, np.logical_and, True), np.logical_or, False)
+        if opened.any():
+            ys, xs = np.nonzero(opened)
+            want[k] = (len(ys), np.ptp(xs), np.ptp(ys))
+    assert got == want and 1 in want
+
+
 def test_streams_agree_with_batches(spark, tmp_path):
     source = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     for k in range(2):
