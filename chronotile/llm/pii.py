@@ -26,8 +26,6 @@ SUPPORT, DISCLOSED = 3, 0.9
 WORDS = r"\p{L}++"
 #: Most terms that a checked broadcast may hold; beyond it the join shuffles.
 BROADCAST_TERMS = 200_000
-#: Most texts whose term spans a checked broadcast may hold.
-BROADCAST_MARKED = 20_000
 SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -174,7 +172,7 @@ def _with_terms(rows: DataFrame, docs: DataFrame, base: DataFrame) -> DataFrame:
     some = F.exists(base_spans(text), lambda _: F.lit(True))
     texts = docs.select(_key(text).alias("key"), text.alias("text"), some.alias("some"))
     terms = _marked(texts, _disclosing(base, texts, base.count()))
-    return join_ids(rows, terms, "key", "left", BROADCAST_MARKED).withColumn("terms", F.coalesce("terms", _no_spans())).drop("key")
+    return attach(rows, terms, "key").withColumn("terms", F.coalesce("terms", _no_spans())).drop("key")
 
 
 def _keyed(docs: DataFrame, *kept: Column) -> DataFrame:
