@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronotile.functions.lineage import cut
+from chronotile.operators.graph import components as linked
 from chronotile.operators.pixels import KEY, along, around, clip
 
 
@@ -37,7 +38,7 @@ def robust_thresholds(df: DataFrame, column: str, floor: int = 25, sensitivity:
 
 
 def _label(rows: pd.DataFrame) -> pd.DataFrame:
-    """8-connected components of one pair's pixels: union of runs of neighbouring rows; the label is the first pixel's order."""
+    """8-connected components of the pixels of one tile: union of runs of neighbouring rows; the label tells the first pixel."""
     rows = rows.sort_values(["y", "x"], ignore_index=True)
     y, x = rows["y"].to_numpy(), rows["x"].to_numpy()
     new = np.append(True, (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1))[: len(y)]
@@ -59,13 +60,33 @@ def _label(rows: pd.DataFrame) -> pd.DataFrame:
             a, b = sorted((find(j), find(k)))
             parent[b] = a
             j += 1
-    label = np.array([first[find(k)] for k in range(len(first))])
-    return rows.assign(label=np.repeat(label, last - first + 1).astype("int64"))
-
-
-def components(on: DataFrame) -> DataFrame:
-    """M9: pair_id, y, x, label of the pixels in ``on``, 8-connected within their pair. A pair's on pixels meet in one task."""
-    return on.select(*KEY).groupBy("pair_id").applyInPandas(_label, "pair_id long, y int, x int, label long")
+    label = first[[find(k) for k in range(len(first))]]
+    label = y[label].astype("int64") << 32 | x[label]
+    return rows[["pair_id", "y", "x"]].assign(label=np.repeat(label, last - first + 1))
+
+
+def components(on: DataFrame, tile: int = 512) -> DataFrame:
+    """M9: pair_id, y, x, label of the pixels in ``on``, 8-connected within their pair.
+
+    Tiles are labelled on their own; then pixels that touch across the border of two tiles link the labels on both sides. No task holds more
+    than a tile.
+    """
+    place = [F.floor(F.col(c) / tile).alias(n) for c, n in (("y", "ty"), ("x", "tx"))]
+    tiles = on.select(*KEY, *place)
+    labels = cut(tiles.groupBy("pair_id", "ty", "tx").applyInPandas(_label, "pair_id long, y int, x int, label long"))
+    rim = lambda c: (F.col(c) % tile).isin(0, tile - 1)
+    border = labels.filter(rim("y") | rim("x"))
+    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    ahead = border.select("pair_id", F.col("y").alias("y0"), F.col("x").alias("x0"), F.col("label").alias("l"), F.explode(steps).alias("s"))
+    ahead = ahead.withColumns({"y": F.col("y0") + F.col("s.dy"), "x": F.col("x0") + F.col("s.dx")})
+    crossing = (F.floor(F.col("y") / tile) != F.floor(F.col("y0") / tile)) | (F.floor(F.col("x") / tile) != F.floor(F.col("x0") / tile))
+    node = lambda c: F.struct("pair_id", F.col(c).alias("label"))
+    links = ahead.filter(crossing).join(border, list(KEY)).select(node("l").alias("u"), node("label").alias("v")).distinct()
+    links = cut(links)
+    if links.isEmpty():
+        return labels
+    joined = cut(linked(links).select(F.col("node.pair_id").alias("pair_id"), F.col("node.label").alias("label"), F.col("component.label").alias("_c")))
+    return labels.join(joined, ["pair_id", "label"], "left").select(*KEY, F.coalesce("_c", "label").alias("label"))
 
 
 def component_stats(labels: DataFrame) -> DataFrame:
@@ -179,10 +200,11 @@ def hybrid_on(feature: Column, model: Column, sensitivity: float = 0.5) -> Colum
     return 0.30 * feature + 0.70 * model > min(150, max(60, 98 + int((0.5 - sensitivity) * 36)))
 
 
-def hybrid_model_on(model: Column, classical: Column, confidence: Column, sensitivity: float = 0.5) -> Column:
-    """0.7 model and 0.3 classical score, weighed by confidence, as bytes over a threshold of at least 88."""
-    fused = (0.7 * model + 0.3 * classical) * (0.6 + 0.4 * clip(1.5 * confidence, 0.0, 1.0))
-    return F.floor(fused * 255) >= max(88, int(132 - (sensitivity - 0.5) * 55))
+def hybrid_model_on(model_on: Column, classical_on: Column, confidence: Column, sensitivity: float = 0.5, with_model: bool = True) -> Column:
+    """0.7 of the model mask and 0.3 of the classical one (without a model all of it), weighed by confidence, as bytes over a threshold."""
+    share = 0.7 if with_model else 0.0
+    fused = (share * model_on + (1 - share) * classical_on) * 255 * (0.6 + 0.4 * clip(1.5 * confidence, 0.0, 1.0))
+    return F.floor(fused + 1e-6) > max(88, int(132 - (sensitivity - 0.5) * 55))
 
 
 def united(masks: list[DataFrame]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,21 +24,57 @@ def colour_differences(df: DataFrame) -> DataFrame:
     return c.select(*KEY, d("lab", "l").alias("dl"), d("lab", "a").alias("da"), d("lab", "b").alias("db"), d("hsv", "s").alias("ds"), d("hsv", "v").alias("dv"))
 
 
+#: Most cells of a pair that its clusters are sought on; larger images are averaged over square cells first.
+MOST_CELLS = 250_000
+
+
+def _centres(clusters: int, starts: int = 10, rounds: int = 100):
+    """For one pair's cells: means and deviations of the features, and the cluster centres of the best of several k-means."""
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        raw = rows.sort_values(["cy", "cx"])[DIFFERENCES].to_numpy(float)
+        mean, scale = raw.mean(0), raw.std(0)
+        scale[scale == 0] = 1
+        x, random, best = (raw - mean) / scale, np.random.default_rng(42), None
+        for _ in range(starts):
+            centres = x[[random.integers(len(x))]]
+            for _ in range(clusters - 1):  # the next centre by its distance from those there are
+                far = ((x[:, None] - centres) ** 2).sum(-1).min(1)
+                centres = np.vstack([centres, x[random.choice(len(x), p=far / far.sum() if far.sum() else None)]])
+            for _ in range(rounds):
+                own = ((x[:, None] - centres) ** 2).sum(-1).argmin(1)
+                moved = np.array([x[own == k].mean(0) if (own == k).any() else centres[k] for k in range(clusters)])
+                if np.allclose(moved, centres):
+                    break
+                centres = moved
+            loss = ((x - centres[own]) ** 2).sum()
+            if best is None or loss < best[0] - 1e-12:
+                best = loss, centres, own
+        _, centres, own = best
+        size = np.sqrt((raw**2).sum(1))
+        most = int(np.argmax([size[own == k].mean() if (own == k).any() else 0.0 for k in range(clusters)]))
+        return pd.DataFrame({"pair_id": [int(rows["pair_id"].iloc[0])], "mean": [mean], "scale": [scale], "centres": [list(centres)], "most": [most]})
+
+    return fit
+
+
 def feature_mask(df: DataFrame, clusters: int = 4) -> DataFrame:
-    """M3: on pixels of the cluster whose members differ most, after standardising. One distributed k-means serves all pairs of ``df``, so pass
-    pairs that may share their clusters."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+    """M3: on pixels of each pair's own cluster whose members differ most, after standardising.
 
+    Centres are sought on at most MOST_CELLS cells of a pair (means over squares of larger images), one pair a task; then all pixels take
+    the nearest centre.
+    """
     rows = cut(colour_differences(df))
-    packed = VectorAssembler(inputCols=DIFFERENCES, outputCol="raw").transform(rows)
-    scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(packed).transform(packed)
-    labelled = KMeans(k=clusters, seed=42, featuresCol="features", predictionCol="cluster").fit(scaled).transform(scaled)
-    size = F.sqrt(F.aggregate(vector_to_array("raw"), F.lit(0.0), lambda s, v: s + v * v))
-    labelled = cut(labelled.select(*KEY, "cluster", size.alias("size")))
-    most = labelled.groupBy("cluster").agg(F.avg("size").alias("mean")).orderBy(F.col("mean").desc(), "cluster").limit(1)
-    return labelled.join(F.broadcast(most.select("cluster", F.lit(1).alias("on"))), "cluster", "left").select(*KEY, F.coalesce("on", F.lit(0)).alias("on"))
+    side = rows.groupBy("pair_id").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / MOST_CELLS)).alias("side"))
+    cell = [F.floor(F.col(c) / F.col("side")).alias(n) for c, n in (("y", "cy"), ("x", "cx"))]
+    cells = rows.join(side, "pair_id").groupBy("pair_id", *cell).agg(*[F.avg(d).alias(d) for d in DIFFERENCES])
+    found = "pair_id long, mean array<double>, scale array<double>, centres array<array<double>>, most int"
+    centres = cut(cells.groupBy("pair_id").applyInPandas(_centres(clusters), found))
+    scaled = F.transform(F.arrays_zip(F.array(*DIFFERENCES).alias("v"), "mean", "scale"), lambda z: (z["v"] - z["mean"]) / z["scale"])
+    far = lambda c: F.aggregate(F.zip_with(c, "z", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+    near = F.array_position("far", F.array_min("far")) - 1
+    placed = rows.join(centres.hint("merge"), "pair_id").withColumn("z", scaled).withColumn("far", F.transform("centres", far))
+    return placed.select(*KEY, (near == F.col("most")).cast("int").alias("on"))
 
 
 def model_mask(scores: DataFrame, sensitivity: float = 0.5) -> DataFrame:
@@ -47,7 +85,7 @@ def model_mask(scores: DataFrame, sensitivity: float = 0.5) -> DataFrame:
     return M.smart_union(marked.drop("q"), sensitivity)
 
 
-def detect(df: DataFrame, method: str, model_scores: DataFrame | None = None, sensitivity: float = 0.5) -> DataFrame:
+def detect(df: DataFrame, method: str, model_scores: DataFrame | None = None, sensitivity: float = 0.5, border: int = 12, least: int = 120) -> DataFrame:
     """On pixels (pair_id, y, x, on) by a method's name; older names go to their successor, unknown ones to the hybrid."""
     kind = METHODS.get(method, "hybrid")
     if kind == "feature":
@@ -59,7 +97,11 @@ def detect(df: DataFrame, method: str, model_scores: DataFrame | None = None, se
         both = classical.join(model_scores.select(*KEY, F.col("score").alias("model")), list(KEY), "left")
     both = cut(both)
     if kind == "hybrid_model":
-        on = both.filter(M.hybrid_model_on(F.coalesce("model", F.lit(0.0)), F.col("classical"), F.col("classical"), sensitivity)).select(*KEY)
+        level = 0.25 + (1 - min(1.0, max(0.0, sensitivity))) * 0.25
+        rule = M.core_mask(classical.withColumnRenamed("classical", "score"), sensitivity, border, least).withColumnRenamed("on", "rule_on")
+        marked = both.join(rule, list(KEY)).join(S.confidence_map(df, model_scores), list(KEY))
+        model_on = F.coalesce((F.col("model") >= level).cast("int"), F.lit(0))
+        on = marked.filter(M.hybrid_model_on(model_on, F.col("rule_on"), F.col("confidence"), sensitivity, model_scores is not None)).select(*KEY)
     else:
         on = model_mask(both, sensitivity)
     out = both.select(*KEY).join(on.withColumn("on", F.lit(1)), list(KEY), "left").na.fill(0, ["on"])

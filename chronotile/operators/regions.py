@@ -92,22 +92,30 @@ def sub_boxes(x: Column, y: Column, w: Column, h: Column) -> Column:
     return F.when((w > 20) & (h > 20), F.array(whole, *parts)).otherwise(F.array(whole))
 
 
-def _kept(limit: float):
-    """Over rows in order of run and falling area: those that overlap no kept row of their run; the state is the current run's kept boxes."""
+def _kept(limit: float, cell: int = 64):
+    """Over rows in order of run and falling area: those that overlap no kept row of their run.
+
+    The state is the current run's kept boxes by grid cell, so a box meets only those near it.
+    """
+
+    def cells(x: int, y: int, w: int, h: int) -> list[tuple[int, int]]:
+        return [(a, b) for a in range(x // cell, (x + w - 1) // cell + 1) for b in range(y // cell, (y + h - 1) // cell + 1)]
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, kept = None, []
+        run, kept = None, {}
         for rows in batches:
             chosen = []
             for k, (r, x, y, w, h) in enumerate(zip(*(rows[c].tolist() for c in ("run_id", "x", "y", "w", "h")), strict=True)):
                 if r != run:
-                    run, kept = r, []
-                for a, b, c, d in kept:
+                    run, kept = r, {}
+                own = cells(x, y, w, h)
+                for a, b, c, d in {box for place in own for box in kept.get(place, ())}:
                     both = max(0, min(x + w, a + c) - max(x, a)) * max(0, min(y + h, b + d) - max(y, b))
                     if both and both / (w * h + c * d - both) > limit:
                         break
                 else:
-                    kept.append((x, y, w, h))
+                    for place in own:
+                        kept.setdefault(place, []).append((x, y, w, h))
                     chosen.append(k)
             yield rows.iloc[chosen]
 

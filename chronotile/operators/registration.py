@@ -8,19 +8,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _shift(rows: pd.DataFrame) -> pd.DataFrame:
-    h, w = int(rows["y"].max()) + 1, int(rows["x"].max()) + 1
+def _surface(rows: pd.DataFrame) -> pd.DataFrame:
+    """Phase correlation of one tile: for each shift its response."""
+    y, x = rows["y"] - rows["y"].min(), rows["x"] - rows["x"].min()
+    h, w = int(y.max()) + 1, int(x.max()) + 1
     a, b = np.zeros((h, w)), np.zeros((h, w))
-    a[rows["y"], rows["x"]], b[rows["y"], rows["x"]] = rows["g1"], rows["g2"]
+    a[y, x], b[y, x] = rows["g1"], rows["g2"]
     cross = np.fft.fft2(b) * np.conj(np.fft.fft2(a))
     peak = np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-12)).real
-    dy, dx = np.unravel_index(int(peak.argmax()), peak.shape)
-    return pd.DataFrame({"pair_id": [int(rows["pair_id"].iloc[0])], "dy": [int(dy - h if dy > h // 2 else dy)], "dx": [int(dx - w if dx > w // 2 else dx)], "response": [float(peak.max())]})
+    dy, dx = np.divmod(np.arange(h * w), w)
+    shifts = {"dy": np.where(dy > h // 2, dy - h, dy).astype("int32"), "dx": np.where(dx > w // 2, dx - w, dx).astype("int32")}
+    return pd.DataFrame({"pair_id": int(rows["pair_id"].iloc[0]), **shifts, "v": peak.ravel(), "share": np.where(np.arange(h * w) == 0, 1, 0)})
 
 
-def shifts(gray: DataFrame) -> DataFrame:
-    """Whole-pixel shift of g2 against g1 in each pair. A pair's pixels meet in one task; tile large images first."""
-    return gray.groupBy("pair_id").applyInPandas(_shift, "pair_id long, dy int, dx int, response double")
+def shifts(gray: DataFrame, tile: int = 512) -> DataFrame:
+    """Whole-pixel shift of g2 against g1 in each pair: tiles are correlated on their own and their responses averaged.
+
+    Of equal responses the smaller shift is taken.
+    """
+    cell = [F.floor(F.col(c) / tile).alias(n) for c, n in (("y", "ty"), ("x", "tx"))]
+    tiles = gray.select("pair_id", "y", "x", "g1", "g2", *cell).groupBy("pair_id", "ty", "tx")
+    surfaces = tiles.applyInPandas(_surface, "pair_id long, dy int, dx int, v double, share int")
+    total = surfaces.groupBy("pair_id", "dy", "dx").agg(F.sum("v").alias("v"), F.sum("share").alias("share"))
+    order = F.struct(F.round("v", 9).alias("v"), (-F.abs("dy") - F.abs("dx")).alias("near"), (-F.col("dy")).alias("y"), (-F.col("dx")).alias("x"))
+    best = total.groupBy("pair_id").agg(F.max(order).alias("b"), F.sum("share").alias("n"))
+    return best.select("pair_id", (-F.col("b.y")).alias("dy"), (-F.col("b.x")).alias("dx"), (F.col("b.v") / F.col("n")).alias("response"))
 
 
 def shifted_back(gray: DataFrame, moves: DataFrame) -> DataFrame:
@@ -29,14 +41,30 @@ def shifted_back(gray: DataFrame, moves: DataFrame) -> DataFrame:
     return gray.select("pair_id", "y", "x", "g1").join(second, ["pair_id", "y", "x"])
 
 
-def ratio_matches(a: DataFrame, b: DataFrame, ratio: float = 0.7, block: str = "block") -> DataFrame:
-    """Each descriptor of ``a`` (pair_id, id, v, block) with its nearest of ``b``, if clearly nearer than the second.
+def ratio_matches(a: DataFrame, b: DataFrame, ratio: float = 0.7, part: int = 2000) -> DataFrame:
+    """Each descriptor of ``a`` (pair_id, id, v) with its nearest of all of ``b``, if clearly nearer than the second; ties go to the smaller id.
 
-    Candidates are those of one pair and block (a grid cell or a hash), an equi-join, so descriptors of different pairs never meet.
+    Descriptors of a pair meet in parts of about ``part`` from either side, as matrices; each part gives two candidates, of which the best
+    two of all parts count.
     """
-    right = b.select("pair_id", block, F.col("id").alias("other"), F.col("v").alias("u"))
-    distance = F.sqrt(F.aggregate(F.zip_with("v", "u", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d))
-    d = a.join(right, ["pair_id", block]).select("pair_id", "id", "other", distance.alias("d"))
+    parts = lambda df: df.groupBy("pair_id").agg(F.ceil(F.count(F.lit(1)) / part).alias("n"))
+    size = parts(a).withColumnRenamed("n", "na").join(parts(b).withColumnRenamed("n", "nb"), "pair_id")
+    own, every = (lambda n: F.pmod(F.xxhash64("id"), n)), (lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
+    left = a.select("pair_id", "id", "v").join(size, "pair_id").select("pair_id", own("na").alias("pa"), every("nb").alias("pb"), "id", "v")
+    right = b.select(*[F.col(c).alias(c) for c in ("pair_id", "id", "v")]).join(size, "pair_id")
+    right = right.select(F.col("pair_id").alias("pair"), every("na").alias("qa"), own("nb").alias("qb"), F.col("id").alias("id"), F.col("v").alias("v"))
+
+    def nearest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(x) and len(y):
+            y = y.sort_values("id")
+            there, ids = np.stack(y["v"]).astype(float), y["id"].to_numpy()
+            for pair, k, v in zip(x["pair_id"].tolist(), x["id"].tolist(), x["v"], strict=True):
+                d = np.sqrt(((there - v) ** 2).sum(1))
+                rows += [(pair, k, int(ids[n]), float(d[n])) for n in np.argsort(d, kind="stable")[:2]]
+        return pd.DataFrame(rows, columns=["pair_id", "id", "other", "d"])
+
+    d = left.groupBy("pair_id", "pa", "pb").cogroup(right.groupBy("pair", "qa", "qb")).applyInPandas(nearest, "pair_id long, id long, other long, d double")
     w = Window.partitionBy("pair_id", "id").orderBy("d", "other")
     near = d.withColumns({"place": F.row_number().over(w), "second": F.lead("d").over(w)}).filter("place = 1")
     return near.filter(F.col("second").isNotNull() & (F.col("d") < ratio * F.col("second"))).select("pair_id", "id", "other", "d")

@@ -157,6 +157,21 @@ def weighted_channels(df: DataFrame, weights: DataFrame, columns: list[str], nam
     return df.join(w, "pair_id").withColumn(name, value).drop(*[f"w_{c}" for c in columns])
 
 
+def confidence_map(df: DataFrame, model: DataFrame | None = None) -> DataFrame:
+    """C14: ``confidence``, 0..1: colour, structure, texture and edge change weighted by 0.30, 0.25, 0.15 and 0.10, and 0.40 of the model's score
+    (pair_id, y, x, score) where there is one; structure and texture over their pair's greatest."""
+    channels = change_vectors(df)
+    for more in (structural_change(df), texture_change(df), edge_change(df)):
+        channels = channels.join(more, list(KEY))
+    weights = {"cva": 0.30, "dssim": 0.25, "texture": 0.15, "edge": 0.10}
+    if model is not None:
+        channels = channels.join(model.select(*KEY, F.col("score").alias("model")), list(KEY), "left").na.fill(0.0, ["model"])
+        weights["model"] = 0.40
+    scaled = over_maximum(cut(channels), ["dssim", "texture"])
+    value = reduce(lambda a, b: a + b, [F.col(c) * w for c, w in weights.items()]) / sum(weights.values())
+    return scaled.select(*KEY, clip(value, 0.0, 1.0).alias("confidence"))
+
+
 def over_maximum(df: DataFrame, columns: list[str]) -> DataFrame:
     top = df.groupBy("pair_id").agg(*[F.max(c).alias(f"_{c}") for c in columns])
     return df.join(top, "pair_id").withColumns({c: F.col(c) / (F.col(f"_{c}") + TINY) for c in columns}).drop(*[f"_{c}" for c in columns])

@@ -17,7 +17,10 @@ def _(t):
     return M.run_statistics(D.feature_mask(pixels(t("embeddings"))))
 
 
-@query("m10_model_mask")
+@query("m10_model_mask", f"""WITH {GRAY_SQL}, s AS (SELECT pair_id, g1 / 255.0::DOUBLE AS model, g2 / 255.0::DOUBLE AS rule FROM gp),
+q AS (SELECT pair_id, quantile_cont(rule, 0.94) AS cut, quantile_cont(rule, 0.92) AS sure, max(rule) AS m FROM s GROUP BY 1),
+m AS (SELECT *, model >= 0.43 AS a, rule >= cut AS b FROM s JOIN q USING (pair_id))
+SELECT pair_id, count(*) AS changed FROM m WHERE (a AND b) OR (a AND model >= 0.41) OR (b AND rule >= CASE WHEN m > 1e-6 THEN sure ELSE 0.38 END) GROUP BY 1""")
 def _(t):
     g = gray_pairs(t("embeddings"))
     on = D.model_mask(g.select("pair_id", "y", "x", (F.col("g1") / 255).alias("model"), (F.col("g2") / 255).alias("classical")))
@@ -29,7 +32,7 @@ def _(t):
     """The hybrid of model and classical scores, by its name."""
     p = pixels(t("embeddings"))
     scores = T.unpacked(T.scored_tiles(T.packed(p)))
-    return M.run_statistics(D.detect(p, "Hybrid AI", scores))
+    return M.run_statistics(D.detect(p, "Hybrid AI", scores, border=0, least=2))
 
 
 @query("r22_shadows", f"""WITH {GRAY_SQL}, b AS (SELECT pair_id, unnest([1, 2]) AS region_id FROM (SELECT DISTINCT pair_id FROM gp)),

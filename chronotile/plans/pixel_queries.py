@@ -353,9 +353,11 @@ def _(t):
     return M.united([g.filter("g1 >= 150"), half])
 
 
-@query("m13_hybrid_model", f"WITH {_TWO} SELECT pair_id, y, x FROM j WHERE floor((0.7 * model + 0.3 * cva) * (0.6 + 0.4 * greatest(0.0, least(1.0, 1.5 * cva))) * 255) >= 132")
+@query("m13_hybrid_model", f"""WITH {_TWO}, m AS (SELECT *, CASE WHEN model >= 0.3 THEN 1 ELSE 0 END AS a, CASE WHEN cva >= 0.5 THEN 1 ELSE 0 END AS b FROM j)
+SELECT pair_id, y, x FROM m WHERE floor((0.7 * a + 0.3 * b) * 255 * (0.6 + 0.4 * greatest(0.0, least(1.0, 1.5 * cva))) + 1e-6) > 132""")
 def _(t):
-    return _two(t).filter(M.hybrid_model_on(F.col("model"), F.col("classical"), F.col("classical"))).select(*P.KEY)
+    on = lambda c: F.when(c, 1).otherwise(0)
+    return _two(t).filter(M.hybrid_model_on(on(F.col("model") >= 0.3), on(F.col("classical") >= 0.5), F.col("classical"))).select(*P.KEY)
 
 
 @query("r32_run_statistics", f"WITH {GRAY_SQL} SELECT pair_id, count(*) AS total_pixels, count(*) FILTER (WHERE g1 >= 140) AS changed_pixels, round(100.0 * count(*) FILTER (WHERE g1 >= 140) / count(*), 2) AS change_percentage FROM gp GROUP BY 1")

@@ -69,12 +69,12 @@ def _(t):
     return R.shifts(gray_pairs(t("embeddings"))).select("pair_id", "dy", "dx")
 
 
-@query("p07_ratio_matches", """WITH e AS (SELECT vec_id // 50 AS pair_id, label AS block, vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-d AS (SELECT a.pair_id, a.id, b.id AS other, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM e a JOIN e b ON a.pair_id = b.pair_id AND a.block = b.block AND a.id % 2 = 0 AND b.id % 2 = 1),
+@query("p07_ratio_matches", """WITH e AS (SELECT vec_id // 50 AS pair_id, vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+d AS (SELECT a.pair_id, a.id, b.id AS other, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM e a JOIN e b ON a.pair_id = b.pair_id AND a.id % 2 = 0 AND b.id % 2 = 1),
 r AS (SELECT *, row_number() OVER w AS k, lead(d) OVER w AS s FROM d WINDOW w AS (PARTITION BY pair_id, id ORDER BY d, other)) SELECT pair_id, id, other, round(d, 6) AS d FROM r WHERE k = 1 AND d < 0.98 * s""")
 def _(t):
     """Nearest descriptor with a ratio test."""
-    e = t("embeddings").select(F.floor(F.col("vec_id") / 50).alias("pair_id"), F.col("label").alias("block"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    e = t("embeddings").select(F.floor(F.col("vec_id") / 50).alias("pair_id"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     m = R.ratio_matches(e.filter("id % 2 = 0"), e.filter("id % 2 = 1"), 0.98)
     return m.select("pair_id", "id", "other", F.round("d", 6).alias("d"))
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronotile.operators import catalog, masks, pixels, regions, registration, review, rules, signals, tiling
+from chronotile.operators import catalog, masks, methods, pixels, regions, registration, review, rules, signals, tiling
 from chronotile.sources import rasters
 from chronotile.streaming import events
 
@@ -41,6 +41,54 @@ def test_components_match_flood_fill(spark):
     assert {(p, frozenset(s)) for (p, _), s in got.items()} == want
 
 
+@pytest.mark.parametrize("tile", [7, 512])
+def test_components_join_across_tiles(spark, tile):
+    rng = np.random.default_rng(4)
+    grid = rng.random((2, 40, 50)) < 0.45
+    grid[1] = False
+    grid[1, 3, :], grid[1, :, 9] = True, True
+    on = spark.createDataFrame([(p, y, x) for p, y, x in np.argwhere(grid).tolist()], "pair_id long, y int, x int").coalesce(2)
+    rows = masks.components(on, tile).collect()
+    label = {(r.pair_id, r.y, r.x): r.label for r in rows}
+    assert len(rows) == len(label) == grid.sum()
+    for p, y, x in label:
+        for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1)):
+            if (p, y + dy, x + dx) in label:
+                assert label[p, y, x] == label[p, y + dy, x + dx]
+    whole = {(r.pair_id, r.y, r.x): r.label for r in masks.components(on, 1000).collect()}
+    assert len({(k[0], v) for k, v in label.items()}) == len({(k[0], v) for k, v in whole.items()})
+
+
+def test_shift_over_tiles(spark):
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 255, (48, 64))
+    b = np.roll(a, (-2, 3), (0, 1))
+    g = spark.createDataFrame([(7, y, x, int(a[y, x]), int(b[y, x])) for y in range(48) for x in range(64)], "pair_id long, y int, x int, g1 int, g2 int")
+    assert [(r.pair_id, r.dy, r.dx) for r in registration.shifts(g, 24).collect()] == [(7, -2, 3)]
+
+
+def test_matches_over_the_whole_pair(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(30, 4)), rng.normal(size=(25, 4))
+    table = lambda m: spark.createDataFrame([(1, k, v.tolist()) for k, v in enumerate(m)], "pair_id long, id long, v array<double>")
+    got = {(r.id, r.other) for r in registration.ratio_matches(table(a), table(b), 0.8, part=8).collect()}
+    d = np.sqrt(((a[:, None] - b) ** 2).sum(-1))
+    order = np.sort(d, 1)
+    assert got == {(k, int(d[k].argmin())) for k in range(30) if order[k, 0] < 0.8 * order[k, 1]} and got
+
+
+def test_clusters_of_a_pair_do_not_depend_on_others(spark):
+    rng = np.random.default_rng(7)
+    one, two = rng.integers(40, 60, (12, 12, 3)), rng.integers(0, 255, (12, 12, 3))
+    one[3:7, 4:9] = (50, 50, 50)
+    changed = one.copy()
+    changed[3:7, 4:9] = (220, 30, 200)
+    alone = methods.feature_mask(scene(spark, one, changed, 1))
+    both = methods.feature_mask(scene(spark, one, changed, 1).union(scene(spark, two, two[::-1], 2)))
+    on = lambda df: {(r.y, r.x) for r in df.filter("pair_id = 1 and on = 1").collect()}
+    assert on(alone) == on(both) == {(y, x) for y in range(3, 7) for x in range(4, 9)}
+
+
 def test_identical_images_show_no_change(spark):
     image = np.random.default_rng(42).integers(0, 255, (16, 16, 3))
     df = scene(spark, image, image)
