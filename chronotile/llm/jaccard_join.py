@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronotile.llm.common import attach, join_ids, saved, shuffle_partitions
-from chronotile.llm.components import components
 from chronotile.llm.shingles import mixed, passes, shingle_sets
+from chronotile.operators.graph import components
 
 WIDTH, PERCENT = 5, 80
 #: Members of a bucket that one tree takes; a larger bucket is split, and its parts are compared in pairs.

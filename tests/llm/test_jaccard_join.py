@@ -4,7 +4,8 @@ import re
 import numpy as np
 import pytest
 
-from chronotile.llm import components, jaccard_join
+from chronotile.llm import jaccard_join
+from chronotile.operators import graph
 
 
 def shingles(text):
@@ -82,7 +83,7 @@ def test_tree_finds_every_link(monkeypatch):
 
 def test_components(spark):
     edges = [(k, k + 1) for k in range(50)] + [(100, 100), (200, 201), (201, 200), (300, 200)] + [(1000, 2000 + k) for k in range(300)]
-    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     want = {k: 0 for k in range(51)} | {200: 200, 201: 200, 300: 200, 1000: 1000} | {2000 + k: 1000 for k in range(300)}
     assert got == want
 
