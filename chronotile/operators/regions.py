@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,14 +58,69 @@ def image_features(df: DataFrame, k: str) -> DataFrame:
     return means.join(entropy, "pair_id")
 
 
-def compared_features(before: DataFrame, after: DataFrame, similarity: DataFrame) -> DataFrame:
+def greenness(df: DataFrame, k: str) -> DataFrame:
+    """R17, first half: ndvi, green_ratio and mean_saturation of image ``k`` of each pair; the regularity of its texture is R1's ``entropy``."""
+    c = coloured(df)
+    r, g, b = (F.avg(f"{x}{k}") for x in "rgb")
+    ndvi, share = (g - r) / (g + r + 1e-6), g / (r + g + b + 1e-6)
+    return c.groupBy("pair_id").agg(ndvi.alias("ndvi"), share.alias("green_ratio"), F.avg(f"hsv{k}.s").alias("mean_saturation"))
+
+
+def strong_corners(gray: np.ndarray, most: int = 100, quality: float = 0.05, apart: int = 5) -> int:
+    """Corners of a gray crop by the smaller eigenvalue of its gradients' 3 x 3 sums: at least ``quality`` of the best, greatest among
+    their neighbours, taken strongest first if no taken one is nearer than ``apart`` pixels."""
+    if min(gray.shape) < 5:
+        return 0
+    p = np.pad(gray.astype(float), 1, mode="reflect")
+    dx = (p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[1:-1, :-2] + p[2:, :-2])
+    dy = (p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[:-2, 1:-1] + p[:-2, 2:])
+
+    def square(v: np.ndarray, f) -> np.ndarray:
+        q = np.pad(v, 1, mode="reflect")
+        h, w = v.shape
+        return f([q[a : a + h, b : b + w] for a in range(3) for b in range(3)], 0)
+
+    xx, yy, xy = (square(v, np.sum) for v in (dx * dx, dy * dy, dx * dy))
+    least = (xx + yy) / 2 - np.sqrt(((xx - yy) / 2) ** 2 + xy * xy)
+    level = least.max() * quality
+    good = (least > level) & (least == square(least, np.max)) & (least > 0)
+    good[[0, -1], :] = good[:, [0, -1]] = False
+    ys, xs = np.nonzero(good)
+    taken: list[tuple[int, int]] = []
+    for n in np.lexsort((xs, ys, -least[ys, xs])).tolist():
+        y, x = int(ys[n]), int(xs[n])
+        if len(taken) < most and all((y - a) ** 2 + (x - b) ** 2 >= apart * apart for a, b in taken):
+            taken.append((y, x))
+    return len(taken)
+
+
+def corners(gray: DataFrame) -> DataFrame:
+    """pair_id, ``b_corners`` and ``corners`` of the gray crops (pair_id, y, x, g1, g2), one crop of a region a task."""
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        y, x = rows["y"] - rows["y"].min(), rows["x"] - rows["x"].min()
+        found = []
+        for column in ("g1", "g2"):
+            image = np.zeros((int(y.max()) + 1, int(x.max()) + 1))
+            image[y, x] = rows[column]
+            found.append(strong_corners(image))
+        return pd.DataFrame({"pair_id": [int(rows["pair_id"].iloc[0])], "b_corners": found[:1], "corners": found[1:]})
+
+    return gray.groupBy("pair_id").applyInPandas(count, "pair_id long, b_corners int, corners int")
+
+
+def compared_features(before: DataFrame, after: DataFrame, similarity: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Features of the image after, b_ of the one before, d_ differences, ``lab`` distance of means and ``ssim`` (pair_id, ssim).
 
-    Counts of lines, corners and hulls (R2-R4) are inputs where a detector has made them, else 0.
+    ``counts`` are the corners of R3; those of lines and hulls (R2, R4) are inputs where a detector has made them, else 0.
     """
     b = before.select("pair_id", *[F.col(f).alias(f"b_{f}") for f in FEATURES], F.col("mean_lab").alias("_lab"))
     distance = F.sqrt(sum((F.pow(F.col("mean_lab")[f] - F.col("_lab")[f], F.lit(2)) for f in ("l", "a", "b")), F.lit(0.0)))
-    shape = {n: F.lit(0) for n in ("lines", "corners", "b_lines", "d_lines", "d_corners")} | {n: F.lit(0.0) for n in ("hull", "b_hull")}
+    shape = {n: F.lit(0) for n in ("lines", "b_lines", "d_lines")} | {n: F.lit(0.0) for n in ("hull", "b_hull")}
+    if counts is None:
+        shape |= {n: F.lit(0) for n in ("corners", "d_corners")}
+    else:
+        similarity = similarity.join(counts, "pair_id").withColumn("d_corners", F.col("corners") - F.col("b_corners")).drop("b_corners")
     return after.join(b, "pair_id").join(similarity, "pair_id").withColumns({f"d_{f}": F.col(f) - F.col(f"b_{f}") for f in FEATURES} | {"lab": distance} | shape).drop("mean_lab", "_lab")
 
 

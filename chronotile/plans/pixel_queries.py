@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from chronotile.functions.lineage import cut
 from chronotile.operators import masks as M
 from chronotile.operators import pixels as P
+from chronotile.operators import regions as G
 from chronotile.operators import signals as S
 from chronotile.plans.bridges import GRAY_SQL, PIXELS_SQL, gray_pairs, pixels
 from chronotile.plans.registry import query
@@ -98,6 +99,13 @@ def _(t):
     return c.select("pair_id", "y", "x", "gray1", F.col("lab1.l").alias("l1"), F.col("lab1.a").alias("a1"), F.col("lab1.b").alias("lab_b1"), F.col("hsv1.h").alias("h1"), F.col("hsv1.s").alias("s1"), F.col("hsv1.v").alias("v1"))
 
 
+@query("r17_greenness", f"""WITH {COLOUR} SELECT pair_id, round((avg(g1) - avg(r1)) / (avg(g1) + avg(r1) + 1e-6), 6) AS ndvi,
+  round(avg(g1) / (avg(r1) + avg(g1) + avg(b1) + 1e-6), 6) AS green_ratio, round(avg(s1), 6) AS mean_saturation FROM col GROUP BY 1""")
+def _(t):
+    g = G.greenness(pixels(t("embeddings")), "1")
+    return g.select("pair_id", *[F.round(c, 6).alias(c) for c in ("ndvi", "green_ratio", "mean_saturation")])
+
+
 @query("p09_correlation", f"WITH {GRAY_SQL} SELECT pair_id, round(coalesce(CASE WHEN isnan(corr(g1, g2)) THEN 0 ELSE corr(g1, g2) END, 0), 6) AS ncc FROM gp GROUP BY 1")
 def _(t):
     return P.correlation(gray_pairs(t("embeddings")), "g1", "g2").select("pair_id", F.round("ncc", 6).alias("ncc"))

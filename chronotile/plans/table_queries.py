@@ -259,7 +259,8 @@ def _(t):
 def _features(t):
     p = pixels(t("embeddings"))
     ssim = S.structural_change(p).groupBy("pair_id").agg((1 - 2 * F.avg("dssim")).alias("ssim"))
-    f = G.compared_features(G.image_features(p, "1"), G.image_features(p, "2"), ssim)
+    gray = S.coloured(p).select("pair_id", "y", "x", F.col("gray1").alias("g1"), F.col("gray2").alias("g2"))
+    f = G.compared_features(G.image_features(p, "1"), G.image_features(p, "2"), ssim, G.corners(gray))
     from chronotile.functions.lineage import cut
 
     return cut(f.withColumns({"area": F.lit(2500) + F.col("pair_id") * 100, "w": F.lit(60), "h": F.lit(50), "asp": F.lit(1.2) + F.col("pair_id") % 5, "fill": F.lit(0.5), "compact": F.lit(0.6)}))
@@ -656,6 +657,35 @@ def _(t):
     return K.payloads(_regions(t)).filter(F.length("payload") > 20).select("run_id", "n")
 
 
+@query("k04_file_export", f"""WITH {REGIONS_SQL}, c AS (SELECT run_id, count(*) FILTER (WHERE review_status = 'confirmed') AS n FROM regions GROUP BY 1)
+SELECT run_id, n > 0 AS ok, 'file' AS mode, CASE WHEN n > 0 THEN n || ' confirmed region(s) ready for CSV download.' ELSE 'No confirmed regions to export.' END AS message,
+  n AS submitted_count, CASE WHEN n > 0 THEN '/api/dda/reports/' || run_id || '/export.csv?confirmed=1' END AS download_path FROM c""")
+def _(t):
+    r = _regions(t)
+    return K.hand_over(r.select("run_id").distinct(), r.filter("review_status = 'confirmed'"), None)
+
+
+@query("r33_serialised", f"""WITH {REGIONS_SQL} SELECT run_id, region_id AS id, area, CAST(round_even(x + (w - 1) / 2.0, 0) AS INT) AS cx, CAST(round_even(y + (h - 1) / 2.0, 0) AS INT) AS cy,
+  object_type, round(confidence, 6) AS confidence, 'minor' AS severity, NULL::INT AS stories FROM regions""")
+def _(t):
+    """The stored text, read back."""
+    shape = "array<struct<id:int,area:long,center:struct<x:int,y:int>,objectType:string,confidence:double,severity:string,estimatedStories:int>>"
+    r = K.serialised(_regions(t)).select("run_id", F.explode(F.from_json("regions_json", shape)).alias("r"))
+    named = [F.col("r.center.x").alias("cx"), F.col("r.center.y").alias("cy"), F.col("r.objectType").alias("object_type")]
+    return r.select("run_id", "r.id", "r.area", *named, F.round("r.confidence", 6).alias("confidence"), "r.severity", F.col("r.estimatedStories").alias("stories"))
+
+
+@query("k11_run_rows", f"""WITH {REGIONS_SQL}, n AS (SELECT run_id, count(*) AS n FROM regions GROUP BY 1)
+SELECT o_orderkey AS run_id, o_orderpriority AS title, 1000 AS total_pixels, o_custkey % 1000 AS changed_pixels, round((o_custkey % 1000) / 10.0, 2) AS change_percentage, CAST(coalesce(n, 0) AS INT) AS regions_count
+FROM orders LEFT JOIN n ON n.run_id = o_orderkey""")
+def _(t):
+    o = t("orders").withColumnRenamed("o_orderkey", "run_id")
+    changed = F.col("o_custkey") % 1000
+    stats = o.select("run_id", F.lit(1000).alias("total_pixels"), changed.alias("changed_pixels"), F.round(changed / 10, 2).alias("change_percentage"))
+    rows = K.run_rows(o.select("run_id", F.col("o_orderpriority").alias("title")), stats, _regions(t))
+    return rows.drop("regions_json")
+
+
 @query("k09_cache_state", "SELECT p_partkey, p_size > 25 AS valid, CASE WHEN p_partkey * 3000000 > 2147483648 THEN 512 WHEN p_partkey * 3000000 > 524288000 THEN 1024 ELSE 4096 END AS max_side FROM part")
 def _(t):
     return K.cache_state(t("part").select("p_partkey", F.col("p_size").alias("cached_at"), F.lit(26).alias("modified_at"), (F.col("p_partkey") * 3000000).alias("size"))).select("p_partkey", "valid", "max_side")

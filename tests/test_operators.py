@@ -196,6 +196,14 @@ def _tiff(image):
     return b"II*\0" + struct.pack("<I", at) + image.tobytes() + b"\0" * (image.size % 2) + struct.pack("<H", len(tags)) + body + struct.pack("<I", 0) + struct.pack("<9d", 0.5, 0.25, 0, 0, 0, 0, 70, 28, 0)
 
 
+def test_corners():
+    image = np.zeros((60, 60))
+    for y, x in ((10, 10), (10, 40), (40, 25)):
+        image[y : y + 8, x : x + 8] = 200
+    assert regions.strong_corners(image) == 12
+    assert regions.strong_corners(np.full((20, 20), 7.0)) == 0 and regions.strong_corners(image[:4]) == 0
+
+
 def test_rasters(spark, tmp_path):
     image = np.random.default_rng(1).integers(0, 255, (4, 5, 3)).astype(np.uint8)
     (tmp_path / "a.png").write_bytes(_png(image))
