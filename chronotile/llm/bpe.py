@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronotile.llm.common import in_batches
+
 BUCKETS = (4, 8, 12, 16, 24, 32, 64, 128, 256)
 #: Characters of text that one matrix pass takes in, and pieces that a worker remembers between passes.
 PASS_CHARS, REMEMBERED = 1_000_000, 150_000
@@ -212,4 +214,4 @@ def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken",
             yield pd.DataFrame(out | ({"ids": [np.frombuffer(x, "<u4").astype("int32") for x in ids]} if keep_ids else {}))
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(encoded, schema)
+    return in_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(encoded, schema)

@@ -9,6 +9,8 @@ from chronotile.functions.lineage import cut
 
 #: Most ids that a checked broadcast may hold (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: Most rows of an Arrow batch of whole texts. Batches of Spark's default size hold ten times as much in the JVM and twice over in Python.
+BATCH_ROWS = 1000
 #: White space as the word contracts define it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, for Python functions on whole texts: from now on the session hands over at most BATCH_ROWS rows at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` computed once into the cluster's shared checkpoint folder."""
     return cut(df)

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronotile.llm.common import in_batches
+
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head script style template noscript title iframe object svg math datalist audio video canvas".split())
@@ -327,4 +329,4 @@ def extract_text(pages: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"page_id": batch["page_id"], "text": [visible_text(x) for x in batch["html"]]})
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInPandas(extracted, "page_id long, text string")
+    return in_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "html").mapInPandas(extracted, "page_id long, text string")

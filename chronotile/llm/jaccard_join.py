@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronotile.llm.common import attach, join_ids, saved, shuffle_partitions
-from chronotile.llm.shingles import mixed, passes, shingle_sets
+from chronotile.llm.common import attach, in_batches, join_ids, saved, shuffle_partitions
+from chronotile.llm.shingles import mixed, shingle_sets
 from chronotile.operators.graph import components
 
 WIDTH, PERCENT = 5, 80
@@ -47,10 +47,16 @@ def _marks(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whole rows of the batches in pieces of about PIECE_CHARS characters, so that a worker's sets and sorts stay small."""
+    """The rows of the batches in pieces of about PIECE_CHARS characters, so that a worker's sets and sorts are neither many nor large."""
+    held, chars = [], 0
     for batch in batches:
-        for first, last in passes(batch["text"].tolist(), PIECE_CHARS):
-            yield batch.iloc[first:last]
+        held.append(batch)
+        chars += int(batch["text"].str.len().sum())
+        if chars >= PIECE_CHARS:
+            yield pd.concat(held, ignore_index=True)
+            held, chars = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -387,7 +393,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     to nothing and has a null component. Rows that repeat a doc_id are rows of their own. Extra columns are ignored; an empty table
     gives an empty result; a very long text is one class like others, its set is held in one task.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     meta = saved(docs.mapInPandas(_digests, "doc_id long, n_shingles long, mark long, check long"))
     return _named(docs, meta).select("doc_id", "n_shingles", "component_id")
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotile.llm.common import in_fold
+from chronotile.llm.common import in_batches, in_fold
 from chronotile.llm.shingles import passes
 
 BITS, LONGEST = 14, 3
@@ -137,7 +137,7 @@ def train(docs: DataFrame) -> Model:
 
     Executors count the n-grams; the driver gets no text, only the counts of at most SAMPLE documents.
     """
-    learn = docs.filter(in_fold(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    learn = in_batches(docs).filter(in_fold(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counts = learn.select("text").mapInPandas(_frequencies, "feature int, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect()
     df = np.zeros(FEATURES + 1)
     for row in counts:

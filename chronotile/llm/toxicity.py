@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotile.llm.common import in_fold, saved
+from chronotile.llm.common import in_batches, in_fold, saved
 from chronotile.llm.shingles import passes, word_hashes
 
 #: Most labelled documents of either label that the fit takes, the longest of them in characters, and most characters of them all. Those
@@ -242,6 +242,7 @@ _SEPARATORS = {k: " " for k in range(128) if not chr(k).isalnum()}
 
 def train(docs: DataFrame, labels: DataFrame) -> Field:
     """A field learned from documents of the learning fold that ``labels`` (doc_id, toxic) marks."""
+    docs = in_batches(docs)
     usable = labels.filter(in_fold(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = (F.xxhash64("doc_id"), "doc_id")
     chosen = [usable.filter(F.col("toxic") == k).orderBy(*order).limit(SAMPLE) for k in (0, 1)]
