@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronotile.llm.common import attach, in_batches, join_ids, saved, shuffle_partitions
@@ -399,23 +399,48 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def _named(docs: DataFrame, meta: DataFrame) -> DataFrame:
-    """``meta``, the digests of ``docs`` and any further columns, with component_id."""
+    """``meta``, the digests of ``docs``, with component_id and root, a number that linked classes share, null without links."""
     usable = meta.filter("n_shingles > 0 and doc_id is not null")
     classes = saved(usable.groupBy(*CLASS).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")))
     survivors = _survivors(docs, classes)
-    linked = survivors.join(_all_links(_candidates(docs, survivors)), "node").select("doc_id", *CLASS, "component")
-    least = saved(linked.groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    linked = attach(linked, least, "component", how="inner").select(*CLASS, "component_id")
+    linked = survivors.join(_all_links(_candidates(docs, survivors)), "node").select("doc_id", *CLASS, F.col("component").alias("root"))
+    least = saved(linked.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    linked = attach(linked, least, "root", how="inner").select(*CLASS, "component_id", "root")
     named = classes.join(linked, list(CLASS), "left").filter("copies > 1 or component_id is not null")
-    named = saved(named.select(*CLASS, F.coalesce("component_id", "doc_id").alias("component_id")))
+    named = saved(named.select(*CLASS, F.coalesce("component_id", "doc_id").alias("component_id"), "root"))
     own = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return attach(meta, named, *CLASS).withColumn("component_id", own)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, the smallest doc_id; doc_id must be unique here."""
-    dropped = saved(jaccard_components(docs).filter("component_id < doc_id").select("doc_id"))
-    return join_ids(docs, dropped, "doc_id", "left_anti")
+    """``docs`` with one row of each component: of those with the smallest doc_id one, by the digest of its text, and of its repeats one.
+
+    Rows without words or without a doc_id are in no component and stay, all of them. All columns come through as they are.
+    """
+    rows = in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    meta = saved(rows.mapInPandas(_digests, "doc_id long, n_shingles long, mark long, check long"))
+    named = saved(_named(rows, meta))
+    repeated = saved(named.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return join_ids(docs, saved(named.filter("component_id < doc_id").select("doc_id")), "doc_id", "left_anti")
+    key = ("doc_id", *CLASS)
+    usable = named.filter("doc_id is not null and n_shingles > 0")
+    group = F.coalesce(F.col("root").cast("string"), F.concat_ws(":", *CLASS))
+    kept = saved(usable.groupBy(group.alias("group")).agg(F.min(F.struct(*key)).alias("k")).select("k.*"))
+    single = join_ids(usable, repeated, "doc_id", "left_anti").select(*key)
+    dropped = saved(single.join(kept, list(key), "left_anti").select("doc_id"))
+    of_single = join_ids(join_ids(docs, repeated, "doc_id", "left_anti"), dropped, "doc_id", "left_anti")
+
+    @F.pandas_udf("mark long, check long, n_shingles long")
+    def digest(text: pd.Series) -> pd.DataFrame:
+        return next(_digests(iter([pd.DataFrame({"doc_id": 0, "text": text})])))[list(CLASS)]
+
+    others = join_ids(docs, repeated, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("doc"), digest("text").alias("own"))
+    others = others.select("doc", F.col("doc.doc_id").cast("long").alias("doc_id"), *[F.col(f"own.{c}").alias(c) for c in CLASS])
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("doc")))
+    first = others.filter("n_shingles > 0").join(kept, list(key), "left_semi").withColumn("place", place).filter("place = 1")
+    of_repeated = others.filter("n_shingles = 0").select("doc.*").unionByName(first.select("doc.*"))
+    return of_single.unionByName(of_repeated)
 
 
 #: DuckDB: op3 by counting the shingles that pairs share, then following links.

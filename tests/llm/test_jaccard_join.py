@@ -90,3 +90,27 @@ def test_components(spark):
 
 def test_empty(make_docs):
     assert jaccard_join.jaccard_components(make_docs().limit(0)).count() == 0
+
+
+def test_one_of_each_with_repeated_ids(make_docs):
+    base = " ".join(f"w{k}" for k in range(60))
+    near, other, far = base + " more", " ".join(f"v{k}" for k in range(40)), " ".join(f"u{k}" for k in range(30))
+    rows = [(5, base), (5, near), (5, near), (7, near), (7, far), (9, far + " x"), (4, other), (4, far), (None, base), (None, None), (8, ""), (8, None), (8, " ")]
+    docs = make_docs(*rows)
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    left = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(map(str, left)) == sorted(map(str, [x for x in left if x in rows])) and len(left) == 8
+    assert sum(x in ((5, base), (5, near)) for x in left) == 1 and (4, other) in left and (4, far) in left
+    assert sum(d in (7, 9) for d, _ in left) == 0 and sum(d == 8 for d, _ in left) == 3 and sum(d is None for d, _ in left) == 2
+    assert jaccard_join.one_of_each(make_docs((None, None), (None, None), (1, None))).count() == 3
+
+
+def test_one_of_each_matches_brute_force(make_docs):
+    rows = [(d, t) for k, (d, t) in enumerate(corpus(3)) if d is not None][:-1]
+    best = {}
+    for (d, _, c), (e, t) in zip(sorted(brute(rows)), sorted(rows), strict=True):
+        assert d == e
+        if not shingles(t) or c == d:
+            best[d] = t
+    assert sorted((r.doc_id, str(r.text)) for r in jaccard_join.one_of_each(make_docs(*rows)).collect()) == sorted((d, str(t)) for d, t in best.items())
