@@ -20,7 +20,8 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role_", "text_")
     rolling = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hashed = turns.withColumn("n", F.row_number().over(order)).withColumns({f"h{k}": F.xxhash64(F.lit(k), "n", "role_", "text_") for k in (1, 2)})
-    return hashed.select("conv_id", "n", F.concat(F.hex(F.expr("bit_xor(h1)").over(rolling)), F.lit("-"), F.hex(F.expr("bit_xor(h2)").over(rolling))).alias("mark"))
+    one, two = (F.hex(F.expr(f"bit_xor(h{k})").over(rolling)) for k in (1, 2))
+    return hashed.select("conv_id", "n", F.concat(one, F.lit("-"), two).alias("mark"))
 
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:
@@ -37,15 +38,23 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
 
 
 def _clean(turns: DataFrame) -> DataFrame:
-    return turns.filter("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role_"), F.coalesce("text", F.lit("")).alias("text_")).distinct()
+    named = [F.coalesce(c, F.lit("")).alias(f"{c}_") for c in ("role", "text")]
+    return turns.filter("conv_id is not null").select("conv_id", "turn", *named).distinct()
 
 
 def render_chats(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns, n_chars and the rendered text of each maximal conversation, opening and closing every turn."""
+    """conv_id, n_turns, n_chars and the rendered text of each maximal conversation, opening and closing every turn.
+
+    ``turns`` has conv_id, turn, role and text; other columns are ignored. Ties, nulls and repeats are as ``maximal_conversations`` has them;
+    very long turns are rendered whole; one conversation, however long, is one row of the result and is put together in one task.
+    An empty table gives an empty result.
+    """
     kept = saved(maximal_conversations(turns))
     parts = _clean(turns).join(kept, "conv_id").withColumn("part", F.concat(F.lit(OPEN), "role_", F.lit("\n"), "text_", F.lit(CLOSE)))
-    listed = parts.groupBy("conv_id", "n_turns").agg(F.sort_array(F.collect_list(F.struct(F.col("turn").isNull().alias("last"), "turn", "role_", "text_", "part"))).alias("parts"))
-    return listed.select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), F.array_join("parts.part", "").alias("rendered")).withColumn("n_chars", F.length("rendered").cast("long"))
+    turn = F.struct(F.col("turn").isNull().alias("last"), "turn", "role_", "text_", "part")
+    listed = parts.groupBy("conv_id", "n_turns").agg(F.sort_array(F.collect_list(turn)).alias("parts"))
+    rendered = listed.select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), F.array_join("parts.part", "").alias("rendered"))
+    return rendered.withColumn("n_chars", F.length("rendered").cast("long"))
 
 
 #: DuckDB: op5 by comparing lists of turns.

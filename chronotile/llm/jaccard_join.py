@@ -29,7 +29,7 @@ WIDTH, PERCENT = 5, 80
 #: Members of a bucket that one tree takes; a larger bucket is split, and its parts are compared in pairs.
 TREE_MEMBERS, FANOUT = 512, 8
 #: Tokens of all prefixes that one hash bucket takes on average; characters of text that a worker hashes at a time.
-BUCKET_TOKENS, PIECE_CHARS = 500_000, 4_000_000
+BUCKET_TOKENS, PIECE_CHARS = 500_000, 2_000_000
 #: What two classes are told apart by: 128 bits of digest and the number of shingles.
 CLASS = ("mark", "check", "n_shingles")
 
@@ -118,7 +118,8 @@ def _credited(rows: pd.DataFrame) -> pd.DataFrame:
     run = np.flatnonzero(np.append(True, token[1:] != token[:-1]))[: len(token)]
     size = np.diff(np.append(run, len(token)))
     found, credits = np.unique(mark[np.repeat(size, size) > 1], return_counts=True)
-    return pd.DataFrame({"mark": np.append(found, np.frombuffer(b"".join(rows["credit_marks"]), np.int64)), "credit": np.append(credits, np.frombuffer(b"".join(rows["credits"]), np.int64))})
+    here = [np.frombuffer(b"".join(rows[c]), np.int64) for c in ("credit_marks", "credits")]
+    return pd.DataFrame({"mark": np.append(found, here[0]), "credit": np.append(credits, here[1])})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -33,7 +33,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     by_source = sizes.groupBy("key", "source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
     everything = Window.partitionBy(F.lit(0))
     ranked = by_source.withColumn("rn", F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last())))
-    weighed = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.col("rn") - 1) % len(WEIGHTS) + 1).cast("int")).cast("double")).withColumn("cap", (F.col("source_size") * CAP).cast("double"))
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.col("rn") - 1) % len(WEIGHTS) + 1).cast("int"))
+    weighed = ranked.withColumn("weight", weight.cast("double")).withColumn("cap", (F.col("source_size") * CAP).cast("double"))
     by_ratio = everything.orderBy("ratio", "rn")
     levels = (
         weighed.withColumn("ratio", F.col("cap") / F.col("weight"))
@@ -43,7 +44,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
         .withColumn("level", (F.col("budget") - F.col("capped")) / F.col("open"))
     )
     first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "rn", "level"))).over(everything)["level"]
-    return levels.withColumn("target", F.least("cap", F.coalesce(first, F.lit(0.0)) * F.col("weight"))).select("key", "source", "n_docs", "source_size", "target")
+    target = F.least("cap", F.coalesce(first, F.lit(0.0)) * F.col("weight"))
+    return levels.withColumn("target", target).select("key", "source", "n_docs", "source_size", "target")
 
 
 def _met(acc: Column, x: Column) -> Column:
@@ -58,7 +60,8 @@ def _met(acc: Column, x: Column) -> Column:
 
     def settled(p: Column) -> Column:
         c_done, x_done = _whole(p["c"]), _whole(p["x"])
-        out = F.concat(acc["out"], F.when(c_done, F.array(_with_p(c, F.round(p["c"])))).otherwise(_none(c)), F.when(x_done, F.array(_with_p(x, F.round(p["x"])))).otherwise(_none(x)))
+        decided = lambda item, done, share: F.when(done, F.array(_with_p(item, F.round(share)))).otherwise(_none(item))
+        out = F.concat(acc["out"], decided(c, c_done, p["c"]), decided(x, x_done, p["x"]))
         return F.struct((~(c_done & x_done)).alias("live"), F.when(c_done, _with_p(x, p["x"])).otherwise(_with_p(c, p["c"])).alias("c"), out.alias("out"))
 
     return let(F.struct(up.alias("up"), down.alias("down")), moved)
@@ -144,7 +147,9 @@ def _mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
     out = decided[0]
     for more in decided[1:]:
         out = out.unionByName(more)
-    return out.select("item.*", F.when(F.length("key") > 0, F.substring("key", 2, 2**31 - 1)).alias("source")).select("doc_id", "source", "size", "source_size", "target", (F.col("base") + F.col("p").cast("long")).alias("copies"), ((F.col("base") + F.col("p").cast("long")) * F.col("size")).alias("taken"), "row")
+    out = out.select("item.*", F.when(F.length("key") > 0, F.substring("key", 2, 2**31 - 1)).alias("source"))
+    copies = F.col("base") + F.col("p").cast("long")
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "row")
 
 
 def mixed_docs(docs: DataFrame) -> DataFrame:

@@ -33,7 +33,8 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract_text(table(spark, sf_dir, "pages")).select("page_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+    text = html_text.extract_text(table(spark, sf_dir, "pages"))
+    return text.select("page_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,9 +54,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_nearest_neighbours, op2_language_id, op3_ngram_jaccard_join, op4_byte_bpe, op5_chat_formatting, op6_html_extraction, op7_mixing, op8_pii, op9_exact_dedup, op10_toxicity)
+    every = (
+        op1_nearest_neighbours, op2_language_id, op3_ngram_jaccard_join, op4_byte_bpe, op5_chat_formatting,
+        op6_html_extraction, op7_mixing, op8_pii, op9_exact_dedup, op10_toxicity,
+    )
     return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_nearest_neighbours": block_search.SQL, "op3_ngram_jaccard_join": jaccard_join.SQL, "op5_chat_formatting": chat.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {
+        "op1_nearest_neighbours": block_search.SQL,
+        "op3_ngram_jaccard_join": jaccard_join.SQL,
+        "op5_chat_formatting": chat.SQL,
+        "op9_exact_dedup": exact_dedup.SQL,
+    }

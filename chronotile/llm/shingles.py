@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-PASS_BYTES = 1_000_000
+PASS_BYTES = 400_000
 _U = np.uint64
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -50,7 +50,10 @@ def word_hashes(texts: list[str | None], prefixes: tuple[int, ...] = ()) -> tupl
     np.cumsum(_BYTE[buffer] * up[: len(buffer)], out=sums[1:])
     hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U) * _U(_BASE))
     text = np.searchsorted(offsets, starts, "right") - 1
-    heads = [np.where(ends - starts > k, mixed((sums[np.minimum(starts + k, ends)] - sums[starts]) * down[starts] + _U(k * 0xD6E8FEB86659FD93 % 2**64)), _U(0)) for k in prefixes]
+    heads = []
+    for k in prefixes:
+        sum_ = (sums[np.minimum(starts + k, ends)] - sums[starts]) * down[starts]
+        heads.append(np.where(ends - starts > k, mixed(sum_ + _U(k * 0xD6E8FEB86659FD93 % 2**64)), _U(0)))
     return text, hashes, starts - offsets[text], ends - offsets[text], *heads
 
 

@@ -26,3 +26,9 @@ def test_branches_both_stay(spark):
 
 def test_empty(spark):
     assert chat.render_chats(conv(spark, [])).count() == 0
+
+
+def test_very_long_turns(spark):
+    long = "word " * 200_000
+    out = chat.render_chats(conv(spark, [(1, 0, "user", long), (2, 0, "user", long), (2, 1, "assistant", "ok")])).collect()
+    assert [(r.conv_id, r.n_turns) for r in out] == [(2, 2)] and long in out[0].rendered

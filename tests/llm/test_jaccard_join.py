@@ -114,3 +114,10 @@ def test_one_of_each_matches_brute_force(make_docs):
         if not shingles(t) or c == d:
             best[d] = t
     assert sorted((r.doc_id, str(r.text)) for r in jaccard_join.one_of_each(make_docs(*rows)).collect()) == sorted((d, str(t)) for d, t in best.items())
+
+
+def test_very_long_texts_link(make_docs):
+    long = " ".join(f"w{k * k % 9973}" for k in range(60_000))
+    rows = [(3, long), (1, long + " and more"), (2, "short text of no more than a few words"), (4, long[: len(long) // 2])]
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(make_docs(*rows)).collect()}
+    assert got == {d: c for d, _, c in brute(rows)} and got[3] == 1

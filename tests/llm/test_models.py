@@ -119,3 +119,9 @@ def test_marginals_match_all_paths():
                 seen[a, b] += w / total
         at += n
     assert np.allclose(got, want) and np.allclose(pairs, seen)
+
+
+def test_very_long_texts_have_a_language(make_docs):
+    rows = [(k, ("the quick brown fox" if k % 2 else "der schnelle braune fuchs über")) for k in range(60)] + [(1001, "the fox " * 100_000)]
+    docs = make_docs(*rows).withColumn("lang", F.when(F.col("text").startswith("the"), "en").otherwise("de"))
+    assert {r.doc_id: r.lang_pred for r in language_id.identify_languages(docs).collect()}[1001] == "en"
