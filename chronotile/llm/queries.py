@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chronotile.llm import block_search, bpe, chat, exact_dedup, html_text, jaccard_join, language_id, mixing, pii, toxicity
+from chronotile.llm import block_search, bpe, chat, exact_dedup, html_text, jaccard_join, language_id, mixing, pii, source_divergence, speculative_bpe, spelling_variants, toxicity
 from chronotile.llm.common import table
 
 
@@ -53,10 +53,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variant_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return speculative_bpe.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_nearest_neighbours, op2_language_id, op3_ngram_jaccard_join, op4_byte_bpe, op5_chat_formatting,
         op6_html_extraction, op7_mixing, op8_pii, op9_exact_dedup, op10_toxicity,
+        op11_source_divergence, op12_spelling_variants, op13_speculative_bpe,
     )
     return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
@@ -67,4 +80,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_ngram_jaccard_join": jaccard_join.SQL,
         "op5_chat_formatting": chat.SQL,
         "op9_exact_dedup": exact_dedup.SQL,
+        "op11_source_divergence": source_divergence.SQL,
+        "op12_spelling_variants": spelling_variants.SQL,
     }
