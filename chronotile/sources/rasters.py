@@ -1,7 +1,8 @@
 """Raster headers, pixels and windows of PNG and TIFF files, as DataFrames from ``binaryFile``.
 
-TIFF files may be in strips or tiles, plain or compressed (Deflate, LZW, PackBits), with 8-, 16- or 32-bit integers or floats. A window
-decodes only the strips or tiles that it touches, so that Spark can deal the windows of one large image over many tasks.
+TIFF and BigTIFF files may be in strips or tiles, plain or compressed (Deflate, LZW, PackBits), bands together or on planes of their own, with
+8-, 16- or 32-bit integers or floats. A window decodes only the strips or tiles that it touches. Functions here take whole files as rows;
+``windows`` deals the windows of large files over many tasks and reads byte ranges.
 """
 
 from __future__ import annotations
@@ -13,51 +14,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotile.functions.scalars import is_image
+from chronotile.functions import geodesy
+from chronotile.functions.scalars import is_image, world_file
+from chronotile.sources import tiff
 
-_TIFF_TYPES = {1: "B", 3: "H", 4: "I", 12: "d", 2: "s"}
+PNG = b"\x89PNG\r\n\x1a\n"
 #: Fixed values of the TIFF standard: compressions, and sample formats with bits.
 _DEFLATE, _LZW, _PACK_BITS = (8, 32946), 5, 32773
 _SAMPLES = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
+#: Endings of the world files of each image type, in the order in which they are tried.
+WORLD_FILES = {
+    "tif": ("tfw", "tifw", "wld"), "tiff": ("tfw", "tifw", "wld"), "jpg": ("jgw", "jpgw", "wld"), "jpeg": ("jgw", "jpgw", "wld"),
+    "png": ("pgw", "pngw", "wld"),
+}
 #: Decoded strips or tiles that a reader remembers.
 REMEMBERED = 64
 #: What reading a broken or unknown file raises.
 UNREADABLE = (ValueError, zlib.error, struct.error, KeyError, IndexError)
 
 
-def _tiff(data: bytes) -> dict:
-    order = "<" if data[:2] == b"II" else ">"
-    (at,) = struct.unpack_from(order + "I", data, 4)
-    (n,) = struct.unpack_from(order + "H", data, at)
-    tags = {}
-    for k in range(n):
-        tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
-        code = _TIFF_TYPES.get(kind)
-        if code is None or code == "s":
-            continue
-        size = struct.calcsize(order + f"{count}{code}")
-        place = at + 10 + 12 * k if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * k)[0]
-        tags[tag] = struct.unpack_from(order + f"{count}{code}", data, place)
-    return tags
-
-
-def header(data: bytes) -> tuple[str | None, int | None, int | None, int | None, list[float] | None]:
-    """Format, width, height, bands and, from GeoTIFF tags, the transform a, b, c, d, e, f; nulls for anything unreadable."""
+def header(data: bytes | tiff.Read) -> tuple[str | None, int | None, int | None, int | None, list[float] | None, int | None]:
+    """Format, width, height, bands and, from GeoTIFF tags, the transform a, b, c, d, e, f and the EPSG code; nulls for anything
+    unreadable. ``data`` is a file's bytes or a reader of its ranges."""
+    read = tiff.Held(data) if isinstance(data, bytes | bytearray) else data
     try:
-        if data[:8] == b"\x89PNG\r\n\x1a\n":
-            w, h, _, colour = struct.unpack_from(">IIBB", data, 16)
-            return "PNG", w, h, {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour], None
-        if data[:4] in (b"II*\0", b"MM\0*"):
-            t = _tiff(data)
-            scale, tie = t.get(33550), t.get(33922)
-            place = [scale[0], 0.0, tie[3] - tie[0] * scale[0], 0.0, -scale[1], tie[4] + tie[1] * scale[1]] if scale and tie else None
-            return "TIFF", t[256][0], t[257][0], t.get(277, (1,))[0], place
+        start = read(0, 26)
+        if start[:8] == PNG:
+            w, h, _, colour = struct.unpack_from(">IIBB", start, 16)
+            return "PNG", w, h, {0: 1, 2: 3, 3: 3, 4: 2, 6: 4}[colour], None, None
+        if tiff.is_tiff(start):
+            image = tiff.directories(read)[0]
+            return "TIFF", image.values(256)[0], image.values(257)[0], image.value(277, 1), *tiff.georeference(image)
     except (struct.error, KeyError, IndexError):
         pass
-    return None, None, None, None, None
+    return None, None, None, None, None, None
 
 
 def _lzw(data: bytes) -> bytes:
@@ -100,34 +93,40 @@ def _pack_bits(data: bytes) -> bytes:
 
 
 class Reader:
-    """Windows (h, w, bands) of one image; strips or tiles are decoded when a window needs them."""
+    """Windows (h, w, bands) of one image; strips or tiles are fetched and decoded when a window needs them.
+
+    ``source`` is a file's bytes or a reader of its ranges. Of a TIFF file with overviews the smallest one is taken that has at least
+    ``least_h`` by ``least_w`` pixels; without these, the image itself.
+    """
 
-    def __init__(self, data: bytes) -> None:
-        kind, self.width, self.height, self.bands, _ = header(data)
-        self.data, self.chunks = data, OrderedDict()
+    def __init__(self, source: bytes | tiff.Read, least_h: int | None = None, least_w: int | None = None) -> None:
+        self.read = tiff.Held(source) if isinstance(source, bytes | bytearray) else source
+        kind, self.width, self.height, self.bands, *_ = header(self.read)
+        self.chunks: OrderedDict = OrderedDict()
         if kind == "PNG":
+            data = self.read.data if isinstance(self.read, tiff.Held) else self.read(0, self.read.file.size())
+            self.whole = _png(data, self.height, self.width)
+            self.height, self.width, self.bands = self.whole.shape
             self.chunk_h, self.chunk_w = self.height, self.width
-            self.whole = _png(data, self.height, self.width, self.bands)
         elif kind == "TIFF":
             self.whole = None
-            self.tags = t = _tiff(data)
-            self.type = np.dtype(("<" if data[:2] == b"II" else ">") + _SAMPLES[t.get(339, (1,))[0], t.get(258, (8,))[0]])
-            if t.get(284, (1,))[0] != 1 and self.bands > 1:
-                raise ValueError("bands on planes of their own are not read")
+            fits = [d for d in tiff.overviews(tiff.directories(self.read)) if least_h is not None and d.value(257) >= least_h and d.value(256) >= least_w]
+            self.image = t = fits[-1] if fits else tiff.directories(self.read)[0]
+            self.width, self.height = t.value(256), t.value(257)
+            self.type = np.dtype(t.order + _SAMPLES[t.value(339, 1), t.value(258, 8)])
+            self.planes = self.bands if t.value(284, 1) == 2 else 1
             tiled = 324 in t
-            self.chunk_h = t[323][0] if tiled else min(self.height, t.get(278, (self.height,))[0])
-            self.chunk_w = t[322][0] if tiled else self.width
-            self.places = list(zip(t[324] if tiled else t[273], t[325] if tiled else t[279], strict=True))
+            self.chunk_h = t.value(323) if tiled else min(self.height, t.value(278, self.height))
+            self.chunk_w = t.value(322) if tiled else self.width
+            self.places, self.sizes = (324, 325) if tiled else (273, 279)
+            self.across, self.down = -(-self.width // self.chunk_w), -(-self.height // self.chunk_h)
         else:
             raise ValueError("neither PNG nor TIFF")
 
-    def _chunk(self, row: int, column: int) -> np.ndarray:
-        key = (row, column)
-        if key in self.chunks:
-            self.chunks.move_to_end(key)
-            return self.chunks[key]
-        at, size = self.places[row * -(-self.width // self.chunk_w) + column]
-        raw, how = self.data[at : at + size], self.tags.get(259, (1,))[0]
+    def _decoded(self, at: int, size: int, bands: int) -> np.ndarray | None:
+        if not at or not size:
+            return None  # a hole of a sparse file
+        raw, how = self.read(at, size), self.image.value(259, 1)
         if how in _DEFLATE:
             raw = zlib.decompress(raw)
         elif how == _LZW:
@@ -136,32 +135,47 @@ class Reader:
             raw = _pack_bits(raw)
         elif how != 1:
             raise ValueError(f"compression {how} is not read")
-        line = self.chunk_w * self.bands
+        line = self.chunk_w * bands
         rows = len(raw) // (line * self.type.itemsize)
-        out = np.frombuffer(raw, self.type, rows * line).reshape(rows, self.chunk_w, self.bands)
-        predictor = self.tags.get(317, (1,))[0]
+        out = np.frombuffer(raw, self.type, rows * line).reshape(rows, self.chunk_w, bands)
+        predictor = self.image.value(317, 1)
         if predictor == 2 and self.type.kind in "iu":
             out = np.cumsum(out, 1, dtype=self.type.newbyteorder("="))
         elif predictor != 1:
             raise ValueError(f"predictor {predictor} is not read")
-        self.chunks[key] = out
-        if len(self.chunks) > REMEMBERED:
-            self.chunks.popitem(last=False)
         return out
 
+    def _chunks(self, row: int, first: int, last: int, plane: int) -> Iterator[tuple[int, np.ndarray | None]]:
+        """Decoded strips or tiles ``first`` to ``last`` of a row of them; their places are fetched together."""
+        missing = [c for c in range(first, last + 1) if (plane, row, c) not in self.chunks]
+        if missing:
+            at = (plane * self.down + row) * self.across + missing[0]
+            n = missing[-1] - missing[0] + 1
+            places, sizes = self.image.values(self.places, first=at, count=n), self.image.values(self.sizes, first=at, count=n)
+        for c in range(first, last + 1):
+            key = (plane, row, c)
+            if key not in self.chunks:
+                k = c - missing[0]
+                self.chunks[key] = self._decoded(places[k], sizes[k], self.bands if self.planes == 1 else 1)
+            self.chunks.move_to_end(key)
+            yield c, self.chunks[key]
+            while len(self.chunks) > REMEMBERED:
+                self.chunks.popitem(last=False)
+
     def window(self, y0: int, x0: int, h: int, w: int) -> np.ndarray:
         """The pixels of a window within the frame, in their own type."""
         if self.whole is not None:
             return self.whole[y0 : y0 + h, x0 : x0 + w]
         out = np.zeros((h, w, self.bands), self.type.newbyteorder("="))
-        for row in range(y0 // self.chunk_h, -(-(y0 + h) // self.chunk_h)):
-            for column in range(x0 // self.chunk_w, -(-(x0 + w) // self.chunk_w)):
-                top, left = row * self.chunk_h, column * self.chunk_w
-                chunk = self._chunk(row, column)
-                a, b = max(y0, top), min(y0 + h, top + len(chunk))
-                c, d = max(x0, left), min(x0 + w, left + self.chunk_w)
-                if a < b and c < d:
-                    out[a - y0 : b - y0, c - x0 : d - x0] = chunk[a - top : b - top, c - left : d - left]
+        for plane in range(self.planes):
+            part = out if self.planes == 1 else out[:, :, plane : plane + 1]
+            for row in range(y0 // self.chunk_h, -(-(y0 + h) // self.chunk_h)):
+                for column, chunk in self._chunks(row, x0 // self.chunk_w, (x0 + w - 1) // self.chunk_w, plane):
+                    top, left = row * self.chunk_h, column * self.chunk_w
+                    a, b = max(y0, top), min(y0 + h, top + (0 if chunk is None else len(chunk)))
+                    c, d = max(x0, left), min(x0 + w, left + self.chunk_w)
+                    if a < b and c < d:
+                        part[a - y0 : b - y0, c - x0 : d - x0] = chunk[a - top : b - top, c - left : d - left]
         return out
 
     def scaled(self, height: int, width: int, y0: int, x0: int, h: int, w: int) -> np.ndarray:
@@ -182,21 +196,37 @@ class Reader:
         return rows[:, c - left] * (1 - v) + rows[:, d - left] * v
 
 
-def _png(data: bytes, h: int, w: int, bands: int) -> np.ndarray:
-    depth, interlace = data[24], data[28]
-    if depth != 8 or interlace or data[25] == 3:
-        raise ValueError("only PNG with 8 bits a band, without a palette and not interlaced")
-    at, parts = 8, []
-    while at < len(data):
+def _png_parts(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    at = 8
+    while at + 8 <= len(data):
         (n,) = struct.unpack_from(">I", data, at)
-        if data[at + 4 : at + 8] == b"IDAT":
-            parts.append(data[at + 8 : at + 8 + n])
+        yield data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
         at += 12 + n
-    lines = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(h, w * bands + 1)
+
+
+def _png(data: bytes, h: int, w: int) -> np.ndarray:
+    """Pixels of a PNG file, colours of a palette put in, turned as its EXIF part says."""
+    depth, colour, interlace = data[24], data[25], data[28]
+    if depth != 8 or interlace:
+        raise ValueError("only PNG with 8 bits a band and not interlaced")
+    parts: dict[bytes, bytes] = {}
+    for kind, body in _png_parts(data):
+        parts[kind] = parts.get(kind, b"") + body
+    bands = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    lines = np.frombuffer(zlib.decompress(parts[b"IDAT"]), np.uint8).reshape(h, w * bands + 1)
     out, above = np.empty((h, w, bands), np.uint8), np.zeros((w, bands), np.uint8)
     for y, line in enumerate(lines):
         out[y] = above = _unfiltered(int(line[0]), line[1:].reshape(w, bands), above)
-    return out
+    if colour == 3:
+        out = np.frombuffer(parts[b"PLTE"], np.uint8).reshape(-1, 3)[out[:, :, 0]]
+    return turned(out, tiff.directories(tiff.Held(parts[b"eXIf"]))[0].value(274, 1)) if b"eXIf" in parts else out
+
+
+def turned(image: np.ndarray, orientation: int) -> np.ndarray:
+    """An image as it is meant to be seen, by EXIF orientation 1 to 8: from 5 on rows and columns change places."""
+    image = image.swapaxes(0, 1) if orientation >= 5 else image
+    rows, columns = {2: (1, -1), 3: (-1, -1), 4: (-1, 1), 6: (1, -1), 7: (-1, -1), 8: (-1, 1)}.get(orientation, (1, 1))
+    return image[::rows, ::columns]
 
 
 def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray) -> np.ndarray:
@@ -231,11 +261,13 @@ def as_rgb(values: np.ndarray) -> np.ndarray:
     return rgb.astype(np.uint8)
 
 
-def pixels(data: bytes, max_side: int | None = None) -> np.ndarray:
-    """Bytes (h, w, 3) of a whole image, shrunk so that no side exceeds ``max_side``."""
+def pixels(data: bytes | tiff.Read, max_side: int | None = None) -> np.ndarray:
+    """Bytes (h, w, 3) of a whole image, shrunk so that no side exceeds ``max_side``, from an overview where that suffices."""
     reader = Reader(data)
     scale = 1.0 if max_side is None else min(1.0, max_side / max(reader.width, reader.height, 1))
     h, w = max(1, int(reader.height * scale)), max(1, int(reader.width * scale))
+    if scale < 1 and reader.whole is None:
+        reader = Reader(data, h, w)
     return as_rgb(reader.scaled(h, w, 0, 0, h, w))
 
 
@@ -247,18 +279,61 @@ def files(spark: SparkSession, path: str, most_bytes: int | None = None) -> Data
 
 
 def inspected(images: DataFrame) -> DataFrame:
-    """Path, size and header of each file."""
-    names = ("format", "width", "height", "bands", "transform")
+    """Path, size and header of each file; transform and epsg of GeoTIFF tags, and the bounds in WGS84 where both are known."""
+    names = ("format", "width", "height", "bands", "transform", "epsg")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             found = [header(x) for x in rows["content"]]
-            numbers = ("width", "height", "bands")
+            numbers = ("width", "height", "bands", "epsg")
             fields = {n: pd.Series([f[k] for f in found], dtype="Int64" if n in numbers else object) for k, n in enumerate(names)}
             yield pd.DataFrame({"path": rows["path"], "size": rows["length"], **fields})
 
-    shape = "path string, size long, format string, width int, height int, bands int, transform array<double>"
-    return images.select("path", "length", "content").mapInPandas(run, shape)
+    shape = "path string, size long, format string, width int, height int, bands int, transform array<double>, epsg int"
+    read = images.select("path", "length", "content").mapInPandas(run, shape)
+    known = F.when(F.col("epsg").isNotNull(), geodesy.bounds(F.col("transform"), F.col("width"), F.col("height"), F.col("epsg")))
+    return read.withColumn("bounds", known)
+
+
+def georeferenced(images: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """``inspected`` files with source ``embedded``, ``worldfile`` or ``none``; files without a code of their own take transform, epsg
+    and bounds from a world file beside them.
+
+    ``sidecars`` (path, text) holds world files and .prj files. Of several world files of an image the first of WORLD_FILES wins; its
+    coordinates are those of the .prj file of the same name, else degrees.
+    """
+    stem = F.regexp_replace("path", r"\.[^./]*$", "")
+    ending = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+    beside = sidecars.select(stem.alias("_stem"), ending.alias("_kind"), F.col("text").alias("_text"))
+    worlds = beside.where(F.col("_kind") != "prj")
+    codes = beside.where(F.col("_kind") == "prj").groupBy("_stem").agg(F.max(prj_epsg(F.col("_text"))).alias("_code"), F.lit(True).alias("_prj"))
+    image = images.withColumn("_image", ending).withColumn("_own", stem)
+    order = F.create_map(*(F.lit(x) for kind, ends in WORLD_FILES.items() for x in (kind, ",".join(ends))))
+    candidates = image.select("path", "width", "height", "_own", F.explode(F.array("_own", "path")).alias("_stem"), F.split(F.coalesce(order[F.col("_image")], F.lit("wld")), ",").alias("_ends"))
+    found = candidates.join(worlds, "_stem").withColumn("_rank", F.array_position("_ends", F.col("_kind"))).where("_rank > 0 and (_stem = _own or _kind = 'wld')")
+    found = found.withColumn("_world", world_file(F.col("_text"), F.col("width"), F.col("height"))).where("_world is not null")
+    best = found.groupBy("path", "_own").agg(F.min_by("_world", F.struct(F.col("_stem") != F.col("_own"), "_rank")).alias("_world"))
+    best = best.join(codes.withColumnRenamed("_stem", "_own"), "_own", "left").where("_prj is null or _code is not null").drop("_own")
+    out = images.join(best, "path", "left")
+    own, world = F.col("epsg").isNotNull(), F.col("_world").isNotNull()
+    transform = F.array(*(F.col("_world")[c] for c in "abcdef"))
+    code = F.coalesce(F.col("_code"), F.lit(4326))
+    return out.select(
+        "path", "size", "format", "width", "height", "bands",
+        F.when(own | ~world, F.col("transform")).otherwise(transform).alias("transform"),
+        F.when(own, F.col("epsg")).when(world, code).alias("epsg"),
+        F.when(own, F.col("bounds")).when(world, geodesy.bounds(transform, F.col("width"), F.col("height"), code)).alias("bounds"),
+        F.when(own, "embedded").when(world, "worldfile").otherwise("none").alias("source"),
+    )
+
+
+def prj_epsg(text: Column) -> Column:
+    """The EPSG code of a .prj file: its last authority, else the zone that its UTM name states, else degrees for text that names no
+    projection; null for other projections."""
+    codes = F.regexp_extract_all(text, F.lit(r'AUTHORITY\["EPSG",\s*"?(\d+)"?\]'), 1)
+    zone, half = F.regexp_extract(text, r"(?i)UTM[ _]zone[ _](\d{1,2}) ?([NS])", 1), F.upper(F.regexp_extract(text, r"(?i)UTM[ _]zone[ _](\d{1,2}) ?([NS])", 2))
+    by_name = F.when(zone != "", zone.cast("int") + F.when(half == "S", 32700).otherwise(32600))
+    return F.coalesce(F.try_element_at(codes, F.lit(-1)).cast("int"), by_name, F.when(~text.rlike(r"(?i)PROJ(CS|CRS)\["), 4326))
 
 
 def pixel_rows(images: DataFrame, max_side: int | None = None) -> DataFrame:
