@@ -5,6 +5,8 @@ A mask table has a row for each pixel with ``on`` (0 or 1), or only the rows tha
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from chronotile.functions.lineage import cut
 from chronotile.operators.graph import components as linked
-from chronotile.operators.pixels import KEY, along, around, clip
+from chronotile.operators.pixels import KEY, _clamped, along, around, clip
 
 
 def otsu(df: DataFrame, column: str) -> DataFrame:
@@ -37,8 +39,9 @@ def robust_thresholds(df: DataFrame, column: str, floor: int = 25, sensitivity:
     return mad.join(otsu(df, column), "pair_id").select("pair_id", clip(level.cast("int"), 0, 255).alias("threshold"))
 
 
-def _label(rows: pd.DataFrame) -> pd.DataFrame:
-    """8-connected components of the pixels of one tile: union of runs of neighbouring rows; the label tells the first pixel."""
+def _label(rows: pd.DataFrame, reach: int = 1) -> pd.DataFrame:
+    """Components of the pixels of one tile, 8-connected, or 4-connected with a reach of 0: union of runs of neighbouring rows; the label
+    tells the first pixel."""
     rows = rows.sort_values(["y", "x"], ignore_index=True)
     y, x = rows["y"].to_numpy(), rows["x"].to_numpy()
     new = np.append(True, (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1))[: len(y)]
@@ -53,10 +56,10 @@ def _label(rows: pd.DataFrame) -> pd.DataFrame:
 
     above = 0
     for k in range(len(first)):
-        while y[first[above]] < y[first[k]] - 1 or y[first[above]] == y[first[k]] - 1 and x[last[above]] < x[first[k]] - 1:
+        while y[first[above]] < y[first[k]] - 1 or y[first[above]] == y[first[k]] - 1 and x[last[above]] < x[first[k]] - reach:
             above += 1
         j = above
-        while y[first[j]] == y[first[k]] - 1 and x[first[j]] <= x[last[k]] + 1:
+        while y[first[j]] == y[first[k]] - 1 and x[first[j]] <= x[last[k]] + reach:
             a, b = sorted((find(j), find(k)))
             parent[b] = a
             j += 1
@@ -65,18 +68,18 @@ def _label(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[["pair_id", "y", "x"]].assign(label=np.repeat(label, last - first + 1))
 
 
-def components(on: DataFrame, tile: int = 512) -> DataFrame:
-    """M9: pair_id, y, x, label of the pixels in ``on``, 8-connected within their pair.
+def components(on: DataFrame, tile: int = 512, diagonal: bool = True) -> DataFrame:
+    """M9: pair_id, y, x, label of the pixels in ``on``, 8-connected within their pair, or 4-connected without ``diagonal`` steps.
 
     Tiles are labelled on their own; then pixels that touch across the border of two tiles link the labels on both sides. No task holds more
     than a tile.
     """
     place = [F.floor(F.col(c) / tile).alias(n) for c, n in (("y", "ty"), ("x", "tx"))]
     tiles = on.select(*KEY, *place)
-    labels = cut(tiles.groupBy("pair_id", "ty", "tx").applyInPandas(_label, "pair_id long, y int, x int, label long"))
+    labels = cut(tiles.groupBy("pair_id", "ty", "tx").applyInPandas(lambda rows: _label(rows, int(diagonal)), "pair_id long, y int, x int, label long"))
     rim = lambda c: (F.col(c) % tile).isin(0, tile - 1)
     border = labels.filter(rim("y") | rim("x"))
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, 0), *([(1, -1), (1, 1)] if diagonal else []))])
     ahead = border.select("pair_id", F.col("y").alias("y0"), F.col("x").alias("x0"), F.col("label").alias("l"), F.explode(steps).alias("s"))
     ahead = ahead.withColumns({"y": F.col("y0") + F.col("s.dy"), "x": F.col("x0") + F.col("s.dx")})
     crossing = (F.floor(F.col("y") / tile) != F.floor(F.col("y0") / tile)) | (F.floor(F.col("x") / tile) != F.floor(F.col("x0") / tile))
@@ -104,8 +107,6 @@ def hysteresis(scores: DataFrame) -> DataFrame:
 
 def _square(df: DataFrame, column: str, f) -> DataFrame:
     step = {column: (column, lambda at: f(at(-1), at(0), at(1)))}
-    from chronotile.operators.pixels import _clamped
-
     return along(along(df, "y", step, border=_clamped), "x", step, border=_clamped)
 
 
@@ -117,6 +118,32 @@ def erode(df: DataFrame, column: str = "on") -> DataFrame:
     return _square(df.select(*KEY, column), column, F.least)
 
 
+def ellipse(size: int) -> list[tuple[int, int]]:
+    """M8: an elliptical element of ``size`` (odd) as runs of rows: (dy, pixels on either side of the middle); of size 3 it is a cross."""
+    half = size // 2
+    return [(dy, round(math.sqrt(half * half - dy * dy))) for dy in range(-half, half + 1)]
+
+
+def morphed(df: DataFrame, size: int, f, column: str = "on") -> DataFrame:
+    """M8: dilation (``f`` = F.greatest) or erosion (F.least) by an elliptical element; pixels beyond the frame do not count.
+
+    The runs of the element are taken along rows, once for each length, then put together down the columns: two shuffles for any element.
+    """
+    runs = ellipse(size)
+    pick = lambda values: values[0] if len(values) == 1 else f(*values)
+    widths = sorted({w for _, w in runs})
+    rows = {f"_{w}": (column, lambda at, w=w: pick([at(k) for k in range(-w, w + 1)])) for w in widths}
+    wide = along(df.select(*KEY, column), "x", rows, border=_clamped)
+    packed = wide.select(*KEY, F.array(*(F.col(f"_{w}") for w in widths)).alias("_runs"))
+    return along(packed, "y", {column: ("_runs", lambda at: pick([at(dy)[widths.index(w)] for dy, w in runs]))}, border=_clamped)
+
+
+def element_sizes(sensitivity: float) -> tuple[int, int]:
+    """M8: sizes of the opening and the closing element."""
+    s = min(1.0, max(0.0, sensitivity))
+    return max(3, int(4 * (1 - s * 0.5)) | 1), max(3, int(5 * (1 - s)) | 1)
+
+
 def median3(df: DataFrame, column: str = "on") -> DataFrame:
     s = around(df.select(*KEY, column), column, repeat_edge=True)
     return s.select(*KEY, F.when(F.aggregate("around", F.lit(0), lambda a, v: a + v) >= 5, 1).otherwise(0).alias(column))
@@ -128,31 +155,38 @@ def without_border(df: DataFrame, margin: int, column: str = "on") -> DataFrame:
     return df.join(size, "pair_id").select(*KEY, F.when(inside, F.col(column)).otherwise(0).alias(column))
 
 
-def filled(df: DataFrame, column: str = "on") -> DataFrame:
-    """Holes set on: components of off pixels that do not touch the frame."""
+def filled(df: DataFrame, column: str = "on", diagonal: bool = True) -> DataFrame:
+    """Holes set on: components of off pixels that do not touch the frame. Without ``diagonal`` steps a hole may be shut in by a diagonal
+    line, as it is within a contour."""
     size = df.groupBy("pair_id").agg(F.max("y").alias("_y"), F.max("x").alias("_x"))
-    labels = cut(components(df.filter(F.col(column) == 0)))
+    labels = cut(components(df.filter(F.col(column) == 0), diagonal=diagonal))
     outer = labels.join(size, "pair_id").filter((F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == F.col("_y")) | (F.col("x") == F.col("_x"))).select("pair_id", "label").distinct()
     holes = labels.join(outer, ["pair_id", "label"], "left_anti").select(*KEY, F.lit(1).alias("_hole"))
     return df.join(holes, list(KEY), "left").select(*KEY, F.coalesce("_hole", column).alias(column))
 
 
-def large_components(df: DataFrame, least: int, column: str = "on") -> DataFrame:
-    """Only components of at least ``least`` pixels that are not small and drawn out."""
+def large_components(df: DataFrame, least: int | None, column: str = "on") -> DataFrame:
+    """Only components of at least ``least`` pixels (without one, 0.005 % of the image and at least 120) that are not small and drawn out."""
     labels = cut(components(df.filter(F.col(column) == 1)))
     s = component_stats(labels)
+    if least is None:
+        s = s.join(df.groupBy("pair_id").agg(F.greatest(F.lit(120), F.floor(F.count(F.lit(1)) * 0.00005)).alias("_least")), "pair_id")
+    floor = F.col("_least") if least is None else F.lit(least)
     long_, short = F.greatest("w", "h"), F.least("w", "h")
     round_ = F.pow(2.0 * (F.col("w") + F.col("h")), F.lit(2)) / (F.greatest(F.col("w") * F.col("h"), F.lit(1)) + 1e-8)
-    drop = (F.col("area") < least) | ((round_ > 80) & (F.col("area") < 3 * least)) | ((long_ / (short + 1e-8) > 12) & (F.col("area") < 2 * least))
+    drop = (F.col("area") < floor) | ((round_ > 80) & (F.col("area") < 3 * floor)) | ((long_ / (short + 1e-8) > 12) & (F.col("area") < 2 * floor))
     kept = labels.join(s.filter(~drop).select("pair_id", "label"), ["pair_id", "label"], "left_semi").select(*KEY, F.lit(1).alias("_on"))
     return df.select(*KEY).join(kept, list(KEY), "left").select(*KEY, F.coalesce("_on", F.lit(0)).alias(column))
 
 
-def clean(df: DataFrame, border: int = 12, least: int = 120) -> DataFrame:
-    """M8: border off, median, opening, closing, holes filled, thin bridges broken, small components dropped (square 3 x 3 elements)."""
+def clean(df: DataFrame, border: int = 12, least: int | None = 120, sensitivity: float = 0.5) -> DataFrame:
+    """M8: border off, median, opening and closing by elements that shrink as the sensitivity grows, contours filled, thin bridges broken, small
+    components dropped."""
+    opening, closing = element_sizes(sensitivity)
     m = median3(without_border(cut(df.select(*KEY, "on")), border) if border else df)
-    m = cut(erode(dilate(dilate(erode(m)))))
-    m = cut(dilate(erode(filled(m))))
+    m = cut(morphed(morphed(m, opening, F.least), opening, F.greatest))
+    m = cut(morphed(morphed(m, closing, F.greatest), closing, F.least))
+    m = cut(morphed(morphed(filled(m, diagonal=False), 3, F.least), 3, F.greatest))
     return large_components(m, least)
 
 
@@ -167,7 +201,7 @@ def core_mask(scores: DataFrame, sensitivity: float = 0.5, border: int = 12, lea
     q = min(0.96, max(0.86, 0.94 - (s - 0.5) * 0.06))
     on = hysteresis(quantile_cuts(scores, "score", q, min(q, max(0.78, q - 0.06))))
     mask = scores.select(*KEY).join(on.withColumn("on", F.lit(1)), list(KEY), "left").na.fill(0, ["on"])
-    return clean(mask, border, least)
+    return clean(mask, border, least, s)
 
 
 def gated_score(df: DataFrame, sensitivity: float = 0.5) -> DataFrame:

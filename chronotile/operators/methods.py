@@ -85,9 +85,24 @@ def model_mask(scores: DataFrame, sensitivity: float = 0.5) -> DataFrame:
     return M.smart_union(marked.drop("q"), sensitivity)
 
 
-def detect(df: DataFrame, method: str, model_scores: DataFrame | None = None, sensitivity: float = 0.5, border: int = 12, least: int = 120) -> DataFrame:
-    """On pixels (pair_id, y, x, on) by a method's name; older names go to their successor, unknown ones to the hybrid."""
+def with_fallback(df: DataFrame, mask: DataFrame, registered: DataFrame | None = None) -> DataFrame:
+    """``mask`` (pair_id, y, x, on), with the feature mask for the pairs in which nothing is on; of these only those in ``registered``
+    (pair_id), if it is given. The feature method runs on these pairs alone."""
+    mask = cut(mask.select(*KEY, "on"))
+    empty = mask.groupBy("pair_id").agg(F.max("on").alias("_any")).filter("_any = 0").select("pair_id")
+    empty = cut(empty if registered is None else empty.join(registered, "pair_id", "left_semi"))
+    second = feature_mask(df.join(empty, "pair_id", "left_semi"))
+    return mask.join(empty, "pair_id", "left_anti").unionByName(second)
+
+
+def detect(df: DataFrame, method: str, model_scores: DataFrame | None = None, sensitivity: float = 0.5, border: int = 12, least: int = 120, fallback: bool = False) -> DataFrame:
+    """On pixels (pair_id, y, x, on) by a method's name; older names go to their successor, unknown ones to the hybrid.
+
+    With ``fallback``, pairs in which the method finds nothing get the feature mask.
+    """
     kind = METHODS.get(method, "hybrid")
+    if fallback and kind != "feature":
+        return with_fallback(df, detect(df, method, model_scores, sensitivity, border, least))
     if kind == "feature":
         return feature_mask(df)
     classical = cut(S.classical_score(df).select(*KEY, F.col("score").alias("classical")))

@@ -152,6 +152,108 @@ def match_histogram(df: DataFrame, source: str, reference: str, name: str = "mat
     return df.join(ends.select("pair_id", F.col("v").alias(source), value.cast("double").alias(name)), ["pair_id", source])
 
 
+def fitted(df: DataFrame, columns: list[str], most: int) -> DataFrame:
+    """P3, P4 (area): images whose longer side exceeds ``most`` shrunk to it by area, parts of pixels counting by their share; others stay."""
+    size = df.groupBy("pair_id").agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
+    scale = most / F.greatest("_h", "_w")
+    to = lambda n: F.when(scale < 1, F.greatest(F.lit(1), F.floor(F.col(n) * scale + 1e-9))).otherwise(F.col(n)).cast("int")
+    placed = df.select(*KEY, *columns).join(size.withColumns({"_th": to("_h"), "_tw": to("_w")}), "pair_id")
+
+    def parts(at: str, n: str, less: str) -> Column:
+        first, last = F.col(at) * F.col(less) / F.col(n), (F.col(at) + 1) * F.col(less) / F.col(n)
+        every = F.sequence(F.floor(first + 1e-9), F.greatest(F.floor(first + 1e-9), F.ceil(last - 1e-9) - 1))
+        return F.explode(F.transform(every, lambda k: F.struct(k.cast("int").alias("k"), (F.least(last, k + 1) - F.greatest(first, k)).alias("share"))))
+
+    cut_up = placed.withColumn("_py", parts("y", "_h", "_th")).withColumn("_px", parts("x", "_w", "_tw"))
+    share = F.col("_py.share") * F.col("_px.share")
+    return cut_up.groupBy("pair_id", F.col("_py.k").alias("y"), F.col("_px.k").alias("x")).agg(*(((F.sum(F.col(c) * share)) / F.sum(share)).alias(c) for c in columns))
+
+
+def bilateral(df: DataFrame, columns: list[str], size: int = 5, colour: float = 50.0, space: float = 50.0) -> DataFrame:
+    """Each pixel becomes the mean of the round neighbourhood of ``size`` pixels, weighted by distance and by likeness of all ``columns``
+    together (the sum of their differences); whole numbers. Two shuffles for all columns."""
+    half = size // 2
+    steps = range(-half, half + 1)
+    wide = along(df.select(*KEY, F.array(*(F.col(c).cast("double") for c in columns)).alias("_v")), "x", {"_row": ("_v", lambda at: F.array(*(at(k) for k in steps)))})
+    near = [(dy, dx, math.exp(-(dy * dy + dx * dx) / (2 * space * space))) for dy in steps for dx in steps if math.hypot(dy, dx) <= half]
+
+    def mixed(at) -> Column:
+        middle = at(0)[half]
+        some = F.array(*(F.struct(F.lit(w).alias("w"), at(dy)[dx + half].alias("v")) for dy, dx, w in near))
+        apart = lambda v: F.aggregate(F.zip_with(v, middle, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, d: s + d)
+        weighed = F.transform(some, lambda n: F.struct((n["w"] * F.exp(-F.pow(apart(n["v"]), F.lit(2)) / (2 * colour * colour))).alias("w"), n["v"].alias("v")))
+        zero = F.struct(F.lit(0.0).alias("w"), F.array(*(F.lit(0.0) for _ in columns)).alias("v"))
+        add = lambda s, n: F.struct((s["w"] + n["w"]).alias("w"), F.zip_with(s["v"], n["v"], lambda a, b: a + b * n["w"]).alias("v"))
+        return F.aggregate(weighed, zero, add, lambda s: F.transform(s["v"], lambda v: F.bround(v / s["w"]).cast("int")))
+
+    out = along(wide, "y", {"_v": ("_row", mixed)})
+    return out.select(*KEY, *(F.col("_v")[k].alias(c) for k, c in enumerate(columns)))
+
+
+def prepared(df: DataFrame, columns: list[str], most: int = 2048, sharp: bool = False, soft_below: float = 60.0) -> DataFrame:
+    """Colour images (``columns``: red, green, blue) shrunk to ``most`` pixels a side and, unless ``sharp``, smoothed by a small Gaussian; the soft
+    ones among them, by the variance of their Laplacian, also by the bilateral filter, which runs on these alone."""
+    small = fitted(df, columns, most).select(*KEY, *(F.bround(c).cast("int").alias(c) for c in columns))
+    if sharp:
+        return small
+    smooth = blur(small, columns, gaussian(3 if most >= 3000 else 5)).select(*KEY, *(F.bround(F.round(F.col(c), 6)).cast("int").alias(c) for c in columns))
+    tone = smooth.select(*KEY, gray(*(F.col(c) for c in columns)).alias("_tone"))
+    soft = sharpness(tone, "_tone").filter(F.col("sharpness") < soft_below).select("pair_id")
+    return smooth.join(soft, "pair_id", "left_anti").unionByName(bilateral(smooth.join(soft, "pair_id", "left_semi"), columns))
+
+
+def equalise(df: DataFrame, column: str, tiles: int = 8, limit: float = 2.0) -> DataFrame:
+    """Contrast-limited adaptive equalisation of a byte ``column``: pair_id, y, x and the column, all others stay.
+
+    Each image is laid out in ``tiles`` by ``tiles``; where one side does not divide, both grow to the next multiple, mirrored at the lower and
+    right edge. A tile's histogram is cut off at
+    ``limit`` times the even height, what is cut off is spread evenly, and its cumulative share maps the values. A pixel mixes the maps of
+    the four tiles whose centres surround it; pixels meet these four maps by one equi-join on the cell between the centres.
+    """
+    size = df.groupBy("pair_id").agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
+    size = size.withColumn("_off", (F.col("_h") % tiles != 0) | (F.col("_w") % tiles != 0))
+    for side in ("h", "w"):
+        size = size.withColumn(f"_t{side}", (F.floor(F.col(f"_{side}") / tiles) + F.col("_off").cast("int")).cast("int"))
+    placed = df.join(size, "pair_id")
+
+    def tile_of(axis: str, side: str) -> Column:
+        """Tiles of a pixel: its own, and the one where its mirror image beyond the edge lies."""
+        beyond = 2 * (F.col(f"_{side}") - 1) - F.col(axis)
+        fits = F.col("_off") & (beyond >= F.col(f"_{side}")) & (beyond < tiles * F.col(f"_t{side}"))
+        tile = F.col(f"_t{side}")
+        return F.explode(F.array_compact(F.array(F.floor(F.col(axis) / tile).cast("int"), F.when(fits, F.floor(beyond / tile).cast("int")))))
+
+    dealt = placed.withColumn("_ty", tile_of("y", "h")).withColumn("_tx", tile_of("x", "w"))
+    counts = dealt.groupBy("pair_id", "_ty", "_tx", F.col(column).cast("int").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.first(F.col("_th") * F.col("_tw")).alias("area"))
+    tile = counts.groupBy("pair_id", "_ty", "_tx").agg(F.first("area").alias("area"), F.map_from_entries(F.collect_list(F.struct("v", "n"))).alias("n"))
+    most = F.greatest(F.floor(limit * F.col("area") / 256), F.lit(1)).cast("long")
+    tile = tile.withColumn("_most", most).withColumn("bins", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: F.coalesce(F.try_element_at("n", v), F.lit(0).cast("long"))))
+    total = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v)
+    tile = tile.withColumn("_over", total(F.transform("bins", lambda n: F.greatest(n - F.col("_most"), F.lit(0).cast("long")))))
+    each, rest = F.floor(F.col("_over") / 256), F.col("_over") % 256
+    step = F.greatest(F.floor(256 / F.greatest(rest, F.lit(1))), F.lit(1))
+    spread = lambda n, k: F.least(n, F.col("_most")) + each + F.when((k % step == 0) & (F.floor(k / step) < rest), 1).otherwise(0)
+    tile = tile.withColumn("bins", F.transform("bins", spread))
+    running = F.aggregate("bins", F.array().cast("array<long>"), lambda a, n: F.concat(a, F.array(n + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("long")))))
+    maps = tile.select("pair_id", "_ty", "_tx", F.transform(running, lambda c: clip(F.bround(c * (255 / F.col("area"))), 0.0, 255.0)).alias("map"))
+
+    cells = [F.struct(F.lit(a).alias("cy"), F.lit(b).alias("cx"), F.lit(clipped(a, tiles)).alias("y0"), F.lit(clipped(a + 1, tiles)).alias("y1"), F.lit(clipped(b, tiles)).alias("x0"), F.lit(clipped(b + 1, tiles)).alias("x1")) for a in range(-1, tiles) for b in range(-1, tiles)]
+    quads = maps.select("pair_id").distinct().select("pair_id", F.explode(F.array(*cells)).alias("c")).select("pair_id", "c.*")
+    for name, ty, tx in (("m00", "y0", "x0"), ("m01", "y0", "x1"), ("m10", "y1", "x0"), ("m11", "y1", "x1")):
+        quads = quads.join(maps.select("pair_id", F.col("_ty").alias(ty), F.col("_tx").alias(tx), F.col("map").alias(name)), ["pair_id", ty, tx])
+    quads = quads.select("pair_id", F.col("cy").alias("_cy"), F.col("cx").alias("_cx"), "m00", "m01", "m10", "m11")
+    fy, fx = F.col("y") / F.col("_th") - 0.5, F.col("x") / F.col("_tw") - 0.5
+    mixed = placed.withColumns({"_cy": F.floor(fy).cast("int"), "_cx": F.floor(fx).cast("int"), "_u": fy - F.floor(fy), "_v": fx - F.floor(fx)}).join(quads, ["pair_id", "_cy", "_cx"])
+    at = lambda m: F.col(m)[F.col(column).cast("int")]
+    upper, lower = at("m00") * (1 - F.col("_v")) + at("m01") * F.col("_v"), at("m10") * (1 - F.col("_v")) + at("m11") * F.col("_v")
+    value = clip(F.bround(upper * (1 - F.col("_u")) + lower * F.col("_u")), 0.0, 255.0).cast("int")
+    return mixed.withColumn(column, value).select(*df.columns)
+
+
+def clipped(k: int, n: int) -> int:
+    return min(max(k, 0), n - 1)
+
+
 def normalise(df: DataFrame, ours: str, theirs: str, name: str) -> DataFrame:
     """``theirs`` with mean and deviation of ``ours`` in each pair; unchanged where it has no spread. Byte range."""
     stats = df.groupBy("pair_id").agg(F.avg(ours).alias("m1"), F.stddev_pop(ours).alias("s1"), F.avg(theirs).alias("m2"), F.stddev_pop(theirs).alias("s2"))

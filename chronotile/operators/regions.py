@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chronotile.functions.scalars import change_type, overlap, severity
 from chronotile.operators.pixels import KEY, around
-from chronotile.operators.signals import binary_pattern, coloured, excess_green, sobel
+from chronotile.operators.signals import binary_pattern, coloured, dissimilarity, excess_green, sobel
 
 FEATURES = ("ndvi", "exg", "texture", "lbp", "edge", "entropy", "contrast", "homog", "bright", "green", "blue", "red", "sat", "hue")
 
@@ -109,19 +109,22 @@ def corners(gray: DataFrame) -> DataFrame:
     return gray.groupBy("pair_id").applyInPandas(count, "pair_id long, b_corners int, corners int")
 
 
-def compared_features(before: DataFrame, after: DataFrame, similarity: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """Features of the image after, b_ of the one before, d_ differences, ``lab`` distance of means and ``ssim`` (pair_id, ssim).
+def likeness(df: DataFrame) -> DataFrame:
+    """pair_id, ``ssim``, the mean under an 11 x 11 window (1 for images with a side under 7), and ``lab``, the mean distance of the
+    colours of a pixel."""
+    c = coloured(df)
+    sides = c.groupBy("pair_id").agg(F.max("y").alias("_y"), F.max("x").alias("_x"), F.avg(F.sqrt(sum((F.pow((F.col("lab2")[f] - F.col("lab1")[f]).cast("double"), F.lit(2)) for f in "lab"), F.lit(0.0)))).alias("lab"))
+    large = c.join(sides.filter("_y >= 6 and _x >= 6").select("pair_id"), "pair_id", "left_semi")
+    ssim = dissimilarity(large, "gray1", "gray2", 11, sigma=1.5).groupBy("pair_id").agg((1 - 2 * F.avg("dssim")).alias("ssim"))
+    return sides.join(ssim, "pair_id", "left").select("pair_id", F.coalesce("ssim", F.lit(1.0)).alias("ssim"), "lab")
 
-    ``counts`` are the corners of R3; those of lines and hulls (R2, R4) are inputs where a detector has made them, else 0.
-    """
-    b = before.select("pair_id", *[F.col(f).alias(f"b_{f}") for f in FEATURES], F.col("mean_lab").alias("_lab"))
-    distance = F.sqrt(sum((F.pow(F.col("mean_lab")[f] - F.col("_lab")[f], F.lit(2)) for f in ("l", "a", "b")), F.lit(0.0)))
-    shape = {n: F.lit(0) for n in ("lines", "b_lines", "d_lines")} | {n: F.lit(0.0) for n in ("hull", "b_hull")}
-    if counts is None:
-        shape |= {n: F.lit(0) for n in ("corners", "d_corners")}
-    else:
-        similarity = similarity.join(counts, "pair_id").withColumn("d_corners", F.col("corners") - F.col("b_corners")).drop("b_corners")
-    return after.join(b, "pair_id").join(similarity, "pair_id").withColumns({f"d_{f}": F.col(f) - F.col(f"b_{f}") for f in FEATURES} | {"lab": distance} | shape).drop("mean_lab", "_lab")
+
+def compared_features(before: DataFrame, after: DataFrame, alike: DataFrame, counts: DataFrame) -> DataFrame:
+    """Features of the image after, b_ of the one before, d_ differences, the columns of ``likeness``, and those of ``counts`` (pair_id
+    and, with b_ for the image before, corners of R3, lines and line_length of R2, hull of R4)."""
+    b = before.select("pair_id", *[F.col(f).alias(f"b_{f}") for f in FEATURES])
+    out = after.drop("mean_lab").join(b, "pair_id").join(alike, "pair_id").join(counts, "pair_id")
+    return out.withColumns({f"d_{f}": F.col(f) - F.col(f"b_{f}") for f in (*FEATURES, "corners", "lines", "line_length")})
 
 
 def vote(votes: DataFrame, keys: list[str]) -> DataFrame:
@@ -229,11 +232,15 @@ def region_pipeline(regions: DataFrame, image_area: int, least_area: int | None
     return kept.select("run_id", F.col("place").alias("id"), "area", "x", "y", "w", "h", "object_type", "confidence", level.alias("severity"), named)
 
 
-def tight_box(pixels_on: DataFrame) -> DataFrame:
-    """The box that a region's on pixels really fill, where less than a fifth of a box over 100 pixels is on."""
-    s = pixels_on.groupBy("region_id").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"), F.count(F.lit(1)).alias("area"))
-    return s
-
+def tight_box(pixels_on: DataFrame, boxes: DataFrame) -> DataFrame:
+    """``boxes`` (region_id, x, y, w, h) with ``area``, the on pixels (region_id, y, x) within; where over 100 of them fill less than a
+    fifth of the box, it shrinks to what they really fill."""
+    inside = pixels_on.join(boxes.withColumnsRenamed({"x": "bx", "y": "by"}), "region_id").filter("x between bx and bx + w - 1 and y between by and by + h - 1")
+    s = inside.groupBy("region_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("area"))
+    thin = (F.col("area") > 100) & (F.col("area") / (F.col("w") * F.col("h")) < 0.20)
+    tight = {"x": F.col("x0"), "y": F.col("y0"), "w": F.col("x1") - F.col("x0") + 1, "h": F.col("y1") - F.col("y0") + 1}
+    out = boxes.join(s, "region_id", "left").na.fill(0, ["area"])
+    return out.select("region_id", *(F.when(thin, v).otherwise(F.col(c)).alias(c) for c, v in tight.items()), "area")
 
 
 def _crosses(df: DataFrame) -> DataFrame:

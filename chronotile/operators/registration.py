@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronotile.functions.lineage import cut
+
 
 def _surface(rows: pd.DataFrame) -> pd.DataFrame:
     """Phase correlation of one tile: for each shift its response."""
@@ -18,23 +22,38 @@ def _surface(rows: pd.DataFrame) -> pd.DataFrame:
     peak = np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-12)).real
     dy, dx = np.divmod(np.arange(h * w), w)
     shifts = {"dy": np.where(dy > h // 2, dy - h, dy).astype("int32"), "dx": np.where(dx > w // 2, dx - w, dx).astype("int32")}
-    return pd.DataFrame({"pair_id": int(rows["pair_id"].iloc[0]), **shifts, "v": peak.ravel(), "share": np.where(np.arange(h * w) == 0, 1, 0)})
+    return pd.DataFrame({"pair_id": int(rows["pair_id"].iloc[0]), **shifts, "v": peak.ravel() * h * w, "share": np.where(np.arange(h * w) == 0, h * w, 0)})
 
 
-def shifts(gray: DataFrame, tile: int = 512) -> DataFrame:
-    """Whole-pixel shift of g2 against g1 in each pair: tiles are correlated on their own and their responses averaged.
-
-    Of equal responses the smaller shift is taken.
-    """
+def _tile_shifts(gray: DataFrame, tile: int) -> DataFrame:
+    """The shift on which the tiles of each pair agree best, each counting by its size; of equal responses the smaller shift."""
     cell = [F.floor(F.col(c) / tile).alias(n) for c, n in (("y", "ty"), ("x", "tx"))]
     tiles = gray.select("pair_id", "y", "x", "g1", "g2", *cell).groupBy("pair_id", "ty", "tx")
     surfaces = tiles.applyInPandas(_surface, "pair_id long, dy int, dx int, v double, share int")
     total = surfaces.groupBy("pair_id", "dy", "dx").agg(F.sum("v").alias("v"), F.sum("share").alias("share"))
-    order = F.struct(F.round("v", 9).alias("v"), (-F.abs("dy") - F.abs("dx")).alias("near"), (-F.col("dy")).alias("y"), (-F.col("dx")).alias("x"))
+    order = F.struct(F.round("v", 6).alias("v"), (-F.abs("dy") - F.abs("dx")).alias("near"), (-F.col("dy")).alias("y"), (-F.col("dx")).alias("x"))
     best = total.groupBy("pair_id").agg(F.max(order).alias("b"), F.sum("share").alias("n"))
     return best.select("pair_id", (-F.col("b.y")).alias("dy"), (-F.col("b.x")).alias("dx"), (F.col("b.v") / F.col("n")).alias("response"))
 
 
+def shifts(gray: DataFrame, tile: int = 512) -> DataFrame:
+    """Whole-pixel shift of g2 against g1 in each pair.
+
+    An image that exceeds a tile is shrunk to one first, which tells large shifts; then it is moved back by that and its tiles are correlated
+    on their own, which tells the rest. No task holds more than a tile.
+    """
+    side = gray.groupBy("pair_id").agg(F.ceil((F.greatest(F.max("y"), F.max("x")) + 1) / tile).cast("int").alias("_f"))
+    sized = gray.join(side, "pair_id")
+    small = sized.groupBy("pair_id", "_f", F.floor(F.col("y") / F.col("_f")).alias("y"), F.floor(F.col("x") / F.col("_f")).alias("x")).agg(F.avg("g1").alias("g1"), F.avg("g2").alias("g2"))
+    coarse = _tile_shifts(small, tile).join(side, "pair_id")
+    coarse = cut(coarse.select("pair_id", (F.col("dy") * F.col("_f")).alias("dy"), (F.col("dx") * F.col("_f")).alias("dx"), "response", "_f"))
+    large = coarse.filter("_f > 1")
+    moved = shifted_back(gray.join(large, "pair_id", "left_semi"), large)
+    fine = _tile_shifts(moved, tile).select("pair_id", F.col("dy").alias("_dy"), F.col("dx").alias("_dx"), F.col("response").alias("_r"))
+    out = coarse.join(fine, "pair_id", "left")
+    return out.select("pair_id", (F.col("dy") + F.coalesce("_dy", F.lit(0))).alias("dy"), (F.col("dx") + F.coalesce("_dx", F.lit(0))).alias("dx"), F.coalesce("_r", "response").alias("response"))
+
+
 def shifted_back(gray: DataFrame, moves: DataFrame) -> DataFrame:
     """g2 moved by its shift; pixels without a source are left out, pairs without a shift unchanged."""
     second = gray.join(moves, "pair_id").select("pair_id", (F.col("y") - F.col("dy")).alias("y"), (F.col("x") - F.col("dx")).alias("x"), "g2")
@@ -70,6 +89,100 @@ def ratio_matches(a: DataFrame, b: DataFrame, ratio: float = 0.7, part: int = 20
     return near.filter(F.col("second").isNotNull() & (F.col("d") < ratio * F.col("second"))).select("pair_id", "id", "other", "d")
 
 
+def _solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solutions of many systems at once; not-a-numbers where one has none."""
+    out = np.full(b.shape, np.nan)
+    sound = np.isfinite(a).all((1, 2))
+    sound[sound] = np.linalg.cond(a[sound]) < 1e12
+    out[sound] = np.linalg.solve(a[sound], b[sound][..., None])[..., 0]
+    return out
+
+
+def _from_samples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The homography through four matches of each row (x2, y2 to x1, y1: arrays of 4), its last number being 1."""
+    for rows in batches:
+        x2, y2, x1, y1 = (np.stack(rows[c]) if len(rows) else np.zeros((0, 4)) for c in ("x2", "y2", "x1", "y1"))
+        a, one, zero = np.zeros((len(rows), 8, 8)), np.ones_like(x2), np.zeros_like(x2)
+        a[:, ::2] = np.stack([x2, y2, one, zero, zero, zero, -x1 * x2, -x1 * y2], 2)
+        a[:, 1::2] = np.stack([zero, zero, zero, x2, y2, one, -y1 * x2, -y1 * y2], 2)
+        h = _solved(a, np.stack([x1, y1], 2).reshape(len(rows), 8))
+        good = np.isfinite(h).all(1)
+        yield pd.DataFrame({"pair_id": rows["pair_id"][good], "trial": rows["trial"][good], "h": list(h[good])})
+
+
+def _moved(h: Column, x: Column, y: Column) -> tuple[Column, Column]:
+    """Where a homography (array of 8, the ninth is 1) takes a place."""
+    w = h[6] * x + h[7] * y + 1
+    w = F.when(F.abs(w) > 1e-12, w)
+    return (h[0] * x + h[1] * y + h[2]) / w, (h[3] * x + h[4] * y + h[5]) / w
+
+
+def consensus(matches: DataFrame, trials: int = 512, reach: float = 4.0, least: int = 8, block: int = 64) -> DataFrame:
+    """The homography from image 2 to image 1 on which most matches (pair_id, id, x1, y1, x2, y2) of a pair agree, within ``reach`` pixels.
+
+    pair_id, matches, inliers, ratio, h (array of 9). Samples of four matches are drawn by hashes of pair and trial, so reruns agree; each
+    gives a hypothesis, inliers are counted by a join of matches and hypotheses in blocks, the first of the best stays, and is fitted
+    again to all its inliers by sums of products. A map that shrinks or grows areas more than tenfold, counts as none: null h and ratio 0. Pairs of fewer than ``least`` matches are left out.
+    """
+    order = Window.partitionBy("pair_id").orderBy("id", "x1", "y1", "x2", "y2")
+    size = matches.groupBy("pair_id").agg(F.count(F.lit(1)).alias("matches"), *(F.greatest(F.max(F.abs(f"x{k}")), F.max(F.abs(f"y{k}")), F.lit(1.0)).alias(f"unit{k}") for k in (1, 2))).filter(F.col("matches") >= least)
+    unit = {c: F.col(c) / F.col(f"unit{c[1]}") for c in ("x1", "y1", "x2", "y2")}
+    points = cut(matches.join(size, "pair_id").withColumns({"place": F.row_number().over(order) - 1} | unit).select("pair_id", "place", "x1", "y1", "x2", "y2", "unit1", "unit2"))
+    drawn = size.select("pair_id", "matches", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
+    drawn = drawn.withColumn("places", F.array(*(F.pmod(F.xxhash64("pair_id", "trial", F.lit(k)), F.col("matches")).cast("int") for k in range(4)))).filter(F.size(F.array_distinct("places")) == 4)
+    samples = drawn.select("pair_id", "trial", F.posexplode("places").alias("k", "place")).join(points, ["pair_id", "place"])
+    listed = samples.groupBy("pair_id", "trial").agg(F.sort_array(F.collect_list(F.struct("k", "x1", "y1", "x2", "y2"))).alias("s"))
+    listed = listed.select("pair_id", "trial", *(F.col(f"s.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")))
+    guesses = listed.mapInPandas(_from_samples, "pair_id long, trial int, h array<double>")
+    guesses = cut(guesses.withColumn("block", F.floor(F.col("trial") / block).cast("int")))
+    spread = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((trials - 1) // block))))
+    x, y = _moved(F.col("h"), F.col("x2"), F.col("y2"))
+    near = F.pow(x - F.col("x1"), F.lit(2)) + F.pow(y - F.col("y1"), F.lit(2)) <= F.pow(reach / F.col("unit1"), F.lit(2))
+    votes = spread.join(guesses, ["pair_id", "block"]).groupBy("pair_id", "trial").agg(F.count_if(near).alias("inliers"), F.first("h").alias("h"))
+    best = cut(votes.groupBy("pair_id").agg(F.max(F.struct("inliers", (-F.col("trial")).alias("t"), "h")).alias("b")).select("pair_id", "b.inliers", "b.h"))
+    agreeing = points.join(best, "pair_id").filter(near)
+    one, zero = F.lit(1.0), F.lit(0.0)
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    rows = [([x2, y2, one, zero, zero, zero, -x1 * x2, -x1 * y2], x1), ([zero, zero, zero, x2, y2, one, -y1 * x2, -y1 * y2], y1)]
+    normal = F.array(*(F.sum(sum((r[i] * r[j] for r, _ in rows), F.lit(0.0))) for i in range(8) for j in range(8)))
+    right = F.array(*(F.sum(sum((r[i] * v for r, v in rows), F.lit(0.0))) for i in range(8)))
+    sums = agreeing.groupBy("pair_id").agg(normal.alias("a"), right.alias("b"), F.first("unit1").alias("unit1"), F.first("unit2").alias("unit2"))
+
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            a = np.stack(part["a"]).reshape(-1, 8, 8) if len(part) else np.zeros((0, 8, 8))
+            b = np.stack(part["b"]) if len(part) else np.zeros((0, 8))
+            h = np.stack([np.linalg.lstsq(m, v, rcond=None)[0] for m, v in zip(a, b, strict=True)]) if len(part) else b
+            u, v = (part[c].to_numpy()[:, None] for c in ("unit1", "unit2"))
+            h = h * np.hstack([u / v, u / v, u, u / v, u / v, u, 1 / v, 1 / v])
+            yield pd.DataFrame({"pair_id": part["pair_id"], "h": list(np.hstack([h, np.ones_like(u)]))})
+
+    fits = sums.mapInPandas(fitted, "pair_id long, h array<double>")
+    grows = F.abs(F.col("h")[0] * F.col("h")[4] - F.col("h")[1] * F.col("h")[3])
+    sound = grows.between(0.1, 10.0)
+    out = size.select("pair_id", "matches").join(best.select("pair_id", "inliers"), "pair_id", "left").join(fits, "pair_id", "left")
+    return out.select("pair_id", "matches", F.coalesce("inliers", F.lit(0).cast("long")).alias("inliers"), F.when(sound, F.col("inliers") / F.col("matches")).otherwise(0.0).alias("ratio"), F.when(sound, F.col("h")).alias("h"))
+
+
+def warped(gray: DataFrame, maps: DataFrame) -> DataFrame:
+    """g2 as image 1 sees it: ``maps`` (pair_id, h) from image 2 to image 1 turned round, bilinear between the four pixels where a place
+    comes from; places from beyond the frame are 0. Pairs without a map are left out."""
+    m = [F.col("h")[k] for k in range(9)]
+    back = F.array(
+        m[4] * m[8] - m[5] * m[7], m[2] * m[7] - m[1] * m[8], m[1] * m[5] - m[2] * m[4], m[5] * m[6] - m[3] * m[8], m[0] * m[8] - m[2] * m[6],
+        m[2] * m[3] - m[0] * m[5], m[3] * m[7] - m[4] * m[6], m[1] * m[6] - m[0] * m[7], m[0] * m[4] - m[1] * m[3],
+    )
+    turned = maps.filter("h is not null").select("pair_id", back.alias("_b")).select("pair_id", F.transform("_b", lambda v: v / F.col("_b")[8]).alias("_b"))
+    x, y = _moved(F.col("_b"), F.col("x").cast("double"), F.col("y").cast("double"))
+    source = gray.select("pair_id", "y", "x", "g1").join(turned, "pair_id").select("pair_id", "y", "x", "g1", x.alias("sx"), y.alias("sy"))
+    u, v = F.col("sx") - F.floor("sx"), F.col("sy") - F.floor("sy")
+    corner = lambda dy, dx, weight: F.struct((F.floor("sy") + dy).cast("int").alias("fy"), (F.floor("sx") + dx).cast("int").alias("fx"), weight.alias("weight"))
+    four = F.array(corner(0, 0, (1 - u) * (1 - v)), corner(0, 1, u * (1 - v)), corner(1, 0, (1 - u) * v), corner(1, 1, u * v))
+    asked = source.select("pair_id", "y", "x", "g1", F.explode(four).alias("c")).select("pair_id", "y", "x", "g1", "c.*")
+    there = gray.select("pair_id", F.col("y").alias("fy"), F.col("x").alias("fx"), "g2")
+    return asked.join(there, ["pair_id", "fy", "fx"], "left").groupBy("pair_id", "y", "x").agg(F.first("g1").alias("g1"), F.sum(F.coalesce("g2", F.lit(0)) * F.col("weight")).alias("g2"))
+
+
 def policy(candidates: DataFrame) -> DataFrame:
     """Method and verdict of each pair from (pair_id, first_ratio, second_ratio, ncc_matched, ncc_direct), ratios null where a method found nothing.
 

@@ -91,6 +91,22 @@ CLASS_RULES = {
     ],
     "Bare Land/Soil Change": [("red > 0.34 AND green < 0.36", 0.20), ("hue BETWEEN 8 AND 38", 0.18), ("ndvi < 0.05", 0.18), ("texture < 35", 0.12), ("lbp < 0.04", 0.12), ("sat BETWEEN 40 AND 130", 0.10), ("bright BETWEEN 45 AND 82", 0.10)],
 }
+#: What water looks like, and the classes that have rules of their own for an image alone, without one before it.
+WATER_CUES = ("blue > 0.38", "edge < 28", "texture < 26", "hue BETWEEN 95 AND 130", "lbp < 0.045")
+SINGLE_RULES = CLASS_RULES | {
+    "Vegetation Change": [("ndvi > 0.05", 0.22), ("ndvi > 0.15", 0.10), ("green > 0.36", 0.18), ("hue BETWEEN 35 AND 85", 0.15), ("sat > 40", 0.10), ("entropy > 2.5", 0.05), ("area > 500", 0.04)],
+    "New Construction/Building": [
+        ("entropy < 2.5", 0.18), ("homog < 28", 0.15), ("asp BETWEEN 1 AND 5", 0.10), ("compact BETWEEN 0.2 AND 0.95", 0.10), ("edge > 25", 0.14),
+        ("contrast > 300", 0.10), ("sat < 100", 0.08), ("bright BETWEEN 30 AND 95", 0.08), ("area > 600", 0.05),
+    ],
+    "Demolition/Clearing": [("texture > 30", 0.18), ("entropy > 2.8", 0.15), ("homog > 25", 0.15), ("bright > 60", 0.10), ("ndvi < 0.05", 0.12), ("sat < 70", 0.10), ("area > 800", 0.05)],
+    "Temporary Structure": [
+        ("edge > 15 AND edge < 50", 0.18), ("entropy > 2.0", 0.12), ("homog > 20", 0.10), ("ndvi < 0.08", 0.12), ("area BETWEEN 200 AND 5000", 0.10),
+        ("asp BETWEEN 1 AND 3.5", 0.08), ("sat < 100", 0.06),
+    ],
+}
+#: What the columns that compare two images hold where there is one only.
+SINGLE_VALUES = {"d_edge": 0.0, "d_lines": 0, "d_corners": 0, "lines": 0, "corners": 0, "hull": 0.5, "lab": 0.0, "ssim": 1.0}
 VEGETATION_KINDS = {
     "Deforestation/Tree Removal": [("b_ndvi > 0.08 AND d_ndvi < -0.06", 0.30), ("b_green > 0.36 AND d_green < -0.03", 0.20), ("bright > b_bright + 10", 0.15), ("d_sat < -15", 0.15), ("entropy < b_entropy - 0.3", 0.10)],
     "New Vegetation/Growth": [("ndvi > 0.08 AND d_ndvi > 0.06", 0.30), ("green > 0.36 AND d_green > 0.03", 0.20), ("d_sat > 15", 0.15), ("bright < b_bright - 5", 0.10), ("entropy > b_entropy + 0.2", 0.10)],
@@ -154,27 +170,34 @@ def best_of(table: dict[str, list[tuple[str, float]]], least: float, otherwise:
     return best([(n, total(r)) for n, r in table.items()], least, otherwise, otherwise_score)
 
 
-def predicate(sql: str, limit: int) -> Column:
+def predicate(sql: str, limit: int | str) -> Column:
+    """A predicate of passing objects; ``limit`` is the greatest vehicle area, a number or the name of a column."""
     radiometric = RADIOMETRIC.format(limit=limit)
     vehicle = VEHICLE.format(limit=limit, radiometric=radiometric)
     return F.coalesce(F.expr(sql.format(limit=limit, radiometric=radiometric, vehicle=vehicle)), F.lit(False))
 
 
-def classified(limit: int) -> Column:
-    """struct<name, score> of a region's class. Before the greatest score is taken, structural evidence moves water towards construction,
-    few water cues lower water, and a damped construction score goes with a passing object. Needs columns ``structural`` and ``permanent``."""
-    scores = {n: total(r) for n, r in CLASS_RULES.items()}
-    cues = F.expr("CASE WHEN blue > 0.38 THEN 1 ELSE 0 END + CASE WHEN texture < 26 THEN 1 ELSE 0 END + CASE WHEN edge < 28 THEN 1 ELSE 0 END + CASE WHEN hue BETWEEN 95 AND 130 THEN 1 ELSE 0 END + CASE WHEN lbp < 0.045 THEN 1 ELSE 0 END")
-    structural = F.col("structural")
+def classified(limit: int | str, table: dict[str, list[tuple[str, float]]] = CLASS_RULES) -> Column:
+    """struct<name, score> of a region's class by the rules of ``table``.
+
+    Structural evidence rules out water or moves it towards construction, few water cues lower water, a damped construction score goes with
+    a passing object, and construction that comes close to water wins where there is structure. Needs ``structural`` and ``permanent``.
+    """
+    scores = {n: total(r) for n, r in table.items()}
+    cues = sum((F.when(F.expr(c), 1).otherwise(0) for c in WATER_CUES), F.lit(0))
+    structural, small = F.col("structural"), F.expr(f"area < {limit}")
     water = F.when(structural >= 0.25, 0.0).otherwise(scores["Water Body Change"] * F.when(cues < 3, 0.45).when(cues < 4, 0.75).otherwise(1.0))
-    small = F.col("area") < limit
     built = scores["New Construction/Building"] * F.when(small & predicate("{radiometric}", limit), 0.15).when(small & (F.col("permanent") < 0.34), 0.25).otherwise(1.0)
     moved = structural >= 0.30
-    scores["Water Body Change"] = F.when(moved, water * F.greatest(F.lit(0.1), 1 - structural * 1.2)).otherwise(water)
-    scores["New Construction/Building"] = F.when(moved & (water > 0), F.least(F.lit(1.0), built + structural * 0.45)).otherwise(built)
+    water = F.when(moved, water * F.greatest(F.lit(0.1), 1 - structural * 1.2)).otherwise(water)
+    built = F.when(moved, F.least(F.lit(1.0), built + structural * 0.45)).otherwise(built)
+    scores["Water Body Change"], scores["New Construction/Building"] = water, built
     scores["Road/Pavement Change"] = F.when(small & (F.col("asp") < 6.5), 0.0).otherwise(scores["Road/Pavement Change"])
     scores["Temporary Structure"] = F.when(small & (F.col("asp") < 5), 0.0).otherwise(scores["Temporary Structure"])
-    return best(list(scores.items()), 0.28, "Unclassified")
+    top = best(list(scores.items()), 0.0, "Unclassified")
+    preferred = (top["name"] == "Water Body Change") & (built >= top["score"] * 0.72) & (structural >= 0.22)
+    name, score = F.when(preferred, "New Construction/Building").otherwise(top["name"]), F.when(preferred, built).otherwise(top["score"])
+    return F.struct(F.when(score < 0.28, "Unclassified").otherwise(name).alias("name"), F.least(score, F.lit(1.0)).alias("score"))
 
 
 def stories(shadow_ratio: Column, w: Column, h: Column, entropy: Column) -> Column:

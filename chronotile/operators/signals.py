@@ -68,11 +68,11 @@ def change_vectors(df: DataFrame) -> DataFrame:
     return scaled_to(c.select(*KEY, (size * clip(chroma / (size + TINY) * 2.5, 0.15, 1.0)).alias("cva")), "cva", 0.995)
 
 
-def dissimilarity(df: DataFrame, a: str, b: str, window: int, name: str = "dssim") -> DataFrame:
-    """(1 - SSIM) / 2 under a Gaussian window, five blurred products in one pass over each axis."""
+def dissimilarity(df: DataFrame, a: str, b: str, window: int, name: str = "dssim", sigma: float | None = None) -> DataFrame:
+    """(1 - SSIM) / 2 under a Gaussian window (a sixth of it as deviation if none is given), five blurred products in one pass over each axis."""
     x, y = F.col(a).cast("double"), F.col(b).cast("double")
     products = df.select(*KEY, x.alias("x1"), y.alias("x2"), (x * x).alias("x11"), (y * y).alias("x22"), (x * y).alias("x12"))
-    s = blur(products, ["x1", "x2", "x11", "x22", "x12"], gaussian(window, window / 6))
+    s = blur(products, ["x1", "x2", "x11", "x22", "x12"], gaussian(window, window / 6 if sigma is None else sigma))
     c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
     m1, m2 = F.col("x1"), F.col("x2")
     v1, v2 = F.greatest(F.col("x11") - m1 * m1, F.lit(0.0)), F.greatest(F.col("x22") - m2 * m2, F.lit(0.0))

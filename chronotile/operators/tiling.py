@@ -25,11 +25,38 @@ def window_grid(images: DataFrame, size: int = 512, overlap: float = 0.25) -> Da
 
 
 def ramp(at: Column, size: int, edge: int) -> Column:
-    """Weight along one side of a tile: a raised ramp from 0 over ``edge`` pixels at both ends."""
+    """Weight along one side of a tile: a ramp of ``edge`` pixels at both ends, the outermost 0 and the innermost 1."""
     near = F.least(at, F.lit(size - 1) - at)
-    return F.when(near < edge, near / float(max(1, edge))).otherwise(1.0)
+    return F.when(near < edge, near / float(max(1, edge - 1))).otherwise(1.0)
 
 
+def mirrored(pixels: DataFrame, size: int) -> DataFrame:
+    """Images grown at their lower and right edge to whole multiples of ``size`` by reflection, as often as that takes; ``height`` and
+    ``width`` tell the size before, ``full_h`` and ``full_w`` the size after."""
+    frame = pixels.groupBy("pair_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
+    up = lambda c: (F.ceil(F.col(c) / size) * size).cast("int")
+    frame = frame.withColumns({"full_h": up("height"), "full_w": up("width")})
+
+    def places(at: str, n: str, full: str) -> Column:
+        """Where a pixel lies in the grown image: itself and its reflections, one up and one down in each period of 2 (n - 1) pixels."""
+        period = F.greatest(2 * (F.col(n) - 1), F.lit(1))
+        turns = F.sequence(F.lit(0), F.ceil(F.col(full) / period).cast("int"))
+        both = F.flatten(F.transform(turns, lambda k: F.array(k * period + F.col(at), k * period - F.col(at))))
+        return F.explode(F.array_distinct(F.filter(both, lambda v: (v >= 0) & (v < F.col(full)))))
+
+    grown = pixels.join(frame, "pair_id").withColumn("_y", places("y", "height", "full_h")).withColumn("_x", places("x", "width", "full_w"))
+    return grown.drop("y", "x").withColumnsRenamed({"_y": "y", "_x": "x"})
+
+
+def overlapping_tiles(pixels: DataFrame, size: int, overlap: int) -> DataFrame:
+    """The pixels of all tiles of ``size`` (pair_id, y, x, y0, x0, th, tw and the others), every ``size - overlap`` pixels over the mirrored image."""
+    overlap = max(0, min(overlap, size // 2))
+    grown = mirrored(pixels, size)
+    frame = grown.select("pair_id", "height", "width", "full_h", "full_w").distinct()
+    step = max(1, size - overlap)
+    grid = frame.withColumn("y0", F.explode(starts(F.col("full_h"), size, step))).withColumn("x0", F.explode(starts(F.col("full_w"), size, step)))
+    return tiles_of(grown, grid.withColumns({"h": F.lit(size), "w": F.lit(size)}), size)
+
 def tiles_of(pixels: DataFrame, grid: DataFrame, size: int) -> DataFrame:
     """Pixels of each tile: an equi-join of pixels with the tiles that cover their grid cell, not a join by inequality over all."""
     cell = lambda c: F.floor(F.col(c) / size)
@@ -41,7 +68,12 @@ def tiles_of(pixels: DataFrame, grid: DataFrame, size: int) -> DataFrame:
 
 
 def blended(scored: DataFrame, size: int, edge: int) -> DataFrame:
-    """(pair_id, y, x, y0, x0, score) of overlapping tiles to one score per pixel, weighted by ramps; the sum of weights counts at least 1e-6."""
+    """(pair_id, y, x, y0, x0, score) of overlapping tiles to one score per pixel, weighted by ramps; the sum of weights counts at least 1e-6.
+
+    With ``height`` and ``width`` columns, as ``overlapping_tiles`` gives them, pixels beyond the image are left out.
+    """
+    if "height" in scored.columns:
+        scored = scored.filter("y < height and x < width")
     w = ramp(F.col("y") - F.col("y0"), size, edge) * ramp(F.col("x") - F.col("x0"), size, edge)
     return scored.withColumn("_w", w).groupBy("pair_id", "y", "x").agg((F.sum(F.col("score") * F.col("_w")) / F.greatest(F.sum("_w"), F.lit(1e-6))).alias("score"))
 

@@ -23,6 +23,17 @@ def pixels(embeddings: DataFrame) -> DataFrame:
     return wide.na.drop(subset=list(names))
 
 
+def scenes(embeddings: DataFrame, side: int = 4) -> DataFrame:
+    """``pixels`` laid out in scenes of ``side`` by ``side`` image pairs, 8 * side pixels long and wide; scenes that are not full are left out."""
+    pair, n = F.col("pair_id"), side * side
+    laid = pixels(embeddings).select(
+        F.floor(pair / n).alias("pair_id"), (F.floor(pair % n / side) * SIDE + F.col("y")).cast("int").alias("y"), (pair % side * SIDE + F.col("x")).cast("int").alias("x"),
+        "r1", "g1", "b1", "r2", "g2", "b2",
+    )
+    full = laid.groupBy("pair_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == n * SIDE * SIDE).select("pair_id")
+    return laid.join(full, "pair_id", "left_semi")
+
+
 def gray_pairs(embeddings: DataFrame) -> DataFrame:
     """pair_id, y, x, g1, g2: two 8 x 8 gray images for each even vector and the next."""
     cells = _bytes(embeddings).withColumn("pair_id", F.floor(F.col("vec_id") / 2)).withColumn("slot", F.col("vec_id") % 2)
@@ -59,6 +70,9 @@ lv AS (SELECT vec_id // 6 AS pair_id, vec_id % 6 AS slot, CAST(pos // 8 AS INT)
 px AS (SELECT pair_id, y, x, max(CASE WHEN slot = 0 THEN v END) AS r1, max(CASE WHEN slot = 1 THEN v END) AS g1, max(CASE WHEN slot = 2 THEN v END) AS b1,
        max(CASE WHEN slot = 3 THEN v END) AS r2, max(CASE WHEN slot = 4 THEN v END) AS g2, max(CASE WHEN slot = 5 THEN v END) AS b2 FROM lv GROUP BY 1, 2, 3)
 """
+SCENES_SQL = f"""{PIXELS_SQL}, laid AS (SELECT pair_id // 16 AS pair_id, CAST(pair_id % 16 // 4 * 8 + y AS INT) AS y, CAST(pair_id % 4 * 8 + x AS INT) AS x, r1, g1, b1, r2, g2, b2 FROM px),
+sc AS (SELECT * FROM laid WHERE pair_id IN (SELECT pair_id FROM laid GROUP BY 1 HAVING count(*) = 1024))
+"""
 GRAY_SQL = """
 cells AS (SELECT vec_id, unnest(range(64)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
 lv AS (SELECT vec_id // 2 AS pair_id, vec_id % 2 AS slot, CAST(pos // 8 AS INT) AS y, CAST(pos % 8 AS INT) AS x, CAST(least(255, greatest(0, floor((v + 0.55) * 230))) AS INT) AS v FROM cells),

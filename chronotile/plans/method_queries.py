@@ -8,7 +8,7 @@ from chronotile.operators import masks as M
 from chronotile.operators import methods as D
 from chronotile.operators import regions as G
 from chronotile.operators import tiling as T
-from chronotile.plans.bridges import GRAY_SQL, gray_pairs, pixels
+from chronotile.plans.bridges import GRAY_SQL, PIXELS_SQL, gray_pairs, pixels
 from chronotile.plans.registry import query
 
 
@@ -35,6 +35,18 @@ def _(t):
     return M.run_statistics(D.detect(p, "Hybrid AI", scores, border=0, least=2))
 
 
+@query("m21_fallback", f"""WITH {PIXELS_SQL}, m AS (SELECT pair_id, r1 > r2 + 60 AS o FROM px), e AS (SELECT pair_id, bool_or(o) AS found, count(*) FILTER (WHERE o) AS n FROM m GROUP BY 1)
+SELECT pair_id, NOT found AS by_features, CASE WHEN found THEN n END AS changed FROM e""")
+def _(t):
+    """Pairs with an empty mask go to the feature method; the others keep what they have."""
+    p = pixels(t("embeddings"))
+    mask = p.select("pair_id", "y", "x", (F.col("r1") > F.col("r2") + 60).cast("int").alias("on"))
+    found = mask.groupBy("pair_id").agg(F.max("on").alias("found"))
+    out = D.with_fallback(p, mask).groupBy("pair_id").agg(F.sum("on").alias("n"), F.count(F.lit(1)).alias("all")).join(found, "pair_id")
+    whole = out.filter("all = 64 and n > 0")  # the feature mask is never empty
+    return whole.select("pair_id", (F.col("found") == 0).alias("by_features"), F.when(F.col("found") == 1, F.col("n")).alias("changed"))
+
+
 @query("r22_shadows", f"""WITH {GRAY_SQL}, b AS (SELECT pair_id, unnest([1, 2]) AS region_id FROM (SELECT DISTINCT pair_id FROM gp)),
 bx AS (SELECT pair_id, region_id, region_id AS x, region_id + 1 AS y, 4 AS w, 4 AS h FROM b),
 n AS (SELECT bx.*, gp.x AS px, gp.y AS py, g1 - g2 AS d FROM gp JOIN bx USING (pair_id)

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from chronotile.functions import geodesy
 from chronotile.functions import scalars as X
+from chronotile.functions.lineage import cut
 from chronotile.operators import catalog as C
+from chronotile.operators import crops as R
 from chronotile.operators import masks as M
+from chronotile.operators import pixels as P
 from chronotile.operators import regions as G
+from chronotile.operators import registration
 from chronotile.operators import review as V
 from chronotile.operators import rules as U
 from chronotile.operators import signals as S
-from chronotile.plans.bridges import GRAY_SQL, REGIONS_SQL, gray_pairs, pixels, regions
+from chronotile.plans.bridges import GRAY_SQL, REGIONS_SQL, SCENES_SQL, gray_pairs, pixels, regions, scenes
+from chronotile.plans.pixel_queries import COMP
 from chronotile.plans.registry import query
 from chronotile.sources import sinks as K
 
@@ -194,6 +202,57 @@ def _(t):
     return t("supplier").select("s_suppkey", F.round(p["lng"], 9).alias("lng"), F.round(p["lat"], 9).alias("lat"))
 
 
+_PROJECTED = """o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 3857 WHEN o_orderkey % 11 = 0 THEN 4326 WHEN o_orderkey % 2 = 0 THEN 32701 + o_custkey % 60 ELSE 32601 + o_custkey % 60 END AS epsg,
+    CAST(CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice * 30 WHEN o_orderkey % 11 = 0 THEN o_totalprice % 180 ELSE 200000 + o_totalprice % 600000 END AS DOUBLE) AS x,
+    CAST(CASE WHEN o_orderkey % 11 = 0 AND o_orderkey % 7 > 0 THEN o_orderkey % 90 ELSE 1100000 + o_orderkey * 7919 % 8100000 END AS DOUBLE) AS y FROM orders)"""
+
+
+def _series_sql(table: tuple, term: str) -> str:
+    """The sum over k of ``term`` ({k}: twice the index) with the polynomials of ``table`` in n written out."""
+    rows = ("(" + " + ".join(f"({c!r}::DOUBLE) * n ** {p + 1}" for p, c in enumerate(row) if c) + ")" for row in table)
+    return " + ".join(f"{row} * {term.format(k=2 * k)}" for k, row in enumerate(rows, 1))
+
+
+def _lng_lat_sql(source: str) -> str:
+    """CTEs that end in ``places``: ``source`` (epsg, x, y and more) with lng and lat."""
+    return f"""k0 AS (SELECT *, (1 / 298.257223563::DOUBLE) / (2 - 1 / 298.257223563::DOUBLE) AS n, epsg > 32700 AND epsg < 32761 AS south, epsg > 32600 AND epsg < 32761 AS utm FROM {source}),
+  k1 AS (SELECT *, 0.9996::DOUBLE * 6378137 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64 + n ** 6 / 256) AS long_radius FROM k0),
+  k2 AS (SELECT *, CASE WHEN utm THEN (y - CASE WHEN south THEN 10000000 ELSE 0 END) / long_radius END AS xi, CASE WHEN utm THEN (x - 500000) / long_radius END AS eta FROM k1),
+  k3 AS (SELECT *, xi - ({_series_sql(geodesy._TO_SPHERE, "sin({k} * xi) * cosh({k} * eta)")}) AS xi_, eta - ({_series_sql(geodesy._TO_SPHERE, "cos({k} * xi) * sinh({k} * eta)")}) AS eta_ FROM k2),
+  k4 AS (SELECT *, asin(sin(xi_) / cosh(eta_)) AS chi FROM k3),
+  places AS (SELECT *,
+    CASE WHEN epsg = 4326 THEN x WHEN epsg = 3857 THEN degrees(x / 6378137) ELSE degrees(atan2(sinh(eta_), cos(xi_))) + 6 * (epsg % 100) - 183 END AS lng,
+    CASE WHEN epsg = 4326 THEN y WHEN epsg = 3857 THEN degrees(atan(sinh(y / 6378137))) ELSE degrees(chi + {_series_sql(geodesy._TO_LATITUDE, "sin({k} * chi)")}) END AS lat FROM k4)"""
+
+
+@query("g05_projected", f"WITH {_PROJECTED}, {_lng_lat_sql('o')} SELECT o_orderkey, epsg::INT AS epsg, round(lng, 7) AS lng, round(lat, 7) AS lat FROM places")
+def _(t):
+    """Map coordinates of UTM zones, Web Mercator and degrees to WGS84."""
+    o = _projected(t)
+    place = geodesy.lng_lat(F.col("x"), F.col("y"), F.col("epsg"))
+    return o.select("o_orderkey", "epsg", F.round(place["lng"], 7).alias("lng"), F.round(place["lat"], 7).alias("lat"))
+
+
+def _projected(t):
+    key = F.col("o_orderkey")
+    epsg = F.when(key % 7 == 0, 3857).when(key % 11 == 0, 4326).otherwise(F.when(key % 2 == 0, 32701).otherwise(32601) + F.col("o_custkey") % 60)
+    x = F.when(key % 7 == 0, F.col("o_totalprice") * 30).when(key % 11 == 0, F.col("o_totalprice") % 180).otherwise(200000 + F.col("o_totalprice") % 600000)
+    y = F.when((key % 11 == 0) & (key % 7 > 0), key % 90).otherwise(1100000 + key * 7919 % 8100000)
+    return t("orders").select("o_orderkey", epsg.cast("int").alias("epsg"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+@query("s01_bounds", f"""WITH {_PROJECTED}, side AS (SELECT *, CASE WHEN epsg = 4326 THEN 0.0001::DOUBLE ELSE 25.0::DOUBLE END AS px, x AS x0, y AS y0 FROM o),
+  rim AS (SELECT DISTINCT u, v FROM (SELECT unnest(range(23)) / 22.0::DOUBLE AS s) CROSS JOIN LATERAL (VALUES (s, 0.0::DOUBLE), (s, 1.0), (0.0, s), (1.0, s)) r(u, v)),
+  edge AS (SELECT o_orderkey, epsg, x0 + px * (u * 400) AS x, y0 - px * (v * 300) AS y FROM side CROSS JOIN rim), {_lng_lat_sql('edge')}
+  SELECT o_orderkey, round(min(lng), 7) AS west, round(min(lat), 7) AS south, round(max(lng), 7) AS east, round(max(lat), 7) AS north FROM places GROUP BY o_orderkey""")
+def _(t):
+    """Bounds in WGS84 of images of 400 by 300 pixels, along their edges."""
+    px = F.when(F.col("epsg") == 4326, 0.0001).otherwise(25.0)
+    zero = F.lit(0.0)
+    o = _projected(t).withColumn("b", geodesy.bounds(F.array(px, zero, F.col("x"), zero, -px, F.col("y")), F.lit(400), F.lit(300), F.col("epsg")))
+    return o.select("o_orderkey", *(F.round(F.col("b")[c], 7).alias(c) for c in ("west", "south", "east", "north")))
+
+
 _GEO = f"WITH {REGIONS_SQL}, s AS (SELECT *, run_id % 100 AS s_suppkey FROM regions), g AS (SELECT *, {_B} FROM s)"
 
 
@@ -257,12 +316,8 @@ def _(t):
 
 
 def _features(t):
-    p = pixels(t("embeddings"))
-    ssim = S.structural_change(p).groupBy("pair_id").agg((1 - 2 * F.avg("dssim")).alias("ssim"))
-    gray = S.coloured(p).select("pair_id", "y", "x", F.col("gray1").alias("g1"), F.col("gray2").alias("g2"))
-    f = G.compared_features(G.image_features(p, "1"), G.image_features(p, "2"), ssim, G.corners(gray))
-    from chronotile.functions.lineage import cut
-
+    """R1-R5 of each pair as one region."""
+    f = R.described(pixels(t("embeddings")))
     return cut(f.withColumns({"area": F.lit(2500) + F.col("pair_id") * 100, "w": F.lit(60), "h": F.lit(50), "asp": F.lit(1.2) + F.col("pair_id") % 5, "fill": F.lit(0.5), "compact": F.lit(0.6)}))
 
 
@@ -319,15 +374,138 @@ def _(t):
     return t("part").select("p_partkey", U.stories(F.col("p_size") / 100, F.col("p_size"), F.col("p_partkey") % 90 + 10, F.col("p_partkey") % 30 / 10).alias("stories"))
 
 
-@query("r26_tight_box", f"WITH {GRAY_SQL} SELECT pair_id AS region_id, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS area FROM gp WHERE g1 >= 165 GROUP BY 1")
+@query("r26_tight_box", """WITH b AS (SELECT DISTINCT l_suppkey AS region_id, CAST(l_suppkey % 7 AS INT) AS x, CAST(l_suppkey % 5 AS INT) AS y, CASE WHEN l_suppkey % 2 = 0 THEN 70 ELSE 30 END AS w, CASE WHEN l_suppkey % 3 = 0 THEN 60 ELSE 25 END AS h FROM lineitem),
+p AS (SELECT DISTINCT l_suppkey AS region_id, CAST(l_partkey % 61 AS INT) AS x, CAST(l_orderkey % 53 AS INT) AS y FROM lineitem),
+s AS (SELECT b.region_id, min(p.x) AS x0, min(p.y) AS y0, max(p.x) AS x1, max(p.y) AS y1, count(*) AS area FROM b JOIN p ON p.region_id = b.region_id AND p.x BETWEEN b.x AND b.x + w - 1 AND p.y BETWEEN b.y AND b.y + h - 1 GROUP BY 1),
+j AS (SELECT b.*, s.x0, s.y0, s.x1, s.y1, coalesce(area, 0) AS area, coalesce(area > 100 AND area / (w * h) < 0.20, false) AS thin FROM b LEFT JOIN s USING (region_id))
+SELECT region_id, CASE WHEN thin THEN x0 ELSE x END AS x, CASE WHEN thin THEN y0 ELSE y END AS y, CASE WHEN thin THEN x1 - x0 + 1 ELSE w END AS w, CASE WHEN thin THEN y1 - y0 + 1 ELSE h END AS h, area FROM j""")
 def _(t):
-    return G.tight_box(gray_pairs(t("embeddings")).filter("g1 >= 165").withColumnRenamed("pair_id", "region_id"))
+    """R26, both sides of its condition: boxes of many sizes, and the order lines of a supplier as on pixels."""
+    key = F.col("l_suppkey")
+    lines = t("lineitem")
+    boxes = lines.select(key.alias("region_id"), (key % 7).cast("int").alias("x"), (key % 5).cast("int").alias("y"), F.when(key % 2 == 0, 70).otherwise(30).alias("w"), F.when(key % 3 == 0, 60).otherwise(25).alias("h")).distinct()
+    on = lines.select(key.alias("region_id"), (F.col("l_partkey") % 61).cast("int").alias("x"), (F.col("l_orderkey") % 53).cast("int").alias("y")).distinct()
+    return G.tight_box(on, boxes)
 
 
 @query("r14_strip_components")
 def _(t):
-    mask = gray_pairs(t("embeddings")).select("pair_id", "y", "x", F.when(F.col("g1") >= 140, 1).otherwise(0).alias("on"))
-    return M.run_statistics(M.large_components(mask, 4))
+    """On pixels of scenes without the components that show passing objects."""
+    scene = scenes(t("embeddings"))
+    on = scene.filter(F.col("g2") - F.col("g1") > 20)
+    return R.strip_transients(on, scene)
+
+
+def _boxes(t):
+    """Four boxes in each scene, of which two are large enough to have parts."""
+    box = lambda k, *v: F.struct(F.lit(k).alias("region_id"), *(F.lit(a).alias(n) for n, a in zip("xywh", v, strict=True)))
+    four = F.array(box(1, 0, 0, 32, 32), box(2, 4, 6, 24, 22), box(3, 10, 3, 12, 15), box(4, 20, 20, 40, 6))
+    return scenes(t("embeddings")).select("pair_id").distinct().select("pair_id", F.explode(four).alias("b")).select("pair_id", "b.*")
+
+
+@query("r16_ensemble")
+def _(t):
+    """Classes of boxes by the votes of their parts, each part with features of its own."""
+    out = R.ensemble(scenes(t("embeddings")), _boxes(t))
+    return out.select("pair_id", "region_id", "name", F.round("score", 6).alias("score"))
+
+
+@query("r15_single_image")
+def _(t):
+    """The same by the rules for an image without one before it."""
+    out = R.ensemble(scenes(t("embeddings")), _boxes(t), single=True)
+    return out.select("pair_id", "region_id", "name", F.round("score", 6).alias("score"))
+
+
+_HULL = COMP.format(
+    head=f"""{GRAY_SQL}, pic AS (SELECT pair_id * 2 AS pair_id, y, x, g1 AS v FROM gp UNION ALL SELECT pair_id * 2 + 1, y, x, g2 FROM gp),
+reached(pair_id, y, x) AS (SELECT pair_id, y, x FROM pic WHERE v <= 128 AND (y IN (0, 7) OR x IN (0, 7))
+  UNION SELECT p.pair_id, p.y, p.x FROM reached r JOIN pic p ON p.pair_id = r.pair_id AND abs(p.y - r.y) + abs(p.x - r.x) = 1 AND p.v <= 128),
+solid AS (SELECT pair_id, y, x FROM pic ANTI JOIN reached USING (pair_id, y, x))""",
+    src="solid",
+)
+
+
+@query("r04_hull_ratio", f"""WITH {_HULL}, lab AS (SELECT cc.pair_id, label, y, x FROM cc JOIN onp USING (pair_id, id)),
+sq AS (SELECT pair_id, label, y - i.k AS sy, x - j.k AS sx, count(*) AS n FROM lab, range(2) i(k), range(2) j(k) GROUP BY 1, 2, 3, 4),
+ar AS (SELECT pair_id, label, sum(CASE n WHEN 4 THEN 1.0 WHEN 3 THEN 0.5 ELSE 0.0 END) AS area FROM sq GROUP BY 1, 2),
+bx AS (SELECT pair_id, label, (max(x) - min(x) + 1) * (max(y) - min(y) + 1) AS box FROM lab GROUP BY 1, 2),
+top AS (SELECT pair_id, area / box AS hull FROM ar JOIN bx USING (pair_id, label) QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY area DESC, label) = 1)
+SELECT DISTINCT pic.pair_id, round(CAST(coalesce(hull, 0) AS DOUBLE), 6) AS hull FROM pic LEFT JOIN top USING (pair_id)""")
+def _(t):
+    """R4 of both images of all gray pairs."""
+    g = gray_pairs(t("embeddings"))
+    both = g.select((F.col("pair_id") * 2).alias("pair_id"), "y", "x", F.col("g1").alias("v")).unionByName(g.select((F.col("pair_id") * 2 + 1).alias("pair_id"), "y", "x", F.col("g2").alias("v")))
+    return R.hull_ratios(both).select("pair_id", F.round("hull", 6).alias("hull"))
+
+
+@query("r02_shape_counts")
+def _(t):
+    """R2-R4 of scenes whose tiles of 8 by 8 pixels are levelled to their means, so that their borders are edges."""
+    level = Window.partitionBy("pair_id", F.floor(F.col("y") / 8), F.floor(F.col("x") / 8))
+    gray = scenes(t("embeddings")).select("pair_id", "y", "x", *(F.round(F.avg(c).over(level) * 4 - 400).cast("int").alias(g) for c, g in (("r1", "g1"), ("r2", "g2"))))
+    s = R.shape_counts(gray)
+    return s.select("pair_id", "corners", "b_corners", "lines", "b_lines", *(F.round(c, 6).alias(c) for c in ("line_length", "b_line_length", "hull", "b_hull")))
+
+
+_MATCHES = """m AS (SELECT l_suppkey % 40 AS pair_id, (l_orderkey + l_linenumber * 3) % 10 < 4 AS wrong, CAST(l_partkey % 400 AS DOUBLE) AS x2, CAST((l_orderkey * 7 + l_linenumber * 13) % 300 AS DOUBLE) AS y2 FROM lineitem)"""
+
+
+@query("p07_consensus", f"""WITH {_MATCHES}, p AS (SELECT pair_id, count(*) AS matches, count(*) FILTER (WHERE NOT wrong) AS inliers FROM m GROUP BY 1 HAVING count(*) >= 8)
+SELECT pair_id, matches, inliers, round(inliers / matches, 6) AS ratio, round((105.0::DOUBLE + 2 + 10 + pair_id) / 1.003, 3) AS x, round((-1.5::DOUBLE + 98 + 5) / 1.003, 3) AS y FROM p""")
+def _(t):
+    """The map on which matches agree, found among two in five wrong ones; it takes (100, 100) to (x, y)."""
+    key = F.col("l_suppkey") % 40
+    m = t("lineitem").select(
+        key.alias("pair_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), ((F.col("l_orderkey") + F.col("l_linenumber") * 3) % 10 < 4).cast("int").alias("wrong"),
+        (F.col("l_partkey") % 400).cast("double").alias("x2"), ((F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13) % 300).cast("double").alias("y2"),
+        F.col("l_partkey").alias("p"), F.col("l_orderkey").alias("o"),
+    )
+    w = 1e-5 * F.col("x2") + 2e-5 * F.col("y2") + 1
+    x1 = (1.05 * F.col("x2") + 0.02 * F.col("y2") + 10 + F.col("pair_id")) / w + F.col("wrong") * (1500 + F.col("p") * 7919 % 3000)
+    y1 = (-0.015 * F.col("x2") + 0.98 * F.col("y2") + 5) / w + F.col("wrong") * (800 + F.col("o") * 104729 % 2500)
+    found = registration.consensus(m.select("pair_id", "id", x1.alias("x1"), y1.alias("y1"), "x2", "y2"))
+    x, y = registration._moved(F.col("h"), F.lit(100.0), F.lit(100.0))
+    return found.select("pair_id", "matches", "inliers", F.round("ratio", 6).alias("ratio"), F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+_QUARTERS = [(a, b) for a in (0, 1) for b in (0, 1)]
+
+
+@query("p14_equalised", f"""WITH {SCENES_SQL}, n AS (SELECT pair_id, y // 4 AS ty, x // 4 AS tx, r1 AS k, count(*) AS n FROM sc GROUP BY 1, 2, 3, 4),
+e AS (SELECT t.*, greatest(coalesce(n, 0) - 1, 0) AS over_, least(coalesce(n, 0), 1) AS n FROM (SELECT pair_id, ty, tx, unnest(range(256)) AS k FROM (SELECT DISTINCT pair_id, ty, tx FROM n)) t LEFT JOIN n USING (pair_id, ty, tx, k)),
+o AS (SELECT *, sum(over_) OVER (PARTITION BY pair_id, ty, tx) AS rest FROM e),
+b AS (SELECT *, n + rest // 256 + CASE WHEN k % greatest(256 // greatest(rest % 256, 1), 1) = 0 AND k // greatest(256 // greatest(rest % 256, 1), 1) < rest % 256 THEN 1 ELSE 0 END AS m FROM o),
+lut AS (SELECT pair_id, ty, tx, k, least(255, round_even(CAST(sum(m) OVER (PARTITION BY pair_id, ty, tx ORDER BY k) * (255 / 16.0) AS DOUBLE), 0)) AS v FROM b),
+w AS (SELECT pair_id, y, x, r1, CAST(floor(y / 4.0 - 0.5) AS INT) AS cy, CAST(floor(x / 4.0 - 0.5) AS INT) AS cx, y / 4.0 - 0.5 - floor(y / 4.0 - 0.5) AS u, x / 4.0 - 0.5 - floor(x / 4.0 - 0.5) AS v FROM sc)
+SELECT w.pair_id, w.y, w.x, CAST(round_even(CAST((m00.v * (1 - w.v) + m01.v * w.v) * (1 - u) + (m10.v * (1 - w.v) + m11.v * w.v) * u AS DOUBLE), 0) AS INT) AS r1 FROM w
+{" ".join(f"JOIN lut m{a}{b} ON m{a}{b}.pair_id = w.pair_id AND m{a}{b}.k = w.r1 AND m{a}{b}.ty = least(7, greatest(0, cy + {a})) AND m{a}{b}.tx = least(7, greatest(0, cx + {b}))" for a, b in _QUARTERS)}""")
+def _(t):
+    """Contrast-limited equalisation of all scenes, 8 by 8 tiles of 4 by 4 pixels."""
+    return P.equalise(scenes(t("embeddings")).select("pair_id", "y", "x", "r1"), "r1")
+
+
+_NEAR = "(VALUES " + ", ".join(f"({dy}, {dx}, {math.exp(-(dy * dy + dx * dx) / 5000)!r}::DOUBLE)" for dy in range(-2, 3) for dx in range(-2, 3) if math.hypot(dy, dx) <= 2) + ") e(dy, dx, s)"
+_FOLD = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > 31 THEN 62 - ({0}) ELSE {0} END"
+
+
+@query("p03_bilateral", f"""WITH {SCENES_SQL}, n AS (SELECT a.pair_id, a.y, a.x, s * exp(-power(abs(b.r1 - a.r1) + abs(b.g1 - a.g1) + abs(b.b1 - a.b1), 2) / 5000.0::DOUBLE) AS w, b.r1, b.g1, b.b1
+  FROM sc a, {_NEAR}, sc b WHERE b.pair_id = a.pair_id AND b.y = {_FOLD.format('a.y + dy')} AND b.x = {_FOLD.format('a.x + dx')})
+SELECT pair_id, y, x, {", ".join(f"CAST(round_even(sum(w * {c}) / sum(w), 0) AS INT) AS {c}" for c in ("r1", "g1", "b1"))} FROM n GROUP BY 1, 2, 3""")
+def _(t):
+    """The bilateral filter over all scenes."""
+    return P.bilateral(scenes(t("embeddings")), ["r1", "g1", "b1"])
+
+
+_ROUND5 = "(VALUES " + ", ".join(f"({dy}, {dx})" for dy, half in M.ellipse(5) for dx in range(-half, half + 1)) + ") e(dy, dx)"
+
+
+@query("m08_elliptical_closing", f"""WITH {SCENES_SQL}, d AS (SELECT a.pair_id, a.y, a.x, max(CASE WHEN b.r1 >= 150 THEN 1 ELSE 0 END) AS o FROM sc a, {_ROUND5}, sc b WHERE b.pair_id = a.pair_id AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY 1, 2, 3)
+SELECT a.pair_id, a.y, a.x, min(b.o) AS "on" FROM d a, {_ROUND5}, d b WHERE b.pair_id = a.pair_id AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY 1, 2, 3""")
+def _(t):
+    """M8: closing by an elliptical element of 5 by 5."""
+    on = scenes(t("embeddings")).select("pair_id", "y", "x", F.when(F.col("r1") >= 150, 1).otherwise(0).alias("on"))
+    return M.morphed(M.morphed(on, 5, F.greatest), 5, F.least)
 
 
 # --- catalog -------------------------------------------------------------------------------------------------------

@@ -27,7 +27,7 @@ def _(t):
     return T.unpacked(T.scored_tiles(T.packed(pixels(t("embeddings"))), T.averaged(T.difference_scorer, "full"))).select("pair_id", "y", "x", F.round("score", 6).alias("score"))
 
 
-_RAMP = "CASE WHEN least({0}, 5 - ({0})) < 2 THEN least({0}, 5 - ({0})) / 2.0::DOUBLE ELSE 1.0 END"
+_RAMP = "CASE WHEN least({0}, 5 - ({0})) < 3 THEN least({0}, 5 - ({0})) / 2.0::DOUBLE ELSE 1.0 END"
 
 
 def _windows(t, size: int, step: int):
@@ -39,13 +39,15 @@ def _windows(t, size: int, step: int):
     return tiles.join(images, "pair_id").select("pair_id", "height", "width", "y", "x", "y0", "x0", F.col("th").alias("h"), F.col("tw").alias("w"), (F.col("g1") / 255.0).alias("score"))
 
 
-@query("m15_blended_tiles", f"""WITH {GRAY_SQL}, t AS (SELECT unnest([0, 2]) AS y0), u AS (SELECT unnest([0, 2]) AS x0),
-s AS (SELECT pair_id, y, x, g1 / 255.0::DOUBLE AS v, {_RAMP.format('y - y0')} * {_RAMP.format('x - x0')} AS w FROM gp, t, u
+@query("m15_blended_tiles", f"""WITH {GRAY_SQL}, t AS (SELECT unnest([0, 3, 6]) AS y0), u AS (SELECT unnest([0, 3, 6]) AS x0),
+s AS (SELECT pair_id, y, x, g1 / 255.0::DOUBLE + y0 * 0.01 + x0 * 0.003 AS v, {_RAMP.format('y - y0')} * {_RAMP.format('x - x0')} AS w FROM gp, t, u
   WHERE y BETWEEN y0 AND y0 + 5 AND x BETWEEN x0 AND x0 + 5)
 SELECT pair_id, y, x, round(sum(v * w) / greatest(sum(w), 1e-6), 6) AS score FROM s GROUP BY 1, 2, 3""")
 def _(t):
-    """Windows of 6 every 4 pixels, the last moved in, so that they overlap."""
-    return T.blended(_windows(t, 6, 4), 6, 2).select("pair_id", "y", "x", F.round("score", 6).alias("score"))
+    """Tiles of 6 with an overlap of 3 over images mirrored to 12 pixels, each tile with scores of its own."""
+    tiles = T.overlapping_tiles(gray_pairs(t("embeddings")), 6, 3)
+    scored = tiles.withColumn("score", F.col("g1") / 255.0 + F.col("y0") * 0.01 + F.col("x0") * 0.003)
+    return T.blended(scored, 6, 3).select("pair_id", "y", "x", F.round("score", 6).alias("score"))
 
 
 @query("m18_windowed_scores", f"""WITH {GRAY_SQL}, t AS (SELECT unnest([0, 2]) AS y0), u AS (SELECT unnest([0, 2]) AS x0),
