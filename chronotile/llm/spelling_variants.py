@@ -209,7 +209,8 @@ def variant_groups(docs: DataFrame) -> DataFrame:
     """
     words = saved(word_counts(docs))
     pairs = near_pairs(words)
-    both = pairs.selectExpr("a AS word", "b AS near", "n_b AS near_n").unionByName(pairs.selectExpr("b AS word", "a AS near", "n_a AS near_n"))
+    ways = F.array(*(F.struct(F.col(w).alias("word"), F.col(v).alias("near"), F.col(f"n_{v}").alias("near_n")) for w, v in ("ab", "ba")))
+    both = pairs.select(F.explode(ways).alias("_way")).select("_way.*")
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct(-F.col("near_n"), F.col("near"))).alias("best"))
     best = best.select("word", "n_near", F.col("best.near").alias("near"), (-F.col("best.col1")).alias("near_n"))
     found = attach(words, best, "word")
