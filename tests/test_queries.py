@@ -82,14 +82,18 @@ def test_cleaning_of_every_mask(spark):
         p = np.pad(m, 1, mode="edge")
         return f([p[a : a + 8, b : b + 8] for a in range(3) for b in range(3)], 0)
 
-    def parts(m):
+    def crossed(m, f):
+        p = np.pad(m, 1, mode="edge")
+        return f([p[1 + a : 9 + a, 1 + b : 9 + b] for a, b in ((0, 0), (0, 1), (1, 0), (0, -1), (-1, 0))], 0)
+
+    def parts(m, reach=2):
         left, out = {tuple(v) for v in np.argwhere(m).tolist()}, []
         while left:
             todo, part = [left.pop()], []
             while todo:
                 y, x = todo.pop()
                 part.append((y, x))
-                near = {(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+                near = {(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if abs(a) + abs(b) <= reach} & left
                 left -= near
                 todo += near
             out.append(part)
@@ -98,12 +102,12 @@ def test_cleaning_of_every_mask(spark):
     want = {}
     for pair, m in masks.items():
         m = around(m, np.sum) >= 5
-        m = around(around(around(around(m, np.min), np.max), np.max), np.min)
-        for part in parts(~m):
+        m = crossed(crossed(crossed(crossed(m, np.min), np.max), np.max), np.min)
+        for part in parts(~m, 1):
             if all(0 < y < 7 and 0 < x < 7 for y, x in part):
                 for y, x in part:
                     m[y, x] = True
-        m = around(around(m, np.min), np.max)
+        m = crossed(crossed(m, np.min), np.max)
         total = 0
         for part in parts(m):
             ys, xs = zip(*part, strict=True)
