@@ -8,11 +8,12 @@ divergence is worked out once for each distinct combination and multiplied by th
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +24,8 @@ LEAST_DOCS, SMOOTH, SCALE = 10, 2, 1_000_000_000
 #: Terms of a group that the report names.
 TOP_TERMS = 10
 #: Entries that a task counts before it hands them on, bytes of a text that are split at a time, and counts that a tally takes in at once.
-HELD, PASS_BYTES, TALLY_ROWS = 300_000, 4_000_000, 200_000
+HELD, PASS_BYTES, TALLY_ROWS = 600_000, 4_000_000, 200_000
+DOC = 1 << 40
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -46,71 +48,67 @@ def term_counts(text: str) -> Counter:
     return out
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, n, docs) of the task's documents; terms repeat where a task has more than HELD of them."""
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-
-    def rows() -> pd.DataFrame:
-        out: dict[str, list] = {"lang": [], "source": [], "term": [], "n": [], "docs": []}
-        for (lang, source), (n, docs) in held.items():
-            out["lang"] += [lang] * len(n)
-            out["source"] += [source] * len(n)
-            out["term"] += [t.decode() for t in n]
-            out["n"] += n.values()
-            out["docs"] += [docs[t] for t in n]
+    held: dict[tuple[str, str], dict[bytes, int]] = defaultdict(dict)  # a term's documents in steps of DOC, plus its occurrences
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for (lang, source), terms in held.items():
+            both = np.fromiter(terms.values(), np.int64, len(terms))
+            columns = [pa.repeat(lang, len(terms)), pa.repeat(source, len(terms)), pa.array(list(terms), pa.binary()).cast(pa.string()), pa.array(both % DOC), pa.array(both // DOC)]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
         held.clear()
-        return pd.DataFrame(out)
 
     for batch in batches:
-        for lang, source, text in zip(batch["lang"], batch["source"], batch["text"], strict=True):
-            found = term_counts(text)
-            n, docs = held.setdefault((lang, source), (Counter(), Counter()))
-            n.update(found)
-            docs.update(found.keys())
-        if sum(len(n) for n, _ in held.values()) > HELD:
-            yield rows()
-    if any(n for n, _ in held.values()):
-        yield rows()
+        for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
+            terms = held[lang, source]
+            seen = terms.get
+            for term, n in term_counts(text).items():
+                terms[term] = seen(term, 0) + n + DOC
+        if sum(map(len, held.values())) > HELD:
+            yield from rows()
+    yield from rows()
 
 
 def kept_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Counts of kept terms (lang, source, term, n > 0, and lang_n of the whole language), and every (lang, source) group with
+    """Counts of kept terms (lang, term, gid, n > 0, and lang_n of the whole language), and every group (lang, source) with a number gid and
     n_group, n_lang and n_terms, the kept terms of its language."""
     plain = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    some = in_batches(plain).mapInPandas(_counted, "lang string, source string, term string, n long, docs long")
+    some = in_batches(plain).mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
     every = some.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     of_term = Window.partitionBy("lang", "term")
     kept = every.withColumn("lang_n", F.sum("n").over(of_term)).withColumn("docs", F.sum("docs").over(of_term)).where(F.col("docs") >= LEAST_DOCS)
-    kept = saved(kept.select("lang", "source", "term", "n", "lang_n"))
+    groups = saved(plain.groupBy("lang", "source").agg(F.count("*").alias("_rows")).select("lang", "source", F.monotonically_increasing_id().alias("gid")))
+    kept = saved(join_ids(kept.select("lang", "source", "term", "n", "lang_n"), groups, ["lang", "source"], "inner").drop("source"))
     of_lang = kept.groupBy("lang", "term").agg(F.first("lang_n").alias("n")).groupBy("lang").agg(F.count("*").alias("n_terms"), F.sum("n").alias("n_lang"))
-    groups = plain.groupBy("lang", "source").agg(F.count("*").alias("_rows")).drop("_rows")
-    groups = groups.join(kept.groupBy("lang", "source").agg(F.sum("n").alias("n_group")), ["lang", "source"], "left").join(of_lang, "lang", "left")
-    return kept, saved(groups.na.fill(0, ["n_group", "n_lang", "n_terms"]))
+    sized = groups.join(kept.groupBy("gid").agg(F.sum("n").alias("n_group")), "gid", "left").join(of_lang, "lang", "left")
+    return kept, saved(sized.na.fill(0, ["n_group", "n_lang", "n_terms"]))
 
 
 def _tallied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(lang, a, b, in_a, in_b, terms): of rows sorted by lang, term and source, how many terms have each pair of counts in sources a < b.
+    """(a, b, in_a, in_b, terms): of rows (lang, term, gid, n) sorted by all of these, how many terms have each pair of counts in groups a < b.
 
     Rows of one term stay together: the last term of a batch waits for the next one. Rows are paired by their distance within a term,
     all terms at once, and every distance is tallied before the next, so memory holds TALLY_ROWS rows and the distinct combinations.
     """
 
-    def tally(rows: pd.DataFrame) -> pd.DataFrame:
-        term = (rows["lang"].ne(rows["lang"].shift()) | rows["term"].ne(rows["term"].shift())).cumsum().to_numpy()
-        source, names = pd.factorize(rows["source"].to_numpy(object))
-        lang, langs = pd.factorize(rows["lang"].to_numpy(object))
-        n = rows["n"].to_numpy()
-        found, apart = [np.zeros((0, 6), np.int64)], 1
+    def summed(cells: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort(cells.T[::-1])
+        cells, terms = cells[order], terms[order]
+        first = np.flatnonzero(np.append(True, (cells[1:] != cells[:-1]).any(1)))
+        return cells[first], np.add.reduceat(terms, first)
+
+    def tally(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        new = rows["term"].ne(rows["term"].shift()) | rows["lang"].ne(rows["lang"].shift())
+        term, gid, n = new.cumsum().to_numpy(), rows["gid"].to_numpy(), rows["n"].to_numpy()
+        found, apart = [], 1
         while apart < len(n) and (same := np.flatnonzero(term[apart:] == term[:-apart])).size:
             other = same + apart
-            cells = np.stack([lang[same], source[same], source[other], n[same], n[other]], 1)
-            cells = cells[np.lexsort(cells.T[::-1])]
-            first = np.flatnonzero(np.append(True, (cells[1:] != cells[:-1]).any(1)))
-            found.append(np.column_stack([cells[first], np.diff(first, append=len(cells))]))
+            found.append(summed(np.stack([gid[same], gid[other], n[same], n[other]], 1), np.ones(len(same), np.int64)))
             apart += 1
-        out = pd.DataFrame(np.concatenate(found), columns=["lang", "a", "b", "in_a", "in_b", "terms"])
-        out = out.groupby(["lang", "a", "b", "in_a", "in_b"], as_index=False)["terms"].sum()
-        return out.assign(lang=langs[out["lang"]], a=names[out["a"]], b=names[out["b"]])
+        if found:
+            cells, terms = summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            yield pd.DataFrame(np.column_stack([cells, terms]), columns=["a", "b", "in_a", "in_b", "terms"])
 
     waiting: list[pd.DataFrame] = []
     for batch in batches:
@@ -120,29 +118,28 @@ def _tallied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(waiting, ignore_index=True)
         last = (rows["lang"] == rows["lang"].iloc[-1]) & (rows["term"] == rows["term"].iloc[-1])
         waiting = [rows[last]]
-        if not last.all() and len(out := tally(rows[~last].reset_index(drop=True))):
-            yield out
-    if waiting and len(out := tally(pd.concat(waiting, ignore_index=True))):
-        yield out
+        if not last.all():
+            yield from tally(rows[~last].reset_index(drop=True))
+    if waiting:
+        yield from tally(pd.concat(waiting, ignore_index=True))
 
 
 def joint_counts(kept: DataFrame, groups: DataFrame) -> DataFrame:
-    """(lang, a, b, in_a, in_b, terms): for sources a < b of a language, the number of kept terms with these counts, zeros included."""
-    dealt = kept.select("lang", "term", "source", "n").repartition(shuffle_partitions(kept.sparkSession), "lang", "term").sortWithinPartitions("lang", "term", "source")
-    both = dealt.mapInPandas(_tallied, "lang string, a string, b string, in_a long, in_b long, terms long")
-    both = saved(both.groupBy("lang", "a", "b", "in_a", "in_b").agg(F.sum("terms").alias("terms")))
-    alone = kept.groupBy("lang", "source", F.col("n").alias("count")).agg(F.count("*").alias("terms"))
-    one, other = (groups.select("lang", F.col("source").alias(c), "n_terms") for c in ("a", "b"))
-    pairs = one.join(other.drop("n_terms"), "lang").where("a < b")
+    """(a, b, in_a, in_b, terms): for groups a < b of a language, the number of kept terms with these counts, zeros included."""
+    dealt = kept.select("lang", "term", "gid", "n").repartition(shuffle_partitions(kept.sparkSession), "lang", "term").sortWithinPartitions("lang", "term", "gid")
+    both = dealt.mapInPandas(_tallied, "a long, b long, in_a long, in_b long, terms long")
+    both = saved(both.groupBy("a", "b", "in_a", "in_b").agg(F.sum("terms").alias("terms")))
+    alone = saved(kept.groupBy("gid", F.col("n").alias("count")).agg(F.count("*").alias("terms")))
+    pairs = groups.select("lang", F.col("gid").alias("a"), "n_terms").join(groups.select("lang", F.col("gid").alias("b")), "lang").where("a < b").drop("lang")
     zero = F.lit(0).cast("long")
 
     def cells(rows: DataFrame, in_a: Column, in_b: Column, terms: Column) -> DataFrame:
-        return rows.select("lang", "a", "b", in_a.alias("in_a"), in_b.alias("in_b"), terms.alias("terms"))
+        return rows.select("a", "b", in_a.alias("in_a"), in_b.alias("in_b"), terms.alias("terms"))
 
     count, terms, in_a, in_b = F.col("count"), F.col("terms"), F.col("in_a"), F.col("in_b")
-    of_a = pairs.drop("n_terms").join(alone.withColumnRenamed("source", "a"), ["lang", "a"])
-    of_b = pairs.drop("n_terms").join(alone.withColumnRenamed("source", "b"), ["lang", "b"])
-    # Each term starts in the cell (0, 0). What a source holds moves it to (count, 0) or (0, count); terms of both, which were moved
+    of_a = pairs.drop("n_terms").join(alone.withColumnRenamed("gid", "a"), "a")
+    of_b = pairs.drop("n_terms").join(alone.withColumnRenamed("gid", "b"), "b")
+    # Each term starts in the cell (0, 0). What a group holds moves it to (count, 0) or (0, count); terms of both, which were moved
     # twice, are put in their own cell.
     moved = [
         cells(pairs, zero, zero, F.col("n_terms")),
@@ -153,7 +150,7 @@ def joint_counts(kept: DataFrame, groups: DataFrame) -> DataFrame:
     out = moved[0]
     for part in moved[1:]:
         out = out.unionByName(part)
-    return out.groupBy("lang", "a", "b", "in_a", "in_b").agg(F.sum("terms").alias("terms")).where("terms > 0")
+    return out.groupBy("a", "b", "in_a", "in_b").agg(F.sum("terms").alias("terms")).where("terms > 0")
 
 
 def share(count: str, total: str, terms: str) -> Column:
@@ -175,20 +172,20 @@ def audit_sources(docs: DataFrame) -> DataFrame:
     UTF-8 order. Groups (lang, source) are joined by broadcast up to a checked number, else by shuffle.
     """
     kept, groups = kept_counts(docs)
-    size = groups.select("lang", "source", "n_group", "n_terms")
     joint = joint_counts(kept, groups)
     for side in ("a", "b"):
-        joint = join_ids(joint, size.select("lang", F.col("source").alias(side), F.col("n_group").alias(f"n_{side}"), *(["n_terms"] if side == "a" else [])), ["lang", side], "inner")
+        of_side = groups.select(F.col("gid").alias(side), F.col("n_group").alias(f"n_{side}"), *(["n_terms"] if side == "a" else []))
+        joint = join_ids(joint, of_side, side, "inner")
     joint = joint.withColumn("p", share("in_a", "n_a", "n_terms")).withColumn("q", share("in_b", "n_b", "n_terms"))
-    value = joint.groupBy("lang", "a", "b").agg(F.sum(divergence("p", "q") * F.col("terms")).alias("value"))
-    names = groups.select("lang", "source")
-    pairs = names.join(names.withColumnRenamed("source", "item"), "lang").where("source <> item")
-    pairs = pairs.withColumn("a", F.least("source", "item")).withColumn("b", F.greatest("source", "item"))
-    pairs = pairs.join(value, ["lang", "a", "b"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).alias("value"))
+    value = joint.groupBy("a", "b").agg(F.sum(divergence("p", "q") * F.col("terms")).alias("value"))
+    names = groups.select("lang", "source", "gid")
+    pairs = names.join(names.select("lang", F.col("source").alias("item"), F.col("gid").alias("other")), "lang").where("gid <> other")
+    pairs = pairs.withColumn("a", F.least("gid", "other")).withColumn("b", F.greatest("gid", "other"))
+    pairs = pairs.join(value, ["a", "b"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).alias("value"))
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     pairs = pairs.withColumn("rank", rank)
 
-    terms = join_ids(kept, groups, ["lang", "source"], "inner")
+    terms = join_ids(kept.drop("lang"), groups, "gid", "inner")
     terms = terms.withColumn("p", share("n", "n_group", "n_terms")).withColumn("q", share("lang_n", "n_lang", "n_terms")).where("p > q")
     terms = terms.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), divergence("p", "q").alias("value"))
     return pairs.unionByName(terms.withColumn("rank", rank).where(F.col("rank") <= TOP_TERMS))
