@@ -13,7 +13,9 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -25,9 +27,10 @@ from chronotile.llm.common import in_batches
 
 #: Characters of text that one pass takes in, and words that a worker remembers between passes.
 PASS_CHARS, REMEMBERED = 1_000_000, 150_000
-#: Bytes of a word beyond which its proposal is looked up alone, so that few long words do not hold up a whole pass.
+#: Bytes of a word beyond which it is looked up alone, so that few long words do not hold up a whole pass, and merged by a heap.
 LONG = 256
-_NONE = np.int32(2**31 - 1)
+_LAST = 2**31 - 1
+_NONE = np.int32(_LAST)
 
 
 def byte_letters() -> dict[str, int]:
@@ -73,13 +76,14 @@ class MergeBPE:
         pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
         vocab = model["vocab"]
         left, right = (np.array([vocab[p[side]] for p in pairs], np.int64) for side in (0, 1))
-        self.result = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        self.results = [vocab[a + b] for a, b in pairs]
         self.pairs = PairTable(left << 32 | right, np.arange(len(pairs), dtype=np.int32))
         self.of_pair = dict(zip((left << 32 | right).tolist(), range(len(pairs)), strict=True))
         self.birth = np.full(size, _NONE, np.int32)
         children = np.full((2, size), -1, np.int32)
         for k in range(len(pairs) - 1, -1, -1):  # the earliest merge that makes a token stays
-            self.birth[self.result[k]], children[0, self.result[k]], children[1, self.result[k]] = k, left[k], right[k]
+            new = self.results[k]
+            self.birth[new], children[0, new], children[1, new] = k, left[k], right[k]
         self.children = children
         # Edges of the merge trees, from the whole token down to its first (0) or last (1) byte.
         self.edge, self.depth = [], []
@@ -115,8 +119,8 @@ class MergeBPE:
     def _find_steady(self, size: int) -> None:
         """Tokens whose bytes merge to the token itself; others are never proposed."""
         self.steady = np.zeros(size, bool)
-        self.byte_id = np.array([self.ids[bytes([k])] for k in range(256)], np.int32)
-        self.steady[self.byte_id] = True
+        self.byte_ids = [self.ids[bytes([k])] for k in range(256)]
+        self.steady[self.byte_ids] = True
         made = np.flatnonzero(self.birth != _NONE)
         made = made[np.argsort(self.birth[made])]
         _, whole = self._borders(self.children[0][made], self.children[1][made])
@@ -201,8 +205,25 @@ class MergeBPE:
         return out
 
     def merge(self, word: bytes) -> bytes:
-        """The ids that the merges themselves give, by a heap over a linked list: n log n for any length."""
-        ids: list[int] = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
+        """The ids that the merges themselves give: the leftmost pair of least rank first."""
+        if len(word) > LONG:
+            return self._merge_long(word)
+        rank_of, result = self.of_pair.get, self.results
+        ids = [self.byte_ids[b] for b in word]
+        ranks = [rank_of(a << 32 | b, _LAST) for a, b in pairwise(ids)]
+        while ranks and (least := min(ranks)) != _LAST:
+            k = ranks.index(least)
+            ids[k] = new = result[least]
+            del ids[k + 1], ranks[k]
+            if k:
+                ranks[k - 1] = rank_of(ids[k - 1] << 32 | new, _LAST)
+            if k < len(ranks):
+                ranks[k] = rank_of(new << 32 | ids[k + 1], _LAST)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _merge_long(self, word: bytes) -> bytes:
+        """The same by a heap over a linked list: n log n for any length."""
+        ids = [self.byte_ids[b] for b in word]
         n = len(ids)
         right, left = [*range(1, n + 1)], [*range(-1, n - 1)]
         waiting: list[tuple[int, int, int, int]] = []
@@ -218,7 +239,7 @@ class MergeBPE:
             if ids[k] != a or right[k] >= n or ids[right[k]] != b:
                 continue  # one of the two was merged since
             gone = right[k]
-            ids[k], ids[gone], right[k] = int(self.result[rank]), -1, right[gone]
+            ids[k], ids[gone], right[k] = self.results[rank], -1, right[gone]
             if right[k] < n:
                 left[right[k]] = k
             offer(left[k])
