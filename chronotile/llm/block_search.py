@@ -93,6 +93,8 @@ def _search_tiles(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, v
             x, y = left[part : part + PAIRS], right[part : part + PAIRS]
             for n, score, vec in zip(x.tolist(), cosines(queries[x], rows[y]).tolist(), own[y].tolist(), strict=True):
                 item = (score, -vec)
+                if item in heaps[n]:
+                    continue
                 if len(heaps[n]) < k:
                     heapq.heappush(heaps[n], item)
                 elif item > heaps[n][0]:
@@ -110,8 +112,8 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other rows of each query row of ``embeddings`` (vec_id, embedding), by cosine.
 
     Ties go to the smaller vec_id. Vectors that are null, zero, or hold null or non-finite components, and rows without a vec_id, take no part;
-    only vectors of one length are compared. Rows repeated whole count once; a query id with several vectors asks with the least of them.
-    Fewer rows than k give all of them; an empty table gives none; extra columns are ignored.
+    only vectors of one length are compared. Rows that repeat a vec_id at the same score count once, wherever they lie; a query id with several
+    vectors asks with the least of them. A pair of vectors of any length is held whole in one task, with its block. Fewer rows than k give all of them; an empty table gives none; extra columns are ignored.
     """
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & _usable(F.col("embedding")))
     queries = saved(rows.filter(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
@@ -123,7 +125,7 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     length = F.size("embedding").alias("length")
     asked = queries.select(length, F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).alias("qb"), every(row_blocks).alias("rb"), "vec_id", "embedding")
-    place = F.pmod(F.monotonically_increasing_id(), F.lit(row_blocks)).alias("rb")  # any place will do; rows that repeat an id spread too
+    place = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(row_blocks)).alias("rb")  # other vectors under one id lie elsewhere
     there = rows.select(length, every(query_blocks).alias("qb"), place, "vec_id", "embedding")
 
     def tile(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
@@ -136,7 +138,7 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     key = ["length", "qb", "rb"]
     found = asked.groupBy(*key).cogroup(there.groupBy(*key)).applyInPandas(tile, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: DuckDB: op1 over all pairs.

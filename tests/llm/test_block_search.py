@@ -69,3 +69,23 @@ def test_many_components_stay_exact():
     cos = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).T
     np.fill_diagonal(cos, -2)
     assert [[-i for _, i in f] for f in found] == np.argsort(-cos[:5], axis=1)[:, :3].tolist()
+
+
+def test_rows_that_repeat_over_many_blocks(spark, monkeypatch):
+    """Every row twice, some under two vectors of one direction, in blocks of a few rows and in one: each neighbour once, the same either way."""
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(400, 8)).astype(np.float32)
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(vectors)]
+    rows += rows + [(k, [4 * x for x in v]) for k, v in rows[:40]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    for least in (20, 2048):
+        monkeypatch.setattr(block_search, "LEAST_ROWS", least)
+        monkeypatch.setattr(block_search, "ROW_BLOCK", 200 if least == 20 else 2_000_000)
+        got = {}
+        for r in block_search.nearest(df.repartition(7), F.col("vec_id") % 50 == 0).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+        assert sorted(got) == list(range(0, 400, 50))
+        for q, found in got.items():
+            order = np.argsort(-(unit @ unit[q]), kind="stable")
+            assert [v for _, v in sorted(found)] == [int(k) for k in order if k != q][:5]
