@@ -49,7 +49,11 @@ BETWEEN = re.compile(r"[\s/]*")
 NAME = re.compile(r"[^\s/>][^\s/>=]*")
 EQUALS = re.compile(r"\s*=\s*")
 BARE = re.compile(r"[^\s>]*")
-UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+STYLE = re.compile(r"(?:^|[;\s])(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+#: Parts of style sheets: braces, selectors of one element, and the media that count.
+BRACE = re.compile(r"([{}])")
+SELECTOR = re.compile(r"(\*|[a-z][\w-]*)?(?:([.#])(-?[a-z_][\w-]*))?", re.I)
+SCREEN = re.compile(r"@media\s*(?:only\s+)?(?:$|all\b|screen\b)(?!.*\band\b)", re.I | re.S)
 #: Widest indentation of list items; deeper ones keep it. Most columns of a cell, as in the standard.
 INDENT, SPAN = 80, 1000
 
@@ -60,15 +64,21 @@ class _Scanner:
     def __init__(self, page: str) -> None:
         self.page = page
         self.nowhere: dict[str, int] = {}
+        self.last: dict[str, tuple[int, int]] = {}
         self.plain = False
 
     def find(self, what: str, at: int) -> int:
-        """``page.find``; that something does not come any more is found out only once."""
+        """``page.find``; no part of the page is searched twice for the same, whether it was found there or does not come any more."""
         if at >= self.nowhere.get(what, len(self.page) + 1):
             return -1
+        start, found = self.last.get(what, (0, -1))
+        if start <= at <= found:
+            return found
         found = self.page.find(what, at)
         if found < 0:
             self.nowhere[what] = at
+        else:
+            self.last[what] = at, found
         return found
 
     def attributes(self, at: int) -> tuple[int, dict[str, str], bool] | None:
@@ -129,16 +139,98 @@ class _Scanner:
                     yield "text", ""
 
 
-def _shown(tag: str, attributes: dict[str, str]) -> bool:
-    """Whether a browser shows the element; values of attributes other than style do not count."""
-    if tag in HIDDEN or "hidden" in attributes or tag == "dialog" and "open" not in attributes:
-        return False
-    return not UNSEEN.search(html.unescape(attributes.get("style", "")))
+class _Sheet:
+    """Display and visibility that the style sheets of a page give to elements.
+
+    Rules with one simple selector count: a name, a class or an id, or a name with a class or an id. Each keeps its strongest value, so an
+    element looks up a few keys, whatever the number of rules. Sheets for other media than all and screen are left out.
+    """
+
+    def __init__(self) -> None:
+        self.rules: dict[tuple[str, str, str], tuple[tuple, str]] = {}
+        self.order = 0
+
+    def read(self, css: str) -> None:
+        first, *others = css.split("/*")
+        css = first + " ".join(x.partition("*/")[2] for x in others)
+        blocks: list[tuple[str, bool]] = []
+        parts = BRACE.split(css)
+        for text, brace in zip(parts[::2], parts[1::2], strict=False):
+            live = not blocks or blocks[-1][1]
+            if brace == "{":
+                text = text.rpartition(";")[2].strip()
+                if text.startswith("@"):
+                    blocks.append(("", live and bool(SCREEN.match(text))))
+                else:
+                    blocks.append((text or "{", live and not (blocks and blocks[-1][0])))
+            elif blocks:
+                selectors, live = blocks.pop()
+                if selectors and live:
+                    self._keep(selectors, text)
+
+    def _keep(self, selectors: str, body: str) -> None:
+        found = [(m[1].lower(), m[2].lower(), bool(m[3])) for m in STYLE.finditer(body)]
+        for selector in selectors.split(",") if found else ():
+            if selector.strip() and (m := SELECTOR.fullmatch(selector.strip())):
+                tag, key = "" if m[1] in (None, "*") else m[1].lower(), (m[2] or "") + (m[3] or "")
+                self.order += 1
+                for name, value, strong in found:
+                    rank = (strong, m[2] == "#", m[2] == ".", bool(tag), self.order)
+                    place = (tag, key, name)
+                    if place not in self.rules or self.rules[place][0] <= rank:
+                        self.rules[place] = rank, value
+
+    def values(self, tag: str, attributes: dict[str, str]) -> dict[str, str]:
+        """Of display and visibility, what the sheets or the element's own style say, the stronger one."""
+        best: dict[str, tuple[tuple, str]] = {}
+        if self.rules:
+            keys = ["", *(f".{c}" for c in html.unescape(attributes.get("class", "")).split())]
+            keys += [f"#{html.unescape(attributes['id'])}"] if "id" in attributes else []
+            for key in keys:
+                for place in ((tag, key), ("", key)):
+                    for name in ("display", "visibility"):
+                        if (rule := self.rules.get((*place, name))) and (name not in best or best[name][0] < rule[0]):
+                            best[name] = rule
+        for m in STYLE.finditer(html.unescape(attributes.get("style", ""))):
+            own = ((bool(m[3]), True, True, True, float("inf")), m[2].lower())
+            if m[1].lower() not in best or best[m[1].lower()][0] <= own[0]:
+                best[m[1].lower()] = own
+        return {name: value for name, (_, value) in best.items()}
+
+
+def _resolve(root: list, sheet: _Sheet) -> None:
+    """Put whether a browser shows it in the place of each node's attributes, and take out texts that are there but not seen.
+
+    What is not displayed goes with all in it; what is only invisible keeps its visible parts. Of closed details the summary is shown.
+    """
+    root[1] = True
+    todo = [(root, False, False)]
+    while todo:
+        node, veiled, folded = todo.pop()
+        kept = []
+        for x in node[2]:
+            if isinstance(x, str):
+                if not veiled and not folded:
+                    kept.append(x)
+                continue
+            tag, attributes = x[0], x[1]
+            values = sheet.values(tag, attributes)
+            off = "hidden" in attributes or tag == "dialog" and "open" not in attributes
+            x[1] = tag not in HIDDEN and not (values["display"] == "none" if "display" in values else off) and (not folded or tag == "summary")
+            if x[1]:
+                seen = values.get("visibility")
+                now = seen in ("hidden", "collapse") if seen in ("hidden", "collapse", "visible") else veiled
+                if tag == "br" and now:
+                    continue
+                todo.append((x, now, tag == "details" and "open" not in attributes))
+                kept.append(x)
+        node[2] = kept
 
 
 def parse(page: str) -> list:
     """The root node; a node is [tag, visible, children, columns], a child is a node or a text."""
-    root: list = ["html", True, [], 1]
+    root: list = ["html", {}, [], 1]
+    sheet = _Sheet()
     stack, places = [root], defaultdict(list)
 
     def push(node: list) -> None:
@@ -162,7 +254,7 @@ def parse(page: str) -> list:
         tag = token[1]
         if token[0] == "close":
             if tag == "br":
-                stack[-1][2].append(["br", True, [], 1])
+                stack[-1][2].append(["br", {}, [], 1])
             elif tag not in VOID:
                 outer = tag in ROWS or tag in ("tr", "body", "html")
                 close({tag}, set() if outer else {"td", "th", "table"} - {tag})
@@ -173,21 +265,26 @@ def parse(page: str) -> list:
         if tag in IMPLIED:
             close(*IMPLIED[tag])
         span = attributes.get("colspan", "1")
-        node = [tag, _shown(tag, attributes), [], min(SPAN, max(1, int(span))) if span.isascii() and span.isdigit() and len(span) < 6 else 1]
+        node = [tag, attributes, [], min(SPAN, max(1, int(span))) if span.isascii() and span.isdigit() and len(span) < 6 else 1]
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, end)
-            if tag == "textarea" and node[1]:
-                stack[-1][2].append(html.unescape(page[end : stop.start() if stop else len(page)]))
+            raw = page[end : stop.start() if stop else len(page)]
+            if tag == "textarea":
+                node[2].append(html.unescape(raw))
+                stack[-1][2].append(node)
+            elif tag == "style" and SCREEN.match("@media " + html.unescape(attributes.get("media", ""))):
+                sheet.read(raw)
             tokens.send(stop.start() if stop else len(page))
         elif tag != "html":
             if tag in ("td", "th") and stack[-1][0] in ROWS:
-                push(["tr", True, [], 1])
+                push(["tr", {}, [], 1])
             if tag in VOID or at_once:
                 stack[-1][2].append(node)
             else:
                 push(node)
                 if 4 * len(stack) + 1000 > sys.getrecursionlimit():
                     sys.setrecursionlimit(8 * len(stack) + 1000)  # the renderer recurses, three calls at most for an element
+    _resolve(root, sheet)
     return root
 
 
@@ -230,7 +327,7 @@ class _Lines:
         """Begin a list item; what is returned ends it."""
         self.end()
         before = self.first, self.rest
-        self.first += mark
+        self.first += mark if len(self.first) < INDENT else ""
         self.rest = (self.rest + " " * len(mark))[:INDENT]
         self.items += 1
         return before
@@ -321,8 +418,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """page_id and text of every row of ``pages`` (page_id, html).
 
     Rows are rendered alone, so repeated rows, null ids and extra columns change nothing; a null page has an empty text, an empty table an
-    empty result, and a very long page is rendered whole, in time that grows with its length. Style sheets are not read: elements are
-    hidden by their own attributes and names only.
+    empty result, and a very long page is rendered whole, in time that grows with its length. Elements are
+    hidden by their names and attributes and by style sheets within the page (``_Sheet`` says which rules count).
     """
 
     def extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,6 +1,9 @@
+import re
 import time
 from html.parser import HTMLParser
 
+import pytest
+
 from chronotile.llm import html_text
 from chronotile.llm.html_text import visible_text
 
@@ -39,6 +42,9 @@ def test_table_of_pages(spark):
     assert len(rows) == pages.count() and all("<" not in r.text and "track(" not in r.text for r in rows)
 
 
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+
+
 class Words(HTMLParser):
     """Visible words of a page in order, by Python's own parser and no layout."""
 
@@ -48,7 +54,7 @@ class Words(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         at = dict(attrs)
-        shown = tag not in html_text.HIDDEN and "hidden" not in at and not html_text.UNSEEN.search(at.get("style") or "")
+        shown = tag not in html_text.HIDDEN and "hidden" not in at and not UNSEEN.search(at.get("style") or "")
         if tag in ("p", "li", "td", "th", "tr") and any(t == tag for t, _ in self.open[-1:]):
             self.open.pop()
         if tag not in html_text.VOID:
@@ -109,3 +115,43 @@ def test_visible_text_is_not_lost():
     assert visible_text("<table><tr>Total<td>5</td></tr></table>") == "Total\n5"
     deep = "<div>" * 2000
     assert visible_text(deep + "<table><tr><td>a<td>b</table><p hidden>no</p>c") == "a  b\n\nc"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<style>.x{display:none}</style><p class='a x'>gone</p><p class=y>here</p>", "here"),
+        ("<p class=x>gone</p><p>here</p><style>/* late */ .x , b.y#z {color:red; Display : NONE !important}</style>", "here"),
+        ("<style>#a{display:none} p.b{visibility:hidden} i{display:none}</style><p id=a>1</p><p class=b>2</p><b class=b>3</b><i>4</i>", "3"),
+        ("<style>.x{display:none} p.x{display:block} #k{display:none}</style><p class=x>a</p><div class=x>b</div><p class=x id=k>c</p>", "a"),
+        ("<style>.x{display:none}.x{display:block}</style><p class=x>a</p>", "a"),
+        ("<style>.x{display:none!important}</style><p class=x style='display:block'>a</p><p style='display:none'>b</p>", ""),
+        ("<style media=print>p{display:none}</style><style>@media print{p{display:none}} @media screen{.x{display:none}} @import 'a'; .y{display:none}</style><p>a</p><p class=x>b</p><p class=y>c</p>", "a"),
+        ("<style>ul li{display:none} a:hover{display:none} [x]{display:none} , {display:none}</style><ul><li><a x>a</a></ul>", "- a"),
+        ("<div style='visibility:hidden'>a<p style='visibility: visible'>b<i style='visibility:collapse'>c</i></p>d</div>", "b"),
+        ("<div style='display:none'><p style='visibility:visible;display:block'>b</p></div>c", "c"),
+        ("<details><summary>s</summary>a<p>b</p></details><details open><summary>t</summary>c</details>", "s\nt\nc"),
+        ("<div hidden>a</div><div hidden style='display:block'>b</div><textarea hidden>c</textarea><textarea>d</textarea>", "b\nd"),
+        ("<style>{}}}{{{ p{display:none}</style><p>a</p>", "a"),
+    ],
+)
+def test_visibility_rules(page, want):
+    assert html_text.visible_text(page) == want
+
+
+@pytest.mark.parametrize("page", ["<" * 300_000 + ">", "<ul><li>" * 20_000, "<style>" + "a{" * 300_000, "<style>" + "/*" * 300_000, "<style>a{" + "display:none;" * 60_000 + "}</style>", "</p>" * 200_000, "<a b='" * 50_000])
+def test_time_grows_with_the_page(page):
+    """Twice the page takes less than four times as long, with room for the machine."""
+
+    def took(text):
+        start = time.perf_counter()
+        html_text.visible_text(text)
+        return time.perf_counter() - start
+
+    assert took(page) < 3.2 * took(page[: len(page) // 2]) + 1.0
+
+
+def test_empty_table_and_repeats(spark):
+    pages = spark.createDataFrame([(1, "<p>a", "c"), (1, "<p>a", "c"), (None, None, "c")], "page_id long, html string, text string")
+    assert sorted(map(tuple, html_text.extract_text(pages).collect()), key=str) == [(1, "a"), (1, "a"), (None, "")]
+    assert html_text.extract_text(pages.limit(0)).count() == 0
