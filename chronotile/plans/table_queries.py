@@ -20,7 +20,7 @@ from chronotile.operators import review as V
 from chronotile.operators import rules as U
 from chronotile.operators import signals as S
 from chronotile.plans.bridges import GRAY_SQL, REGIONS_SQL, SCENES_SQL, gray_pairs, pixels, regions, scenes
-from chronotile.plans.pixel_queries import COMP
+from chronotile.plans.pixel_queries import COLOUR, COMP, LBP
 from chronotile.plans.registry import query
 from chronotile.sources import sinks as K
 
@@ -321,8 +321,25 @@ def _features(t):
     return cut(f.withColumns({"area": F.lit(2500) + F.col("pair_id") * 100, "w": F.lit(60), "h": F.lit(50), "asp": F.lit(1.2) + F.col("pair_id") % 5, "fill": F.lit(0.5), "compact": F.lit(0.6)}))
 
 
-@query("r01_region_features")
+_TURN = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > 7 THEN 14 - ({0}) ELSE {0} END"
+
+
+@query("r01_region_features", f"""WITH {COLOUR}, {LBP},
+gr AS (SELECT a.pair_id, a.y, a.x, sum(k.wx * b.gray1) AS dx, sum(k.wy * b.gray1) AS dy
+  FROM col a, (VALUES (-1, -1, -1, -1), (-1, 0, 0, -2), (-1, 1, 1, -1), (0, -1, -2, 0), (0, 1, 2, 0), (1, -1, -1, 1), (1, 0, 0, 2), (1, 1, 1, 1)) k(i, j, wx, wy), col b
+  WHERE b.pair_id = a.pair_id AND b.y = {_TURN.format('a.y + k.i')} AND b.x = {_TURN.format('a.x + k.j')} GROUP BY 1, 2, 3),
+nb AS (SELECT a.pair_id, avg((a.gray1 - l.gray1) ** 2 + (a.gray1 - u.gray1) ** 2) AS contrast FROM col a JOIN col l ON l.pair_id = a.pair_id AND l.y = a.y AND l.x = (a.x + 7) % 8 JOIN col u ON u.pair_id = a.pair_id AND u.x = a.x AND u.y = (a.y + 7) % 8 GROUP BY 1),
+bins AS (SELECT pair_id, least(floor((atan2(dy, dx + 1e-8) + pi()) / (2 * pi()) * 8), 7) AS bin, count(*) / 64.0::DOUBLE AS share FROM gr GROUP BY 1, 2),
+en AS (SELECT pair_id, -sum(share * log2(share)) AS entropy FROM bins GROUP BY 1),
+ed AS (SELECT pair_id, avg(sqrt(dx * dx + dy * dy)) AS edge FROM gr GROUP BY 1),
+lbv AS (SELECT pair_id, var_pop(CAST(l1 AS DOUBLE)) AS lbp FROM lb GROUP BY 1),
+mn AS (SELECT pair_id, avg(r1) AS r, avg(g1) AS g, avg(b1) AS b, stddev_pop(gray1) AS texture, (stddev_pop(r1) + stddev_pop(g1) + stddev_pop(b1)) / 3 AS homog, avg(l1) AS bright, avg(s1) AS sat, avg(h1) AS hue,
+  avg(least(1, greatest(0, 2.0 * g1 / (r1 + g1 + b1 + 1e-6) - r1 / (r1 + g1 + b1 + 1e-6) - b1 / (r1 + g1 + b1 + 1e-6)))) AS exg FROM col GROUP BY 1)
+SELECT pair_id, round((g - r) / (g + r + 1e-6), 6) AS ndvi, round(exg, 6) AS exg, round(texture, 6) AS texture, round(lbp, 6) AS lbp, round(edge, 6) AS edge, round(entropy, 6) AS entropy, round(contrast, 6) AS contrast,
+  round(homog, 6) AS homog, round(bright, 6) AS bright, round(g / (r + g + b + 1e-6), 6) AS green, round(b / (r + g + b + 1e-6), 6) AS blue, round(r / (r + g + b + 1e-6), 6) AS red, round(sat, 6) AS sat, round(hue, 6) AS hue
+FROM mn JOIN nb USING (pair_id) JOIN en USING (pair_id) JOIN ed USING (pair_id) JOIN lbv USING (pair_id)""")
 def _(t):
+    """R1 of the first image of each pair."""
     return G.image_features(pixels(t("embeddings")), "1").select("pair_id", *[F.round(f, 6).alias(f) for f in G.FEATURES])
 
 
@@ -392,8 +409,9 @@ def _(t):
 def _(t):
     """On pixels of scenes without the components that show passing objects."""
     scene = scenes(t("embeddings"))
-    on = scene.filter(F.col("g2") - F.col("g1") > 20)
-    return R.strip_transients(on, scene)
+    marked = scene.withColumn("on", F.col("g2") - F.col("g1") > 20)
+    kept = R.strip_transients(marked.filter("on"), scene).withColumn("kept", F.lit(1))
+    return marked.join(kept, list(P.KEY), "left").groupBy("pair_id").agg(F.count_if("on").alias("on_before"), F.count("kept").alias("on_after"))
 
 
 def _boxes(t):
