@@ -127,12 +127,26 @@ def _key(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+def _merged(rows: DataFrame, name: str, *same: str) -> tuple[DataFrame, DataFrame]:
+    """Of ``rows`` (key, ``name``, ``same`` and more) those of one name for each set of keys, and (``name``, first) for all names.
+
+    Names that occur under just the same keys are told by two 64-bit sums over the keys and their number; ``same`` must be equal too.
+    """
+    sums = [F.bit_xor(F.xxhash64("key", F.lit(k))).alias(f"_sum{k}") for k in (1, 2)]
+    signed = saved(rows.groupBy(name, *same).agg(*sums, F.count(F.lit(1)).alias("_keys")))
+    kind = ["_sum1", "_sum2", "_keys", *same]
+    firsts = saved(signed.groupBy(*kind).agg(F.min(name).alias("first")))
+    members = saved(attach(signed, firsts, *kind, how="inner").select(name, "first"))
+    return attach(rows, firsts.select(F.col("first").alias(name)), name, how="inner"), members
+
+
 def _disclosing(found: DataFrame, texts: DataFrame, total: int) -> DataFrame:
     """term: the words that disclose a value, from documents (``found``: key, base; ``texts``: key, text, some) that have both.
 
     Rows with equal texts are counted, but weighed once with their number. Before terms meet values, those are left out that cannot
     reach the limit: pairs seen together in fewer than SUPPORT documents, and, as a pair is seen together at most df_entity times,
-    terms with df_term above total ** (1 - DISCLOSED) * df_entity ** DISCLOSED.
+    terms with df_term above total ** (1 - DISCLOSED) * df_entity ** DISCLOSED. Terms that always occur together are weighed as one, and
+    so are values, so that long lists that several documents share do not meet word by value.
     """
     entity = lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))
     held = found.filter(F.size("base") > 0).select("key", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"))
@@ -146,12 +160,15 @@ def _disclosing(found: DataFrame, texts: DataFrame, total: int) -> DataFrame:
     words = texts.select("key", "some", F.explode(_words(F.col("text"))).alias("term"))
     terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("df_term"), F.count_if("some").alias("here"))
     terms = saved(terms.filter((F.col("here") >= SUPPORT) & F.col("df_term").between(F.lit(SUPPORT), most(F.lit(float(top))))).drop("here"))
-    own = join_ids(words.filter("some").select("key", "term"), terms, "term", "inner", BROADCAST_TERMS).distinct()
+    own = saved(join_ids(words.filter("some").select("key", "term"), terms, "term", "inner", BROADCAST_TERMS).distinct())
+    own, alike = _merged(own, "term", "df_term")
+    carried, _ = _merged(carried, "entity")
     both = own.join(carried, "key").filter(F.col("df_term") <= most(F.col("df_entity")))
     known = both.groupBy("term", "entity", "df_term", "df_entity").agg(F.sum("copies").alias("both")).filter(F.col("both") >= SUPPORT)
     information = F.log2(F.lit(float(max(total, 1))) / F.col("df_entity"))
     mutual = F.log2(F.lit(float(max(total, 1))) * F.col("both") / (F.col("df_term") * F.col("df_entity")))
-    return saved(known.filter(mutual >= DISCLOSED * information).select("term").distinct())
+    first = saved(known.filter(mutual >= DISCLOSED * information).select(F.col("term").alias("first")).distinct())
+    return saved(attach(alike, first, "first", how="inner").select("term"))
 
 
 def _marked(texts: DataFrame, terms: DataFrame) -> DataFrame:

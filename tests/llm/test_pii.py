@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,3 +149,14 @@ def test_many_matches_in_one_text(spark):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     spans = df.select(pii.base_spans(F.col("text")).alias("s")).select(F.size("s").alias("n"), F.element_at("s", -1).alias("z")).first()
     assert spans.n == 60000 and (spans.z.start, spans.z.end) == (8 * 59999, 8 * 59999 + 7)
+
+
+def test_lists_that_documents_share_do_not_meet_word_by_value(spark):
+    """Three like documents of many words and many addresses: by pairs this would be 9 million rows for each of them."""
+    word = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(4))
+    shared = " ".join(f"w{word(k)}" for k in range(3000)) + " " + " ".join(f"u{k}@mail{k}.org" for k in range(3000))
+    rows = [(k, f"{shared} tail{word(k)}") for k in range(3)] + [(10 + k, "plain words of others") for k in range(20)]
+    start = time.perf_counter()
+    out = {r.doc_id: r for r in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.perf_counter() - start < 90
+    assert all(len({t.value for t in out[k].terms}) == 3000 and len(out[k].base) == 3000 for k in range(3)) and not out[10].terms
