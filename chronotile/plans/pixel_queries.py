@@ -262,7 +262,44 @@ def _(t):
     return M.robust_thresholds(d, "v", 25, 0.4).join(M.otsu(d, "v"), "pair_id").select("pair_id", "otsu", "threshold")
 
 
-@query("m02_image_difference")
+COMP = """RECURSIVE {head}, onp AS (SELECT pair_id, y, x, y * 8 + x AS id FROM {src}),
+lk(pair_id, id, low) AS (SELECT pair_id, id, id FROM onp UNION SELECT lk.pair_id, n.id, lk.low FROM lk JOIN onp a ON a.pair_id = lk.pair_id AND a.id = lk.id JOIN onp n ON n.pair_id = a.pair_id AND abs(n.y - a.y) <= 1 AND abs(n.x - a.x) <= 1 AND n.id > lk.low),
+cc AS (SELECT pair_id, id, min(low) AS label FROM lk GROUP BY 1, 2)"""
+
+
+def _crossed(name: str, source: str, f: str) -> str:
+    """CTE ``name``: ``f`` (min or max) of ``o`` over each pixel and its four neighbours in ``source``."""
+    return f"{name} AS (SELECT a.pair_id, a.y, a.x, {f}(b.o) AS o FROM {source} a, {source} b WHERE b.pair_id = a.pair_id AND abs(b.y - a.y) + abs(b.x - a.x) <= 1 GROUP BY 1, 2, 3)"
+
+
+def cleaned_sql(head: str, source: str, least: int) -> str:
+    """Cleaning of ``source`` (pair_id, y, x, o) of 8 by 8 pixels at a sensitivity of a half, without a border, and the statistics of what stays."""
+    steps = [
+        f"med AS (SELECT a.pair_id, a.y, a.x, CASE WHEN sum(b.o) >= 5 THEN 1 ELSE 0 END AS o FROM {source} a, range(-1, 2) i(k), range(-1, 2) j(k), {source} b WHERE b.pair_id = a.pair_id AND b.y = {_clamp('a.y + i.k', 8)} AND b.x = {_clamp('a.x + j.k', 8)} GROUP BY 1, 2, 3)",
+        _crossed("op1", "med", "min"), _crossed("op2", "op1", "max"), _crossed("cl1", "op2", "max"), _crossed("cl2", "cl1", "min"),
+        "reached(pair_id, y, x) AS (SELECT pair_id, y, x FROM cl2 WHERE o = 0 AND (y IN (0, 7) OR x IN (0, 7)) UNION SELECT p.pair_id, p.y, p.x FROM reached r JOIN cl2 p ON p.pair_id = r.pair_id AND abs(p.y - r.y) + abs(p.x - r.x) = 1 AND p.o = 0)",
+        "solid AS (SELECT cl2.pair_id, cl2.y, cl2.x, CASE WHEN r.y IS NULL THEN 1 ELSE 0 END AS o FROM cl2 LEFT JOIN reached r USING (pair_id, y, x))",
+        _crossed("br1", "solid", "min"), _crossed("br2", "br1", "max"), "kept AS (SELECT pair_id, y, x FROM br2 WHERE o = 1)",
+    ]
+    parts = COMP.format(head=",\n".join([head, *steps]), src="kept")
+    return f"""WITH {parts},
+st AS (SELECT pair_id, label, count(*) AS area, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM cc JOIN onp USING (pair_id, id) GROUP BY 1, 2),
+large AS (SELECT pair_id, sum(area) AS n FROM st WHERE NOT (area < {least} OR ((2.0 * (w + h)) ** 2 / (greatest(w * h, 1) + 1e-8) > 80 AND area < {3 * least}) OR (greatest(w, h) / (least(w, h) + 1e-8) > 12 AND area < {2 * least})) GROUP BY 1)
+SELECT p.pair_id, p.n AS total_pixels, CAST(coalesce(large.n, 0) AS BIGINT) AS changed_pixels, round(100.0::DOUBLE * coalesce(large.n, 0) / p.n, 2) AS change_percentage
+FROM (SELECT pair_id, count(*) AS n FROM {source} GROUP BY 1) p LEFT JOIN large USING (pair_id)"""
+
+
+_SOFT = f"""{COLOUR},
+{_stencil('sf', 'col', ['l1', 'a1', 'bb1', 'l2', 'a2', 'bb2'], P.gaussian(5))},
+de AS (SELECT pair_id, y, x, sqrt(power((l1 - l2) / 100.0::DOUBLE, 2) + power((a1 - a2) / 128.0::DOUBLE, 2) + power((bb1 - bb2) / 128.0::DOUBLE, 2)) AS d FROM sf),
+dm AS (SELECT pair_id, max(d) AS m FROM de GROUP BY 1),
+dv AS (SELECT pair_id, y, x, CAST(trunc(least(255, greatest(0, d / (m + 1e-8) * 255))) AS INT) AS v FROM de JOIN dm USING (pair_id)),
+{OTSU}, md AS (SELECT pair_id, median(v) AS m FROM dv GROUP BY 1), ma AS (SELECT dv.pair_id, any_value(m) AS m, median(abs(v - m)) AS mad FROM dv JOIN md USING (pair_id) GROUP BY 1),
+th AS (SELECT pair_id, CAST(greatest(0, least(255, CAST(trunc(greatest(30.0, otsu, m + 3 * mad)) AS INT))) AS INT) AS threshold FROM ot JOIN ma USING (pair_id)),
+mask0 AS (SELECT pair_id, y, x, CASE WHEN v > threshold THEN 1 ELSE 0 END AS o FROM dv JOIN th USING (pair_id))"""
+
+
+@query("m02_image_difference", cleaned_sql(_SOFT, "mask0", 2))
 def _(t):
     p = pixels(t("embeddings"))
     planes = ["l1", "a1", "b1", "l2", "a2", "b2"]
@@ -274,9 +311,6 @@ def _(t):
     return M.run_statistics(M.clean(mask, border=0, least=2))
 
 
-COMP = """RECURSIVE {head}, onp AS (SELECT pair_id, y, x, y * 8 + x AS id FROM {src}),
-lk(pair_id, id, low) AS (SELECT pair_id, id, id FROM onp UNION SELECT lk.pair_id, n.id, lk.low FROM lk JOIN onp a ON a.pair_id = lk.pair_id AND a.id = lk.id JOIN onp n ON n.pair_id = a.pair_id AND abs(n.y - a.y) <= 1 AND abs(n.x - a.x) <= 1 AND n.id > lk.low),
-cc AS (SELECT pair_id, id, min(low) AS label FROM lk GROUP BY 1, 2)"""
 _MASK = f"{GRAY_SQL}, mk AS (SELECT pair_id, y, x FROM gp WHERE g1 >= 140)"
 
 
@@ -299,7 +333,15 @@ def _(t):
     return labels.join(seeds, ["pair_id", "label"], "left_semi").groupBy("pair_id").agg(F.count_distinct("label").alias("n"))
 
 
-@query("m05_core_mask")
+_SEEDED = COMP.split("{head}, ")[1].format(src="low0").replace("onp", "onq").replace("lk", "lq").replace("cc AS", "cq AS")
+_CORE = f"""{CVA}, qc AS (SELECT pair_id, quantile_cont(cva, 0.94) AS hi, quantile_cont(cva, {0.94 - 0.06!r}) AS lo FROM cva GROUP BY 1),
+low0 AS (SELECT pair_id, y, x FROM cva JOIN qc USING (pair_id) WHERE cva >= least(lo, hi)), {_SEEDED},
+seed AS (SELECT DISTINCT cq.pair_id, label FROM cq JOIN onq USING (pair_id, id) JOIN cva ON cva.pair_id = cq.pair_id AND cva.y = onq.y AND cva.x = onq.x JOIN qc ON qc.pair_id = cq.pair_id WHERE cva.cva >= hi),
+hyst AS (SELECT cq.pair_id, onq.y, onq.x FROM cq JOIN onq USING (pair_id, id) JOIN seed USING (pair_id, label)),
+mask0 AS (SELECT cva.pair_id, cva.y, cva.x, CASE WHEN hyst.y IS NULL THEN 0 ELSE 1 END AS o FROM cva LEFT JOIN hyst USING (pair_id, y, x))"""
+
+
+@query("m05_core_mask", cleaned_sql(_CORE, "mask0", 2))
 def _(t):
     return M.run_statistics(M.core_mask(S.change_vectors(pixels(t("embeddings"))).withColumnRenamed("cva", "score"), border=0, least=2))
 
@@ -344,7 +386,7 @@ def _(t):
     return M.filled(_mask(t))
 
 
-@query("m08_clean_mask")
+@query("m08_clean_mask", cleaned_sql(f"{GRAY_SQL}, mask0 AS (SELECT pair_id, y, x, CASE WHEN g1 >= 120 THEN 1 ELSE 0 END AS o FROM gp)", "mask0", 3))
 def _(t):
     return M.run_statistics(M.clean(_mask(t, 120), border=0, least=3))
 
