@@ -150,12 +150,16 @@ def part_classes(pixels: DataFrame, boxes: DataFrame, pad: int = 5, single: bool
     return parts.select(*keys).join(found, keys, "left").select(*keys, F.coalesce("_c", none).alias("_c")).select(*keys, "_c.*")
 
 
-def ensemble(pixels: DataFrame, boxes: DataFrame, pad: int = 5, single: bool = False) -> DataFrame:
-    """pair_id, region_id, name, score of each box by the votes of its parts; where no part has a class, the whole box decides."""
-    parts = cut(part_classes(pixels, boxes, pad, single))
+def decided(parts: DataFrame) -> DataFrame:
+    """Name and score of each region by the votes of its ``part_classes``; where no part has a class, the whole box decides."""
     keys = ["pair_id", "region_id"]
     whole = parts.filter("part = 0").select(*keys, F.col("name").alias("_name"), F.col("score").alias("_score"))
     named = parts.groupBy(*keys).agg(F.count_if(F.col("name").isNotNull() & (F.col("name") != "Unclassified")).alias("_named"))
     out = vote(parts, keys).join(whole, keys).join(named, keys)
     alone = (F.col("_named") == 0) & F.col("name").isNotNull()
     return out.select(*keys, F.when(alone, F.col("_name")).otherwise(F.col("name")).alias("name"), F.when(alone, F.col("_score")).otherwise(F.col("score")).alias("score"))
+
+
+def ensemble(pixels: DataFrame, boxes: DataFrame, pad: int = 5, single: bool = False) -> DataFrame:
+    """pair_id, region_id, name, score of each box (pair_id, region_id, x, y, w, h) by itself and its parts."""
+    return decided(cut(part_classes(pixels, boxes, pad, single)))

@@ -125,9 +125,10 @@ def test_ensemble_votes_over_parts(spark):
     before, after = city()
     boxes = spark.createDataFrame(BOXES, "pair_id long, region_id int, x int, y int, w int, h int")
     for single in (False, True):
-        parts = crops.part_classes(scene(spark, before, after), boxes, single=single).collect()
+        found = crops.part_classes(scene(spark, before, after), boxes, single=single)
+        parts = found.collect()
         assert {r.region_id: sum(p.region_id == r.region_id for p in parts) for r in parts} == {1: 6, 2: 1, 3: 1, 4: 6, 5: 6, 6: 1}
-        out = {r.region_id: (r.name, r.score) for r in crops.ensemble(scene(spark, before, after), boxes, single=single).collect()}
+        out = {r.region_id: (r.name, r.score) for r in crops.decided(spark.createDataFrame(parts, found.schema)).collect()}
         for k in out:
             own = sorted((p.part, p.name, p.score) for p in parts if p.region_id == k)
             passing = sum(n is None for _, n, _ in own)
