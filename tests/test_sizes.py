@@ -1,5 +1,7 @@
 """Results and costs that show only on larger or odd tables."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from chronotile.functions import scalars as X
@@ -8,3 +10,8 @@ from chronotile.functions import scalars as X
 def test_compact_numbers_beyond_a_thousand_millions(spark):
     rows = spark.createDataFrame([(950,), (1250,), (999_999,), (1_006_300_000,), (6_144_000_000_000,)], "n long")
     assert [r.c for r in rows.select("n", X.compact_number(F.col("n")).alias("c")).orderBy("n").collect()] == ["950", "1.2K", "1000.0K", "1006.3M", "6144000.0M"]
+
+
+def test_log2_of_zero(spark):
+    rows = spark.createDataFrame([(0.0,), (8.0,), (None,)], "v double").select(F.round(X.log2(F.col("v")), 6).alias("b"))
+    assert [r.b for r in rows.collect()] == [-math.inf, 3.0, None]
