@@ -1,7 +1,11 @@
-"""Map coordinates to WGS84 degrees, as column arithmetic: UTM zones by the transverse Mercator series, Web Mercator, and degrees as they are."""
+"""Map coordinates to WGS84 degrees, as column arithmetic (edges of images in Arrow batches): UTM zones by the transverse Mercator series, Web Mercator, and degrees as they are."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,23 +94,79 @@ def pixel_lng_lat(x: Column, y: Column, t: Column, epsg: Column, scale_x: Column
     return lng_lat(t[0] * px + t[1] * py + t[2], t[3] * px + t[4] * py + t[5], epsg)
 
 
+def _zone(epsg: int) -> tuple[int, float] | None:
+    """Zone number and the northing of its equator, as ``utm_zone``."""
+    for first, last, before, south in UTM_CODES:
+        if first <= epsg <= last:
+            return epsg - before, FALSE_NORTH if south else 0.0
+    return None
+
+
+def _multiples(c: np.ndarray, s: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(Hyperbolic) cosines and sines of an angle's multiples, from those of the angle itself."""
+    c0, s0, c1, s1 = np.ones_like(c), np.zeros_like(s), c, s
+    for _ in range(n):
+        yield c1, s1
+        c0, s0, c1, s1 = c1, s1, 2 * c * c1 - c0, 2 * c * s1 - s0
+
+
+def _extremes(x: np.ndarray, y: np.ndarray, epsg: int) -> list[np.ndarray]:
+    """West, south, east and north of each row of places; latitudes grow with y or with the sine of the sphere's, so only the extreme ones
+    go through their series."""
+    if epsg in DEGREES:
+        return [np.fmin.reduce(x, 1), np.fmin.reduce(y, 1), x.max(1), y.max(1)]
+    if epsg in WEB_MERCATOR:
+        lat = lambda v: np.degrees(np.arctan(np.sinh(v / RADIUS)))
+        return [np.degrees(np.fmin.reduce(x, 1) / RADIUS), lat(np.fmin.reduce(y, 1)), np.degrees(x.max(1) / RADIUS), lat(y.max(1))]
+    number, equator = _zone(epsg)
+    xi, eta = (y - equator) / (UTM_SCALE * RECTIFYING), (x - FALSE_EAST) / (UTM_SCALE * RECTIFYING)
+    grow = np.exp(2 * eta)
+    turns, growths = _multiples(np.cos(2 * xi), np.sin(2 * xi), 6), _multiples((grow + 1 / grow) / 2, (grow - 1 / grow) / 2, 6)
+    for c, (cos, sin), (cosh, sinh) in zip(series(_TO_SPHERE), turns, growths, strict=True):
+        xi, eta = xi - c * sin * cosh, eta - c * cos * sinh
+    grow = np.exp(eta)
+    lng = np.arctan2((grow - 1 / grow) / 2, np.cos(xi))
+    sines = np.sin(xi) / ((grow + 1 / grow) / 2)
+
+    def lat(v: np.ndarray) -> np.ndarray:
+        chi = np.arcsin(v)
+        return np.degrees(chi + sum(c * np.sin(2 * k * chi) for k, c in enumerate(series(_TO_LATITUDE), 1)))
+
+    place = lambda v: np.degrees(v) + 6 * number - 183
+    return [place(np.fmin.reduce(lng, 1)), lat(np.fmin.reduce(sines, 1)), place(lng.max(1)), lat(sines.max(1))]
+
+
+def _edges(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, e: pd.Series, f: pd.Series, width: pd.Series, height: pd.Series, epsg: pd.Series, steps: pd.Series) -> pd.DataFrame:
+    """Bounds along the edges of images whose codes are known, some hundred images at a time."""
+    out = np.full((len(a), 4), np.nan)
+    if len(a):
+        parts = np.arange(steps.iloc[0] + 2) / (steps.iloc[0] + 1)
+        u, v = np.unique([p for s in parts for p in ((s, 0.0), (s, 1.0), (0.0, s), (1.0, s))], axis=0).T
+        t, codes = np.stack([a, b, c, d, e, f]).astype(float)[..., None], epsg.to_numpy()
+        with np.errstate(all="ignore"):
+            for code in np.unique(codes):
+                own = np.flatnonzero(codes == code)
+                for rows in np.array_split(own, len(own) // 400 + 1):
+                    px, py = u * width.to_numpy()[rows, None], v * height.to_numpy()[rows, None]
+                    k = t[:, rows]
+                    out[rows] = np.stack(_extremes(k[0] * px + k[1] * py + k[2], k[3] * px + k[4] * py + k[5], int(code)), 1)
+    return pd.DataFrame(out, columns=["west", "south", "east", "north"])
+
+
 def bounds(t: Column, width: Column, height: Column, epsg: Column, steps: int = 21) -> Column:
     """struct<west, south, east, north> in WGS84 of an image with transform array a..f.
 
-    Straight edges of a projected image are curves in degrees, so each edge is followed at ``steps`` points besides its ends.
+    Straight edges of a projected image are curves in degrees, so each edge is followed at ``steps`` points besides its ends. Null without
+    all of the numbers or with a code that is not known.
     """
-    ends = [k / (steps + 1) for k in range(steps + 2)]
-    rim = [p for s in ends for p in ((s, 0.0), (s, 1.0), (0.0, s), (1.0, s))]
-    rim = F.array(*(F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for u, v in dict.fromkeys(rim)))
-
-    def place(p: Column) -> Column:
-        px, py = p["u"] * width, p["v"] * height
-        at = F.struct((t[0] * px + t[1] * py + t[2]).alias("x"), (t[3] * px + t[4] * py + t[5]).alias("y"))
-        return let(at, lambda v: lng_lat(v["x"], v["y"], epsg))
-
-    def box(places: Column) -> Column:
-        lng, lat = F.transform(places, lambda p: p["lng"]), F.transform(places, lambda p: p["lat"])
-        return F.struct(F.array_min(lng).alias("west"), F.array_min(lat).alias("south"), F.array_max(lng).alias("east"), F.array_max(lat).alias("north"))
-
-    found = let(F.transform(rim, place), box)
-    return F.when(t.isNotNull() & found["west"].isNotNull(), found)
+    code = F.coalesce(epsg.cast("int"), F.lit(DEGREES[0]))
+    known = code.isin(*DEGREES, *WEB_MERCATOR)
+    for first, last, _, _ in UTM_CODES:
+        known = known | code.between(first, last)
+    numbers = [t[k] for k in range(6)] + [width, height]
+    there = known
+    for n in numbers:
+        there = there & n.isNotNull()
+    edges = F.pandas_udf(_edges, "west double, south double, east double, north double")
+    found = edges(*(F.coalesce(n.cast("double"), F.lit(0.0)) for n in numbers), F.when(known, code).otherwise(DEGREES[0]), F.lit(steps))
+    return F.when(there, found)

@@ -1,9 +1,11 @@
 """Results and costs that show only on larger or odd tables."""
 
 import math
+import time
 
 from pyspark.sql import functions as F
 
+from chronotile.functions import geodesy
 from chronotile.functions import scalars as X
 
 
@@ -15,3 +17,22 @@ def test_compact_numbers_beyond_a_thousand_millions(spark):
 def test_log2_of_zero(spark):
     rows = spark.createDataFrame([(0.0,), (8.0,), (None,)], "v double").select(F.round(X.log2(F.col("v")), 6).alias("b"))
     assert [r.b for r in rows.collect()] == [-math.inf, 3.0, None]
+
+
+def test_bounds_of_many_images_in_seconds(spark):
+    k = F.col("id")
+    code = F.element_at(F.array(*(F.lit(c) for c in (32643, 32760, 25832, 3857, 4326, 99, None))), (k % 7 + 1).cast("int"))
+    plain = code.isNull() | (code == 4326)
+    x, y, px = F.when(plain, k % 180).otherwise(300000 + k % 400000), F.when(plain, k % 80).otherwise(2000000 + k * 7919 % 5000000), F.when(plain, 0.001).otherwise(30.0)
+    images = spark.range(60_000).select("id", code.alias("epsg"), F.array(px, px / 10, x.cast("double"), px / 20, -px, y.cast("double")).alias("t")).cache()
+    start = time.time()
+    found = images.select("id", geodesy.bounds(F.col("t"), F.lit(40), F.lit(30), F.col("epsg")).alias("b")).select("id", "b.*").cache()
+    assert found.filter("west is null").count() == images.filter("epsg = 99").count()
+    assert time.time() - start < 25
+    # the same by plain columns, point by point
+    few = images.filter("id % 1999 = 0").select("id", "epsg", "t", F.explode(F.array(*(F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for s in (n / 22 for n in range(23)) for u, v in ((s, 0.0), (s, 1.0), (0.0, s), (1.0, s))))).alias("p"))
+    px, py, t = F.col("p.u") * 40, F.col("p.v") * 30, F.col("t")
+    places = few.select("id", geodesy.lng_lat(t[0] * px + t[1] * py + t[2], t[3] * px + t[4] * py + t[5], F.col("epsg")).alias("at"))
+    want = places.groupBy("id").agg(F.min("at.lng").alias("w"), F.min("at.lat").alias("s"), F.max("at.lng").alias("e"), F.max("at.lat").alias("n"))
+    off = F.greatest(F.abs(F.col("w") - F.col("west")), F.abs(F.col("s") - F.col("south")), F.abs(F.col("e") - F.col("east")), F.abs(F.col("n") - F.col("north")))
+    assert want.join(found, "id").filter((off > 1e-10) | (F.col("w").isNull() != F.col("west").isNull())).count() == 0
