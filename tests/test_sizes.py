@@ -36,3 +36,10 @@ def test_bounds_of_many_images_in_seconds(spark):
     want = places.groupBy("id").agg(F.min("at.lng").alias("w"), F.min("at.lat").alias("s"), F.max("at.lng").alias("e"), F.max("at.lat").alias("n"))
     off = F.greatest(F.abs(F.col("w") - F.col("west")), F.abs(F.col("s") - F.col("south")), F.abs(F.col("e") - F.col("east")), F.abs(F.col("n") - F.col("north")))
     assert want.join(found, "id").filter((off > 1e-10) | (F.col("w").isNull() != F.col("west").isNull())).count() == 0
+
+
+def test_world_file_is_read_once(spark):
+    rows = spark.createDataFrame([("0.5\n0\n0\n-0.25\n100\n50",), ("1 2 3",), ("a 0 0 1 2 3",), (None,)], "t string")
+    out = rows.select(X.world_file(F.col("t"), F.lit(10), F.lit(10)).alias("f"))
+    assert [r.f and (r.f.a, r.f.west, r.f.north, r.f.east, r.f.south) for r in out.collect()] == [(0.5, 99.75, 50.125, 104.75, 47.625), None, None, None]
+    assert out._jdf.queryExecution().executedPlan().toString().count("split(") <= 2  # was once for each use of a number
