@@ -117,12 +117,44 @@ def _moved(h: Column, x: Column, y: Column) -> tuple[Column, Column]:
     return (h[0] * x + h[1] * y + h[2]) / w, (h[3] * x + h[4] * y + h[5]) / w
 
 
-def consensus(matches: DataFrame, trials: int = 512, reach: float = 4.0, least: int = 8, block: int = 64) -> DataFrame:
+def _near(rows: pd.DataFrame, h: np.ndarray, reach: float, block: int = 16384) -> np.ndarray:
+    """For each homography (rows of 8) how many matches of one pair it takes to within ``reach`` pixels, in the operations of ``_moved``."""
+    x1, y1, x2, y2 = (np.ascontiguousarray(rows[c], float) for c in ("x1", "y1", "x2", "y2"))
+    level, n = (reach / float(rows["unit1"].iloc[0])) ** 2, np.zeros(len(h), int)
+    w, at, product = np.empty((3, block))
+
+    def linear(m: np.ndarray, last: float, u: np.ndarray, v: np.ndarray, out: np.ndarray) -> np.ndarray:
+        np.multiply(u, m[0], out)
+        np.add(out, np.multiply(v, m[1], product[: len(u)]), out)
+        return np.add(out, last, out)
+
+    with np.errstate(all="ignore"):
+        for start in range(0, len(rows), block):
+            u1, v1, u2, v2 = (c[start : start + block] for c in (x1, y1, x2, y2))
+            size = len(u1)
+            far = np.empty(size)
+            for k, m in enumerate(h):
+                below = linear(m[6:8], 1.0, u2, v2, w[:size])
+                for c, (moved, there) in enumerate(((m[0:3], u1), (m[3:6], v1))):
+                    d = linear(moved, moved[2], u2, v2, at[:size])
+                    np.subtract(np.divide(d, below, d), there, d)
+                    if c:
+                        np.add(far, np.multiply(d, d, d), far)
+                    else:
+                        np.multiply(d, d, far)
+                near = far <= level
+                if near.any():
+                    near &= np.abs(below, at[:size]) > 1e-12
+                n[k] += np.count_nonzero(near)
+    return n
+
+
+def consensus(matches: DataFrame, trials: int = 512, reach: float = 4.0, least: int = 8, part: int = 50_000) -> DataFrame:
     """The homography from image 2 to image 1 on which most matches (pair_id, id, x1, y1, x2, y2) of a pair agree, within ``reach`` pixels.
 
     pair_id, matches, inliers, ratio, h (array of 9). Samples of four matches are drawn by hashes of pair and trial, so reruns agree; each
-    gives a hypothesis, inliers are counted by a join of matches and hypotheses in blocks, the first of the best stays, and is fitted
-    again to all its inliers by sums of products. A map that shrinks or grows areas more than tenfold, counts as none: null h and ratio 0. Pairs of fewer than ``least`` matches are left out.
+    gives a hypothesis, inliers are counted in parts of ``part`` matches that meet all hypotheses of their pair, the first of the best stays, and
+    is fitted again to all its inliers by sums of products. A map that shrinks or grows areas more than tenfold, counts as none: null h and ratio 0. Pairs of fewer than ``least`` matches are left out.
     """
     order = Window.partitionBy("pair_id").orderBy("id", "x1", "y1", "x2", "y2")
     size = matches.groupBy("pair_id").agg(F.count(F.lit(1)).alias("matches"), *(F.greatest(F.max(F.abs(f"x{k}")), F.max(F.abs(f"y{k}")), F.lit(1.0)).alias(f"unit{k}") for k in (1, 2))).filter(F.col("matches") >= least)
@@ -134,11 +166,18 @@ def consensus(matches: DataFrame, trials: int = 512, reach: float = 4.0, least:
     listed = samples.groupBy("pair_id", "trial").agg(F.sort_array(F.collect_list(F.struct("k", "x1", "y1", "x2", "y2"))).alias("s"))
     listed = listed.select("pair_id", "trial", *(F.col(f"s.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")))
     guesses = listed.mapInPandas(_from_samples, "pair_id long, trial int, h array<double>")
-    guesses = cut(guesses.withColumn("block", F.floor(F.col("trial") / block).cast("int")))
-    spread = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((trials - 1) // block))))
+    guesses = cut(guesses)
     x, y = _moved(F.col("h"), F.col("x2"), F.col("y2"))
     near = F.pow(x - F.col("x1"), F.lit(2)) + F.pow(y - F.col("y1"), F.lit(2)) <= F.pow(reach / F.col("unit1"), F.lit(2))
-    votes = spread.join(guesses, ["pair_id", "block"]).groupBy("pair_id", "trial").agg(F.count_if(near).alias("inliers"), F.first("h").alias("h"))
+    parts = points.withColumn("part", F.floor(F.col("place") / part).cast("int"))
+    asked = size.select("pair_id", F.explode(F.sequence(F.lit(0), F.floor((F.col("matches") - 1) / part).cast("int"))).alias("part")).join(guesses, "pair_id")
+
+    def counted(rows: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
+        n = _near(rows, np.stack(h["h"]), reach) if len(rows) and len(h) else np.zeros(len(h), int)
+        return pd.DataFrame({"pair_id": h["pair_id"], "trial": h["trial"], "inliers": n})
+
+    partial = parts.groupBy("pair_id", "part").cogroup(asked.groupBy("pair_id", "part")).applyInPandas(counted, "pair_id long, trial int, inliers long")
+    votes = partial.groupBy("pair_id", "trial").agg(F.sum("inliers").alias("inliers")).join(guesses, ["pair_id", "trial"])
     best = cut(votes.groupBy("pair_id").agg(F.max(F.struct("inliers", (-F.col("trial")).alias("t"), "h")).alias("b")).select("pair_id", "b.inliers", "b.h"))
     agreeing = points.join(best, "pair_id").filter(near)
     one, zero = F.lit(1.0), F.lit(0.0)

@@ -3,10 +3,13 @@
 import math
 import time
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from chronotile.functions import geodesy
 from chronotile.functions import scalars as X
+from chronotile.operators import registration
 
 
 def test_compact_numbers_beyond_a_thousand_millions(spark):
@@ -43,3 +46,13 @@ def test_world_file_is_read_once(spark):
     out = rows.select(X.world_file(F.col("t"), F.lit(10), F.lit(10)).alias("f"))
     assert [r.f and (r.f.a, r.f.west, r.f.north, r.f.east, r.f.south) for r in out.collect()] == [(0.5, 99.75, 50.125, 104.75, 47.625), None, None, None]
     assert out._jdf.queryExecution().executedPlan().toString().count("split(") <= 2  # was once for each use of a number
+
+
+def test_inliers_of_many_hypotheses_without_a_row_for_each():
+    random = np.random.default_rng(1)
+    rows = pd.DataFrame(random.random((5000, 4)), columns=["x1", "y1", "x2", "y2"]).assign(unit1=10.0)
+    h = np.vstack([random.random((40, 8)), [0, 0, 0, 0, 0, 0, 0, 0], [1, 0, 0, 0, 1, 0, 0, 0], [1, 0, 0, 0, 1, 0, -2, 0]])
+    w = rows.x2.to_numpy()[:, None] * h[:, 6] + rows.y2.to_numpy()[:, None] * h[:, 7] + 1
+    x, y = ((rows.x2.to_numpy()[:, None] * h[:, k] + rows.y2.to_numpy()[:, None] * h[:, k + 1] + h[:, k + 2]) / w for k in (0, 3))
+    want = ((x - rows.x1.to_numpy()[:, None]) ** 2 + (y - rows.y1.to_numpy()[:, None]) ** 2 <= 0.16).sum(0)
+    assert registration._near(rows, h, 4.0, 700).tolist() == want.tolist()
