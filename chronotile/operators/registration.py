@@ -170,13 +170,13 @@ def consensus(matches: DataFrame, trials: int = 512, reach: float = 4.0, least:
     x, y = _moved(F.col("h"), F.col("x2"), F.col("y2"))
     near = F.pow(x - F.col("x1"), F.lit(2)) + F.pow(y - F.col("y1"), F.lit(2)) <= F.pow(reach / F.col("unit1"), F.lit(2))
     parts = points.withColumn("part", F.floor(F.col("place") / part).cast("int"))
-    asked = size.select("pair_id", F.explode(F.sequence(F.lit(0), F.floor((F.col("matches") - 1) / part).cast("int"))).alias("part")).join(guesses, "pair_id")
+    asked = size.select("pair_id", F.explode(F.sequence(F.lit(0), F.floor((F.col("matches") - 1) / part).cast("int"))).alias("part")).join(guesses, "pair_id").select(F.col("pair_id").alias("pair"), F.col("part").alias("of"), F.col("trial").alias("trial"), F.col("h").alias("h"))
 
     def counted(rows: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
         n = _near(rows, np.stack(h["h"]), reach) if len(rows) and len(h) else np.zeros(len(h), int)
-        return pd.DataFrame({"pair_id": h["pair_id"], "trial": h["trial"], "inliers": n})
+        return pd.DataFrame({"pair_id": h["pair"], "trial": h["trial"], "inliers": n})
 
-    partial = parts.groupBy("pair_id", "part").cogroup(asked.groupBy("pair_id", "part")).applyInPandas(counted, "pair_id long, trial int, inliers long")
+    partial = parts.groupBy("pair_id", "part").cogroup(asked.groupBy("pair", "of")).applyInPandas(counted, "pair_id long, trial int, inliers long")
     votes = partial.groupBy("pair_id", "trial").agg(F.sum("inliers").alias("inliers")).join(guesses, ["pair_id", "trial"])
     best = cut(votes.groupBy("pair_id").agg(F.max(F.struct("inliers", (-F.col("trial")).alias("t"), "h")).alias("b")).select("pair_id", "b.inliers", "b.h"))
     agreeing = points.join(best, "pair_id").filter(near)
