@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronotile.functions import geodesy
 from chronotile.functions import scalars as X
+from chronotile.operators import masks as M
 from chronotile.operators import registration
 
 
@@ -56,3 +57,21 @@ def test_inliers_of_many_hypotheses_without_a_row_for_each():
     x, y = ((rows.x2.to_numpy()[:, None] * h[:, k] + rows.y2.to_numpy()[:, None] * h[:, k + 1] + h[:, k + 2]) / w for k in (0, 3))
     want = ((x - rows.x1.to_numpy()[:, None]) ** 2 + (y - rows.y1.to_numpy()[:, None]) ** 2 <= 0.16).sum(0)
     assert registration._near(rows, h, 4.0, 700).tolist() == want.tolist()
+
+
+def test_many_small_tiles_in_one_call(spark):
+    on = spark.range(3000).select(F.col("id").alias("pair_id"), F.explode(F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in ((0, 0), (1, 1), (1, 3), (2, 4), (600, 600))))).alias("p")).select("pair_id", "p.*")
+    calls = []
+
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        calls.append(rows.groupby("k").size().tolist())
+        return rows
+
+    frame = pd.DataFrame({"k": np.repeat(np.arange(50), 7)})
+    for batch in (1, 6, 7, 100, 1000):
+        calls.clear()
+        got = list(M.by_whole_groups(whole, ["k"])(frame.iloc[n : n + batch] for n in range(0, len(frame), batch)))
+        assert pd.concat(got)["k"].tolist() == frame["k"].tolist() and {n for sizes in calls for n in sizes} == {7}
+    assert len(calls) == 2 or len(calls) == 1  # not one a group
+    labels = M.components(on)
+    assert labels.groupBy("pair_id").agg(F.count_distinct("label").alias("n")).filter("n != 3").count() == 0 and labels.count() == 15000
