@@ -75,3 +75,9 @@ def test_many_small_tiles_in_one_call(spark):
     assert len(calls) == 2 or len(calls) == 1  # not one a group
     labels = M.components(on)
     assert labels.groupBy("pair_id").agg(F.count_distinct("label").alias("n")).filter("n != 3").count() == 0 and labels.count() == 15000
+
+
+def test_slug_goes_through_its_patterns_once(spark):
+    rows = spark.createDataFrame([("  Caf\u00e9 -- No. 7_",), ("",), ("--",), ("Cache",), (None,), ("x" * 100,)], "t string").select(X.slug(F.col("t")).alias("s"))
+    assert [r.s for r in rows.collect()] == ["cafe_no_7", "node", "node", "cache_1", "node", "x" * 64]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
