@@ -105,16 +105,19 @@ def detect(df: DataFrame, method: str, model_scores: DataFrame | None = None, se
         return with_fallback(df, detect(df, method, model_scores, sensitivity, border, least))
     if kind == "feature":
         return feature_mask(df)
-    classical = cut(S.classical_score(df).select(*KEY, F.col("score").alias("classical")))
+    df = cut(df)
+    channels = S.signal_channels(df)  # of both the score and the confidence
+    classical = cut(S.classical_score(df, channels=channels).select(*KEY, F.col("score").alias("classical")))
     if model_scores is None:
         both = classical.withColumn("model", F.lit(None).cast("double"))
     else:
         both = classical.join(model_scores.select(*KEY, F.col("score").alias("model")), list(KEY), "left")
     both = cut(both)
     if kind == "hybrid_model":
+        scored = None if model_scores is None else both.select(*KEY, F.col("model").alias("score"))
         level = 0.25 + (1 - min(1.0, max(0.0, sensitivity))) * 0.25
         rule = M.core_mask(classical.withColumnRenamed("classical", "score"), sensitivity, border, least).withColumnRenamed("on", "rule_on")
-        marked = both.join(rule, list(KEY)).join(S.confidence_map(df, model_scores), list(KEY))
+        marked = both.join(rule, list(KEY)).join(S.confidence_map(df, scored, channels), list(KEY))
         model_on = F.coalesce((F.col("model") >= level).cast("int"), F.lit(0))
         on = marked.filter(M.hybrid_model_on(model_on, F.col("rule_on"), F.col("confidence"), sensitivity, model_scores is not None)).select(*KEY)
     else:

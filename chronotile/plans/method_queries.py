@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chronotile.functions.lineage import cut
 from chronotile.operators import masks as M
 from chronotile.operators import methods as D
 from chronotile.operators import regions as G
@@ -30,7 +31,7 @@ def _(t):
 @query("m21_dispatch")
 def _(t):
     """The hybrid of model and classical scores, by its name."""
-    p = pixels(t("embeddings"))
+    p = cut(pixels(t("embeddings")))
     scores = T.unpacked(T.scored_tiles(T.packed(p)))
     return M.run_statistics(D.detect(p, "Hybrid AI", scores, border=0, least=2))
 
